@@ -8,24 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlens.llm.common import table
+from packlens.llm.language_model import score_held_out
 from packlens.llm.line_dedup import line_dedup
 from packlens.llm.mixing import mix
+from packlens.llm.nearest import nearest
 from packlens.llm.packing import pack
 from packlens.llm.quality_rules import quality_rules
 from packlens.llm.simhash import simhash_groups
+from packlens.llm.substring_dedup import substring_dedup
 from packlens.llm.token_output import tokens_round_trip
 from packlens.llm.tokens import tokenizer_path
+from packlens.llm.toxicity import score_toxicity
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_held_out(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
@@ -47,7 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_output, op5_line_dedup, op7_packing, op8_quality_rules, op9_simhash, op10_mixing)
+    f.__name__: f for f in (
+        op1_substring_dedup, op2_lm_scoring, op3_token_output, op4_toxicity, op5_line_dedup, op6_nearest, op7_packing,
+        op8_quality_rules, op9_simhash, op10_mixing,
+    )
 }
 
 SQL: dict[str, str] = {}
