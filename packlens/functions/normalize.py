@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Currency marks and units that packs print.
 CURRENCY_TOKENS = ("₹", "rs.", "rs", "inr", "mrp", "/-")
@@ -20,7 +21,7 @@ VOLUME_TO_ML = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
