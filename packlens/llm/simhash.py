@@ -108,7 +108,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = cut(edges.where("u <> v").distinct(), "small-star")
         before, now = now, state(edges)
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    found = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
