@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -43,8 +44,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
+        if len(memo) > self.most:  # frequent pieces came first; the tail goes
+            memo = self.memo = dict(islice(memo.items(), self.most // 3))
         split = [[t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
         whole: dict[str, bytes] = {}  # texts that are not cut stay out of the memo
         missing = list({p for parts in split for p in parts if p not in memo})
