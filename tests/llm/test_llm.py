@@ -144,6 +144,18 @@ def test_pieces_encode_as_whole_texts(name):
             assert np.frombuffer(got, "<u4").tolist() == code.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_in_one_call(name):
+    """Letters of many scripts and cases, joined, keep the ids that each word has alone."""
+    code, rng = Encoder(tokenizer_path(name)), random.Random(5)
+    letters = [c for c in map(chr, [*range(65, 0x250), *range(0x370, 0x5D0), *range(0x905, 0x93A), *range(0x1100, 0x1200), *range(0x4E00, 0x4E40), 0x130, 0x120]) if c.isalpha()]
+    words = list({" " + "".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(3000)})
+    got = dict(code._pieces(words))
+    assert all(np.frombuffer(got[w], "<u4").tolist() == code.tokenizer.encode(w, add_special_tokens=False).ids for w in words)
+    for some in ([" ab", " s", " t", " ll"], [" x"]):
+        assert code._words(some) == [np.array(code.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in some]
+
+
 def test_plan_packs():
     rng = random.Random(4)
     for _ in range(50):
