@@ -27,6 +27,7 @@ _PIECE = re.compile(
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
 MEMO_ENTRIES = 600_000
 JOINED = 256
+HELD_CHARS = 1 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +82,16 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        first = chars = 0
+        for i, t in enumerate(texts):  # pieces of a few texts at a time are held, whatever the batch
+            chars += len(t)
+            if chars >= HELD_CHARS or i + 1 == len(texts):
+                out += self._encode(texts[first : i + 1])
+                first, chars = i + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > self.most:  # frequent pieces came first; the tail goes
             memo = self.memo = dict(islice(memo.items(), self.most // 3))
