@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +67,11 @@ def plan_packs(histogram: dict[int, int], width: int) -> list[tuple[int, int, in
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    code, end = encoder(path), np.array([end_id], "<u4").tobytes()
+    code, end, zstd = encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
     for batch in batches:
         ids = [x + end for x in code.encode(texts(batch))]
         kept = [n for n in batch.schema.names if n != "__text"]
-        small = [zlib.compress(_narrow(x), 1) for x in ids]
+        small = [zstd.compress(_narrow(x)) for x in ids]
         arrays = [*(batch.column(n) for n in kept), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n", "ids"])
 
@@ -82,7 +83,7 @@ def _narrow(ids: bytes) -> bytes:
 
 
 def _wide(small: bytes) -> bytes:
-    raw = zlib.decompress(small)
+    raw = zstandard.decompress(small)
     return np.frombuffer(raw, "<u2", offset=1).astype("<u4").tobytes() if raw[:1] == b"\x02" else raw[1:]
 
 

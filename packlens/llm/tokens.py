@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 
@@ -27,7 +27,7 @@ _PIECE = re.compile(
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
 MEMO_ENTRIES = 600_000
 JOINED = 256
-HELD_CHARS = 1 << 20
+HELD_CHARS = 1 << 21
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,9 +49,10 @@ class Encoder:
         self.last = self.first.copy()  # ids that only close a word
         for token, i in vocabulary.items():
             self.first[i], self.last[i] = token.startswith("Ġ"), token.endswith("</w>")
+        self.led = not self.last.any()
 
     def _words(self, words: list[str]) -> list[bytes] | None:
-        """Ids of words of letters, each led by a blank, from one call; None where the marks of the words don't tell them apart."""
+        """Ids of words, each led by a blank, from one call; None where the marks of the words don't tell them apart."""
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.first[ids])
         if len(starts) == len(words) and starts[0] == 0:
@@ -64,21 +65,25 @@ class Encoder:
         flat = ids.tobytes()
         return [flat[4 * a : 4 * b] for a, b in pairwise(bounds)]
 
-    def _pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _groups(self, pieces: list[str]) -> Iterator[Iterable[tuple[str, bytes]]]:
         words, rest = [], []
-        for p in pieces:
-            (words if len(p) < 64 and p[0] == " " and p[1:].isalpha() else rest).append(p)
+        for p in pieces:  # where words are told by their blank, marks and digits may follow
+            joins = p[0] == " " and (p[1:].isalpha() or self.led and p[1:2] > " ")
+            (words if joins else rest).append(p)
         for i in range(0, len(words), JOINED):
             some = words[i : i + JOINED]
             got = self._words(some)
             if got is None:
                 rest += some
             else:
-                yield from zip(some, got, strict=True)
+                yield zip(some, got, strict=True)
         for i in range(0, len(rest), 20_000):
             some = rest[i : i + 20_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                yield piece, np.asarray(got.ids, dtype="<u4").tobytes()
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            yield zip(some, [np.asarray(x.ids, dtype="<u4").tobytes() for x in found], strict=True)
+
+    def _pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        return chain.from_iterable(self._groups(pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -96,10 +101,9 @@ class Encoder:
         if len(memo) > self.most:  # frequent pieces came first; the tail goes
             memo = self.memo = dict(islice(memo.items(), self.most // 3))
         split = [[t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        whole: dict[str, bytes] = {}  # texts that are not cut stay out of the memo
         missing = set().union(*split).difference(memo)
-        for piece, ids in self._pieces(list(missing)):
-            (memo if len(piece) < 64 else whole)[piece] = ids
+        memo.update(self._pieces([p for p in missing if len(p) < 64]))
+        whole = dict(self._pieces([p for p in missing if len(p) >= 64]))  # texts that are not cut stay out of the memo
         if whole:
             return [b"".join([whole[p] if p in whole else memo[p] for p in parts]) for parts in split]
         return [b"".join(map(memo.__getitem__, parts)) for parts in split]
