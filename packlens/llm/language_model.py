@@ -29,7 +29,7 @@ START, END = 1, 2
 CHUNK_TOKENS = 2_000_000
 SCORE_TOKENS = 400_000
 MEMO_WORDS = 400_000
-#: Bigrams seen less often keep their mass for the backoff and are not stored.
+#: Bigrams seen less often keep their mass for the backoff and are not stored. The query stores all (1).
 MIN_COUNT = 2
 U = np.uint64
 
@@ -309,12 +309,12 @@ def score(docs: DataFrame, model: dict, columns: list[str], text_col: str = "tex
     return source.mapInArrow(partial(_score, folder=model["folder"], facts=facts), f"{kinds}, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, out_fold: int = 2) -> DataFrame:
+def score_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, out_fold: int = 2, min_count: int = MIN_COUNT) -> DataFrame:
     """Scores every document, learning from those whose crc32 of the id mod folds is not out_fold.
 
     A null id is in no fold and learnt from. Also adds perplexity (per token).
     """
     fold = F.coalesce(crc32_id(id_col) % folds == out_fold, F.lit(False))
-    model = train(docs.where(~fold), text_col)
+    model = train(docs.where(~fold), text_col, min_count)
     scored = score(docs.withColumn("held_out", fold), model, [id_col, "held_out"], text_col)
     return scored.withColumn("train_tokens", F.lit(model["tokens"]).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

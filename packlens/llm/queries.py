@@ -27,7 +27,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score_held_out(table(spark, sf_dir, "documents"))
+    found = score_held_out(table(spark, sf_dir, "documents"), min_count=1)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from packlens.llm import queries
 from packlens.llm.language_model import discounts, score_held_out
 from packlens.llm.line_dedup import line_dedup
 from packlens.llm.mixing import mix, mixed_documents
@@ -239,6 +240,31 @@ def test_language_model(spark):
         assert math.isclose(rows[i].base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t))
 
 
+def test_language_model_keeps_bigrams_seen_once(spark, monkeypatch):
+    texts = [prose(i, 60) for i in range(60)]
+    monkeypatch.setattr(queries, "table", lambda *_: table(spark, texts))
+    rows = {r.doc_id: r for r in queries.op2_lm_scoring(spark, "").collect()}
+    toks = {i: t.encode().lower().split() + [None] for i, t in enumerate(texts)}
+    train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for i in train for w in toks[i])
+    pairs = Counter(p for i in train for p in zip([b"\0"] + toks[i], toks[i]))
+    ways, seen = Counter(w for _, w in pairs), Counter(c)
+    seen[b"\0"] = len(train)
+    d, u = (discounts([sum(x == k for x in some.values()) for k in (1, 2, 3, 4)]) for some in (pairs, ways))
+    unknown = sum(u[min(x, 3) - 1] for x in ways.values()) / len(pairs) / (len(c) + 1)
+    p1 = lambda w: (ways[w] - u[min(ways[w], 3) - 1]) / len(pairs) + unknown if w in ways else unknown
+    mass = Counter()
+    for (a, _), k in pairs.items():
+        mass[a] += k - d[min(k, 3) - 1]
+    assert sum(k == 1 for k in pairs.values()) > len(pairs) / 2
+    for i, t in toks.items():
+        s = 0.0
+        for a, w in zip([b"\0"] + t, t):
+            k = pairs[a, w]
+            s += math.log10((k - d[min(k, 3) - 1] if k else 0) / seen[a] + (1 - mass[a] / seen[a]) * p1(w) if seen[a] else p1(w))
+        assert math.isclose(rows[i].score, s, rel_tol=1e-9)
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     bad = lambda i: i % 4 == 0
