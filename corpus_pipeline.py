@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from packlens.llm.common import cut, table
 from packlens.llm.line_dedup import line_dedup
 from packlens.llm.mixing import mixed_documents
+from packlens.llm.near_copies import near_groups
 from packlens.llm.packing import pack
 from packlens.llm.quality_rules import keep_good
 from packlens.llm.simhash import drop_near_duplicates
@@ -43,9 +44,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates (Jaccard 0.8 or more) stays."""
     ship(spark)
-    return drop_near_duplicates(docs, shingle=SHINGLE)
+    return drop_near_duplicates(docs, find=near_groups, shingle=SHINGLE)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

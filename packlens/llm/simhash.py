@@ -9,7 +9,7 @@ joined as ranges: pairs in a cell are bounded by Manhattan distance, then verifi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -27,11 +27,11 @@ BLOCKS = 8
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """The SimHash of the text's word shingles, repeats counted; 0 for a text without words."""
+def shingle_hashes(text: str, shingle: int) -> bytes:
+    """The 8-byte hashes of the text's word shingles, in order; none for a text without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -39,7 +39,13 @@ def fingerprint(text: str, shingle: int) -> int:
     n = max(1, len(words) - shingle + 1)
     last = min(shingle, len(words)) - 1
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[last:].tolist(), strict=True)])
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[last:].tolist(), strict=True)])
+
+
+def fingerprint_of(hashes: bytes) -> int:
+    if not hashes:
+        return 0
+    n = len(hashes) // 8
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(n, 64)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 255):  # byte sums of up to 255 rows cannot overflow
@@ -47,6 +53,11 @@ def fingerprint(text: str, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint(text: str, shingle: int) -> int:
+    """The SimHash of the text's word shingles, repeats counted; 0 for a text without words."""
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = [n for n in batch.schema.names if n != "__text"]
@@ -132,12 +143,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(F.col("__id").alias(id_col), "__th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, and of its rows one.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = simhash_groups, **how) -> DataFrame:
+    """One document of each group that `find` finds stays: the one with the smallest id, and of its rows one.
 
     Documents with null id stay only where their group has no id at all, one of them.
     """
-    groups = simhash_groups(docs, id_col, text_col, **how)
+    groups = find(docs, id_col, text_col, **how)
     own = groups[id_col].eqNullSafe(groups["component_id"])
     first = groups.where(own).select(F.col(id_col).alias("__id"), "fingerprint", "component_id", "__th")
     named = first.where(F.col("__id").isNotNull()).groupBy("__id").agg(F.min("__th").alias("__th"))

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from corpus_pipeline import near_stage
 from packlens.llm import queries
 from packlens.llm.language_model import discounts, score_held_out
 from packlens.llm.line_dedup import line_dedup
@@ -105,6 +106,39 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [5, 7, 8, 10]
 
 
+def test_near_stage_catches_jaccard_of_four_fifths(spark):
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    rng, texts = random.Random(6), []
+    for group in range(12):
+        base = [f"w{group}x{i}" for i in range(200)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 4, 6, 9):  # the last two fall below 0.8
+            words = list(base)
+            for at in rng.sample(range(5, 195), edits):
+                words[at] = f"edit{len(texts)}x{at}"
+            texts.append(" ".join(words))
+    base = [f"hot{i}" for i in range(200)]
+    texts += [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(60)] + [None, "", "two words", "Two  words"]
+    sets = [grams(t or "") for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    kept = near_stage(spark, table(spark, texts), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({top(i) for i in range(len(texts))})
+
+
 def test_mixing(spark):
     rng = random.Random(2)
     texts = [" ".join(["w"] * rng.randint(0, 50)) for _ in range(300)] + [None]
