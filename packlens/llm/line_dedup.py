@@ -1,8 +1,7 @@
 """Operator 5, line dedup: log-template tree.
 
 Each line is parsed down a tree of fixed depth (token count, leading tokens) whose leaves generalise
-variable fields; templates that recur across documents of different content are dropped from all
-documents.
+variable fields; templates that recur across distinct documents are dropped from all documents.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ def line_dedup(
     """`docs` with recurring lines cut from the text, and n_lines, n_dropped (int) added.
 
     A line is dropped when one of its templates stands in more than `min_contents` documents of
-    different content (see `lines.recurring`: copies of one text count once). Lines under
+    distinct text (see `lines.recurring`: copies of one text count once). Lines under
     `min_tokens` tokens never are: they are too short to tell. A document that loses all lines
     stays, with an empty text. Null text stays null. Rows with equal id and text are one document. Columns other than the
     text are passed on as they are, whatever their names.
@@ -31,12 +30,10 @@ def line_dedup(
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("__text"))
     run = partial(template_digest, depth=depth, fields=fields, min_tokens=min_tokens)
-    digest = cut(source.mapInArrow(run, f"__id {kind}, __th long, low long, next long, lines array<long>, leaves array<array<long>>"), "template-digest")
-    lines = digest.dropDuplicates(["__id", "__th"]).select("__id", "__th", "low", "next", F.posexplode(F.arrays_zip("lines", "leaves")).alias("line", "x")).where(F.size("x.leaves") > 0)
-    around = F.coalesce(F.when(F.col("x.lines") == F.col("low"), F.col("next")).otherwise(F.col("low")), F.lit(0))
-    leaves = lines.select("__id", "__th", "line", around.alias("surround"), F.explode("x.leaves").alias("leaf"))
-    once = leaves.select("__id", "__th", "leaf", "surround")
-    often = recurring(once, ["leaf"], min_contents)
+    digest = cut(source.mapInArrow(run, f"__id {kind}, __th long, content long, leaves array<array<long>>"), "template-digest")
+    lines = digest.dropDuplicates(["__id", "__th"]).select("__id", "__th", "content", F.posexplode("leaves").alias("line", "x")).where(F.size("x") > 0)
+    leaves = lines.select("__id", "__th", "line", "content", F.explode("x").alias("leaf"))
+    often = recurring(leaves, ["leaf"], min_contents)
     dropped = leaves.join(often, "leaf").groupBy("__id", "__th").agg(F.collect_set("line").alias("__drop"))
     keyed = docs.select("*", *row_key(id_col, text_col))
     joined = keyed.join(dropped, same_row(keyed, dropped), "left").drop(dropped["__id"]).drop(dropped["__th"])

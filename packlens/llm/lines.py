@@ -1,9 +1,8 @@
-"""Line hashes of documents, and lines that recur across documents of different content.
+"""Line hashes of documents, and lines that recur across distinct documents.
 
-A line recurs when it stands in many documents *with other surroundings*. Each document carries the
-smallest two hashes of its distinct lines; the surroundings of a line are the smallest hash of the
-document's other lines. Copies of one text, exact or lightly edited, thus count about once, and a
-clean text that was copied a thousand times keeps its lines.
+Documents are counted by their distinct text: the hash of the normalised lines that hold a word. Exact
+copies, and copies that differ in case or blanks only, count once, whatever else they share with
+other documents; lightly edited copies are documents of their own.
 """
 
 from __future__ import annotations
@@ -28,20 +27,19 @@ def normalised(text: str) -> list[bytes]:
     return [b" ".join(line.split()) for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
 
 
-def two_smallest(hashes: list[int]) -> tuple[int | None, int | None]:
-    own = sorted(set(hashes))
-    return (own[0] if own else None), (own[1] if len(own) > 1 else None)
+def content_of(own: list[bytes]) -> int:
+    """What tells distinct documents apart: the hash of the normalised lines that hold a word."""
+    return signed(xxhash.xxh64_intdigest(b"\n".join(x for x in own if x)))
 
 
 def recurring(lines: DataFrame, keys: list[str], min_contents: int) -> DataFrame:
-    """Keys of the lines that recur: `lines` has one row per document and key, with `surround`.
+    """Keys of the lines that recur: `lines` has one row per document and key, with `content`.
 
-    A key recurs with more than `min_contents` different surroundings, which must be at least half of
-    its documents. Both counts are exact; rows are pre-aggregated before each shuffle.
+    A key recurs with more than `min_contents` different contents. The count is exact; rows are
+    pre-aggregated before each shuffle.
     """
-    per = lines.groupBy(*keys, "surround").agg(F.count(F.lit(1)).alias("n"))
-    both = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("docs"))
-    return both.where((F.col("contents") > min_contents) & (2 * F.col("contents") >= F.col("docs"))).select(*keys)
+    per = lines.groupBy(*keys, "content").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > min_contents).select(*keys)
 
 
 def templates(line: bytes, depth: int, fields: int, min_tokens: int) -> list[int]:
@@ -80,15 +78,11 @@ def texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def template_digest(batches: Iterator[pa.RecordBatch], depth: int, fields: int, min_tokens: int) -> Iterator[pa.RecordBatch]:
-    kinds = {"low": pa.int64(), "next": pa.int64(), "lines": pa.list_(pa.int64()), "leaves": pa.list_(pa.list_(pa.int64()))}
+    kinds = {"content": pa.int64(), "leaves": pa.list_(pa.list_(pa.int64()))}
     for batch in batches:
         got: dict[str, list] = {n: [] for n in kinds}
         for text in texts(batch):
             own = normalised(text)
-            hashes = [signed(xxhash.xxh64_intdigest(x)) for x in own]
-            low, after = two_smallest([h for h, x in zip(hashes, own, strict=True) if x])
-            got["low"].append(low)
-            got["next"].append(after)
-            got["lines"].append(hashes)
+            got["content"].append(content_of(own))
             got["leaves"].append([templates(x, depth, fields, min_tokens) for x in own])
         yield columns(batch, kinds, got)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm.common import cut, row_key, same_row, text_or_empty
-from packlens.llm.lines import columns, normalised, recurring, signed, texts, two_smallest
+from packlens.llm.lines import columns, content_of, normalised, recurring, signed, texts
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -60,7 +60,7 @@ def _repeated_plain(words: list[bytes], window: int) -> int:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "low", "next"]
+    longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content"]
     kinds = {n: pa.int64() for n in longs} | {"lines": pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("k", pa.int32())]))}
     for batch in batches:
         got: dict[str, list] = {n: [] for n in kinds}
@@ -73,11 +73,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [x for x in raw.split(b"\n") if x.translate(None, BLANKS)]
             got["n_dup_lines"].append(len(full) - len(set(full)))
             got["n_repeat_words"].append(repeated_words(words))
-            own = Counter(x for x in normalised(text) if x)
+            full = normalised(text)
+            own = Counter(x for x in full if x)
             lines = [(signed(xxhash.xxh64_intdigest(x)), x.count(b" ") + 1, k) for x, k in own.items()]
-            low, after = two_smallest([h for h, _, _ in lines])
-            got["low"].append(low)
-            got["next"].append(after)
+            got["content"].append(content_of(full))
             got["lines"].append([{"h": h, "w": w, "k": k} for h, w, k in lines])
         yield columns(batch, kinds, got)
 
@@ -88,22 +87,21 @@ def quality_rules(
 ) -> DataFrame:
     """One verdict a document row: measures, base_failed, depleted, kept.
 
-    max_docs_per_host: a line is removed when documents of more different contents on its host hold
+    max_docs_per_host: a line is removed when more documents of distinct text on its host hold
     it (`lines.recurring`). min_words_left_percent: a document is depleted when removal leaves a
     smaller share of its words. Null hosts are a host of their own. Null and empty texts have no
     words, fail the base rules and are rejected. Rows with equal id and text are one document and
     get one verdict each; an empty table gives no rows. Extra columns are not read.
     """
     source = docs.select(*row_key(id_col, text_col), F.col(host_col).cast("string").alias("__host"), text_or_empty(text_col).alias("__text"))
-    longs = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "low", "next"))
+    longs = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content"))
     kind = dict(docs.dtypes)[id_col]
     digest = source.mapInArrow(_measure, f"__id {kind}, __th long, __host string, {longs}, lines array<struct<h: long, w: int, k: int>>")
     digest = cut(digest, "quality-digest")
     # one row a line and document: repeated rows of a document count once
     lines = digest.dropDuplicates(["__id", "__th", "__host"]).select(
-        "__id", "__th", F.coalesce("__host", F.lit("\x00null")).alias("host"), "low", "next", F.explode("lines").alias("x")
-    ).select("__id", "__th", "host", F.col("x.h").alias("h"), (F.col("x.w") * F.col("x.k")).alias("words"),
-             F.coalesce(F.when(F.col("x.h") == F.col("low"), F.col("next")).otherwise(F.col("low")), F.lit(0)).alias("surround"))
+        "__id", "__th", F.coalesce("__host", F.lit("\x00null")).alias("host"), "content", F.explode("lines").alias("x")
+    ).select("__id", "__th", "host", F.col("x.h").alias("h"), (F.col("x.w") * F.col("x.k")).alias("words"), "content")
     often = recurring(lines, ["host", "h"], max_docs_per_host)
     lost = lines.join(often, ["host", "h"]).groupBy("__id", "__th", "host").agg(F.sum("words").alias("lost"))
     a, b = digest.withColumn("host", F.coalesce("__host", F.lit("\x00null"))), lost

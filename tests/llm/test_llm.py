@@ -68,6 +68,24 @@ def test_quality(spark):
     assert keep_good(table(spark, texts)).columns == table(spark, texts).columns
 
 
+def own_line(seed, n):
+    letters = "".join(chr(97 + int(c)) for c in str(seed))
+    return " ".join(f"own{letters}x{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+
+
+def test_quality_with_several_shared_lines(spark):
+    shared = [f"shared line {chr(97 + i)} stands on every page of this host" for i in range(8)]
+    pages = ["\n".join([*shared, own_line(i, 9), own_line(i + 1000, 9)]) for i in range(300)]
+    common = "one line that many different pages hold"
+    several = [f"{common}\n{own_line(i, 40)}" for i in range(5000, 5040)]
+    clean = f"{own_line(7000, 30)}\n{own_line(7001, 30)}"
+    texts = pages + several + [several[0]] * 300 + [clean] * 300
+    rows = {r.doc_id: r for r in quality_rules(table(spark, texts)).collect()}
+    assert all(rows[i].n_boilerplate_words == 8 * len(shared[0].split()) and rows[i].depleted for i in range(300))
+    assert all(rows[i].n_boilerplate_words == len(common.split()) and rows[i].kept for i in range(300, 640))
+    assert all(rows[i].n_boilerplate_words == 0 and rows[i].kept for i in range(640, 940))
+
+
 def test_line_dedup(spark):
     texts = [prose(i, 30).replace("\n", " ") + f"\nfooter of page {i} and more words\nunique tail {prose(i + 500, 5)}" for i in range(30)] + ODD + [prose(77, 50)] * 20
     got = {r.doc_id: r for r in line_dedup(table(spark, texts)).collect()}
