@@ -86,6 +86,15 @@ def test_quality_with_several_shared_lines(spark):
     assert all(rows[i].n_boilerplate_words == 0 and rows[i].kept for i in range(640, 940))
 
 
+def test_line_dedup_with_several_recurring_lines(spark):
+    frame = ["home products about contact imprint", "all rights are reserved by nobody here", "follow us on every network there is"]
+    texts = ["\n".join([frame[0], frame[1], own_line(i, 12), frame[2]]) for i in range(60)]
+    texts += [texts[0]] * 300 + [f"{own_line(900, 12)}\n{own_line(901, 15)}"] * 300
+    rows = {r.doc_id: r for r in line_dedup(table(spark, texts)).collect()}
+    assert all(rows[i].text == own_line(i if i < 60 else 0, 12) and rows[i].n_dropped == 3 for i in range(360))
+    assert all(rows[i].text == texts[i] for i in range(360, 660))
+
+
 def test_line_dedup(spark):
     texts = [prose(i, 30).replace("\n", " ") + f"\nfooter of page {i} and more words\nunique tail {prose(i + 500, 5)}" for i in range(30)] + ODD + [prose(77, 50)] * 20
     got = {r.doc_id: r for r in line_dedup(table(spark, texts)).collect()}
