@@ -1,8 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles, each link verified exactly.
 
 Candidates meet in buckets: the components of operator 9's SimHash links, and bands of min-hashes
-for what lies further apart than its bit limit. A bucket of few members is compared in full; one of
-many is compared with its leader, and what the leader is not similar to with ever more leaders.
+for what lies further apart than its bit limit. Members of a bucket are compared with its leader; those
+that it is not similar to are compared with all others of a small bucket, and with ever more leaders
+of a large one.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from packlens.llm.simhash import components, fingerprint_of, links, shingle_hash
 
 #: A pair at Jaccard 0.8 misses all bands with a chance of (1 - 0.8^4)^16, 2 in 10,000.
 BANDS, ROWS = 16, 4
-#: Buckets of up to so many members are compared in full.
+#: In buckets of up to so many members, what does not link to the leader meets all others.
 FEW = 16
 U = np.uint64
 _RNG = np.random.default_rng(20240611)
@@ -77,22 +78,28 @@ def verified(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame
 
 
 def _similar(rows: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """Verified links (src < dst) of `rows` (node, bucket) within their buckets."""
-    found, leaders = None, 1
+    """Verified links (src < dst) of `rows` (node, bucket) within their buckets.
+
+    Members that link to a leader are connected through it and not compared among themselves. In a
+    bucket of few, a member that does not link is compared with all others.
+    """
+    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    met = cut(rows.join(sizes, "bucket").select("bucket", "node", "n"), "met")
+    left, found, leaders = met, None, 1
     while True:
-        sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-        met = cut(rows.join(sizes, "bucket"), "met")
-        few, many = met.where(F.col("n") <= FEW), met.where(F.col("n") > FEW).select("bucket", "node")
-        heads = many.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("slot")).agg(F.min("node").alias("head"))
+        heads = left.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("slot")).agg(F.min("node").alias("head"))
         heads = cut(heads.select("bucket", "head"), "heads")
-        within = few.select("bucket", F.col("node").alias("src")).join(few.select("bucket", F.col("node").alias("dst")), "bucket").where("src < dst")
-        led = many.join(heads, "bucket").where("node <> head").select("bucket", "node", F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst"))
-        pairs = cut(within.select("src", "dst").unionByName(led.select("src", "dst")).distinct(), "near-pairs")
-        good = cut(verified(pairs, sets, least_percent), "near-links")
+        led = left.join(heads, "bucket").where("node <> head").select("bucket", "node", F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst"))
+        good = cut(verified(cut(led.select("src", "dst").distinct(), "near-pairs"), sets, least_percent), "near-links")
         found = good if found is None else found.unionByName(good)
         settled = led.join(good, ["src", "dst"]).select("bucket", "node").unionByName(heads.select("bucket", F.col("head").alias("node"))).distinct()
-        rows = cut(many.join(settled, ["bucket", "node"], "left_anti"), "unsettled")
-        if rows.isEmpty():
+        left = cut(left.join(settled, ["bucket", "node"], "left_anti"), "unsettled")
+        if leaders == 1:
+            few = left.where(F.col("n") <= FEW).select("bucket", F.col("node").alias("a")).join(met.where(F.col("n") <= FEW).select("bucket", F.col("node").alias("b")), "bucket")
+            pairs = few.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+            found = found.unionByName(cut(verified(cut(pairs, "near-pairs"), sets, least_percent), "near-links"))
+            left = left.where(F.col("n") > FEW)
+        if left.isEmpty():
             return found.distinct()
         leaders *= 4
 
