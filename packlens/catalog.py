@@ -391,7 +391,7 @@ def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def evaluate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines to findings; checked against brute force in the tests."""
+    """Lines to findings; the tests have examples only."""
     declared = _declared(spark, sf_dir)
     q = declared.where("field = 'net_quantity'").select("scan_id", norm_quantity(F.col("value"))["magnitude"].alias("magnitude"))
     return rules.evaluate(declared, rules.rule_table(spark), CHECK_DAY, q)
