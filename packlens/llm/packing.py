@@ -15,7 +15,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,31 +66,30 @@ def plan_packs(histogram: dict[int, int], width: int) -> list[tuple[int, int, in
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    code, end, zstd = encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
+    code = encoder(path)
+    kind = np.dtype("<u2" if max(code.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
     for batch in batches:
-        ids = [x + end for x in code.encode(texts(batch))]
-        kept = [n for n in batch.schema.names if n != "__text"]
-        small = [zstd.compress(_narrow(x)) for x in ids]
-        arrays = [*(batch.column(n) for n in kept), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(small, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "n", "ids"])
+        kept = [batch.column(n) for n in batch.schema.names if n != "__text"]
+        at = 0
+        for flat, counts in code.encoded(texts(batch)):
+            ends = np.cumsum(counts)
+            own = np.insert(flat, ends, end_id).astype(kind)
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * kind.itemsize
+            ids = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(own)])
+            columns = [*(c.slice(at, len(counts)) for c in kept), pa.array(counts + 1), ids]
+            at += len(counts)
+            yield pa.RecordBatch.from_arrays(columns, names=[*(n for n in batch.schema.names if n != "__text"), "n", "ids"])
 
 
-def _narrow(ids: bytes) -> bytes:
-    """One byte for the width, then the ids in two bytes where all fit, else in four."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
-
-
-def _wide(small: bytes) -> bytes:
-    raw = zstandard.decompress(small)
-    return np.frombuffer(raw, "<u2", offset=1).astype("<u4").tobytes() if raw[:1] == b"\x02" else raw[1:]
+def _wide(ids: bytes, n: int) -> bytes:
+    return ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
 def token_table(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """A written table (row, __id, n, ids): whole texts as ids with the end id, compressed per row."""
+    """A written table (row, __id, n, ids): whole texts as ids with the end id, in two bytes each where the vocabulary allows it."""
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
-    return cut(source.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id), f"row long, __id {kind}, n long, ids binary"), "tokens", codec="uncompressed")
+    return cut(source.mapInArrow(partial(_encode, path=tokenizer, end_id=end_id), f"row long, __id {kind}, n long, ids binary"), "tokens")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], width: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -101,7 +99,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], width: int, with_ids: bool) -> It
         source: list[int] = []
         columns = (batch.column(n).to_pylist() for n in ("n", "ids", "full_before", "parts"))
         for i, (n, small, before, parts) in enumerate(zip(*columns, strict=True)):
-            ids = _wide(small)
+            ids = _wide(small, n)
             full = n // width
             places = [(j * width, width, before + j, 0) for j in range(full)]
             places += [(full * width + p["s"], p["l"], p["q"], p["o"]) for p in sorted(parts or [], key=lambda p: p["s"])]

@@ -1,9 +1,11 @@
 """Token ids of whole texts by a public tokenizer file.
 
-A text is cut where every pre-tokenizer of the supported files cuts anyway: before a blank that
-leads a visible run, around line feeds and tabs, and between a word and a closing `.` or `,`. The
-ids of a piece are kept in a bounded memo; the library encodes each piece that is not in the memo,
-words of letters many in one call, since a call's cost is mostly fixed.
+A text is cut where every pre-tokenizer of the supported files cuts anyway. The first cut is made on the
+bytes of many texts at once: before a blank that leads a visible run, and around a line feed or tab
+before one. Runs are numbered by their distinct values, and only those meet Python: a run that is not in
+the bounded memo is cut once more, between a word and a closing `.` or `,`, and the library encodes what
+is new, words of letters many in one call, since a call's cost is mostly fixed. The ids of all runs are
+then gathered as one array.
 A text with blanks or controls beyond ASCII goes to the library whole. The ids equal those of the
 whole text, which the tests check.
 """
@@ -17,6 +19,7 @@ from functools import lru_cache
 from itertools import chain, islice, pairwise
 
 import numpy as np
+import pyarrow as pa
 
 _PIECE = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,]?(?:[ \n\t\r]|\Z))"  # a word before its closing mark or a blank
@@ -25,9 +28,10 @@ _PIECE = re.compile(
     r"|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]"
 )
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\\|")
+_BLANK = np.isin(np.arange(256), [9, 10, 13, 32])
 MEMO_ENTRIES = 600_000
 JOINED = 256
-HELD_CHARS = 1 << 21
+HELD_CHARS = 1 << 22
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,7 +46,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
         self.most = memo_entries
         vocabulary = self.tokenizer.get_vocab()
         self.first = np.zeros(max(vocabulary.values()) + 2, bool)  # ids that only open a word with the blank before it
@@ -88,25 +92,63 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
+        for flat, counts in self.encoded(texts):
+            ends, raw = np.cumsum(counts) * 4, flat.tobytes()
+            out += [raw[a:b] for a, b in pairwise([0, *ends.tolist()])]
+        return out
+
+    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of consecutive groups of the texts: all ids as one array, and their number in each text."""
         first = chars = 0
-        for i, t in enumerate(texts):  # pieces of a few texts at a time are held, whatever the batch
+        for i, t in enumerate(texts):  # runs of a few texts at a time are held, whatever the batch
             chars += len(t)
             if chars >= HELD_CHARS or i + 1 == len(texts):
-                out += self._encode(texts[first : i + 1])
+                yield self._encoded(texts[first : i + 1])
                 first, chars = i + 1, 0
-        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         memo = self.memo
-        if len(memo) > self.most:  # frequent pieces came first; the tail goes
+        if len(memo) > self.most:  # frequent runs came first; the tail goes
             memo = self.memo = dict(islice(memo.items(), self.most // 3))
-        split = [[t] if _ODD.search(t) else _PIECE.findall(t) for t in texts]
-        missing = set().union(*split).difference(memo)
-        memo.update(self._pieces([p for p in missing if len(p) < 64]))
-        whole = dict(self._pieces([p for p in missing if len(p) >= 64]))  # texts that are not cut stay out of the memo
-        if whole:
-            return [b"".join([whole[p] if p in whole else memo[p] for p in parts]) for parts in split]
-        return [b"".join(map(memo.__getitem__, parts)) for parts in split]
+        odd = {i: t for i, t in enumerate(texts) if _ODD.search(t)}
+        starts, first_run, raw = _cut([b"" if i in odd else t.encode() for i, t in enumerate(texts)])
+        runs = pa.BinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(raw)]).dictionary_encode()
+        names = runs.dictionary.to_pylist()
+        missing = [n.decode() for n in names if n not in memo]
+        split = [_PIECE.findall(n) for n in missing]
+        pieces = set().union(*split)
+        found = dict(self._pieces([*pieces, *set(odd.values())]))
+        made = {n.encode(): b"".join([found[p] for p in parts]) for n, parts in zip(missing, split, strict=True)}
+        memo.update((n, ids) for n, ids in made.items() if len(n) < 64)  # long runs are not kept
+        held = [memo[n] if n in memo else made[n] for n in names]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        table = np.frombuffer(b"".join(held), "<u4")
+        code = runs.indices.to_numpy()
+        size = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = _gathered(table, (np.cumsum(sizes) - sizes)[code], size, ends)
+        bounds = ends[first_run]
+        if odd:  # texts that are not cut
+            parts = [np.frombuffer(found[t], "<u4") if (t := odd.get(i)) else flat[a:b] for i, (a, b) in enumerate(pairwise(bounds.tolist()))]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return flat, np.diff(bounds)
+
+
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Where the runs of the joined texts start (and the end), the number of each text's first run (and the last's end), and the joined texts."""
+    raw = b"".join(texts)
+    data, edges = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)])
+    blank, mark = _BLANK[data], np.zeros(len(raw) + 1, bool)
+    leads = np.flatnonzero(blank[:-1] > blank[1:])
+    mark[leads], mark[edges] = True, True
+    mark[leads[data[leads] != 32] + 1] = True
+    starts = np.flatnonzero(mark)
+    return starts, np.searchsorted(starts, edges), raw
+
+
+def _gathered(table: np.ndarray, first: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The slices of the table that begin at `first` and have these sizes, one after another."""
+    return table[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
 
 
 @lru_cache(maxsize=2)
