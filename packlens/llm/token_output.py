@@ -4,7 +4,7 @@ Documents are range-partitioned by id and written as blocks. A block is a header
 document ids and the document ends, both Elias-Fano coded, and the concatenated ids in two or four
 bytes each. Blocks are rows of a Parquet folder (shard, block, n_ids, data), so that any store Spark
 writes to can hold them and lost tasks are written anew. The start of a document is a select in its block plus
-the ids of the blocks and shards before.
+the ids of the blocks and shards before. Ends are read by select, which looks at the bits between two samples.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -68,22 +69,17 @@ class EliasFano:
         return cls(n, low_bits, low, np.frombuffer(data, np.uint8, high, at + len(low)), samples)
 
     def select(self, i: int) -> int:
-        """The i-th value: from the nearest sample, bytes are skipped by their bit counts."""
+        """The i-th value. Only the bits between two samples are looked at, and the low bits of the one value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, left = int(self.samples[i // self.SAMPLE]), i % self.SAMPLE
+        k, left = divmod(i, self.SAMPLE)
+        at = int(self.samples[k])
         if left:
-            byte = at // 8
-            head = self.high[byte : byte + 1] & np.uint8((0xFF << (at % 8)) & 0xFF)
-            window = np.concatenate([head, self.high[byte + 1 :]])
-            sums = np.cumsum(np.bitwise_count(window), dtype=np.int64)
-            k = int(np.searchsorted(sums, left + 1))
-            rest = left - (int(sums[k - 1]) if k else 0)
-            at = (byte + k) * 8 + int(np.flatnonzero(np.unpackbits(window[k : k + 1], bitorder="little"))[rest])
-        low = 0
-        for b in range(self.low_bits):
-            bit = i * self.low_bits + b
-            low |= (int(self.low[bit // 8]) >> (bit % 8) & 1) << b
+            stop = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+            bits = np.unpackbits(self.high[at // 8 : -(-stop // 8)], bitorder="little")
+            at += int(np.flatnonzero(bits[at % 8 :])[left])
+        first, shift = divmod(i * self.low_bits, 8)
+        low = int.from_bytes(self.low[first : first + 9].tobytes(), "little") >> shift & ((1 << self.low_bits) - 1)
         return (at - i) << self.low_bits | low
 
     def all(self) -> np.ndarray:
@@ -158,11 +154,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, number, data in zip(*(batch.column(n).to_pylist() for n in ("shard", "block", "data")), strict=True):
             block = Block(data)
-            ends = block.ends.all()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            wide = block.ids.astype("<u4").tobytes()
-            crcs = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             n = block.n_docs
+            ends = np.array([block.ends.select(i) for i in range(n)], np.int64)
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            crcs = [zlib.crc32(block.ids[a:b].astype("<u4").tobytes()) for a, b in pairwise([0, *ends.tolist()])]
             yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(block.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())], names=["shard", "block", "doc_id", "local", "n_tokens", "ids_crc32"])
 
 
