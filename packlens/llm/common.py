@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters that are none of these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Order within a group is dealt into this many hash buckets, whatever the input.
+#: Order within a group is dealt into this many hash buckets at least, and four for each shuffle partition.
 BUCKETS = 1024
 
 
@@ -22,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (local tests) a temporary folder is made and set.
+    Only where the session names none and runs in one process (local tests) a temporary folder is made
+    and set; on a cluster a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="packlens-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,6 +56,19 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("__id"), F.xxhash64(text_or_empty(text_col)).alias("__th")]
 
 
+def sealed(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
+    """`docs` as one struct column __row beside __id, __th and `more`: no name of a user's column can clash."""
+    everything = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    return docs.select(everything.alias("__row"), *row_key(id_col, text_col), *[c.alias(n) for n, c in more.items()])
+
+
+def opened(rows: DataFrame, columns: Sequence[str], **more: Column) -> DataFrame:
+    """The columns of `sealed` rows again, and `more`: a column of the same name is put in the place of the old one."""
+    old = [more[c] if c in more else F.col("__row").getField(c) for c in columns]
+    new = [c.alias(n) for n, c in more.items() if n not in columns]
+    return rows.select(*[c.alias(n) for c, n in zip(old, columns, strict=True)], *new)
+
+
 def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["__id"].eqNullSafe(right["__id"]) & (left["__th"] == right["__th"])
 
@@ -64,18 +81,19 @@ def running_before(df: DataFrame, group: Sequence[str], order: Sequence[str], va
     """Adds the sum of `value` over the rows before this one in its group, in an order by hash.
 
     The order is (bucket of the hash of `order`, that hash, `order`). Sums are taken per (group, bucket),
-    at most BUCKETS small rows a group meet in one window, and rows are ordered within a bucket
-    only: a group with a third of all rows is spread over BUCKETS tasks. df is read twice unless
+    one small row a bucket and group meets in a window, and rows are ordered within a bucket
+    only: a group with a third of all rows is spread over all buckets, whose number follows the partitions. df is read twice unless
     `sums_from` has its group, order and value columns in a cheaper table. Nulls form a group of
     their own; a null value counts 0.
     """
     group = list(group)
+    buckets = max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"__g{i}") for i, g in enumerate(group)]
     keys += [F.col(g).isNull().alias(f"__n{i}") for i, g in enumerate(group)]
     names = [f"__g{i}" for i in range(len(group))] + [f"__n{i}" for i in range(len(group))]
 
     def dealt(some: DataFrame) -> DataFrame:
-        some = some.withColumn("__h", F.xxhash64(*order)).withColumn("__b", F.pmod("__h", F.lit(BUCKETS)).cast("int"))
+        some = some.withColumn("__h", F.xxhash64(*order)).withColumn("__b", F.pmod("__h", F.lit(buckets)).cast("int"))
         return some.withColumn("__v", F.coalesce(F.col(value).cast("long"), F.lit(0))).select("*", *keys)
 
     rows, sums = dealt(df), dealt(df if sums_from is None else sums_from)

@@ -4,7 +4,9 @@ A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments, wri
 that the Manhattan distance of two embeddings is the bit count of their XOR. That distance never
 exceeds the Hamming distance of the fingerprints. The embedding is cut into 8 blocks; fingerprints
 within 4 bits agree in 4 blocks at least, so every choice of 4 blocks is a grid whose cells are
-joined as ranges: pairs in a cell are bounded by Manhattan distance, then verified exactly.
+joined as ranges: pairs in a cell are bounded by Manhattan distance, then verified exactly. In cells
+of many members pairs are not formed: two fingerprints within 4 bits are both within 2 bits of some
+centre, all that are within 2 bits of one centre link, and each of them is tied to the first of them only.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import cut, row_key, same_row, text_or_empty
+from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
 from packlens.llm.lines import signed, texts
 
 SEED = 42
 BLOCKS = 8
 LOW_BITS = 0x5555555555555555
+#: Members of a grid cell beyond which its pairs are not formed.
+DENSE = 16
 
 
 def shingle_hashes(text: str, shingle: int) -> bytes:
@@ -72,28 +76,40 @@ def embedding(fp: Column) -> Column:
     return fp.bitwiseOR(odd).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(odd).bitwiseAND(low), 1))
 
 
-def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """All pairs (src < dst) of the distinct values of column fp within max_bits bits, each once."""
-    masks = []
-    for blocks in combinations(range(BLOCKS), BLOCKS - max_bits):
-        mask = sum(0xFF << (8 * b) for b in blocks)
-        below = sum(0xFF << (8 * b) for b in range(max(blocks) + 1) if b not in blocks)
-        masks.append((signed(mask), [signed(0xFF << (8 * b)) for b in range(BLOCKS) if below >> (8 * b) & 0xFF]))
-    grid = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("grid"), F.lit(m).alias("mask"), F.array(*[F.lit(x) for x in others]).cast("array<long>").alias("others"))
-        for i, (m, others) in enumerate(masks)
-    ]))
-    cells = fps.select("fp", embedding(F.col("fp")).alias("emb")).select("fp", "emb", grid.alias("g"))
-    cells = cells.select("fp", F.col("g.grid").alias("grid"), F.col("emb").bitwiseAND(F.col("g.mask")).alias("cell"))
-    a, b = cells.alias("a"), cells.alias("b")
+def _flips(bits: int) -> list[int]:
+    """All masks of up to `bits` of the 64 bits."""
+    return [signed(sum(1 << b for b in some)) for n in range(bits + 1) for some in combinations(range(64), n)]
+
+
+def links(fps: DataFrame, max_bits: int = 4, dense: int = DENSE) -> DataFrame:
+    """Pairs (src < dst) of the distinct values of column fp that connect all which lie within max_bits (even) bits.
+
+    Every pair is a link, within max_bits bits. Cells of up to `dense` members give all their links; members of
+    larger cells give, for every centre within max_bits / 2 bits, the links to the smallest one around
+    it. A centre has a bounded number of fingerprints around it (2081 at 2 bits), so no group grows with
+    the input, and both ways take work in proportion to the fingerprints.
+    """
+    masks = [signed(sum(0xFF << (8 * b) for b in blocks)) for blocks in combinations(range(BLOCKS), BLOCKS - max_bits)]
+    grid = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("grid", "mask")
+    spread = fps.select("fp").repartition("fp")  # few bytes become many rows, so they are dealt out by count first
+    cells = spread.select("fp", embedding(F.col("fp")).alias("emb"), grid).select("fp", "grid", F.col("emb").bitwiseAND(F.col("mask")).alias("cell"))
+    counts = cut(cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
+    members = cut(cells.join(counts, ["grid", "cell"]), "cell-members")
+    few = members.where(F.col("n") <= dense).select("grid", "cell", "fp")
+    a, b = few.alias("a"), few.alias("b")
     apart = embedding(F.col("a.fp")).bitwiseXOR(embedding(F.col("b.fp")))
     pairs = a.join(
         b,
         (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
         & (F.bit_count(apart) <= max_bits)
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits),
-    )
-    return pairs.select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst")).distinct()
+    ).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+    many = members.where(F.col("n") > dense).select("fp").distinct()
+    flips = F.array(*[F.lit(m) for m in _flips(max_bits // 2)])
+    around = many.repartition("fp").select("fp", F.explode(flips).alias("flip")).groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
+    stars = around.agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)
+    ties = stars.select(F.col("all")[0].alias("src"), F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("dst"))
+    return pairs.unionByName(ties).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -111,10 +127,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = state(edges)
     while now != before and now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written first, so that the join below is one of two plain shuffles, whose hot nodes Spark splits
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large, "large-star")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u")
         edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         edges = cut(edges.where("u <> v").distinct(), "small-star")
@@ -137,7 +154,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = table.groupBy("fp").agg(F.min("__id").alias("id"))
     found = components(links(distinct, max_bits))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("id").alias("component_id")), "least-ids")
     of = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     joined = table.join(of, table["fp"] == of["f"], "left")
     return joined.select(F.col("__id").alias(id_col), "__th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -154,6 +171,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = first.where(F.col("__id").isNotNull()).groupBy("__id").agg(F.min("__th").alias("__th"))
     without = first.where(F.col("__id").isNull()).groupBy("fingerprint").agg(F.min("__th").alias("__th"))
     stay = named.unionByName(without.select(F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("__id"), "__th"))
-    keyed = docs.select("*", *row_key(id_col, text_col))
+    keyed = sealed(docs, id_col, text_col)
     kept = keyed.join(stay, same_row(keyed, stay), "left_semi")
-    return kept.dropDuplicates(["__id", "__th"]).select(*docs.columns)
+    return opened(kept.dropDuplicates(["__id", "__th"]), docs.columns)

@@ -102,6 +102,36 @@ def test_line_dedup(spark):
     assert got[30].text is None and got[31].text == "" and all(got[36 + i].text == texts[36] for i in range(20))
 
 
+def groups(pairs):
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return {x: top(x) for x in list(root)}
+
+
+def test_links_of_a_dense_group_grow_with_its_members(spark):
+    rng = random.Random(12)
+    made = {}
+    for n in (500, 2000):
+        fps = set()
+        while len(fps) < n:
+            f = 0x5DEECE66D1234567
+            for b in rng.sample(range(16), rng.randint(0, 5)):
+                f ^= 1 << b
+            fps.add(f - (1 << 64) if f >> 63 else f)
+        near = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+        got = [tuple(r) for r in links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+        assert groups(got) == groups(near)
+        made[n] = len(got), len(near)
+    assert made[2000][0] < 8 * made[500][0] and 8 * made[500][1] < made[2000][1], made
+
+
 def test_fingerprint_and_components(spark):
     def plain(text):
         words = text.encode().lower().split()
@@ -118,8 +148,11 @@ def test_fingerprint_and_components(spark):
             f ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5)))
             fps.add(f)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {tuple(r) for r in links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
-    assert got == {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
+    near = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
+    for dense in (64, 4, 1):  # pairs only; both ways; centres only
+        got = {tuple(r) for r in links(spark.createDataFrame([(f,) for f in signed], "fp long"), dense=dense).collect()}
+        assert got == near if dense == 64 else got <= near
+        assert groups(got) == groups(near)
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100)], "src long, dst long")
     assert {r.node: r.root for r in components(chain).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
