@@ -1,9 +1,11 @@
 """Near copies by the Jaccard similarity of word shingles, each link verified exactly.
 
 Candidates meet in buckets: the components of operator 9's SimHash links, and bands of min-hashes
-for what lies further apart than its bit limit. Members of a bucket are compared with its leader; those
-that it is not similar to are compared with all others of a small bucket, and with ever more leaders
-of a large one.
+for what lies further apart than its bit limit. A set of shingles is also written as the parity of its
+counts in 256 segments: the Hamming distance of two such sketches never exceeds the number of shingles that
+only one of the sets has, so most pairs are ruled out by a few bit operations before any set is read.
+Members of a bucket are compared with its leader, the one that meets most others; then what is not
+yet connected to the leader is compared with all that it is not connected to. The sets decide.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm.common import cut, row_key, text_or_empty
@@ -23,8 +25,8 @@ from packlens.llm.simhash import components, fingerprint_of, links, shingle_hash
 
 #: A pair at Jaccard 0.8 misses all bands with a chance of (1 - 0.8^4)^16, 2 in 10,000.
 BANDS, ROWS = 16, 4
-#: In buckets of up to so many members, what does not link to the leader meets all others.
-FEW = 16
+SEGMENTS = 256
+SKETCH = [f"s{i}" for i in range(SEGMENTS // 64)]
 U = np.uint64
 _RNG = np.random.default_rng(20240611)
 _FACTORS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * U(2) + U(1)
@@ -49,18 +51,25 @@ def bands(own: np.ndarray) -> list[int]:
     return mixed.view(np.int64).tolist()
 
 
+def sketch(own: np.ndarray) -> list[int]:
+    """The parities of the numbers of hashes in each segment, 64 to a number."""
+    counts = np.bincount((own >> U(20)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist()
+
+
 def _digest(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, fp, found = [], [], []
+        node, fp, found, facts = [], [], [], []
         for text in texts(batch):
             hashes = shingle_hashes(text, shingle)
             own = shingle_set(hashes)
             node.append(signed(xxhash.xxh64_intdigest(own.tobytes())))
             fp.append(signed(fingerprint_of(hashes)))
             found.append(bands(own))
+            facts.append([len(own), *sketch(own)])
         kept = [n for n in batch.schema.names if n != "__text"]
-        arrays = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *arrays], names=[*kept, "node", "fp", "bands"])
+        arrays = [pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(facts, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *arrays], names=[*kept, "node", "fp", "bands", "facts"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -77,31 +86,36 @@ def verified(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame
     return shared.where(100 * F.col("shared") >= least_percent * (F.col("n") - F.col("shared"))).select("src", "dst")
 
 
-def _similar(rows: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """Verified links (src < dst) of `rows` (node, bucket) within their buckets.
+def _may_link(a: str, b: str, least_percent: int) -> Column:
+    """False only where two sets cannot be similar enough, by their sizes and sketches.
 
-    Members that link to a leader are connected through it and not compared among themselves. In a
-    bucket of few, a member that does not link is compared with all others.
+    Sets of n and m shingles at Jaccard j differ in (n + m)(1 - j) / (1 + j) shingles.
     """
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in SKETCH), F.lit(0))
+    return ((100 + least_percent) * apart <= (100 - least_percent) * (n + m)) & (100 * F.least(n, m) >= least_percent * F.greatest(n, m))
+
+
+def _similar(rows: DataFrame, facts: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+    """Verified links (src < dst) of `rows` (node, bucket) that connect all similar members of each bucket."""
     sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    met = cut(rows.join(sizes, "bucket").select("bucket", "node", "n"), "met")
-    left, found, leaders = met, None, 1
-    while True:
-        heads = left.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("slot")).agg(F.min("node").alias("head"))
-        heads = cut(heads.select("bucket", "head"), "heads")
-        led = left.join(heads, "bucket").where("node <> head").select("bucket", "node", F.least("node", "head").alias("src"), F.greatest("node", "head").alias("dst"))
-        good = cut(verified(cut(led.select("src", "dst").distinct(), "near-pairs"), sets, least_percent), "near-links")
-        found = good if found is None else found.unionByName(good)
-        settled = led.join(good, ["src", "dst"]).select("bucket", "node").unionByName(heads.select("bucket", F.col("head").alias("node"))).distinct()
-        left = cut(left.join(settled, ["bucket", "node"], "left_anti"), "unsettled")
-        if leaders == 1:
-            few = left.where(F.col("n") <= FEW).select("bucket", F.col("node").alias("a")).join(met.where(F.col("n") <= FEW).select("bucket", F.col("node").alias("b")), "bucket")
-            pairs = few.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-            found = found.unionByName(cut(verified(cut(pairs, "near-pairs"), sets, least_percent), "near-links"))
-            left = left.where(F.col("n") > FEW)
-        if left.isEmpty():
-            return found.distinct()
-        leaders *= 4
+    met = cut(rows.join(sizes, "bucket").join(facts, "node").select("bucket", "node", "n", "size", *SKETCH), "met")
+    degree = cut(met.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    lead = F.max(F.struct("degree", (-F.col("node")).alias("least"), "node", "size", *SKETCH)).alias("lead")
+    heads = cut(met.join(degree, "node").groupBy("bucket").agg(lead).select("bucket", "lead.*"), "heads")
+
+    def linked(a: DataFrame, b: DataFrame, apart: Column) -> DataFrame:
+        both = a.alias("a").join(b.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & apart & _may_link("a", "b", least_percent))
+        pairs = both.select(F.least("a.node", "b.node").alias("src"), F.greatest("a.node", "b.node").alias("dst")).distinct()
+        return cut(verified(cut(pairs, "near-pairs"), sets, least_percent), "near-links")
+
+    found = linked(met, heads, F.col("a.node") != F.col("b.node"))
+    roots = cut(components(found), "near-components")
+    known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("n")
+    head_roots = heads.select("bucket", "node").join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("head_root"))
+    known = cut(known.join(cut(head_roots, "head-roots"), "bucket"), "labelled")
+    rest = linked(known.where("root <> head_root"), known, F.col("a.root") != F.col("b.root"))
+    return found.unionByName(rest)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 4, least_percent: int = 80) -> DataFrame:
@@ -113,8 +127,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("__text"))
-    digest = cut(source.mapInArrow(partial(_digest, shingle=shingle), f"__id {kind}, __th long, node long, fp long, bands array<long>"), "near-digest")
-    nodes = cut(digest.groupBy("node").agg(F.min(F.struct("__id", "__th")).alias("of"), F.min("fp").alias("fp"), F.max("bands").alias("bands")), "near-nodes")
+    digest = cut(source.mapInArrow(partial(_digest, shingle=shingle), f"__id {kind}, __th long, node long, fp long, bands array<long>, facts array<long>"), "near-digest")
+    nodes = cut(digest.groupBy("node").agg(F.min(F.struct("__id", "__th")).alias("of"), F.min("fp").alias("fp"), F.max("bands").alias("bands"), F.max("facts").alias("facts")), "near-nodes")
     near = components(links(nodes.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
     by_bits = nodes.join(near, "fp", "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("bucket"))
     rows = cut(nodes.select("node", F.explode("bands").alias("bucket")).unionByName(by_bits).distinct(), "near-rows")
@@ -122,8 +136,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need = rows.join(shared, "bucket").select("node").distinct().join(nodes, "node").select("node", F.col("of.__id").alias("__i"), F.col("of.__th").alias("__t"))
     held = source.join(need, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t"))).select("node", "__text")
     sets = cut(held.mapInArrow(partial(_sets, shingle=shingle), "node long, own array<long>").dropDuplicates(["node"]), "near-sets")
-    found = components(_similar(rows, sets, least_percent))
+    facts = nodes.select("node", *[F.col("facts")[i].alias(n) for i, n in enumerate(["size", *SKETCH])])
+    found = components(_similar(rows, facts, sets, least_percent))
     rooted = digest.select("__id", "__th", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
     rooted = cut(rooted, "near-roots")
-    least = rooted.groupBy("root").agg(F.min("__id").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("__id").alias("component_id")), "least-ids")
     return rooted.join(least, "root").select(F.col("__id").alias(id_col), "__th", F.lower(F.lpad(F.hex("root"), 16, "0")).alias("fingerprint"), "component_id")
