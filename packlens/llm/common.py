@@ -56,9 +56,13 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("__id"), F.xxhash64(text_or_empty(text_col)).alias("__th")]
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def sealed(docs: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
     """`docs` as one struct column __row beside __id, __th and `more`: no name of a user's column can clash."""
-    everything = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    everything = F.struct(*[docs[quoted(c)] for c in docs.columns])
     return docs.select(everything.alias("__row"), *row_key(id_col, text_col), *[c.alias(n) for n, c in more.items()])
 
 

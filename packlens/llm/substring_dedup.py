@@ -1,12 +1,15 @@
 """Operator 1, substring dedup: sliding sentence spans.
 
 Every run of several consecutive sentences is hashed, equal hashes meet globally, and the sentences
-that a non-first occurrence of a repeated run covers are removed.
+that a non-first occurrence of a repeated run covers are removed. A sentence of many words is cut
+further at words that their own hash marks, so that a passage without full stops holds runs too,
+wherever it stands.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -14,18 +17,37 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from packlens.llm.common import cut, row_key, same_row, text_or_empty
+from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
 from packlens.llm.lines import columns, signed, texts
 
-#: Cuts a text into pieces whose concatenation is the text; reads alike in Python and Java.
-SENTENCE_END = r"(?<=[.!?])(?=[ \t\n\r])|(?<=\n)(?=[^\n])"
-_END = re.compile(SENTENCE_END)
+_END = re.compile(r"(?<=[.!?])(?=[ \t\n\r])|(?<=\n)(?=[^\n])")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words beyond which a sentence is cut further: before a word that its hash marks (one in MARK), or at LONG words.
+LONG, MARK = 24, 8
+
+
+def pieces(text: str) -> list[str]:
+    """Sentences, long ones in parts; their concatenation is the text."""
+    out: list[str] = []
+    for p in _END.split(text):
+        if len(p) <= 2 * LONG or len(p.split()) <= LONG:
+            out.append(p)
+            continue
+        at = words = 0
+        for m in _WORD.finditer(p):
+            if words and (words >= LONG or zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % MARK == 0):
+                out.append(p[at : m.start()])
+                at, words = m.start(), 0
+            words += 1
+        out.append(p[at:])
+    return out
 
 
 def sentences(text: str) -> list[tuple[int, bytes]]:
     """(index of the piece, normalised words) of the pieces that have a word."""
-    cut_up = ((i, b" ".join(p.encode("utf-8", "surrogatepass").lower().split())) for i, p in enumerate(_END.split(text)))
+    cut_up = ((i, b" ".join(p.encode("utf-8", "surrogatepass").lower().split())) for i, p in enumerate(pieces(text)))
     return [(i, words) for i, words in cut_up if words]
 
 
@@ -33,55 +55,69 @@ def runs(own: list[tuple[int, bytes]], span: int, min_words: int) -> list[tuple[
     """(hash, first sentence, sentences) of the run that starts at each sentence.
 
     A run has `span` sentences, and more until it has min_words words; one that the text is too
-    short for is left out, but for a text whose whole is one short run.
+    short for is left out.
     """
     counts = [w.count(b" ") + 1 for _, w in own]
     out = []
+    n = words = 0  # the run of the sentence before, without its first, is where this one begins
     for i in range(len(own)):
-        n, words = 0, 0
         while i + n < len(own) and (n < span or words < min_words):
             words += counts[i + n]
             n += 1
-        if (n >= span and words >= min_words) or (i == 0 and n == len(own)):
-            out.append((signed(xxhash.xxh64_intdigest(b"\n".join(w for _, w in own[i : i + n]))), i, n))
+        if n < span or words < min_words:
+            break
+        out.append((signed(xxhash.xxh64_intdigest(b"\n".join(w for _, w in own[i : i + n]))), i, n))
+        n, words = n - 1, words - counts[i]
     return out
 
 
 def _spans(batches: Iterator[pa.RecordBatch], span: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    kinds = {"pieces": pa.list_(pa.int32()), "runs": pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))}
+    kinds = {"runs": pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))}
     for batch in batches:
-        got: dict[str, list] = {n: [] for n in kinds}
-        for text in texts(batch):
-            own = sentences(text)
-            got["pieces"].append([i for i, _ in own])
-            got["runs"].append([{"h": h, "at": at, "n": n} for h, at, n in runs(own, span, min_words)])
-        yield columns(batch, kinds, got)
-
+        found = [runs(sentences(text), span, min_words) for text in texts(batch)]
+        yield columns(batch, kinds, {"runs": [[{"h": h, "at": at, "n": n} for h, at, n in own] for own in found]})
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2, min_words: int = 10) -> DataFrame:
-    """`docs` with the repeated spans cut from the text, and n_sentences, n_removed, removed (piece indexes) added.
 
-    The first occurrence, by (id, text hash, sentence) with null ids first, stays; all others lose the
-    sentences that the run covers, within one document too. Sentences are compared by their words,
+def _cut_out(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got, counts, removed = [], [], []
+        for text, cover in zip(batch.column("__row").field(text_col).to_pylist(), batch.column("__cover").to_pylist(), strict=True):
+            own = sentences(text or "")
+            counts.append(len(own))
+            gone = sorted({own[i][0] for i in cover or []})
+            removed.append(gone)
+            dropped = set(gone)
+            got.append("".join(p for i, p in enumerate(pieces(text)) if i not in dropped) if gone else text)
+        arrays = [batch.column("__row"), pa.array(got, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["__row", "__new", "__n", "__gone"])
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2, min_words: int = 25) -> DataFrame:
+    """`docs` with the repeated spans cut from the text, and n_sentences, n_removed, removed (indexes of `pieces`).
+
+    A run has at least `span` sentences and min_words words, so what is shorter is never removed, an exact copy of a
+    shorter text included. The first occurrence, by (id, text hash, sentence) with null ids first, stays; all others lose
+    the sentences that the run covers, within one document too. Sentences are compared by their words,
     A-Z lower-cased. Null text stays null, an empty one has no sentence. Rows with equal id and
-    text are one document and get the same text. Columns other than the text pass as they are.
+    text are one document and get the same text. An empty table stays empty. Columns other than the text pass as they
+    are, whatever their names; one that is named like a result is replaced by it.
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("__text"))
-    digest = cut(source.mapInArrow(partial(_spans, span=span, min_words=min_words), f"__id {kind}, __th long, pieces array<int>, runs array<struct<h: long, at: int, n: int>>"), "spans")
-    each = digest.dropDuplicates(["__id", "__th"]).select("__id", "__th", F.explode("runs").alias("r"))
+    digest = cut(source.mapInArrow(partial(_spans, span=span, min_words=min_words), f"__id {kind}, __th long, runs array<struct<h: long, at: int, n: int>>"), "spans")
+    each = digest.select("__id", "__th", F.explode("runs").alias("r"))
     each = each.select("__id", "__th", F.col("r.h").alias("h"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))
     place = F.struct("__id", "__th", "at")
-    repeated = each.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "first")
-    again = each.join(repeated, "h").where(~place.eqNullSafe(F.col("first")))
+    # repeated rows of one document give equal places, which do not make a run repeated. Written, so that the join
+    # below is one of two plain shuffles and Spark splits a run that a third of all rows hold
+    bounds = each.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = cut(bounds.where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first"), "repeated-runs")
+    again = each.join(repeated.hint("merge"), "h").where(~place.eqNullSafe(F.col("first")))
     covered = again.groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("__cover"))
-    known = digest.dropDuplicates(["__id", "__th"])
-    marked = known.join(covered, same_row(known, covered), "left").select(
-        known["__id"].alias("__id"), known["__th"].alias("__th"), F.size("pieces").alias("__n"),
-        F.transform(F.coalesce("__cover", F.array().cast("array<int>")), lambda i: F.get("pieces", i)).alias("__drop"))
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    joined = keyed.join(marked, same_row(keyed, marked), "left").drop(marked["__id"]).drop(marked["__th"])
-    kept = F.filter(F.split(F.col(text_col), SENTENCE_END, -1), lambda x, i: ~F.array_contains(F.col("__drop"), i))
-    text = F.when(F.size("__drop") > 0, F.array_join(kept, "")).otherwise(F.col(text_col))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*out, F.coalesce("__n", F.lit(0)).alias("n_sentences"), F.coalesce(F.size("__drop"), F.lit(0)).alias("n_removed"), F.sort_array("__drop").alias("removed"))
+    keyed = sealed(docs, id_col, text_col)
+    joined = keyed.join(covered, same_row(keyed, covered), "left").select("__row", "__cover")
+    out = StructType([
+        StructField("__row", keyed.schema["__row"].dataType), StructField("__new", StringType()), StructField("__n", IntegerType()),
+        StructField("__gone", ArrayType(IntegerType()))])
+    done = joined.mapInArrow(partial(_cut_out, text_col=text_col), out)
+    return opened(done, docs.columns, **{text_col: F.col("__new"), "n_sentences": F.col("__n"), "n_removed": F.size("__gone"), "removed": F.col("__gone")})
