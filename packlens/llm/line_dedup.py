@@ -11,7 +11,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import cut, row_key, same_row, text_or_empty
+from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
 from packlens.llm.lines import recurring, template_digest
 
 
@@ -24,22 +24,23 @@ def line_dedup(
     A line is dropped when one of its templates stands in more than `min_contents` documents of
     distinct text (see `lines.recurring`: copies of one text count once). Lines under
     `min_tokens` tokens never are: they are too short to tell. A document that loses all lines
-    stays, with an empty text. Null text stays null. Rows with equal id and text are one document. Columns other than the
-    text are passed on as they are, whatever their names.
+    stays, with an empty text. Null text stays null. Rows with equal id and text are one document. An empty table stays
+    empty. Columns other than the text are passed on as they are, whatever their names; one that is named like a result
+    is replaced by it.
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("__text"))
     run = partial(template_digest, depth=depth, fields=fields, min_tokens=min_tokens)
     digest = cut(source.mapInArrow(run, f"__id {kind}, __th long, content long, leaves array<array<long>>"), "template-digest")
-    lines = digest.dropDuplicates(["__id", "__th"]).select("__id", "__th", "content", F.posexplode("leaves").alias("line", "x")).where(F.size("x") > 0)
+    # repeated rows of a document hold the same content and the same lines, so they count once
+    lines = digest.select("__id", "__th", "content", F.posexplode("leaves").alias("line", "x")).where(F.size("x") > 0)
     leaves = lines.select("__id", "__th", "line", "content", F.explode("x").alias("leaf"))
-    often = recurring(leaves, ["leaf"], min_contents)
+    often = cut(recurring(leaves, ["leaf"], min_contents), "recurring-leaves")
     dropped = leaves.join(often, "leaf").groupBy("__id", "__th").agg(F.collect_set("line").alias("__drop"))
-    keyed = docs.select("*", *row_key(id_col, text_col))
-    joined = keyed.join(dropped, same_row(keyed, dropped), "left").drop(dropped["__id"]).drop(dropped["__th"])
-    drop = F.coalesce("__drop", F.array().cast("array<int>"))
-    all_lines = F.split(F.col(text_col), "\n", -1)
+    keyed = sealed(docs, id_col, text_col)
+    joined = keyed.join(dropped, same_row(keyed, dropped), "left").select("__row", "__drop")
+    old = F.col("__row").getField(text_col)
+    all_lines = F.split(old, "\n", -1)
     kept = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__drop"), i))
-    text = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size(all_lines), F.lit(0)).alias("n_lines"), F.size(drop).alias("n_dropped"))
+    text = F.when(F.col("__drop").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    return opened(joined, docs.columns, **{text_col: text, "n_lines": F.coalesce(F.size(all_lines), F.lit(0)), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0))})
