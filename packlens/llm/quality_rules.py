@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import cut, row_key, same_row, text_or_empty
+from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
 from packlens.llm.lines import columns, content_of, normalised, recurring, signed, texts
 
 MIN_WORDS = 20
@@ -24,6 +24,8 @@ WINDOW = 8
 MAX_REPEATED_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\r\x0b\x0c"
+#: Stands for a null host.
+NO_HOST = "\x00null"
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -98,13 +100,14 @@ def quality_rules(
     kind = dict(docs.dtypes)[id_col]
     digest = source.mapInArrow(_measure, f"__id {kind}, __th long, __host string, {longs}, lines array<struct<h: long, w: int, k: int>>")
     digest = cut(digest, "quality-digest")
-    # one row a line and document: repeated rows of a document count once
-    lines = digest.dropDuplicates(["__id", "__th", "__host"]).select(
-        "__id", "__th", F.coalesce("__host", F.lit("\x00null")).alias("host"), "content", F.explode("lines").alias("x")
+    lines = digest.select(
+        "__id", "__th", F.coalesce("__host", F.lit(NO_HOST)).alias("host"), "content", F.explode("lines").alias("x")
     ).select("__id", "__th", "host", F.col("x.h").alias("h"), (F.col("x.w") * F.col("x.k")).alias("words"), "content")
-    often = recurring(lines, ["host", "h"], max_docs_per_host)
-    lost = lines.join(often, ["host", "h"]).groupBy("__id", "__th", "host").agg(F.sum("words").alias("lost"))
-    a, b = digest.withColumn("host", F.coalesce("__host", F.lit("\x00null"))), lost
+    often = cut(recurring(lines, ["host", "h"], max_docs_per_host), "recurring-lines")
+    # repeated rows of a document count once
+    found = lines.join(often, ["host", "h"]).dropDuplicates(["__id", "__th", "host", "h"])
+    lost = found.groupBy("__id", "__th", "host").agg(F.sum("words").alias("lost"))
+    a, b = digest.withColumn("host", F.coalesce("__host", F.lit(NO_HOST))), lost
     joined = a.join(b, same_row(a, b) & (a["host"] == b["host"]), "left").select(
         a["__id"].alias(id_col), a["__th"], a["__host"], *[a[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.coalesce(b["lost"], F.lit(0)).alias("n_boilerplate_words"))
@@ -117,6 +120,6 @@ def quality_rules(
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of `docs` that the rules keep, with all their columns."""
     verdicts = quality_rules(docs, id_col, text_col, host_col, **limits)
-    bad = verdicts.where(~F.col("kept")).select(F.col(id_col).alias("__id"), "__th", F.coalesce("__host", F.lit("\x00null")).alias("__hk")).distinct()
-    keyed = docs.select("*", *row_key(id_col, text_col), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")).alias("__hk"))
-    return keyed.join(bad, same_row(keyed, bad) & (keyed["__hk"] == bad["__hk"]), "left_anti").select(*docs.columns)
+    bad = verdicts.where(~F.col("kept")).select(F.col(id_col).alias("__id"), "__th", F.coalesce("__host", F.lit(NO_HOST)).alias("__hk")).distinct()
+    keyed = sealed(docs, id_col, text_col, __hk=F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)))
+    return opened(keyed.join(bad, same_row(keyed, bad) & (keyed["__hk"] == bad["__hk"]), "left_anti"), docs.columns)
