@@ -2,18 +2,19 @@
 
 Each source gets a word target by weight. Its weight over training time u in [0, 1] is a line with
 mean 1, integrated to the cumulative demand u + a(u^2 - u); a document that covers the words
-[c, c + n) of its source's shuffled stream is trained at the time where the demand reaches c, and
-documents are range-sorted by that position. DataFrame functions only.
+[c, c + n) of its source's shuffled stream is trained at the time where the source's demand reaches c. The demand
+of all sources up to that time is its position, and documents are range-sorted by it. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlens.llm.common import WORD, cut, running_before, text_or_empty
+from packlens.llm.common import WORD, cut, opened, quoted, running_before, text_or_empty
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (0.5, -0.5, 0.0)
@@ -47,62 +48,70 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], slopes: Sequence[
     return rows.withColumn("target", target).drop("cap", "level")
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS,
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
+    """A written table: the columns `keep` as one struct, source, size and the key that shuffles a source. Words are counted once."""
+    own = F.struct(*[docs[quoted(c)] for c in keep]).alias("__row")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
+    return cut(docs.select(own, F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key")), "sized")
+
+
+def _laid(
+    rows: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS,
 ) -> DataFrame:
-    """`docs` with __size, __source_size, __target, __taken (words, repeats counted), __position and what
-    positions follow from (__before, __slope, __whole) added.
-
-    Sources by code point, null last, take `weights` and `slopes` (-1 to 1: share at the end against the
-    start) in turn. A source's documents are shuffled by hash and read through up to max_epochs times
-    until its target is met; the last document is taken in part. Position is the word of the whole
-    mix at which a document's first word is trained; documents that are not taken have none. Null and empty texts have
-    size 0 and are not taken. Repeated rows are documents of their own. An empty table stays empty.
+    """Rows of `_sized` with their source's targets, the words before each in its source's stream, and how often each is taken.
+
+    A pass through the source takes a document whole if at least half of its words lie before the target.
     """
-    key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__key", key)
-    plan = cut(sized.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("source"), "__size", "__key"), "sizes")
-    sizes = plan.groupBy("source").agg(F.sum("__size").alias("source_size"))
-    targets = source_targets(sizes, weights, slopes, budget, max_epochs)
-    return _placed(sized.withColumn("__src", F.col(source_col).cast("string")), plan.select(F.col("source").alias("__src"), "__size", "__key"), targets)
-
-
-def _placed(rows: DataFrame, sums_from: DataFrame, targets: DataFrame) -> DataFrame:
-    """Joins the targets to the rows and lays each source's rows out along its stream."""
-    names = F.coalesce(F.col("source"), F.lit(""))
-    known = targets.select(names.alias("__s"), F.col("source").isNull().alias("__sn"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("slope").alias("__slope"), (F.sum("target").over(Window.partitionBy())).alias("__whole"))
-    laid = running_before(rows, ["__src"], ["__key", "__size"], "__size", "__before", sums_from)
-    joined = laid.withColumn("__s", F.coalesce("__src", F.lit(""))).withColumn("__sn", F.col("__src").isNull()).join(known, ["__s", "__sn"])
-    goal = F.floor("__target")
-    passed = lambda epoch: F.greatest(F.lit(0), F.least(F.col("__size"), goal - epoch * F.col("__source_size") - F.col("__before")))
-    taken = passed(F.lit(0)) + passed(F.lit(1))
-    out = joined.withColumn("__taken", taken.cast("long"))
-    out = out.withColumn("__position", F.when(F.col("__taken") > 0, _position(F.col("__before"))))
-    return out.drop("__key", "__src", "__s", "__sn")
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, budget, max_epochs)
+    everything = Window.partitionBy()
+    known = targets.select(
+        F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("sn"), "source_size", "target", "slope",
+        F.sum("target").over(everything).alias("whole"), F.sum(F.col("target") * F.col("slope")).over(everything).alias("drift"))
+    laid = running_before(rows, ["source"], ["key", "size"], "size", "before", rows.select("source", "size", "key"))
+    joined = laid.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("sn", F.col("source").isNull()).join(known, ["s", "sn"]).drop("s", "sn")
+    # passes e = 0, 1, ... with e * source_size + before + size / 2 <= target
+    passes = F.floor((F.col("target") - F.col("before") - F.col("size") / 2) / F.greatest("source_size", F.lit(1))) + 1
+    times = F.when(F.col("size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(passes, F.lit(math.ceil(max_epochs)))))
+    return joined.withColumn("times", times.cast("int"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """`docs` without the text, with size, source_size, target, times, taken (words, repeats counted) and position.
+
+    how: weights, slopes, budget, max_epochs. Sources by code point, null last, take `weights` and `slopes` (-1 to 1: share
+    at the end against the start) in turn. A source's documents are shuffled by hash and read through up to max_epochs times
+    until its target is met, the last document whole if that is nearer to the target than without it. Position is the number
+    of words of the whole mix that are trained before a document's first word; documents that are not taken have none. Null and
+    empty texts have size 0 and are not taken. Repeated rows are documents of their own. An empty table stays empty.
+    Columns pass whatever their names; one that is named like a result is replaced by it.
+    """
+    keep = [c for c in docs.columns if c != text_col]
+    rows = _laid(_sized(docs, id_col, text_col, source_col, keep), **how)
+    position = F.when(F.col("times") > 0, _position(F.col("before")))
+    results = {n: F.col(n) for n in ("size", "source_size", "target", "times")} | {"taken": F.col("times") * F.col("size"), "position": position}
+    return opened(rows, keep, **results)
 
 
 def _position(words_before: Column) -> Column:
-    """Where in the whole mix a source's stream reaches words_before: u + a(u^2 - u) = its share of the target."""
-    share = words_before / F.greatest(F.col("__target"), F.lit(1.0))
-    a = F.col("__slope")
-    u = F.when(a == 0, share).otherwise((F.sqrt((1 - a) * (1 - a) + 4 * a * share) - (1 - a)) / (2 * a))
-    return F.abs(u) * F.col("__whole")
+    """Words of the whole mix before the time u at which a source's stream reaches words_before.
+
+    The source's demand inverted gives u: u + a(u^2 - u) is the share of its target. The demands of all sources up to u
+    add up to whole * u + drift * (u^2 - u).
+    """
+    share = words_before / F.greatest(F.col("target"), F.lit(1.0))
+    a = F.col("slope")
+    u = F.when(a == 0, share).otherwise((F.sqrt(F.greatest(F.lit(0.0), (1 - a) * (1 - a) + 4 * a * share)) - (1 - a)) / (2 * a))
+    u = F.greatest(F.lit(0.0), u)
+    return F.col("whole") * u + F.col("drift") * (u * u - u)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: the rows of `docs`, once for each time they are taken, range-sorted by position.
+    """The mix itself: the rows of `docs`, whole, once for each time they are taken, range-sorted by position.
 
-    A document that is taken in part is cut behind its last taken word. Columns are those of `docs`.
+    Columns are those of `docs`; nulls, repeats and empty tables as in `mix`.
     """
-    mixed = mix(docs, id_col, text_col, source_col, **how).where("__taken > 0")
-    full = F.floor(F.col("__taken") / F.col("__size")).cast("int")
-    rest = (F.col("__taken") - full * F.col("__size")).cast("int")
-    times = F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    copies = mixed.select("*", F.posexplode(times).alias("__epoch", "__words"))
-    pieces = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    prefix = F.array_join(F.slice(pieces, F.lit(1), F.col("__words")), "")
-    text = F.when(F.col("__words") < 0, F.col(text_col)).otherwise(prefix)
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    laid = _laid(_sized(docs, id_col, text_col, source_col, docs.columns), **how).where("times > 0")
+    copies = laid.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass"))
     # a later pass through the source is a source's length later in its stream
-    return copies.orderBy(_position(F.col("__before") + F.col("__epoch") * F.col("__source_size"))).select(*out)
+    return opened(copies.orderBy(_position(F.col("before") + F.col("pass") * F.col("source_size"))), docs.columns)

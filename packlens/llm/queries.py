@@ -63,9 +63,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select(
-        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
-        F.col("__taken").alias("taken"), F.col("__position").alias("position")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "position", "times").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -20,17 +20,19 @@ from packlens.llm.nearest import hilbert_keys, nearest
 from packlens.llm.packing import pack, plan_packs
 from packlens.llm.quality_rules import _repeated_plain, keep_good, quality_rules, repeated_words
 from packlens.llm.simhash import components, drop_near_duplicates, fingerprint, links, simhash_groups
-from packlens.llm.substring_dedup import SENTENCE_END, _END, substring_dedup
+from packlens.llm.substring_dedup import pieces, sentences, substring_dedup
 from packlens.llm.token_output import Block, EliasFano, encode_block, tokens_round_trip
-from packlens.llm.tokens import Encoder, tokenizer_path
+from packlens.llm.tokens import Encoder, encoder, tokenizer_path
 from packlens.llm.toxicity import score_toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `__x` string, h string"
+#: Names that operators use themselves, inside or as results, stand among the user's columns.
+EXTRA = ["__x", "h", "__id", "__th", "__row", "__drop", "__size", "size", "n_lines", "n_removed", "kept", "node", "a.b"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{n}` string" for n in EXTRA)
 
 
 def table(spark, texts, ids=None, sources=None):
     ids = ids or list(range(len(texts)))
-    return spark.createDataFrame([(i, t, "en", (sources or ["a"] * len(texts))[k], len(t or ""), "x", "y") for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", (sources or ["a"] * len(texts))[k], len(t or ""), *EXTRA) for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA)
 
 
 def prose(seed, n):
@@ -132,6 +134,67 @@ def test_links_of_a_dense_group_grow_with_its_members(spark):
     assert made[2000][0] < 8 * made[500][0] and 8 * made[500][1] < made[2000][1], made
 
 
+def test_line_dedup_equals_plain_count(spark):
+    rng = random.Random(21)
+    words = ["red", "sky", "page 7"]
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randint(1, 7))) for _ in range(rng.randint(0, 12))) for _ in range(150)] + ODD
+    texts += texts[:20] + [texts[3].upper()]
+    contents, leaves = {}, {}
+    for t in {t or "" for t in texts}:
+        own = [" ".join(x.split()) for x in (t or "").lower().split("\n")]
+        leaves[t] = [plain_templates(x) for x in own]
+        for x in {leaf for some in leaves[t] for leaf in some}:
+            contents.setdefault(x, set()).add("\n".join(x for x in own if x))
+    often = {x for x, some in contents.items() if len(some) > 8}
+    assert often
+    rows = {r.doc_id: r for r in line_dedup(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        kept = [x for x, some in zip((t or "").split("\n"), leaves[t or ""]) if not often & set(some)]
+        assert (rows[i].text or "") == "\n".join(kept) and rows[i].h == "h" and rows[i].n_lines == len((t or "").split("\n")) * (t is not None)
+
+
+def plain_templates(line):
+    tokens = ["<*>" if any(c in "0123456789" for c in w) else w for w in line.split()]
+    if len(tokens) < 4:
+        return set()
+    head, rest = tuple(tokens[:2]), tokens[2:]
+    if len(rest) < 3:
+        return {(len(tokens), head, tuple(rest))}
+    ends = [len(rest) * i // 3 for i in range(4)]
+    parts = [tuple(rest[a:b]) for a, b in zip(ends, ends[1:])]
+    return {(len(tokens), head, i, tuple("*" if j == i else x for j, x in enumerate(parts))) for i in range(3)}
+
+
+def test_quality_equals_plain_rules(spark):
+    rng = random.Random(22)
+    words = ["a", "bb", "#c", "d|d", "Émile", "zz9", "<e>"]
+    shared = [" ".join(rng.choices(words, k=6)) for _ in range(5)]
+    texts, sources = list(ODD), [None] * len(ODD)
+    for i in range(200):
+        lines = [prose(i, rng.randint(5, 30)).replace("\n", " ")] + rng.sample(shared, rng.randint(0, 5)) + [" ".join(rng.choices(words, k=rng.randint(0, 9)))]
+        texts.append("\n".join(rng.sample(lines, len(lines))))
+        sources.append(rng.choice(["x", "x", "y", None]))
+    texts, sources = texts + texts[:30], sources + sources[:30]
+    docs = {}
+    for t, s in zip(texts, sources):
+        for x in {y for y in (" ".join(x.split()) for x in (t or "").lower().split("\n")) if y}:
+            docs.setdefault((s, x), set()).add("\n".join(y for y in (" ".join(x.split()) for x in (t or "").lower().split("\n")) if y))
+    rows = {r.doc_id: r for r in quality_rules(table(spark, texts, sources=sources)).collect()}
+    for i, (t, s) in enumerate(zip(texts, sources)):
+        t = t or ""
+        own = [w for w in "".join(" " if c in "\t\n\r\x0b\x0c" else c for c in t).split(" ") if w]
+        full = [x for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")]
+        lost = sum(len(x.split()) for x in t.lower().split("\n") if x.split() and len(docs[s, " ".join(x.split())]) > 20)
+        repeats = _repeated_plain([w.encode() for w in own], 8)
+        failed = len(own) < 20 or 100 * repeats > 30 * len(own)
+        depleted = 100 * (len(own) - lost) < 30 * len(own)
+        r = rows[i]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(own), sum(map(len, own)), sum(t.count(c) for c in "#*$%&|<>"))
+        assert (r.n_dup_lines, r.n_repeat_words, r.n_boilerplate_words) == (len(full) - len(set(full)), repeats, lost)
+        assert (r.base_failed, r.depleted, r.kept) == (failed, depleted, not failed and not depleted)
+    assert any(r.n_boilerplate_words for r in rows.values()) and any(r.depleted for r in rows.values())
+
+
 def test_fingerprint_and_components(spark):
     def plain(text):
         words = text.encode().lower().split()
@@ -221,12 +284,36 @@ def test_mixing(spark):
         full |= over
     taken = Counter()
     for r in rows:
-        taken[r.source] += r["__taken"]
-        assert r["__taken"] <= 2 * r["__size"] and math.isclose(r["__target"], target[r.source])
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+        taken[r.source] += r["taken"]
+        assert r["taken"] <= 2 * r["size"] and math.isclose(r["target"], target[r.source]) and r["__size"] == "__size" and "text" not in r
+    assert all(abs(taken[s] - target[s]) <= 25 for s in order), "half of the longest document"
     out = mixed_documents(docs)
     assert out.columns == docs.columns
-    assert sum(len(r.text.split()) for r in out.collect()) == sum(taken.values())
+    got = out.collect()
+    assert Counter(r.doc_id for r in got) == {r.doc_id: r["times"] for r in rows if r["times"]}
+    # positions: the demand of all sources at the time at which the own source's demand reaches the document
+    slope = {s: (0.5, -0.5, 0.0)[i % 3] for i, s in enumerate(order)}
+    demand = lambda s, u: target[s] * (u + slope[s] * (u * u - u))
+    streams = {s: sorted((r for r in rows if r.source == s), key=lambda r: r["position"] if r["position"] is not None else 1e18) for s in order}
+    for s, some in streams.items():
+        before = 0
+        for r in (r for r in some if r["times"]):
+            lo, hi = 0.0, 2.0
+            for _ in range(80):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if demand(s, mid) < before else (lo, mid)
+            assert math.isclose(r["position"], sum(demand(o, lo) for o in order), rel_tol=1e-6, abs_tol=1e-3)
+            before += r["size"]
+    places = {r.doc_id: r["position"] for r in rows}
+    first = [places[r.doc_id] for k, r in enumerate(got) if r.doc_id not in {x.doc_id for x in got[:k]}]
+    assert first == sorted(first)
+
+
+def test_mixing_takes_a_source_up_to_max_epochs(spark):
+    docs = table(spark, [" ".join(["w"] * 10) for _ in range(40)] + [" ".join(["w"] * 40) for _ in range(100)], sources=["a"] * 40 + ["b"] * 100)
+    rows = mix(docs, max_epochs=4, budget=1.0).collect()
+    taken = {s: sum(r["taken"] for r in rows if r.source == s) for s in "ab"}
+    assert taken == {"a": 1600, "b": 2800} and {r["times"] for r in rows if r.source == "a"} == {4}
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -292,8 +379,11 @@ def test_packing_and_token_blocks(spark):
     read = tokens_round_trip(docs, tokenizer_path("word_bpe_49k.json")).orderBy("start").collect()
     assert [r.doc_id for r in read] == sorted(r.doc_id for r in read) and len(read) == len(texts)
     at = 0
-    for r in read:
-        assert r.start == at
+    plain = encoder(tokenizer_path("word_bpe_49k.json")).tokenizer
+    order = sorted(zip([*range(40), *range(100, 106), *[200] * 10], [t or "" for t in texts]))
+    for r, (i, t) in zip(read, order):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += r.n_tokens
 
 
@@ -373,13 +463,53 @@ def test_toxicity(spark):
 
 
 def test_substring_dedup(spark):
-    shared = "this passage goes on for a while. it has several sentences in it. and then it ends here."
+    shared = "this passage goes on for a good while. it has several sentences in it, and each one of them counts. and then it ends here, after twenty and some more words."
     texts = [f"{prose(i, 20).replace(chr(10), ' ')}.\n{shared}\n{prose(i + 50, 20)}" for i in range(10)] + ODD
     got = {r.doc_id: r for r in substring_dedup(table(spark, texts)).collect()}
     assert got[0].text == texts[0] and all("several sentences" not in got[i].text for i in range(1, 10))
-    assert got[10].text is None and got[14].text == "x"
-    for r in spark.createDataFrame([(t,) for t in texts if t], "t string").select("t", F.size(F.split("t", SENTENCE_END, -1)).alias("n")).collect():
-        assert r.n == len(_END.split(r.t))
+    assert got[10].text is None and got[14].text == "x" and got[0]["a.b"] == "a.b"
+    assert substring_dedup(table(spark, texts)).columns.count("n_removed") == 1
+
+
+def test_a_passage_without_full_stops_goes_from_any_context(spark):
+    rng = random.Random(31)
+    passage = " ".join("".join(rng.choices("klmnop", k=5)) for _ in range(60))
+
+    def around(i):
+        own = random.Random(i)
+        return " ".join("".join(own.choices("abcdef", k=6)) for _ in range(17 + i))
+
+    texts = [f"{around(i)} {passage} {around(i + 40)}" for i in range(30)] + [around(200), around(200)]
+    rows = {r.doc_id: r for r in substring_dedup(table(spark, texts)).collect()}
+    assert rows[0].text == texts[0]
+    words = set(passage.split())
+    for i in range(1, 30):
+        assert sum(w in words for w in rows[i].text.split()) < 30 and all(w in rows[i].text.split() for w in around(i).split()[:8])
+
+
+def test_substring_dedup_equals_plain_runs(spark):
+    rng = random.Random(32)
+    some = [" ".join(rng.choices(["oak", "elm", "fir", "ash"], k=rng.randint(2, 9))) + rng.choice([".", "?", "\n"]) for _ in range(25)]
+    texts = [" ".join(rng.choices(some, k=rng.randint(0, 12))) for _ in range(60)] + [" ".join(rng.choices(["Yew", "box"], k=400))] * 2 + ODD
+    ids = list(range(len(texts)))
+    docs = [(i, [(j, w) for j, w in sentences(t or "")]) for i, t in zip(ids, texts)]
+    assert all("".join(pieces(t or "")) == (t or "") for t in texts)
+    first, gone = {}, {i: set() for i in ids}
+    for i, own in docs:
+        for at in range(len(own)):
+            n = 2
+            while at + n <= len(own) and sum(len(w.split()) for _, w in own[at : at + n]) < 25:
+                n += 1
+            if at + n <= len(own):
+                run = tuple(w for _, w in own[at : at + n])
+                if run in first:
+                    gone[i] |= {own[k][0] for k in range(at, at + n)}
+                first.setdefault(run, (i, at))
+    assert sum(map(len, gone.values())) > 50
+    rows = {r.doc_id: r for r in substring_dedup(table(spark, texts, ids=ids)).collect()}
+    for i, t in zip(ids, texts):
+        assert rows[i].removed == sorted(gone[i]) and rows[i].n_removed == len(gone[i])
+        assert (rows[i].text or "") == "".join(p for j, p in enumerate(pieces(t or "")) if j not in gone[i])
 
 
 def test_hilbert_neighbours():
@@ -411,7 +541,7 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     texts = [prose(i, 80) for i in range(60)] + [prose(1, 80)] * 5 + ODD
-    table(spark, texts, sources=[("a", "b", None)[i % 3] for i in range(len(texts))]).drop("__x", "h").write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, texts, sources=[("a", "b", None)[i % 3] for i in range(len(texts))]).drop(*EXTRA).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {"doc_id", "sequence_id", "ids_crc32"} <= set(out[0].asDict())
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
