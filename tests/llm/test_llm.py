@@ -519,6 +519,22 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(1) == 1).all()
 
 
+def test_nearest_with_a_tight_cluster_and_a_long_vector(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:1000] = x[0] + rng.normal(size=(1000, 24)) * 0.003
+    x[5] *= 300
+    got = nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    for part in (got[got.query_id < 1000], got[got.query_id >= 1000]):
+        hits = 0
+        for q, own in part.groupby("query_id"):
+            scores = x @ x[q]
+            scores[q] = -np.inf
+            hits += len(set(np.argsort(-scores, kind="stable")[:20]) & set(own.vec_id))
+        assert hits >= 0.9 * len(part)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 16))
