@@ -12,7 +12,7 @@ import os
 import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -29,8 +29,10 @@ START, END = 1, 2
 CHUNK_TOKENS = 2_000_000
 SCORE_TOKENS = 400_000
 MEMO_WORDS = 400_000
-#: Bigrams seen less often keep their mass for the backoff and are not stored. The query stores all (1).
-MIN_COUNT = 2
+#: Bigrams seen less often keep their mass for the backoff and are not stored. All are (1), unless a caller asks for less.
+MIN_COUNT = 1
+#: Bytes of text for each part of the model, so that a part fits a task whatever the input.
+PART_BYTES = 1 << 26
 U = np.uint64
 
 
@@ -124,7 +126,7 @@ TALLY = "kind int, a long, b long, c long, d long, e long"
 
 def _merge(group: pa.Table, folder: str, min_count: int) -> pa.Table:
     """Merges the blocks of a part, stores its arrays, and tallies words (kind 0: word, count, words
-    before it), contexts of stored bigrams (1: word, sum, of count 1, of 2, of more) and counts of counts (2)."""
+    before it), contexts of stored bigrams (1: word, sum, of count 1, of 2, of more), counts of counts (2) and the part (3)."""
     blocks = [unpack_arrays(b, ("<u8", "<u8", "<u4")) for b in group.column("block").to_pylist()]
     before, word, count = (np.concatenate([b[i] for b in blocks]) for i in range(3))
     key, before, word, count = summed(before, word, count.astype(np.int64))
@@ -136,14 +138,14 @@ def _merge(group: pa.Table, folder: str, min_count: int) -> pa.Table:
     stored = count[kept]
     of_counts = np.array([(count == i).sum() for i in (1, 2, 3, 4)])
     add = lambda at, x, n: np.bincount(at, x, minlength=n).astype(np.int64)
-    none, four = np.zeros(len(words), np.int64), np.zeros(4, np.int64)
+    none, four, one = np.zeros(len(words), np.int64), np.zeros(4, np.int64), np.zeros(1, np.int64)
     columns = {
-        "kind": [none, none[:0] if not len(contexts) else np.ones(len(contexts), np.int64), four + 2],
-        "a": [words.view(np.int64), contexts.view(np.int64), np.arange(1, 5)],
-        "b": [add(at, count, len(words)), add(of, stored, len(contexts)), of_counts],
-        "c": [add(at, np.ones(len(word)), len(words)), add(of, stored == 1, len(contexts)), four],
-        "d": [none, add(of, stored == 2, len(contexts)), four],
-        "e": [none, add(of, stored > 2, len(contexts)), four],
+        "kind": [none, none[:0] if not len(contexts) else np.ones(len(contexts), np.int64), four + 2, one + 3],
+        "a": [words.view(np.int64), contexts.view(np.int64), np.arange(1, 5), one + part],
+        "b": [add(at, count, len(words)), add(of, stored, len(contexts)), of_counts, one],
+        "c": [add(at, np.ones(len(word)), len(words)), add(of, stored == 1, len(contexts)), four, one],
+        "d": [none, add(of, stored == 2, len(contexts)), four, one],
+        "e": [none, add(of, stored > 2, len(contexts)), four, one],
     }
     kinds = {"kind": pa.int32()}
     return pa.table({n: pa.array(np.concatenate(x), kinds.get(n, pa.int64())) for n, x in columns.items()})
@@ -169,11 +171,11 @@ def _words(group: pa.Table, folder: str) -> pa.Table:
 
 @lru_cache(maxsize=1024)
 def mapped(folder: str, name: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
-    """The arrays of a file, memory-mapped; from a store that cannot be mapped, a copy for this worker is."""
+    """The arrays of a file, memory-mapped; from a store that cannot be mapped, a copy for this worker is. A lost file is an error."""
     fs, root = pa.fs.FileSystem.from_uri(folder)
     path = f"{root}/{name}"
     if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
-        return tuple(np.zeros(0, k) for k in kinds)
+        raise FileNotFoundError(path)
     if not isinstance(fs, pa.fs.LocalFileSystem):
         fd, local = tempfile.mkstemp()
         with fs.open_input_stream(path) as source, os.fdopen(fd, "wb") as out:
@@ -195,15 +197,24 @@ def mapped(folder: str, name: str, kinds: tuple[str, ...]) -> tuple[np.ndarray,
 WORD_KINDS, PAIR_KINDS = ("<u8", "<f8", "<f8", "<f8"), ("<u8", "<u4")
 
 
-def find(folder: str, stem: str, kinds: tuple[str, ...], key: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
-    """For each key the values of its entry as doubles, 0 where there is none. Keys are distinct."""
+def manifest(parts: Iterable[int], n: int) -> bytes:
+    """One bit for each of n parts that has a file."""
+    held = np.zeros(n, np.uint8)
+    held[list(parts)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def find(folder: str, stem: str, kinds: tuple[str, ...], key: np.ndarray, part: np.ndarray, held: bytes) -> list[np.ndarray]:
+    """For each key the values of its entry as doubles, 0 where there is none. Keys are distinct; held: parts that have a file."""
     out = [np.zeros(len(key)) for _ in kinds[1:]]
     order = np.lexsort((key, part))
     sorted_part = part[order]
     at = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1]])) if len(key) else []
     for a, b in zip(at, np.append(at[1:], len(key)) if len(key) else [], strict=True):
-        own = order[a:b]
-        keys, *values = mapped(folder, f"{stem}-{int(sorted_part[a])}", kinds)
+        own, number = order[a:b], int(sorted_part[a])
+        if not held[number // 8] >> number % 8 & 1:
+            continue
+        keys, *values = mapped(folder, f"{stem}-{number}", kinds)
         if not len(keys):
             continue
         place = np.minimum(np.searchsorted(keys, key[own]), len(keys) - 1)
@@ -225,13 +236,13 @@ def _score(batches: Iterator[pa.RecordBatch], folder: str, facts: dict) -> Itera
         lengths = np.array([len(t) - 1 for t in held])
         before, word = np.concatenate([t[:-1] for t in held]), np.concatenate([t[1:] for t in held])
         words, at = np.unique(np.concatenate([word, before]), return_inverse=True)
-        count, p, mass = (x[at] for x in find(folder, "words", WORD_KINDS, words, word_part(words, parts)))
+        count, p, mass = (x[at] for x in find(folder, "words", WORD_KINDS, words, word_part(words, parts), facts["word_parts"]))
         seen, p_word = count[: len(word)], p[: len(word)]
         context, mass = count[len(word) :], mass[len(word) :]
         p_word = np.where(seen > 0, p_word, facts["unknown"])
         context = np.where(before == U(START), float(facts["texts"]), context)
         pairs, where = np.unique(pair_keys(before, word), return_index=True)
-        (times,) = find(folder, "pairs", PAIR_KINDS, pairs, part_of(before[where], word[where], parts))
+        (times,) = find(folder, "pairs", PAIR_KINDS, pairs, part_of(before[where], word[where], parts), facts["pair_parts"])
         times = times[np.searchsorted(pairs, pair_keys(before, word))]
         own = np.maximum(times - d[np.minimum(times, 3).astype(np.int64)], 0.0)
         safe = np.maximum(context, 1.0)
@@ -261,11 +272,12 @@ def _score(batches: Iterator[pa.RecordBatch], folder: str, facts: dict) -> Itera
 def train(corpus: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT) -> dict:
     """Fits the model on all texts; returns its folder and its few numbers.
 
-    Null and empty texts are one end token. An empty corpus gives a model in which nothing is known.
+    Null and empty texts are one end token; repeated rows count each. An empty corpus gives a model in which nothing is known.
     """
     spark: SparkSession = corpus.sparkSession
     folder = shared_path(spark, "bigrams")
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = corpus.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     blocks = corpus.select(text_or_empty(text_col).alias("__text")).mapInArrow(partial(_count, parts=parts), "part int, block binary")
 
     def merge(group: pa.Table) -> pa.Table:
@@ -297,8 +309,11 @@ def train(corpus: DataFrame, text_col: str = "text", min_count: int = MIN_COUNT)
     beginning = spark.createDataFrame([(START, 0.0, 0.0, float(start["mass"]))] if start else [], "w long, n double, p double, mass double")
     dealt = table.unionByName(beginning).mapInArrow(part, "w long, n double, p double, mass double, part int")
     stored = cut(dealt.groupBy("part").applyInArrow(store, "part int, n long"), "stored-words")
-    stored.count()
-    return {"folder": folder, "parts": parts, "tokens": tokens, "words": distinct, "texts": ends, "unknown": unknown, "discounts": d}
+    held = {
+        "pair_parts": manifest([r["a"] for r in tally.where("kind = 3").select("a").collect()], parts),
+        "word_parts": manifest([r["part"] for r in stored.select("part").collect()], parts),
+    }  # a number a part
+    return held | {"folder": folder, "parts": parts, "tokens": tokens, "words": distinct, "texts": ends, "unknown": unknown, "discounts": d}
 
 
 def score(docs: DataFrame, model: dict, columns: list[str], text_col: str = "text") -> DataFrame:
