@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpus_pipeline import near_stage
 from packlens.llm import queries
-from packlens.llm.language_model import discounts, score_held_out
+from packlens.llm.language_model import discounts, score, score_held_out, train
 from packlens.llm.line_dedup import line_dedup
 from packlens.llm.mixing import mix, mixed_documents
 from packlens.llm.nearest import hilbert_keys, nearest
@@ -23,7 +23,7 @@ from packlens.llm.simhash import components, drop_near_duplicates, fingerprint,
 from packlens.llm.substring_dedup import pieces, sentences, substring_dedup
 from packlens.llm.token_output import Block, EliasFano, encode_block, tokens_round_trip
 from packlens.llm.tokens import Encoder, encoder, tokenizer_path
-from packlens.llm.toxicity import score_toxicity
+from packlens.llm.toxicity import BUCKETS, Model, score_toxicity
 
 #: Names that operators use themselves, inside or as results, stand among the user's columns.
 EXTRA = ["__x", "h", "__id", "__th", "__row", "__drop", "__size", "size", "n_lines", "n_removed", "kept", "node", "a.b"]
@@ -399,7 +399,7 @@ def test_elias_fano():
 
 def test_language_model(spark):
     texts = [prose(i % 9, 60) for i in range(40)] + [None, ""]
-    rows = {r.doc_id: r for r in score_held_out(table(spark, texts)).collect()}
+    rows = {r.doc_id: r for r in score_held_out(table(spark, texts), min_count=2).collect()}
     toks = {i: (t or "").encode().lower().split() + [None] for i, t in enumerate(texts)}
     train = [i for i in toks if zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for i in train for w in toks[i])
@@ -449,6 +449,31 @@ def test_language_model_keeps_bigrams_seen_once(spark, monkeypatch):
         assert math.isclose(rows[i].score, s, rel_tol=1e-9)
 
 
+def test_a_lost_part_of_the_model_is_an_error(spark):
+    docs = table(spark, [prose(i, 60) for i in range(30)])
+    model = train(docs)
+    assert score(docs, model, ["doc_id"]).count() == 30
+    for f in Path(model["folder"].removeprefix("file://")).glob("pairs-*"):
+        f.rename(f.with_name("lost-" + f.name))
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        score(docs, model | {"folder": model["folder"] + "/."}, ["doc_id"]).collect()
+
+
+def test_convolution_equals_a_plain_one():
+    rng, m = np.random.default_rng(5), Model.fresh(3)
+    m.bias[:] = rng.normal(size=m.bias.shape) * 0.1
+    docs = [rng.integers(0, 1 << 32, n).astype(np.uint32) for n in (0, 1, 2, 3, 50, 70_000)]
+    for ids, got in zip(docs, m.logits(docs)):
+        x = np.concatenate([m.table[ids & 0xFFFF], m.table[BUCKETS + (ids >> 16).astype(np.int64)]], axis=1)
+        top = np.zeros(len(m.bias))
+        for k, w in enumerate(m.filters):
+            n = w.shape[2]
+            if len(ids) >= len(w):
+                each = sum(x[j : len(ids) - len(w) + 1 + j] @ w[j] for j in range(len(w)))
+                top[k * n : (k + 1) * n] = np.maximum(each.max(0) + m.bias[k * n : (k + 1) * n], 0)
+        assert math.isclose(got, top @ m.weights + m.offset, rel_tol=1e-3, abs_tol=1e-4)
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     bad = lambda i: i % 4 == 0
@@ -459,7 +484,11 @@ def test_toxicity(spark):
     held = [r for r in got if r.held_out and r.doc_id < 900]
     assert sum(r.predicted == int(bad(r.doc_id)) for r in held) >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 for r in got) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert all(0 < r.threshold < 1 and r.flagged == (r.score >= r.threshold) for r in got) and len({r.threshold for r in got}) == 1
     assert {r.predicted for r in score_toxicity(docs, labels.limit(0)).collect()} == {0}
+    assert not score_toxicity(docs.limit(0), labels).count()
+    long = table(spark, [prose(1, 60_000) + " you idiot clown " + prose(2, 60_000), None, ""], ids=[2000, 2001, None])
+    assert {r.doc_id: r.predicted for r in score_toxicity(docs.unionByName(long), labels).collect() if r.doc_id in (None, 2000, 2001)} == {2000: 1, 2001: 0, None: 0}
 
 
 def test_substring_dedup(spark):
