@@ -91,9 +91,9 @@ def links(fps: DataFrame, max_bits: int = 4, dense: int = DENSE) -> DataFrame:
     """
     masks = [signed(sum(0xFF << (8 * b) for b in blocks)) for blocks in combinations(range(BLOCKS), BLOCKS - max_bits)]
     grid = F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("grid", "mask")
-    # few bytes become many rows, so they are dealt out by count first
+    # few bytes become many rows, so they are dealt out by count first; by key, Spark would take the shuffle before for it
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = fps.select("fp").repartition(tasks, "fp")
+    spread = fps.select("fp").repartition(tasks)
     cells = spread.select("fp", embedding(F.col("fp")).alias("emb"), grid).select("fp", "grid", F.col("emb").bitwiseAND(F.col("mask")).alias("cell"))
     counts = cut(cells.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
     members = cut(cells.join(counts.hint("merge"), ["grid", "cell"]), "cell-members")  # the counts grow with the input
@@ -108,7 +108,7 @@ def links(fps: DataFrame, max_bits: int = 4, dense: int = DENSE) -> DataFrame:
     ).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
     many = members.where(F.col("n") > dense).select("fp").distinct()
     flips = F.array(*[F.lit(m) for m in _flips(max_bits // 2)])
-    around = many.repartition(tasks, "fp").select("fp", F.explode(flips).alias("flip")).groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
+    around = many.repartition(tasks).select("fp", F.explode(flips).alias("flip")).groupBy(F.col("fp").bitwiseXOR(F.col("flip")).alias("centre"))
     stars = around.agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)
     ties = stars.select(F.col("all")[0].alias("src"), F.explode(F.slice("all", F.lit(2), F.size("all"))).alias("dst"))
     return pairs.unionByName(ties).distinct()
