@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.functions.dates import date_shift, describe, label_date, label_period
+from packlens.functions.dates import certain, date_shift, describe, label_date, label_period, possibly_after, resolved
 from packlens.functions.normalize import norm_money, norm_quantity, norm_text, token_jaccard
 from packlens.operators import consensus, extract, fleet, match, measure, quality, rules
 from packlens.plans.bind import view, with_views
@@ -45,9 +45,9 @@ def _m(template: str, c: str) -> str:
     return template.format(c=c)
 
 
-@_query(f"SELECT scan_id, frame, field, value, {_m(MONEY, 'value')} AS money FROM observations WHERE field = 'mrp'")
+@_query(f"SELECT scan_id, frame, field, value, {_m(MONEY, 'value')} AS money FROM observations")
 def norm_money_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "observations").where("field = 'mrp'").select("scan_id", "frame", "field", "value", norm_money(F.col("value")).alias("money"))
+    return view(spark, sf_dir, "observations").select("scan_id", "frame", "field", "value", norm_money(F.col("value")).alias("money"))
 
 
 @_query(f"SELECT id, {_m(Q_MAG, 'net_quantity')} AS magnitude, CASE WHEN {_m(Q_MAG, 'net_quantity')} IS NOT NULL THEN {_m(Q_NAME, 'net_quantity')} END AS unit FROM scans")
@@ -87,7 +87,7 @@ _LABEL = _DATES + "SELECT k, raw, CAST(earliest AS VARCHAR) AS earliest, CAST(la
 
 @_query(_LABEL)
 def label_date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "date_texts").withColumn("d", label_date(F.col("raw")))
+    d = resolved(view(spark, sf_dir, "date_texts"), "raw", d=label_date)
     return d.select("k", "raw", F.col("d.earliest").cast("string").alias("earliest"), F.col("d.latest").cast("string").alias("latest"), F.col("d.precision").alias("precision"))
 
 
@@ -95,18 +95,17 @@ def label_date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN raw LIKE 'best before %' THEN CAST(CAST((DATE '2024-01-31' + to_months(CAST(regexp_extract(raw, '(\\d+) month', 1) AS INT))) AS DATE) AS VARCHAR) END AS until FROM date_texts""")
 def label_period_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shelf lives counted from 31 January 2024."""
-    p = label_period(F.col("raw"))
-    made = label_date(F.lit("31/01/2024"))
-    return view(spark, sf_dir, "date_texts").select("k", p["months"].cast("string").alias("months"), date_shift(made, p)["earliest"].cast("string").alias("until"))
+    made, p = label_date(F.lit("31/01/2024")), F.col("p")
+    return resolved(view(spark, sf_dir, "date_texts"), "raw", p=label_period).select("k", p["months"].cast("string").alias("months"), date_shift(made, p)["earliest"].cast("string").alias("until"))
 
 
-@_query(_DATES + """SELECT k, CASE WHEN earliest IS NULL THEN NULL WHEN precision0 = 'MONTH' THEN strftime(earliest, '%b %Y') WHEN precision0 = 'AMBIGUOUS_ORDER' THEN concat(earliest::VARCHAR, ' or ', latest::VARCHAR) ELSE earliest::VARCHAR END AS shown,
+@_query(_DATES + """SELECT k, coalesce(earliest = latest, FALSE) AS certain, CASE WHEN earliest IS NULL THEN NULL WHEN precision0 = 'MONTH' THEN strftime(earliest, '%b %Y') WHEN precision0 = 'AMBIGUOUS_ORDER' THEN concat(earliest::VARCHAR, ' or ', latest::VARCHAR) ELSE earliest::VARCHAR END AS shown,
     CASE WHEN earliest IS NULL THEN 'NOT_ASSESSABLE' WHEN earliest > DATE '""" + TODAY + """' THEN 'FAIL' WHEN latest > DATE '""" + TODAY + """' THEN 'NEEDS_REVIEW' ELSE 'PASS' END AS status FROM dated""")
 def date_not_future_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = view(spark, sf_dir, "date_texts").withColumn("d", label_date(F.col("raw")))
+    d = resolved(view(spark, sf_dir, "date_texts"), "raw", d=label_date)
     today = F.lit(TODAY).cast("date")
-    status = F.when(F.col("d").isNull(), "NOT_ASSESSABLE").when(F.col("d.earliest") > today, "FAIL").when(F.col("d.latest") > today, "NEEDS_REVIEW").otherwise("PASS")
-    return d.select("k", describe(F.col("d")).alias("shown"), status.alias("status"))
+    status = F.when(F.col("d").isNull(), "NOT_ASSESSABLE").when(F.col("d.earliest") > today, "FAIL").when(possibly_after(F.col("d"), today), "NEEDS_REVIEW").otherwise("PASS")
+    return d.select("k", F.coalesce(certain(F.col("d")), F.lit(False)).alias("certain"), describe(F.col("d")).alias("shown"), status.alias("status"))
 
 
 @_query(f"SELECT id, {PRODUCT} AS product, coalesce({PRODUCT}, 'Unidentified pack') AS title FROM scans")
@@ -116,11 +115,16 @@ def product_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""SELECT id, brand, verdict FROM scans WHERE contains(lower(sku_id), 'brand#1') OR contains(lower(brand), 'brand#1') OR contains(lower(mrp), 'brand#1')
-    OR contains(lower(net_quantity), 'brand#1') OR contains(lower(batch_number), 'brand#1') OR contains(lower(verdict), 'brand#1')""")
+    OR contains(lower(net_quantity), 'brand#1') OR contains(lower(batch_number), 'brand#1') OR contains(lower(verdict), 'brand#1') OR contains(lower(mfg_date), 'brand#1')""")
 def scan_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.scan_search(view(spark, sf_dir, "scans"), " Brand#1 ").select("id", "brand", "verdict")
 
 
+@_query("""SELECT id, mfg_date FROM scans WHERE contains(lower(mfg_date), '/2023') OR contains(lower(sku_id), '/2023') OR contains(lower(brand), '/2023') OR contains(lower(mrp), '/2023')""")
+def scan_search_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.scan_search(view(spark, sf_dir, "scans"), "/2023").select("id", "mfg_date")
+
+
 @_query("SELECT id, device_id, verdict FROM scans WHERE device_id = 7 AND scanned_at BETWEEN 725846400000 AND 978307200000")
 def scan_scope_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.time_range(fleet.scan_scope(view(spark, sf_dir, "scans"), "CONSUMER", 7), 725846400000, 978307200000).select("id", "device_id", "verdict")
@@ -166,9 +170,10 @@ def top_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.top_violations(view(spark, sf_dir, "scan_checks"))
 
 
-_CONFLICTS = f"""SELECT product, scans, CASE WHEN len(p) > 1 THEN array_to_string(p, '|') ELSE '' END AS prices, CASE WHEN len(q) > 1 THEN array_to_string(q, '|') ELSE '' END AS quantities FROM (
-    SELECT {PRODUCT} AS product, count(*) AS scans, coalesce(list_sort(list(DISTINCT nullif(trim(mrp), '')) FILTER (nullif(trim(mrp), '') IS NOT NULL)), []) AS p, coalesce(list_sort(list(DISTINCT nullif(trim(net_quantity), '')) FILTER (nullif(trim(net_quantity), '') IS NOT NULL)), []) AS q
-    FROM scans WHERE {PRODUCT} IS NOT NULL GROUP BY 1) AS g WHERE len(p) > 1 OR len(q) > 1"""
+_SEEN = "SELECT product, string_agg(v, '|' ORDER BY scanned_at, id) AS seen, count(*) AS n FROM (SELECT product, v, scanned_at, id, row_number() OVER (PARTITION BY product, v ORDER BY scanned_at, id) AS r FROM (SELECT {p} AS product, nullif(trim({c}), '') AS v, scanned_at, id FROM scans) AS x WHERE product IS NOT NULL AND v IS NOT NULL) AS y WHERE r = 1 GROUP BY product"
+_CONFLICTS = f"""SELECT g.product, g.scans, CASE WHEN p.n > 1 THEN p.seen ELSE '' END AS prices, CASE WHEN q.n > 1 THEN q.seen ELSE '' END AS quantities
+    FROM (SELECT {PRODUCT} AS product, count(*) AS scans FROM scans WHERE {PRODUCT} IS NOT NULL GROUP BY 1) AS g LEFT JOIN ({_SEEN.format(p=PRODUCT, c='mrp')}) p ON p.product = g.product
+    LEFT JOIN ({_SEEN.format(p=PRODUCT, c='net_quantity')}) q ON q.product = g.product WHERE p.n > 1 OR q.n > 1"""
 
 
 @_query(_CONFLICTS)
@@ -176,7 +181,7 @@ def product_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.product_conflicts(view(spark, sf_dir, "scans"))
 
 
-@_query(_CONFLICTS + " ORDER BY scans DESC, product LIMIT 50")
+@_query("SELECT * FROM (" + _CONFLICTS + ") AS c ORDER BY scans DESC, product LIMIT 50")
 def conflicts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.conflicts_top(fleet.product_conflicts(view(spark, sf_dir, "scans")))
 
@@ -263,11 +268,15 @@ def field_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.field_groups(view(spark, sf_dir, "scan_checks"))
 
 
-@_query("""SELECT scan_id, coalesce(concat(count(*) FILTER (status LIKE 'NOT%'), ' check(s): ', string_agg(rule_id, ', ' ORDER BY rule_id) FILTER (status LIKE 'NOT%')), '') AS c0,
-    CASE WHEN count(*) FILTER (status LIKE 'NOT%') = 0 THEN '' ELSE c0 END AS caveats FROM scan_checks GROUP BY scan_id""".replace("AS c0,\n    CASE", "AS c0, CASE"))
+_TOLD = "CASE WHEN count(*) FILTER (c.status = '{s}') = 0 THEN '' ELSE concat(' ', count(*) FILTER (c.status = '{s}'), ' check(s) {w}: ', string_agg(c.rule_id, ', ' ORDER BY c.rule_id) FILTER (c.status = '{s}'), '.') END"
+
+
+@_query(f"""SELECT scan_id, not_applicable, partial, verdict, CASE verdict WHEN 'PASS' THEN concat('Every check that applied passed.', not_applicable, partial) WHEN 'FAIL' THEN concat('One or more declarations do not meet what is cited.', not_applicable, partial)
+    WHEN 'NEEDS_REVIEW' THEN 'A person must decide on the flagged checks.' ELSE 'Not enough evidence to judge.' END AS explanation FROM (
+    SELECT c.scan_id, {_TOLD.format(s='NOT_APPLICABLE', w='did not apply')} AS not_applicable, {_TOLD.format(s='NOT_ASSESSABLE', w='could not be assessed')} AS partial, any_value(v.verdict) AS verdict
+    FROM scan_checks c JOIN ({_ROLL}) v ON v.scan_id = c.scan_id GROUP BY c.scan_id) AS g""")
 def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = rules.caveats(view(spark, sf_dir, "scan_checks"))
-    return c.withColumn("c0", F.when(F.col("caveats") == "", "0 check(s): ").otherwise(F.col("caveats")))
+    return rules.caveats(view(spark, sf_dir, "scan_checks"))
 
 
 @_query(f"SELECT c.scan_id, c.rule_id, c.status FROM scan_checks c JOIN ({_ROLL}) v ON v.scan_id = c.scan_id WHERE c.status = v.verdict AND v.verdict <> 'PASS'")
@@ -275,27 +284,41 @@ def blocking_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.blocking_checks(view(spark, sf_dir, "scan_checks"))
 
 
-_KEYS = f"""sk AS (SELECT id, nullif({_m(TEXT, 'brand')}, '') AS b, CASE WHEN {_m(Q_MAG, 'net_quantity')} IS NOT NULL THEN concat(CAST({_m(Q_MAG, 'net_quantity')} AS VARCHAR), ' ', {_m(Q_NAME, 'net_quantity')}) END AS q, nullif(licence, '') AS l, {_m(MONEY, 'mrp')} AS p FROM scans),
-rk AS (SELECT sku_id, nullif({_m(TEXT, 'brand')}, '') AS b, CASE WHEN {_m(Q_MAG, 'net_quantity')} IS NOT NULL THEN concat(CAST({_m(Q_MAG, 'net_quantity')} AS VARCHAR), ' ', {_m(Q_NAME, 'net_quantity')}) END AS q, nullif(licence, '') AS l, CAST(mrp AS DOUBLE) AS p FROM registry)"""
+_BQL = "nullif({t}, '') AS b, CASE WHEN {m} IS NOT NULL THEN concat(CAST({m} AS VARCHAR), ' ', {u}) END AS q, nullif(licence, '') AS l"
+_BQL = {c: _BQL.format(t=_m(TEXT, c), m=_m(Q_MAG, "net_quantity"), u=_m(Q_NAME, "net_quantity")) for c in ("brand", "one")}
+_BRANDS = "SELECT *, brand AS one FROM registry UNION ALL SELECT *, brand2 AS one FROM registry WHERE brand2 IS NOT NULL"
 
 
-@_query(f"""WITH {_KEYS},
-    pairs AS (SELECT id, sku_id, (2.0 * CAST(coalesce(sk.b = rk.b, FALSE) AS INT) + 2 * CAST(coalesce(sk.q = rk.q, FALSE) AS INT) + CAST(coalesce(sk.l = rk.l, FALSE) AS INT)) / nullif(2 * CAST(sk.b IS NOT NULL AND rk.b IS NOT NULL AS INT) + 2 * CAST(sk.q IS NOT NULL AND rk.q IS NOT NULL AS INT) + CAST(sk.l IS NOT NULL AND rk.l IS NOT NULL AS INT), 0) AS score FROM sk, rk),
-    best AS (SELECT id, score, min(sku_id) AS sku, count(*) AS n, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS r FROM pairs WHERE score >= 0.75 GROUP BY id, score)
-    SELECT sk.id, CASE WHEN n = 1 THEN sku END AS sku, CASE WHEN n = 1 THEN score ELSE 0.0 END AS score, coalesce(n, 0) AS candidates FROM sk LEFT JOIN best ON best.id = sk.id AND best.r = 1""")
+@_query(f"""WITH sk AS (SELECT id, {_BQL['brand']} FROM scans), rk AS (SELECT sku_id, {_BQL['one']} FROM ({_BRANDS}) AS u), asked AS (SELECT DISTINCT b, q, l FROM sk), known AS (SELECT DISTINCT * FROM rk),
+    pairs AS (SELECT a.b, a.q, a.l, k.sku_id, max((2.0 * CAST(coalesce(a.b = k.b, FALSE) AS INT) + 2 * CAST(coalesce(a.q = k.q, FALSE) AS INT) + CAST(coalesce(a.l = k.l, FALSE) AS INT)) / nullif(2 * CAST(a.b IS NOT NULL AND k.b IS NOT NULL AS INT) + 2 * CAST(a.q IS NOT NULL AND k.q IS NOT NULL AS INT) + CAST(a.l IS NOT NULL AND k.l IS NOT NULL AS INT), 0)) AS score FROM asked a, known k GROUP BY 1, 2, 3, 4),
+    best AS (SELECT b, q, l, score, min(sku_id) AS sku, count(*) AS n, row_number() OVER (PARTITION BY b, q, l ORDER BY score DESC) AS r FROM pairs WHERE score >= 0.75 GROUP BY b, q, l, score)
+    SELECT sk.id, CASE WHEN n = 1 THEN sku END AS sku, CASE WHEN n = 1 THEN score ELSE 0.0 END AS score, coalesce(n, 0) AS candidates FROM sk LEFT JOIN best ON best.b IS NOT DISTINCT FROM sk.b AND best.q IS NOT DISTINCT FROM sk.q AND best.l IS NOT DISTINCT FROM sk.l AND best.r = 1""")
 def registry_match_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_weighted(view(spark, sf_dir, "scans"), view(spark, sf_dir, "registry"))
+    return match.match_weighted(view(spark, sf_dir, "scans"), _registry(spark, sf_dir))
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with its brand strings as a list."""
+    return view(spark, sf_dir, "registry").withColumn("brand_strings", F.filter(F.array("brand", "brand2"), lambda b: b.isNotNull()))
+
 
+_WORDS = "trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g'))"
+_FOLDED = "CASE split_part({w}, ' ', 2) WHEN 'gm' THEN 'g' WHEN 'grams' THEN 'g' WHEN 'gram' THEN 'g' WHEN 'kgs' THEN 'kg' WHEN 'kilograms' THEN 'kg' WHEN 'ltr' THEN 'l' WHEN 'litre' THEN 'l' WHEN 'litres' THEN 'l' ELSE split_part({w}, ' ', 2) END"
+_QTY_WORDS = _WORDS.format(c="net_quantity")
+_BPQ = "nullif({b}, '') AS b, printf('%.2f', {p}) AS p, nullif(CASE WHEN len(string_split({q}, ' ')) = 2 THEN concat(split_part({q}, ' ', 1), ' ', {f}) ELSE {q} END, '') AS q"
+_BPQ = {c: _BPQ.format(b=_WORDS.format(c=c), p=p, q=_QTY_WORDS, f=_FOLDED.format(w=_QTY_WORDS)) for c, p in (("brand", _m(MONEY, "mrp")), ("one", "CAST(mrp AS DOUBLE)"))}
 
-@_query(f"""WITH {_KEYS},
+
+@_query(f"""WITH sk AS (SELECT id, {_BPQ['brand']} FROM scans), rk AS (SELECT sku_id, {_BPQ['one']} FROM ({_BRANDS}) AS u),
     asked AS (SELECT DISTINCT b, p, q FROM sk), known AS (SELECT b, p, q, min(sku_id) AS sku_id FROM rk GROUP BY 1, 2, 3),
-    pairs AS (SELECT a.b, a.p, a.q, k.sku_id, round((CASE WHEN a.b IS NULL OR k.b IS NULL THEN 0.0 ELSE len(list_intersect(string_split(a.b, ' '), string_split(k.b, ' '))) / len(list_distinct(list_concat(string_split(a.b, ' '), string_split(k.b, ' ')))) END
-        + CAST(coalesce(a.p = k.p, FALSE) AS INT) + CAST(coalesce(a.q = k.q, FALSE) AS INT)) / nullif(CAST(a.b IS NOT NULL AND k.b IS NOT NULL AS INT) + CAST(a.p IS NOT NULL AND k.p IS NOT NULL AS INT) + CAST(a.q IS NOT NULL AND k.q IS NOT NULL AS INT), 0), 6) AS score FROM asked a, known k),
+    parts AS (SELECT a.b, a.p, a.q, k.sku_id, CASE WHEN a.b IS NOT NULL AND k.b IS NOT NULL THEN len(list_intersect(string_split(a.b, ' '), string_split(k.b, ' '))) / len(list_distinct(list_concat(string_split(a.b, ' '), string_split(k.b, ' ')))) END AS bs,
+        CASE WHEN a.p IS NOT NULL AND k.p IS NOT NULL THEN CAST(a.p = k.p AS DOUBLE) END AS ps, CASE WHEN a.q IS NOT NULL AND k.q IS NOT NULL THEN CAST(a.q = k.q AS DOUBLE) END AS qs FROM asked a, known k),
+    pairs AS (SELECT *, round((coalesce(bs, 0) + coalesce(ps, 0) + coalesce(qs, 0)) / nullif(CAST(bs IS NOT NULL AS INT) + CAST(ps IS NOT NULL AS INT) + CAST(qs IS NOT NULL AS INT), 0), 6) AS score FROM parts),
     best AS (SELECT *, row_number() OVER (PARTITION BY b, p, q ORDER BY score DESC, sku_id) AS r FROM pairs WHERE score >= 0.72)
-    SELECT sk.id, CASE WHEN best.sku_id IS NOT NULL THEN 'MATCHED' WHEN sk.b IS NULL AND sk.p IS NULL AND sk.q IS NULL THEN 'NO_CANDIDATE' ELSE 'REJECTED' END AS status, best.sku_id AS sku, best.score AS score
+    SELECT sk.id, CASE WHEN best.sku_id IS NOT NULL THEN 'MATCHED' ELSE 'REJECTED' END AS status, best.sku_id AS sku, best.score AS score, bs AS brand_score, ps AS mrp_score, qs AS quantity_score
     FROM sk LEFT JOIN best ON best.b IS NOT DISTINCT FROM sk.b AND best.p IS NOT DISTINCT FROM sk.p AND best.q IS NOT DISTINCT FROM sk.q AND best.r = 1""")
 def registry_match_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.match_identity(view(spark, sf_dir, "scans"), view(spark, sf_dir, "registry"))
+    return match.match_identity(view(spark, sf_dir, "scans"), _registry(spark, sf_dir))
 
 
 _PICK = "CASE WHEN a.sku_id IS NULL OR coalesce(b.saved_at >= a.saved_at OR b.source = 'IMPORTED', FALSE) THEN b.{c} ELSE a.{c} END AS {c}"
@@ -314,10 +337,15 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted.withColumn("mrp", F.col("mrp").cast("string"))
 
 
-@_query(f"""SELECT s.id, CASE WHEN r.sku_id IS NULL OR r.mrp IS NULL OR {_m(MONEY, 's.mrp')} IS NULL THEN 'NOT_ASSESSABLE' WHEN {_m(MONEY, 's.mrp')} = CAST(r.mrp AS DOUBLE) THEN 'PASS' WHEN r.source = 'IMPORTED' THEN 'FAIL' ELSE 'NEEDS_REVIEW' END AS status
-    FROM scans s LEFT JOIN registry r ON r.sku_id = s.sku_id""")
+_JUDGED = "CASE WHEN trim(coalesce({s}, '')) = '' OR {n} THEN 'NOT_ASSESSABLE' WHEN coalesce({e}, FALSE) THEN 'PASS' WHEN r.source = 'IMPORTED' THEN 'FAIL' ELSE 'NEEDS_REVIEW' END"
+_SAME_QTY = f"{_m(Q_MAG, 's.net_quantity')} = {_m(Q_MAG, 'r.net_quantity')} AND {_m(Q_NAME, 's.net_quantity')} = {_m(Q_NAME, 'r.net_quantity')}"
+
+
+@_query(f"""WITH j AS (SELECT s.id, {_JUDGED.format(s='s.mrp', n='r.mrp IS NULL', e=f"{_m(MONEY, 's.mrp')} = CAST(r.mrp AS DOUBLE)")} AS price, {_JUDGED.format(s='s.net_quantity', n='r.net_quantity IS NULL', e=_SAME_QTY)} AS quantity,
+    {_JUDGED.format(s='s.brand', n='r.brand IS NULL', e=f"{_m(TEXT, 's.brand')} = {_m(TEXT, 'r.brand')} OR {_m(TEXT, 's.brand')} = {_m(TEXT, 'r.brand2')}")} AS brand FROM scans s LEFT JOIN registry r ON r.sku_id = s.sku_id)
+    SELECT id, 'mrp' AS field, price AS status FROM j UNION ALL SELECT id, 'net_quantity', quantity FROM j UNION ALL SELECT id, 'brand', brand FROM j""")
 def registry_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.registry_compare(view(spark, sf_dir, "scans"), view(spark, sf_dir, "registry"))
+    return match.registry_compare(view(spark, sf_dir, "scans"), _registry(spark, sf_dir))
 
 
 @_query("""SELECT p_partkey AS k, len(list_intersect(string_split(p_name, ' '), string_split(lower(concat(p_type, ' ring')), ' '))) / len(list_distinct(list_concat(string_split(p_name, ' '), string_split(lower(concat(p_type, ' ring')), ' ')))) AS jaccard FROM part""")
@@ -325,9 +353,6 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), token_jaccard(F.col("p_name"), F.concat("p_type", F.lit(" ring"))).alias("jaccard"))
 
 
-_LINE = "arg_min({v}, line_no) FILTER ({w})"
-
-
 @_query("""SELECT scan_id, arg_min(regexp_extract(text, '(?i)(?:₹|rs\\.?|inr)?\\s*(\\d+(?:\\.\\d{1,2})?)', 1), line_no) FILTER (regexp_matches(text, '(?i)(?:mrp|m\\.r\\.p|rs\\.?|₹|inr|अधिकतम\\s*खुदरा\\s*मूल्य)') AND regexp_matches(text, '\\d')) AS mrp FROM ocr_lines GROUP BY scan_id""")
 def extract_mrp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.frame_fields(view(spark, sf_dir, "ocr_lines")).select("scan_id", "mrp")
@@ -366,57 +391,70 @@ def extract_care(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT scan_id, field, value, anchor_only, relative FROM (
     SELECT p_partkey AS scan_id, 'mfg_date' AS field, CASE p_partkey % 4 WHEN 0 THEN '06/2025' WHEN 1 THEN CASE WHEN p_partkey % 8 = 1 THEN '07/2025' ELSE '' END ELSE concat('DEC-', CAST(20 + p_partkey % 10 AS VARCHAR)) END AS value, p_partkey % 4 = 1 AND p_partkey % 8 <> 1 AS anchor_only, FALSE AS relative FROM part WHERE p_partkey % 4 < 3
     UNION ALL SELECT p_partkey, 'batch_number', CASE p_partkey % 3 WHEN 0 THEN CASE WHEN p_partkey < 10 THEN concat('B', CAST(p_partkey AS VARCHAR)) ELSE concat('B', CAST(p_partkey AS VARCHAR)) END WHEN 1 THEN CASE WHEN p_partkey % 6 = 1 THEN concat('LX', CAST(p_partkey AS VARCHAR)) ELSE '' END ELSE '' END, p_partkey % 3 = 2 OR (p_partkey % 3 = 1 AND p_partkey % 6 <> 1), FALSE FROM part
-    UNION ALL SELECT p_partkey, 'expiry', CASE p_partkey % 4 WHEN 0 THEN '9 months from packing' WHEN 1 THEN '12/2030' ELSE '' END, p_partkey % 4 = 2, p_partkey % 4 = 0 FROM part WHERE p_partkey % 4 < 3) AS expected""")
+    UNION ALL SELECT p_partkey, 'expiry', CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 24 = 0 THEN '24 months from packing' ELSE '9 months from packing' END WHEN 1 THEN '12/2030' ELSE '' END, p_partkey % 4 = 2, p_partkey % 4 = 0 FROM part WHERE p_partkey % 4 < 3) AS expected""")
 def extract_captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checked against what the lines were rendered from."""
     found = extract.extract(view(spark, sf_dir, "ocr_lines")).where(F.col("field").isin(*extract.CAPTIONED))
     return found.select("scan_id", "field", "value", "anchor_only", "relative")
 
 
-@_query("""SELECT scan_id, frame, line_no, 'MANUFACTURER' AS role, trim(substr(text, strpos(lower(text), 'manufactured by') + 16)) AS body FROM ocr_lines WHERE lower(text) LIKE '%manufactured by%'""")
-def tag_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.tag_addresses(view(spark, sf_dir, "ocr_lines"))
+_TAGGED = """anchors AS (SELECT * FROM (VALUES ('manufactured by', 'MANUFACTURER'), ('manufactured & packed by', 'MANUFACTURER'), ('mfd by', 'MANUFACTURER'), ('packed by', 'PACKER'), ('imported by', 'IMPORTER'), ('marketed by', 'MARKETER')) AS v(anchor, role)),
+named AS (SELECT l.*, (SELECT arg_max(a.anchor, length(a.anchor)) FROM anchors a WHERE contains(lower(l.text), a.anchor)) AS anchor FROM address_lines l),
+headed AS (SELECT n.*, a.role, trim(substr(text, strpos(lower(text), n.anchor) + length(n.anchor)), ' :-.–—') AS head, trim(text, ' :-.–—') AS plain, n.anchor IS NOT NULL OR regexp_matches(lower(text), 'mfg date|batch|customer care') AS cap FROM named n LEFT JOIN anchors a ON a.anchor = n.anchor),
+ahead AS (SELECT *, lead(plain, 1) OVER w AS t1, lead(plain, 2) OVER w AS t2, lead(plain, 3) OVER w AS t3, coalesce(lead(cap, 1) OVER w, TRUE) AS c1, coalesce(lead(cap, 2) OVER w, TRUE) AS c2, coalesce(lead(cap, 3) OVER w, TRUE) AS c3,
+  lead(bottom, 1) OVER w AS b1, lead(bottom, 2) OVER w AS b2, lead(bottom, 3) OVER w AS b3 FROM headed WINDOW w AS (PARTITION BY scan_id, frame ORDER BY line_no)),
+taken AS (SELECT *, role IS NOT NULL AND length(head) < 6 AS alone, CASE WHEN NOT c1 THEN nullif(t1, '') END AS x1, CASE WHEN NOT c1 AND NOT c2 THEN nullif(t2, '') END AS x2, CASE WHEN NOT c1 AND NOT c2 AND NOT c3 THEN nullif(t3, '') END AS x3 FROM ahead),
+tagged AS (SELECT scan_id, frame, line_no, coalesce(role, 'UNKNOWN') AS role, CASE WHEN role IS NULL THEN trim(text) WHEN alone THEN concat_ws(', ', x1, x2, x3) ELSE head END AS body,
+  CASE WHEN alone THEN 1 + CAST(x1 IS NOT NULL AS INT) + CAST(x2 IS NOT NULL AS INT) + CAST(x3 IS NOT NULL AS INT) ELSE 1 END AS lines,
+  CASE WHEN alone THEN greatest(bottom, CASE WHEN x1 IS NOT NULL THEN b1 END, CASE WHEN x2 IS NOT NULL THEN b2 END, CASE WHEN x3 IS NOT NULL THEN b3 END) ELSE bottom END AS bottom FROM taken)
+"""
 
 
-@_query("""SELECT scan_id, frame, m.t AS brand FROM (SELECT scan_id, frame, max({'h': bottom - top, 'n': -line_no, 't': trim(text)}) AS m, list_sort(list(bottom - top)) AS hs FROM ocr_lines
-    WHERE length(trim(text)) >= 2 AND NOT contains(text, ':') AND NOT regexp_matches(text, '\\d') AND NOT regexp_matches(text, '(?i)(?:mrp|price|weight|qty|quantity|batch|mfg|date|use by|best before|fssai|lic|care|customer|consumer|net|incl|tax|packed|marketed)')
-    GROUP BY scan_id, frame) AS g WHERE m.h >= hs[len(hs) // 2 + 1] * 1.3""")
-def brand_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.brand_prominence(view(spark, sf_dir, "ocr_lines"))
+@_query("WITH " + _TAGGED + "SELECT scan_id, frame, line_no, role, body, lines, bottom FROM tagged")
+def tag_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses on the line of their caption and on the lines under it."""
+    return extract.tag_addresses(view(spark, sf_dir, "address_lines")).select("scan_id", "frame", "line_no", "role", "body", "lines", "bottom")
 
 
-def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(view(spark, sf_dir, "ocr_lines")).drop("frame")
+@_query("WITH " + _TAGGED + "SELECT scan_id, role, count(*) AS n, string_agg(body, ' | ' ORDER BY frame, line_no) AS addresses FROM tagged WHERE trim(body) <> '' GROUP BY scan_id, role")
+def address_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.address_roles(extract.tag_addresses(view(spark, sf_dir, "address_lines")))
 
 
-@_query()
-def evaluate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines to findings; the tests have examples only."""
-    declared = _declared(spark, sf_dir)
-    q = declared.where("field = 'net_quantity'").select("scan_id", norm_quantity(F.col("value"))["magnitude"].alias("magnitude"))
-    return rules.evaluate(declared, rules.rule_table(spark), CHECK_DAY, q)
+@_query("""SELECT scan_id, frame, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom FROM ocr_lines GROUP BY scan_id, frame""")
+def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.box_union(view(spark, sf_dir, "ocr_lines"))
 
 
-@_query("""SELECT verdict, count(*) AS n FROM (SELECT p_partkey, 'FAIL' AS verdict FROM part) AS v GROUP BY verdict""")
-def verdict_counts_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.verdict_counts(rules.verdict_rollup(evaluate_rules(spark, sf_dir)))
+@_query("""SELECT scan_id, frame, lines, raw FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY lines DESC, frame) AS r FROM (
+    SELECT scan_id // 3 AS scan_id, scan_id % 3 AS frame, count(*) AS lines, string_agg(text, ' / ' ORDER BY line_no) AS raw FROM ocr_lines GROUP BY 1, 2) AS g) AS n WHERE r = 1""")
+def fullest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three neighbouring packs' lines seen as the frames of one."""
+    lines = view(spark, sf_dir, "ocr_lines").withColumn("frame", F.col("scan_id") % 3).withColumn("scan_id", F.expr("scan_id div 3"))
+    return extract.fullest_frame(lines).select("scan_id", "frame", "lines", F.array_join("raw_lines", " / ").alias("raw"))
 
 
-_SCALE = """WITH c AS (SELECT *, CASE WHEN diopters > 0 THEN 1000.0 / diopters END AS distance, CASE WHEN image_h_px / image_w_px <= sensor_h_mm / sensor_w_mm THEN sensor_w_mm * (image_h_px / image_w_px) ELSE sensor_h_mm END AS cover, [0.30, 0.10, 0.05][calibration + 1] AS t FROM optics),
-d AS (SELECT *, CASE WHEN sensor_h_mm IS NULL THEN 'sensor' WHEN focal_mm IS NULL THEN 'focal length' WHEN diopters <= 0 OR distance <= focal_mm THEN 'focus' END AS unavailable FROM c),
-e AS (SELECT k, height_px, unavailable, CASE WHEN unavailable IS NULL THEN round(greatest(0.0, (distance * (1 - t) - focal_mm) / focal_mm * cover / image_h_px * correction), 6) END AS min_mm, CASE WHEN unavailable IS NULL THEN round((distance * (1 + t) - focal_mm) / focal_mm * cover / image_h_px * correction, 6) END AS max_mm FROM d)
-"""
+@_query("""SELECT scan_id, frame, m.t AS brand FROM (SELECT scan_id, frame, max({'h': bottom - top, 'n': -line_no, 't': trim(text)}) AS m, list_sort(list(bottom - top)) AS hs FROM ocr_lines
+    WHERE length(trim(text)) >= 2 AND NOT contains(text, ':') AND NOT regexp_matches(text, '\\d') AND NOT regexp_matches(text, '(?i)(?:mrp|price|weight|qty|quantity|batch|mfg|date|use by|best before|fssai|lic|care|customer|consumer|net|incl|tax|packed|marketed)')
+    GROUP BY scan_id, frame) AS g WHERE m.h >= hs[len(hs) // 2 + 1] * 1.3""")
+def brand_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.brand_prominence(view(spark, sf_dir, "ocr_lines"))
 
 
-@_query(_SCALE + "SELECT k, min_mm, max_mm, unavailable, CASE WHEN unavailable IS NOT NULL THEN 'NOT_APPLICABLE' WHEN min_mm * height_px >= 6 THEN 'PASS' WHEN max_mm * height_px < 6 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END AS status FROM e")
-def mm_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = measure.mm_scale(view(spark, sf_dir, "optics")).withColumn("min_mm", F.round("min_mm", 6)).withColumn("max_mm", F.round("max_mm", 6))
-    return measure.min_height(scaled, 6.0).select("k", "min_mm", "max_mm", "unavailable", "status")
+@_query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 24 = 0 AND p_partkey % 5 <> 2 THEN 'NOT_ASSESSABLE' ELSE 'FAIL' END AS verdict FROM part) AS v GROUP BY verdict""")
+def verdict_counts_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to fields to findings to verdicts. Packs that declare everything still have no measured height, so they are not assessable."""
+    lines = view(spark, sf_dir, "ocr_lines")
+    known = [c for c in lines.columns if c not in ("scan_id", "frame")]
+    roles = extract.tag_addresses(lines.select("scan_id", "frame", *known)).where(F.trim("body") != "").select("scan_id", "role").distinct()
+    ruleset, exempt, _ = rules.load_rules(spark)
+    findings = rules.evaluate(extract.extract(lines).drop("frame"), ruleset, exempt, CHECK_DAY, scans=lines.select("scan_id").distinct(), roles=roles)
+    return fleet.verdict_counts(rules.verdict_rollup(findings))
 
 
 @_query("""SELECT device_id, correction, calibrated_at FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY calibrated_at DESC) AS r FROM calibrations WHERE correction BETWEEN 1.0 / 3 AND 3.0) AS n WHERE r = 1""")
 def latest_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.latest_calibration(view(spark, sf_dir, "calibrations"))
+    return measure.latest_calibration(view(spark, sf_dir, "calibrations")).select("device_id", "correction", "calibrated_at")
 
 
 _RATIO = "SELECT burst_id, frame, variance, CASE WHEN count(*) OVER w = 1 OR max(variance) OVER w <= 0 THEN 1.0 ELSE variance / max(variance) OVER w END AS ratio FROM bursts WINDOW w AS (PARTITION BY burst_id)"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlens.functions.once import let
 
+# The forms of dates that packs print. A date means what these say, so they must match those of every
+# other reader of the same packs.
 SEP = r"[/.\-\s]"
 ISO = r"\b(\d{4})-(\d{1,2})\b"
 DMY = rf"\b(\d{{1,2}}){SEP}{{1,2}}(\d{{1,2}}){SEP}{{1,2}}(\d{{2,4}})\b"
@@ -87,3 +89,32 @@ def describe(date: Column) -> Column:
         .when(date["precision"] == "AMBIGUOUS_ORDER", F.concat(F.date_format(date["earliest"], day), F.lit(" or "), F.date_format(date["latest"], day)))
         .otherwise(F.date_format(date["earliest"], day))
     )
+
+
+def resolved(df: DataFrame, text: str, **makes) -> DataFrame:
+    """df with, per keyword, make(text) added: each distinct text is read once, however many rows print it.
+
+    makes: name=function of a column, such as d=label_date. Null texts give null.
+    """
+    texts = df.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    read = texts.select("__text", *[make(F.col("__text")).alias(name) for name, make in makes.items()])
+    return df.join(read, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
+def certainly_after(a: Column, b: Column) -> Column:
+    """Every day that a can mean is behind every day that b can mean."""
+    return a["earliest"] > b["latest"]
+
+
+def possibly_after(a: Column, day: Column) -> Column:
+    """Some day that a can mean is behind the day."""
+    return a["latest"] > day
+
+
+def certainly_before(a: Column, day: Column) -> Column:
+    return a["latest"] < day
+
+
+def certain(a: Column) -> Column:
+    """The range is one day."""
+    return a["earliest"] == a["latest"]

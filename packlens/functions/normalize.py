@@ -26,10 +26,14 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+#: Letters, marks and punctuation that form NFKC leaves as they are, whatever stands beside them.
+STABLE = "\\x00-\\x7FÀ-ÖØ-öø-ÿ₹–—‘’“”\u0900-\u093B\u093D-\u0957\u0960-\u097F"
+
+
 def nfkc(c: Column) -> Column:
-    """Unicode form NFKC. Python sees only values beyond ASCII: Spark has no such function."""
-    wide = F.octet_length(c) != F.length(c)
-    return F.when(wide, _nfkc(F.when(wide, c))).otherwise(c)
+    """Unicode form NFKC. Only values with other characters than STABLE reach Python: Spark has no such function."""
+    odd = F.regexp_like(c, F.lit(f"[^{STABLE}]"))
+    return F.when(odd, _nfkc(F.when(odd, c))).otherwise(c)
 
 
 def _round(c: Column, scale: float) -> Column:
@@ -48,18 +52,23 @@ def norm_text(c: Column, compatible: bool = True) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def norm_money(c: Column) -> Column:
+def nfkc_all(values: Column) -> Column:
+    """An array of texts in form NFKC: as one text, since Python functions cannot stand in a lambda."""
+    return F.split(nfkc(F.array_join(values, "\x1f")), "\x1f")
+
+
+def norm_money(c: Column, compatible: bool = True) -> Column:
     """The first number once currency marks and commas are gone, to 2 places; null without one."""
-    c = F.lower(c)
+    c = F.lower(nfkc(c) if compatible else c)
     for token in CURRENCY_TOKENS:
         c = F.replace(c, F.lit(token), F.lit(" "))
     number = F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), r"[0-9]+(?:\.[0-9]+)?", 0)
     return _round(number.try_cast("double"), 100.0)
 
 
-def norm_quantity(c: Column) -> Column:
+def norm_quantity(c: Column, compatible: bool = True) -> Column:
     """(magnitude, unit) in g or ml, to 4 places, of the first number with a word; null for other words."""
-    c = F.replace(F.lower(c), F.lit(","), F.lit(""))
+    c = F.replace(F.lower(nfkc(c) if compatible else c), F.lit(","), F.lit(""))
     pattern = r"([0-9]+(?:[.,][0-9]+)?)\s*([a-zA-Z]+)"
     number, unit = F.regexp_extract(c, pattern, 1).try_cast("double"), F.regexp_extract(c, pattern, 2)
     units = {**{u: (k, "g") for u, k in MASS_TO_G.items()}, **{u: (k, "ml") for u, k in VOLUME_TO_ML.items()}}
@@ -70,23 +79,25 @@ def norm_quantity(c: Column) -> Column:
     return F.when(number.isNotNull() & factor.isNotNull(), F.struct(_round(number * factor, 10000.0).alias("magnitude"), name.alias("unit")))
 
 
-def norm_field(field: Column, value: Column) -> Column:
+def norm_field(field: Column, value: Column, compatible: bool = True) -> Column:
     """A text that is equal for values that agree in a field; null where a value cannot be read."""
-    q = norm_quantity(value)
+    value = nfkc(value) if compatible else value
+    q = norm_quantity(value, False)
     return (
-        F.when(field == "mrp", norm_money(value).cast("string"))
+        F.when(field == "mrp", norm_money(value, False).cast("string"))
         .when(field == "net_quantity", F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"]))
-        .otherwise(norm_text(value))
+        .otherwise(norm_text(value, False))
     )
 
 
-def readable(field: Column, value: Column) -> Column:
-    return F.when(field == "net_quantity", norm_quantity(value).isNotNull()).when(field == "mrp", norm_money(value).isNotNull()).otherwise(F.lit(True))
+def readable(field: Column, value: Column, compatible: bool = True) -> Column:
+    value = nfkc(value) if compatible else value
+    return F.when(field == "net_quantity", norm_quantity(value, False).isNotNull()).when(field == "mrp", norm_money(value, False).isNotNull()).otherwise(F.lit(True))
 
 
-def values_equal(field: Column, left: Column, right: Column) -> Column:
-    """Two values that cannot be read are not equal."""
-    same = (norm_field(field, left) == norm_field(field, right)) & readable(field, left) & readable(field, right)
+def values_equal(field: Column, left: Column, right: Column, compatible: bool = True) -> Column:
+    """Two values that cannot be read are not equal. compatible: as in `norm_text`, for both."""
+    same = (norm_field(field, left, compatible) == norm_field(field, right, compatible)) & readable(field, left, compatible) & readable(field, right, compatible)
     return F.coalesce(same, F.lit(False))
 
 
@@ -95,3 +106,26 @@ def token_jaccard(left: Column, right: Column) -> Column:
     b = F.filter(F.array_distinct(F.split(F.lower(F.coalesce(right, F.lit(""))), r"\s+")), lambda t: t != "")
     shared, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / either)
+
+
+# The unit spellings that the server's matcher folds.
+SERVER_UNITS = {"gm": "g", "grams": "g", "gram": "g", "kgs": "kg", "kilograms": "kg", "ltr": "l", "litre": "l", "litres": "l"}
+
+
+def server_text(c: Column) -> Column:
+    """The server matcher's text form: lower case, blanks collapsed; null is ''."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+
+
+def server_money(c: Column) -> Column:
+    """Two decimals where the text is a number, else its text form."""
+    number = F.trim(c).try_cast("double")
+    return F.when(number.isNotNull(), F.format_string("%.2f", number)).otherwise(server_text(c))
+
+
+def server_quantity(c: Column) -> Column:
+    """Two words with the unit folded; kg and g stay apart."""
+    words = F.split(server_text(c), " ")
+    pairs = [F.lit(x) for pair in SERVER_UNITS.items() for x in pair]
+    unit = F.coalesce(F.create_map(*pairs)[F.get(words, F.lit(1))], F.get(words, F.lit(1)))
+    return F.when(F.size(words) == 2, F.concat_ws(" ", F.get(words, F.lit(0)), unit)).otherwise(server_text(c))

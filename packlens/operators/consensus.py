@@ -63,3 +63,8 @@ def side_merge(agreed: DataFrame) -> DataFrame:
     grouped = agreed.withColumn("norm", norm).groupBy("scan_id", "field").agg(F.count_distinct("norm").alias("n"), best.alias("b"))
     reason = F.when(F.col("n") > 1, "sides_disagree").when(F.col("b").isNull(), "ocr_no_consensus")
     return grouped.select("scan_id", "field", F.when(reason.isNull(), F.col("b.value")).alias("value"), F.when(reason.isNull(), F.col("b.confidence")).otherwise(0.0).alias("confidence"), reason.alias("reason"))
+
+
+def unresolved_fields(votes: DataFrame) -> DataFrame:
+    """The fields of `consensus_vote` that the frames did not settle, by scan, side and field."""
+    return votes.where(~F.col("agreed")).select("scan_id", "side", "field").orderBy("scan_id", "side", "field")

@@ -37,6 +37,7 @@ CAPTIONISH = r"(?i)(?:mrp|price|weight|qty|quantity|batch|mfg|date|use by|best b
 RESIDUE = r"(?i)^(?:[ :\-.–—]*(?:no|n0|nos|number|num|lot|code|sr|s\.?no)\b\.?)*[ :\-.–—]*"
 
 FRAME = ("scan_id", "frame")
+SIDES = ("left", "top", "right", "bottom")
 CAPTIONED = {"mfg_date": (MFG_ANCHORS, DATE, False), "batch_number": (BATCH_ANCHORS, BATCH, False), "expiry": (EXPIRY_ANCHORS, DATE, True)}
 
 
@@ -153,14 +154,63 @@ def extract(lines: DataFrame, strict: bool = False) -> DataFrame:
     return found.unionByName(captioned)
 
 
+#: An address has so many characters at least, and runs to so many lines under its caption.
+MIN_BODY, CONTINUED_LINES = 6, 3
+SEPARATORS = " :-.–—"
+
+
 def tag_addresses(lines: DataFrame) -> DataFrame:
-    """Role and body of the lines that name a role, by the longest caption over all roles."""
+    """Every line with its role by the longest caption over all roles: FRAME, line_no, role, body, lines (how many the address runs to).
+
+    A line without a role's caption is UNKNOWN with its whole text. A caption without an address of MIN_BODY characters goes on
+    with up to CONTINUED_LINES lines below, blank ones skipped, and stops at the next caption of any kind; the box is that of all its lines.
+    """
     anchors = sorted(((a, role) for role, names in ROLES.items() for a in names), key=lambda x: len(x[0]))
     low, role = F.lower(F.col("text")), F.lit(None).cast("string")
     for a, r in anchors:
         role = F.when(F.contains(low, F.lit(a)), r).otherwise(role)
-    body = strip_residue(_after(F.col("text"), tuple(a for a, _ in anchors)))
-    return lines.select(*FRAME, "line_no", role.alias("role"), body.alias("body")).where("role is not null")
+    body = F.trim(_after(F.col("text"), tuple(a for a, _ in anchors)), F.lit(SEPARATORS))
+    caption = role.isNotNull() | _has(F.col("text"), CARE_ANCHORS + MFG_ANCHORS + BATCH_ANCHORS + EXPIRY_ANCHORS)
+    own = lines.select(*FRAME, "line_no", "text", *SIDES, role.alias("role"), body.alias("head"), caption.alias("caption"))
+    # the few lines below, as a list; frames have tens of lines
+    below = Window.partitionBy(*FRAME).orderBy("line_no").rowsBetween(1, CONTINUED_LINES)
+    own = own.withColumn("below", F.collect_list(F.struct("caption", F.trim("text", F.lit(SEPARATORS)).alias("text"), *SIDES)).over(below))
+    alone = F.col("role").isNotNull() & (F.length("head") < MIN_BODY)
+    stop = F.array_position(F.transform("below", lambda x: x["caption"]), True)
+    taken = F.filter(F.when(stop > 0, F.slice("below", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("below")), lambda x: x["text"] != "")
+    own = own.withColumn("taken", F.when(alone, taken).otherwise(F.slice("below", 1, 0)))
+    under = F.array_join(F.transform("taken", lambda x: x["text"]), ", ")
+    reach = lambda side, best: best(F.concat(F.array(F.col(side)), F.transform("taken", lambda x: x[side]))).alias(side)
+    return own.select(
+        *FRAME, "line_no", F.coalesce("role", F.lit("UNKNOWN")).alias("role"),
+        F.when(F.col("role").isNull(), F.trim("text")).when(alone, under).otherwise(F.col("head")).alias("body"), (F.size("taken") + 1).alias("lines"),
+        reach("left", F.array_min), reach("top", F.array_min), reach("right", F.array_max), reach("bottom", F.array_max))
+
+
+def address_roles(tagged: DataFrame) -> DataFrame:
+    """Addresses by scan and role, in the order of their lines, joined by ' | '; a caption without an address is none."""
+    rows = tagged.where(F.trim("body") != "")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("frame", "line_no", "body"))), lambda x: x["body"])
+    return rows.groupBy("scan_id", "role").agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, " | ").alias("addresses"))
+
+
+def word_box(lines: DataFrame, value: str = "value") -> DataFrame:
+    """`lines` (text, box, elements) with value_box: the box of the first word that holds the value, else the line's."""
+    first = F.get(F.filter("elements", lambda e: F.contains(e["text"], F.col(value))), F.lit(0))
+    return lines.withColumn("value_box", F.coalesce(first["box"], F.col("box")))
+
+
+def box_union(lines: DataFrame) -> DataFrame:
+    """The box around all lines of a frame."""
+    return lines.groupBy(*FRAME).agg(F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"))
+
+
+def fullest_frame(lines: DataFrame) -> DataFrame:
+    """scan_id, frame, lines, raw_lines of the frame with the most lines, the first of equals."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    frames = lines.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("lines"), listed.alias("raw_lines"))
+    best = frames.groupBy("scan_id").agg(F.max(F.struct("lines", (-F.col("frame")).alias("f"), "frame", "raw_lines")).alias("b"))
+    return best.select("scan_id", "b.frame", "b.lines", "b.raw_lines")
 
 
 def brand_prominence(lines: DataFrame) -> DataFrame:

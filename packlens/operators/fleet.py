@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 VERDICTS = ("FAIL", "NOT_ASSESSABLE", "NEEDS_REVIEW", "PASS")
 STATUSES = (*VERDICTS, "NOT_APPLICABLE", "EXEMPT")
+#: Columns that a search looks into.
+SEARCHED = ("sku_id", "brand", "mrp", "net_quantity", "batch_number", "mfg_date", "verdict")
 
 
 def product_key(sku: str = "sku_id", brand: str = "brand") -> Column:
@@ -20,11 +22,90 @@ def scan_search(scans: DataFrame, query: str | None) -> DataFrame:
         return scans
     wanted = F.lit(query.strip().lower())
     found = F.lit(False)
-    for c in ("sku_id", "brand", "mrp", "net_quantity", "batch_number", "verdict"):
+    for c in SEARCHED:
         found = found | F.coalesce(F.contains(F.lower(F.col(c)), wanted), F.lit(False))
     return scans.where(found)
 
 
+def scan_search_checks(nested: DataFrame, query: str | None) -> DataFrame:
+    """As `scan_search`, on scans with their checks: a rule's id or name counts too."""
+    if not query or not query.strip():
+        return nested
+    wanted = F.lit(query.strip().lower())
+    held = lambda c: F.coalesce(F.contains(F.lower(c), wanted), F.lit(False))
+    found = F.exists("checks", lambda x: held(x["rule_id"]) | held(x["rule_name"]))
+    for c in SEARCHED:
+        found = found | held(F.col(c))
+    return nested.where(found)
+
+
+def scan_by_id(scans: DataFrame, checks: DataFrame, scan_id: int, role: str, own_device: int) -> DataFrame:
+    """One scan with its checks; none where a consumer asks for another device's."""
+    return scan_with_checks(scan_scope(scans.where(F.col("id") == scan_id), role, own_device), checks.where(F.col("scan_id") == scan_id))
+
+
+def verdict_filter(scans: DataFrame, verdict: str) -> DataFrame:
+    return scans.where(F.col("verdict") == verdict.upper())
+
+
+def scan_device_lookup(scans: DataFrame, devices: DataFrame) -> DataFrame:
+    """`scans` with device_key: the internal id of the device that they name, or the name where it is not known."""
+    known = devices.select(F.col("device_id").alias("named"), F.col("id").cast("string").alias("internal"))
+    return scans.join(known, F.col("device_id").cast("string") == F.col("named"), "left").withColumn("device_key", F.coalesce("internal", F.col("device_id").cast("string"))).drop("named", "internal")
+
+
+def citation_default(checks: DataFrame, rules: DataFrame) -> DataFrame:
+    """`checks` with a citation: their own, else their rule's, else a general one. `rules` has tens of rows."""
+    held = F.broadcast(rules.select("rule_id", F.col("citation").alias("of_rule")))
+    return checks.join(held, "rule_id", "left").withColumn("citation", F.coalesce("citation", "of_rule", F.lit("Statutory requirement"))).drop("of_rule")
+
+
+def scan_provenance(scans: DataFrame) -> DataFrame:
+    """`scans` with the columns that tell how they were read; the source is the device where nothing is said."""
+    kinds = {"source": "string", "image_key": "string", "ocr_model": "string", "mean_confidence": "double", "elapsed_ms": "long"}
+    filled = scans.select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds.items() if c not in scans.columns])
+    return filled.withColumn("source", F.coalesce("source", F.lit("device")))
+
+
+def scan_checks_unique(checks: DataFrame) -> DataFrame:
+    """One check a scan and rule: the worst status, then the first observed value."""
+    ranked = F.struct(F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")).alias("r"), F.coalesce("observed", F.lit("")).alias("o"), "status", "field", "observed")
+    return checks.groupBy("scan_id", "rule_id").agg(F.min(ranked).alias("b")).select("scan_id", "rule_id", "b.status", "b.field", "b.observed")
+
+
+def union_products(*parts: DataFrame) -> DataFrame:
+    """The names that any part has, each once."""
+    out = parts[0].select("product")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("product"))
+    return out.where("product is not null").distinct()
+
+
+def distinct_in_order(scans: DataFrame, value: str) -> DataFrame:
+    """Per product the distinct trimmed values in the order in which they were first seen, joined by '|'.
+
+    First sightings are aggregated per (product, value) before the lists are made.
+    """
+    rows = scans.select(product_key().alias("product"), F.nullif(F.trim(F.col(value)), F.lit("")).alias("v"), F.struct("scanned_at", "id").alias("at")).where("product is not null and v is not null")
+    first = rows.groupBy("product", "v").agg(F.min("at").alias("at"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])
+    return first.groupBy("product").agg(F.array_join(listed, "|").alias("seen"))
+
+
+def bulk_summary(items: DataFrame) -> DataFrame:
+    """items: run_id, name, error, failed (checks, null while not processed) to one row a run with its counts and each item's line."""
+    line = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("failed").isNull(), "No result").when(F.col("failed") == 0, "No violations found").otherwise(F.concat(F.col("failed").cast("string"), F.lit(" failing checks")))
+    done = F.col("error").isNotNull() | F.col("failed").isNotNull()
+    rows = items.withColumn("line", line).groupBy("run_id", "line").agg(F.count(F.lit(1)).alias("k"), F.count_if(done).alias("d"), F.count_if(F.col("failed") > 0).alias("f"))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "k"))), lambda x: F.concat(x["line"], F.lit(" x"), x["k"].cast("string"))), "; ")
+    return rows.groupBy("run_id").agg(F.sum("d").alias("processed"), F.sum("k").alias("total"), F.sum("f").alias("failures"), told.alias("lines"))
+
+
+def sync_lag(scans: DataFrame) -> DataFrame:
+    """`scans` with lag_ms, the time from the scan to its arrival; null where either is missing."""
+    return scans.withColumn("lag_ms", F.col("synced_at") - F.col("scanned_at"))
+
+
 def scan_scope(scans: DataFrame, role: str, own_device: int, device: int | None = None) -> DataFrame:
     """A consumer sees its own device; others all, or the one asked for."""
     if role == "CONSUMER":
@@ -90,13 +171,14 @@ def top_violations(checks: DataFrame, limit: int = 5) -> DataFrame:
 def product_conflicts(scans: DataFrame) -> DataFrame:
     """Products whose scans print two or more prices or quantities: product, scans, prices, quantities.
 
-    Values are trimmed texts, sorted; a list with one value is emptied. Scans are counted per (product,
-    price, quantity) first, so a product with a third of all scans sends a few rows.
+    Values are trimmed texts in the order in which they were first seen; a list with one value is emptied. Scans are counted
+    per (product, price, quantity) first, so a product with a third of all scans sends a few rows.
     """
     clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    rows = scans.select(product_key().alias("product"), clean("mrp").alias("p"), clean("net_quantity").alias("q")).where("product is not null")
-    counted = rows.groupBy("product", "p", "q").agg(F.count(F.lit(1)).alias("n"))
-    grouped = counted.groupBy("product").agg(F.sum("n").alias("scans"), F.array_sort(F.collect_set("p")).alias("prices"), F.array_sort(F.collect_set("q")).alias("quantities"))
+    rows = scans.select(product_key().alias("product"), clean("mrp").alias("p"), clean("net_quantity").alias("q"), F.struct("scanned_at", "id").alias("at")).where("product is not null")
+    counted = rows.groupBy("product", "p", "q").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    seen = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v"))))), lambda x: x["v"]))
+    grouped = counted.groupBy("product").agg(F.sum("n").alias("scans"), seen("p").alias("prices"), seen("q").alias("quantities"))
     many = lambda c: F.when(F.size(c) > 1, F.array_join(c, "|")).otherwise("")
     return grouped.where((F.size("prices") > 1) | (F.size("quantities") > 1)).select("product", "scans", many("prices").alias("prices"), many("quantities").alias("quantities"))
 

@@ -1,21 +1,44 @@
-"""Scans matched to the product registry, without pairing every scan with every product."""
+"""Scans matched to the product registry, without pairing every scan with every product.
+
+Both scorers work out what a pair must agree in to reach the threshold, given what either side lacks. Each such case is a
+key; a side emits the keys of the cases that it can take part in, and the sides meet in one equi-join on the key.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlens.functions.normalize import norm_money, norm_quantity, norm_text
+from packlens.functions.normalize import nfkc, nfkc_all, norm_money, norm_quantity, norm_text, server_money, server_quantity, server_text, values_equal
 
 WEIGHTED_THRESHOLD, IDENTITY_THRESHOLD = 0.75, 0.72
 
 
-def _keys(df: DataFrame) -> DataFrame:
+def _brands(df: DataFrame) -> Column:
+    """The brand strings of a registry: an array column of that name, or else the one brand."""
+    return F.col("brand_strings") if "brand_strings" in df.columns else F.array("brand")
+
+
+def _key(case: str, *parts: str | Column) -> Column:
+    """The key of a case; null where a part is."""
+    return F.concat(F.lit(case), *[x for p in parts for x in (F.lit("\x1f"), F.col(p) if isinstance(p, str) else p)])
+
+
+def _keyed(df: DataFrame, keys: list[Column]) -> DataFrame:
+    return df.select("*", F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("key"))
+
+
+def _none(*columns: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
+
+
+def _comparable(df: DataFrame, brand: Column) -> DataFrame:
     """b, q, l: comparable brand, quantity and licence, null where there is nothing to compare."""
     q = norm_quantity(F.col("net_quantity"))
     return (
-        df.withColumn("b", F.nullif(norm_text(F.col("brand"), compatible=False), F.lit("")))
-        .withColumn("q", F.when(q.isNotNull(), F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"])))
+        df.withColumn("b", F.nullif(norm_text(brand), F.lit(""))).withColumn("q", F.when(q.isNotNull(), F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"])))
         .withColumn("l", F.nullif(F.regexp_replace(F.coalesce("licence", F.lit("")), "[^0-9]", ""), F.lit(""))))
 
 
@@ -23,81 +46,96 @@ def match_weighted(scans: DataFrame, registry: DataFrame) -> DataFrame:
     """Per scan: sku, score, candidates; weights brand 2, quantity 2, licence 1 of what both sides have.
 
     A score of 0.75 needs every comparable one of brand and quantity to agree, and the licence too where only
-    one of them is comparable. So each case is an equi-join on what must agree, of the rows that lack
-    what must not be comparable; a tie for the best is no match. Products are reduced to distinct (brand, quantity, licence) first.
+    one of them is comparable; a licence alone decides where neither is. In each case the score depends on the licence besides
+    the key only, so products are counted per (key, licence) before they meet scans. Scans are reduced to distinct
+    signatures. A tie for the best is no match. Of several brand strings any may agree.
     """
-    s = _keys(scans).select("id", "b", "q", "l")
-    r = _keys(registry).groupBy("b", "q", "l").agg(F.min("sku_id").alias("sku"), F.count(F.lit(1)).alias("n"))
-    a, c = s.alias("a"), r.alias("c")
-    same = lambda k: F.col(f"a.{k}") == F.col(f"c.{k}")
-    lacks = lambda k: F.col(f"a.{k}").isNull() | F.col(f"c.{k}").isNull()
-    agree = same("l") | lacks("l")
-    cases = [
-        a.join(c, same("b") & same("q")),
-        a.join(c.where("c.q is null"), same("b") & agree),
-        a.where("a.q is null").join(c.where("c.q is not null"), same("b") & agree),
-        a.join(c.where("c.b is null"), same("q") & agree),
-        a.where("a.b is null").join(c.where("c.b is not null"), same("q") & agree),
-        a.join(c, same("l") & lacks("b") & lacks("q")),
-    ]
-    both = lambda k: (F.col(f"a.{k}").isNotNull() & F.col(f"c.{k}").isNotNull()).cast("int")
-    hit = lambda k: F.coalesce(same(k), F.lit(False)).cast("int")
-    weight = 2 * both("b") + 2 * both("q") + both("l")
-    score = (2 * hit("b") + 2 * hit("q") + hit("l")) / weight
-    pairs = None
-    for case in cases:
-        found = case.select(F.col("a.id").alias("id"), F.col("c.sku").alias("sku"), F.col("c.n").alias("n"), score.alias("score"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    best = pairs.where(F.col("score") >= WEIGHTED_THRESHOLD).groupBy("id", "score").agg(F.min("sku").alias("sku"), F.sum("n").alias("candidates"))
-    top = best.groupBy("id").agg(F.max(F.struct("score", "sku", "candidates")).alias("t"))
-    joined = scans.select("id").join(top, "id", "left")
-    alone = F.col("t.candidates") == 1
+    asked = _comparable(scans, F.col("brand")).select("id", "b", "q", "l")
+    r = registry.select("sku_id", "net_quantity", "licence", F.explode_outer(_brands(registry)).alias("one"))
+    known = _comparable(r, F.col("one")).select("sku_id", "b", "q", "l").distinct()
+    lone = F.concat(F.when(F.col("b").isNull(), "-").otherwise("b"), F.when(F.col("q").isNull(), "-").otherwise("q"))
+    mine = [
+        _key("bq", "b", "q"), F.when(_none("q"), _key("b", "b")), F.when(~_none("q"), _key("b0", "b")), F.when(_none("b"), _key("q", "q")),
+        F.when(~_none("b"), _key("q0", "q")), _key("l", lone, "l")]
+    theirs = [
+        _key("bq", "b", "q"), _key("b", "b"), F.when(_none("q"), _key("b0", "b")), _key("q", "q"), F.when(_none("b"), _key("q0", "q")), _key("l", F.lit("--"), "l"),
+        F.when(_none("b"), _key("l", F.lit("b-"), "l")), F.when(_none("q"), _key("l", F.lit("-q"), "l")), F.when(_none("b", "q"), _key("l", F.lit("bq"), "l"))]
+    products = _keyed(known, theirs).groupBy("key", F.col("l").alias("rl")).agg(F.min("sku_id").alias("sku"), F.count_distinct("sku_id").alias("n"))
+    signatures = asked.select("b", "q", "l").distinct()
+    pairs = _keyed(signatures, mine).join(products, "key")
+    both = (F.col("l").isNotNull() & F.col("rl").isNotNull()).cast("int")
+    hit = F.coalesce(F.col("l") == F.col("rl"), F.lit(False)).cast("int")
+    base = F.when(F.startswith("key", F.lit("bq")), 4).when(F.startswith("key", F.lit("l")), 0).otherwise(2)
+    scored = pairs.withColumn("score", (base + hit) / (base + both)).where(F.col("score") >= WEIGHTED_THRESHOLD)
+    best = scored.groupBy("b", "q", "l", "score").agg(F.min("sku").alias("sku"), F.sum("n").alias("candidates"))
+    top = best.groupBy("b", "q", "l").agg(F.max(F.struct("score", "sku", "candidates")).alias("t")).select(*[F.col(c).alias(f"m{c}") for c in "bql"], "t")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"m{c}")) for c in "bql"])
+    joined, alone = asked.join(top, same, "left"), F.col("t.candidates") == 1
     return joined.select("id", F.when(alone, F.col("t.sku")).alias("sku"), F.when(alone, F.col("t.score")).otherwise(0.0).alias("score"), F.coalesce("t.candidates", F.lit(0)).cast("long").alias("candidates"))
 
 
-def _signature(df: DataFrame) -> DataFrame:
-    q = norm_quantity(F.col("net_quantity"))
-    quantity = F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"])
-    return df.select(
-        "*", F.nullif(norm_text(F.col("brand"), compatible=False), F.lit("")).alias("b"),
-        norm_money(F.col("mrp").cast("string")).cast("string").alias("p"), F.when(q.isNotNull(), quantity).alias("q"))
+def _words(c: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(c, " ")), lambda t: t != "")
+
+
+def _rare_words(signatures: DataFrame, known: DataFrame) -> DataFrame:
+    """`signatures` with `rare`: of each brand's words the rarest, as many as any brand of Jaccard 0.72 must share one of.
+
+    Two sets of that similarity share a word among the n - ceil(0.72 n) + 1 first ones in any common order; the order is by how many
+    known brands hold a word. Brands are reduced to distinct strings first.
+    """
+    counts = known.select("b").where("b is not null").distinct().select(F.explode(_words(F.col("b"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+    brands = signatures.select("b").where("b is not null").distinct().select("b", F.explode(_words(F.col("b"))).alias("word"))
+    ordered = brands.join(counts, "word", "left").groupBy("b").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "word"))).alias("ws"))
+    n = F.size("ws")
+    first = ordered.select(F.col("b").alias("of"), F.transform(F.slice("ws", F.lit(1), (n - F.ceil(F.lit(IDENTITY_THRESHOLD) * n) + 1).cast("int")), lambda x: x["word"]).alias("rare"))
+    return signatures.join(first, F.col("b") == F.col("of"), "left").drop("of")
 
 
 def match_identity(scans: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per scan: status, sku, score: the mean of brand Jaccard, price and quantity equality over what both have.
+    """Per scan: status, sku, score, and per field what it added (null where it was not compared).
 
-    Any score above 0 needs a shared brand token, price or quantity. Scans and products are reduced to
-    distinct signatures first; signatures meet by brand pairs that share a token together with the price and quantity lookups,
-    so the pairs are of signatures, not of rows. The best score wins, then the smallest sku.
+    The score is the mean of brand Jaccard (of the best brand string), price and quantity equality over what both sides have. Of 0.72, three parts
+    need price and quantity to agree, two need the one of them that is compared, and one needs itself: prices and quantities make the keys, and
+    brands only where neither is compared, through their rare words. Scans and products are reduced to distinct signatures. The best score
+    wins, then the smallest sku. Below the threshold the status is REJECTED; an empty registry gives NO_CANDIDATE.
     """
-    s, r = _signature(scans), _signature(registry)
-    asked = s.select("b", "p", "q").distinct()
+    s = scans.select("id", *_identity(F.col("brand")))
+    r = registry.select("sku_id", "mrp", "net_quantity", F.explode_outer(_brands(registry)).alias("one")).select("sku_id", *_identity(F.col("one")))
     known = r.groupBy("b", "p", "q").agg(F.min("sku_id").alias("sku"))
-    words = lambda c: F.filter(F.array_distinct(F.split(F.col(c), r"\s+")), lambda t: t != "")
-    brands = lambda df: df.select("b").where("b is not null").distinct().select("b", words("b").alias("w"))
-    x, y = brands(asked).withColumn("t", F.explode("w")), brands(known).select(F.col("b").alias("rb"), F.col("w").alias("rw"), F.explode("w").alias("t"))
-    shared = F.size(F.array_intersect("w", "rw"))
-    alike = x.join(y, "t").select("b", "rb", (shared / F.size(F.array_union("w", "rw"))).alias("j")).distinct()
-    k = known.select(F.col("b").alias("rb"), F.col("p").alias("rp"), F.col("q").alias("rq"), "sku")
-    # 0.72 of up to three parts needs two of them to agree, or the only comparable one
-    by_brand = asked.join(alike, "b").join(k, "rb")
-    agree = (F.col("p") == F.col("rp")) | (F.col("q") == F.col("rq"))
-    lacking = (F.col("p").isNull() | F.col("rp").isNull()) & (F.col("q").isNull() | F.col("rq").isNull())
-    via_brand = by_brand.where(F.coalesce(agree, F.lit(False)) | lacking).select("b", "p", "q", "rb", "rp", "rq", "sku")
-    via_both = asked.join(k, (F.col("p") == F.col("rp")) & (F.col("q") == F.col("rq"))).select("b", "p", "q", "rb", "rp", "rq", "sku")
-    only = lambda one, other: asked.join(k, (F.col(one) == F.col(f"r{one}")) & (F.col("b").isNull() | F.col("rb").isNull()) & (F.col(other).isNull() | F.col(f"r{other}").isNull())).select("b", "p", "q", "rb", "rp", "rq", "sku")
-    pairs = via_brand.unionByName(via_both).unionByName(only("p", "q")).unionByName(only("q", "p")).distinct()
-    scored = pairs.join(alike, ["b", "rb"], "left")
-    both = lambda c: (F.col(c).isNotNull() & F.col(f"r{c}").isNotNull()).cast("int")
-    hit = lambda c: F.coalesce(F.col(c) == F.col(f"r{c}"), F.lit(False)).cast("int")
-    score = F.round((F.coalesce("j", F.lit(0.0)) + hit("p") + hit("q")) / (both("b") + both("p") + both("q")), 6)
-    order = Window.partitionBy("b", "p", "q").orderBy(F.desc("score"), "sku")
-    best = scored.withColumn("score", score).withColumn("r", F.row_number().over(order)).where((F.col("r") == 1) & (F.col("score") >= IDENTITY_THRESHOLD))
-    best = best.select(*[F.col(c).alias(f"m{c}") for c in "bpq"], "sku", "score")
-    joined = s.select("id", "b", "p", "q").join(best, F.col("b").eqNullSafe(F.col("mb")) & F.col("p").eqNullSafe(F.col("mp")) & F.col("q").eqNullSafe(F.col("mq")), "left")
-    empty = F.col("b").isNull() & F.col("p").isNull() & F.col("q").isNull()
-    status = F.when(F.col("sku").isNotNull(), "MATCHED").when(empty, "NO_CANDIDATE").otherwise("REJECTED")
-    return joined.select("id", status.alias("status"), "sku", "score")
+    asked = _rare_words(s.select("b", "p", "q").distinct(), known)
+    known = _rare_words(known, known)
+    lacking = F.concat(F.when(F.col("p").isNull(), "-").otherwise("p"), F.when(F.col("q").isNull(), "-").otherwise("q"))
+    words = lambda case, when=None: F.transform(F.coalesce("rare", F.array().cast("array<string>")), lambda w: _key("b", case if when is None else F.when(when, case), w))
+    simple = lambda keys: F.array(*keys)
+    mine = simple([_key("pq", "p", "q"), F.when(_none("q"), _key("p", "p")), F.when(~_none("q"), _key("p0", "p")), F.when(_none("p"), _key("q", "q")), F.when(~_none("p"), _key("q0", "q"))])
+    theirs = simple([_key("pq", "p", "q"), _key("p", "p"), F.when(_none("q"), _key("p0", "p")), _key("q", "q"), F.when(_none("p"), _key("q0", "q"))])
+    met = lambda df, keys: df.select("*", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+    x = met(asked, F.concat(mine, words(lacking))).drop("rare")
+    y = met(known, F.concat(theirs, words(F.lit("--")), words(F.lit("p-"), _none("p")), words(F.lit("-q"), _none("q")), words(F.lit("pq"), _none("p", "q"))))
+    pairs = x.join(y.select("key", F.col("b").alias("rb"), F.col("p").alias("rp"), F.col("q").alias("rq"), "sku"), "key")
+    shared = F.size(F.array_intersect(_words(F.col("b")), _words(F.col("rb")))) / F.size(F.array_union(_words(F.col("b")), _words(F.col("rb"))))
+    part = lambda c, value: F.when(F.col(c).isNotNull() & F.col(f"r{c}").isNotNull(), value)
+    equal = lambda c: part(c, (F.col(c) == F.col(f"r{c}")).cast("double"))
+    scored = pairs.select("b", "p", "q", "sku", part("b", shared).alias("brand_score"), equal("p").alias("mrp_score"), equal("q").alias("quantity_score"))
+    parts = [F.col(c) for c in ("brand_score", "mrp_score", "quantity_score")]
+    score = F.round(sum((F.coalesce(c, F.lit(0.0)) for c in parts), F.lit(0.0)) / sum((c.isNotNull().cast("int") for c in parts), F.lit(0)), 6)
+    kept = scored.withColumn("score", score).where(F.col("score") >= IDENTITY_THRESHOLD)
+    best = kept.groupBy("b", "p", "q").agg(F.min(F.struct((-F.col("score")).alias("least"), "sku", "score", *parts)).alias("t"))
+    best = best.select(*[F.col(c).alias(f"m{c}") for c in "bpq"], "t.sku", "t.score", "t.brand_score", "t.mrp_score", "t.quantity_score")
+    same = reduce(lambda i, j: i & j, [F.col(c).eqNullSafe(F.col(f"m{c}")) for c in "bpq"])
+    some = registry.agg((F.count(F.lit(1)) > 0).alias("some"))  # one row
+    joined = s.join(best, same, "left").crossJoin(F.broadcast(some))
+    status = F.when(F.col("sku").isNotNull(), "MATCHED").when(F.col("some"), "REJECTED").otherwise("NO_CANDIDATE")
+    return joined.select("id", status.alias("status"), "sku", "score", "brand_score", "mrp_score", "quantity_score")
+
+
+def _identity(brand: Column) -> list[Column]:
+    """b, p, q in the server's normal forms, null where there is nothing to compare."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    # the price is read as the pack prints it: its number, else its text
+    price = F.coalesce(norm_money(F.col("mrp").cast("string")).cast("string"), F.col("mrp").cast("string"))
+    return [filled(server_text(brand)).alias("b"), filled(server_money(price)).alias("p"), filled(server_quantity(F.col("net_quantity"))).alias("q")]
 
 
 def registry_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -116,15 +154,57 @@ def registry_upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select(*columns)
 
 
+#: Where a registry's row can come from; anything else counts as enrolled from a scan.
+SOURCES = ("IMPORTED", "MANUAL", "ENROLLED_FROM_SCAN")
+
+
+def known_source(source: Column) -> Column:
+    return F.when(F.coalesce(source.isin(*SOURCES), F.lit(False)), source).otherwise("ENROLLED_FROM_SCAN")
+
+
 def authority(source: Column) -> Column:
-    return F.when(source == "IMPORTED", "AUTHORITATIVE").otherwise("ASSERTED")
+    """Only an imported product master settles who is wrong; what was read off a pack asserts."""
+    return F.when(known_source(source) == "IMPORTED", "AUTHORITATIVE").otherwise("ASSERTED")
+
+
+def sku_list(registry: DataFrame) -> DataFrame:
+    return registry.orderBy("sku_id")
 
 
 def registry_compare(scans: DataFrame, registry: DataFrame) -> DataFrame:
-    """Scans with a sku against its registered price: status by authority, NOT_ASSESSABLE without a value."""
-    joined = scans.alias("s").join(registry.select("sku_id", F.col("mrp").alias("registered"), "source"), "sku_id", "left")
-    seen, known = norm_money(F.col("mrp")), F.col("registered").cast("double")
-    status = (
-        F.when(F.col("sku_id").isNull() | known.isNull() | seen.isNull(), "NOT_ASSESSABLE").when(seen == known, "PASS")
-        .when(authority(F.col("source")) == "AUTHORITATIVE", "FAIL").otherwise("NEEDS_REVIEW"))
-    return joined.select("id", status.alias("status"))
+    """Scans with a sku against what is registered: id, field, status of price, quantity and brand, any of several brand strings.
+
+    NOT_ASSESSABLE without a value on either side; a mismatch fails against an authoritative row and is for review otherwise.
+    """
+    r = registry.select("sku_id", F.col("mrp").cast("string").alias("r_mrp"), F.col("net_quantity").alias("r_quantity"), _brands(registry).alias("r_brands"), "source")
+    joined = scans.join(r, "sku_id", "left")
+    sound = lambda values: F.filter(values, lambda v: v.isNotNull())
+    entry = lambda field, seen, values: F.struct(F.lit(field).alias("field"), F.col(seen).alias("seen"), sound(values).alias("values"))
+    entries = F.array(entry("mrp", "mrp", F.array("r_mrp")), entry("net_quantity", "net_quantity", F.array("r_quantity")), entry("brand", "brand", F.coalesce("r_brands", F.array().cast("array<string>"))))
+    each = joined.select("id", "source", F.explode(entries).alias("e")).select("id", "source", "e.field", nfkc(F.col("e.seen")).alias("seen"), nfkc_all(F.col("e.values")).alias("values"), (F.size("e.values") == 0).alias("none"))
+    seen = F.trim(F.coalesce("seen", F.lit(""))) != ""
+    equal = F.exists("values", lambda v: values_equal(F.col("field"), F.col("seen"), v, compatible=False))
+    status = F.when(~seen | F.col("none"), "NOT_ASSESSABLE").when(equal, "PASS").when(authority(F.col("source")) == "AUTHORITATIVE", "FAIL").otherwise("NEEDS_REVIEW")
+    return each.select("id", "field", status.alias("status"))
+
+
+def matchable_fields(agreed: DataFrame) -> DataFrame:
+    """The agreed fields that can tell a product: not a caption alone, not blank."""
+    return agreed.where(~F.coalesce("anchor_only", F.lit(False)) & (F.trim(F.coalesce("value", F.lit(""))) != ""))
+
+
+def enrol_from_scan(agreed: DataFrame, sku: Column | None = None) -> DataFrame:
+    """A registry row a scan out of its agreed fields: money as a number, the licence as digits, brand as the one brand string."""
+    fields = ("brand", "mrp", "net_quantity", "manufacturer_address", "consumer_care", "fssai_licence")
+    wide = matchable_fields(agreed).groupBy("scan_id").pivot("field", list(fields)).agg(F.min("value"))
+    licence = F.nullif(F.regexp_replace("fssai_licence", r"\D", ""), F.lit(""))
+    return wide.select(
+        (F.concat(F.lit("SCAN-"), F.col("scan_id").cast("string")) if sku is None else sku).alias("sku_id"), "scan_id",
+        F.when(F.col("brand").isNotNull(), F.array("brand")).otherwise(F.array().cast("array<string>")).alias("brand_strings"), norm_money(F.col("mrp")).alias("mrp_exact"), "net_quantity",
+        "manufacturer_address", "consumer_care", licence.alias("fssai_licence"), F.lit("ENROLLED_FROM_SCAN").alias("source"))
+
+
+def enrol_allowed(enrolments: DataFrame, devices: DataFrame) -> DataFrame:
+    """`enrolments` (device_id) with allowed: whether the device is an inspector's. What is not goes to quarantine."""
+    inspectors = devices.where("role = 'INSPECTOR'").select(F.col("device_id").alias("of")).distinct()
+    return enrolments.join(inspectors, F.col("device_id") == F.col("of"), "left").withColumn("allowed", F.col("of").isNotNull()).drop("of")

@@ -1,74 +1,202 @@
-"""Rules over declared fields: every scan meets every rule; unknown is a status with a reason."""
+"""Rules as data over declared fields: every scan meets every rule; unknown is a status with a reason."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.functions.dates import date_shift, label_date, label_period
-from packlens.functions.once import once
-
-#: rule, order, field, check
-RULES = (
-    ("MRP-01", 1, "mrp", "field_present"), ("QTY-01", 2, "net_quantity", "field_present"), ("CARE-01", 3, "consumer_care", "field_present"),
-    ("TAX-01", 4, "tax_inclusive", "field_present"), ("MFG-01", 5, "mfg_date", "field_present"), ("MFG-02", 6, "mfg_date", "date_not_future"),
-    ("BATCH-01", 7, "batch_number", "field_present"), ("EXPIRY-01", 8, "expiry", "date_marking"), ("EXPIRY-02", 9, "expiry", "date_order"),
-    ("EXPIRY-03", 10, "expiry", "not_expired"), ("FSSAI-01", 11, "fssai_licence", "field_present"),
-)
-CHECKS = ("field_present", "date_not_future", "date_marking", "date_order", "not_expired")
-#: Packs of at most this size need no contact.
-SMALL_PACK = (10.0, ("CARE-01",))
+from packlens.functions.dates import certainly_after, certainly_before, date_shift, describe, label_date, label_period, possibly_after, resolved
+from packlens.functions.normalize import nfkc, nfkc_all, norm_quantity, values_equal
+
+#: Fields that an extractor can find: what is absent of these is absent from the pack.
+EXTRACTABLE = ("mrp", "net_quantity", "manufacturer_address", "consumer_care", "mfg_date", "batch_number", "expiry", "fssai_licence", "tax_inclusive", "brand")
+CHECKS = ("field_present", "matches_registry", "role_present", "date_marking", "date_not_future", "date_order", "not_expired", "min_height_mm")
+ROLES = ("manufacturer", "packer", "importer", "marketer", "unknown")
 #: Worst first, by what they are ranked for; the two orders differ on purpose.
 VERDICT_ORDER = ("FAIL", "NOT_ASSESSABLE", "NEEDS_REVIEW", "PASS")
 GROUP_ORDER = ("NOT_ASSESSABLE", "FAIL", "NEEDS_REVIEW", "PASS", "NOT_APPLICABLE", "EXEMPT")
+CANONICAL = Path(__file__).resolve().parent.parent / "rules.json"
+
+RULE = """rule_id string, ord int, name string, field string, citation string, check string, registry_key string, role string, relative_requires string,
+    after_field string, min_mm double, needs_legal_confirmation boolean, needs_calibration boolean"""
+EXEMPTION = "exemption_id string, ex_ord int, field string, op string, value double, unit string, exempts array<string>, citation string"
+
+
+def load_rules(spark: SparkSession, text: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Rules and exemptions as tables of tens of rows, and the set's version, source_citation and height_metric.
+
+    text: the rules as JSON; the package's own without it. A set without one of the three, and a rule or exemption without a
+    citation, a check or a condition is refused, and so is a check that no operator does.
+    """
+    root = json.loads(CANONICAL.read_text() if text is None else text)
+    if not root:
+        raise ValueError("the rules are empty")
+    about = {k: _needed(root, k, "the rules") for k in ("version", "source_citation", "height_metric")}
+    rules = [_rule(r, i) for i, r in enumerate(root.get("rules") or [], 1)]
+    exemptions = [_exemption(e, i) for i, e in enumerate(root.get("exemptions") or [], 1)]
+    return spark.createDataFrame(rules, RULE), spark.createDataFrame(exemptions, EXEMPTION), about
+
+
+def _needed(raw: Mapping, key: str, of: str):
+    if raw.get(key) is None:
+        raise ValueError(f"{of}: no {key}")
+    return raw[key]
 
 
-def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    unknown = {r[3] for r in rules} - set(CHECKS)
-    if unknown:
-        raise ValueError(f"unknown checks: {sorted(unknown)}")
-    return spark.createDataFrame(list(rules), "rule_id string, ord int, field string, check string")
+def _rule(raw: Mapping, order: int) -> tuple:
+    name = f"rule {raw.get('id')}"
+    check, citation = _needed(raw, "check", name), str(_needed(raw, "citation", name))
+    if check.get("type") not in CHECKS:
+        raise ValueError(f"{name}: unknown check {check.get('type')}")
+    params = check.get("params") or {}
+    least = params.get("min_mm")
+    return (
+        str(raw.get("id", "")), order, str(raw.get("name", "")), str(raw.get("field", "")), citation, check["type"], check.get("registry_key"), check.get("role"),
+        check.get("relative_requires"), check.get("after_field"), None if least is None else float(least),
+        bool(params.get("needs_legal_confirmation", False)), bool(params.get("needs_calibration", False)))
 
 
-def rules_x_fields(declared: DataFrame, rules: DataFrame) -> DataFrame:
+def _exemption(raw: Mapping, order: int) -> tuple:
+    name = f"exemption {raw.get('id')}"
+    c, citation = _needed(raw, "condition", name), str(_needed(raw, "citation", name))
+    return str(raw.get("id", "")), order, str(c.get("field", "")), str(c.get("op", "")), float(c.get("value", 0.0)), c.get("unit"), [str(x) for x in raw.get("exempts") or []], citation
+
+
+def condition_compare(value: Column, op: Column, limit: Column, unit: Column) -> Column:
+    """Whether a declared value meets a condition; false where it cannot be read, has another unit, or the operator is unknown.
+
+    With a unit both sides are quantities in g or ml; without one the value must be a number.
+    """
+    seen, asked = norm_quantity(value), norm_quantity(F.concat_ws(" ", limit.cast("string"), unit))
+    same = seen["unit"] == asked["unit"]
+    left = F.when(unit.isNotNull(), F.when(same, seen["magnitude"])).otherwise(F.trim(value).try_cast("double"))
+    right = F.when(unit.isNotNull(), asked["magnitude"]).otherwise(limit)
+    held = F.when(op == "lte", left <= right).when(op == "lt", left < right).when(op == "gte", left >= right).when(op == "gt", left > right).when(op == "eq", left == right)
+    return F.coalesce(held, F.lit(False))
+
+
+def exemptions_of(declared: DataFrame, exemptions: DataFrame) -> DataFrame:
+    """scan_id, rule_id, exemption_id, ex_citation of the rules that a scan is exempt from: the first exemption that holds."""
+    e = F.broadcast(exemptions.withColumnRenamed("value", "limit"))  # tens of rows
+    met = declared.join(e, "field").where(condition_compare(F.col("value"), F.col("op"), F.col("limit"), F.col("unit")))
+    each = met.select("scan_id", F.explode("exempts").alias("rule_id"), F.struct("ex_ord", "exemption_id", "citation").alias("e"))
+    return each.groupBy("scan_id", "rule_id").agg(F.min("e").alias("e")).select("scan_id", "rule_id", F.col("e.exemption_id").alias("exemption_id"), F.col("e.citation").alias("ex_citation"))
+
+
+def rules_x_fields(scans: DataFrame, declared: DataFrame, rules: DataFrame) -> DataFrame:
     """Each scan with each rule, with the declared field where there is one. `rules` has tens of rows."""
-    scans = declared.select("scan_id").distinct()
-    grid = scans.crossJoin(F.broadcast(rules))
+    grid = scans.select("scan_id").crossJoin(F.broadcast(rules))
     return grid.join(declared, ["scan_id", "field"], "left")
 
 
-def evaluate(declared: DataFrame, rules: DataFrame, today: str, quantities: DataFrame | None = None) -> DataFrame:
-    """scan_id, rule_id, ord, field, status, observed. `declared`: scan_id, field, value, anchor_only, relative.
+def _filled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.select("*", *[F.lit(None).cast(kind).alias(n) for n, kind in columns.items() if n not in df.columns])
+
 
-    `today` is the day that dates are held against. quantities: scan_id, magnitude for the exemption of small packs.
+def _outcome(*cases: tuple[Column | None, str, str | None]) -> Column:
+    """struct(status, reason) of the first case whose condition holds; the last has none."""
+    made = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+    out = made(*cases[-1][1:])
+    for condition, status, reason in reversed(cases[:-1]):
+        out = F.when(F.coalesce(condition, F.lit(False)), made(status, reason)).otherwise(out)
+    return out
+
+
+def evaluate(
+    declared: DataFrame, rules: DataFrame, exemptions: DataFrame, today: str, scans: DataFrame | None = None,
+    registry: DataFrame | None = None, roles: DataFrame | None = None, heights: DataFrame | None = None, scales: DataFrame | None = None,
+) -> DataFrame:
+    """One finding per scan and rule: scan_id, rule_id, ord, field, status, reason, observed, confidence, citation, evidence.
+
+    declared: scan_id, field, value, and if known anchor_only (a caption without a value), relative, confidence, agreement, frames; one row a
+    scan and field. scans: scan_id of all scans (those of `declared` without it). registry: scan_id, authority, mrp_exact, net_quantity, brand_strings
+    of the scans that are matched to a product. roles: scan_id, role (lower case; unknown for addresses without a caption). heights: scan_id, field,
+    low_mm, high_mm. scales: scan_id, unavailable. `today` is the day that dates are held against.
+
+    An exempt rule is not evaluated. What is not declared has confidence 0. Every unknown has a status and a reason of its own: NOT_APPLICABLE tells of
+    the setup, NOT_ASSESSABLE of the scan, NEEDS_REVIEW of evidence that does not settle it.
     """
     day = F.lit(today).cast("date")
-    made = declared.where("field = 'mfg_date'").select("scan_id", F.col("value").alias("mfg_value"), F.col("anchor_only").alias("mfg_blank"))
-    rows = rules_x_fields(declared, rules).join(made, "scan_id", "left")
-    if quantities is not None:
-        rows = rows.join(quantities.select("scan_id", "magnitude"), "scan_id", "left")
-    else:
-        rows = rows.withColumn("magnitude", F.lit(None).cast("double"))
+    spark = declared.sparkSession
+    declared = _filled(declared, {"anchor_only": "boolean", "relative": "boolean", "confidence": "double", "agreement": "int", "frames": "int"})
+    declared = declared.select("scan_id", "field", "value", "anchor_only", "relative", "confidence", "agreement", "frames")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    kind = dict(declared.dtypes)["scan_id"]
+    registry = empty(f"scan_id {kind}, authority string, mrp_exact double, net_quantity string, brand_strings array<string>") if registry is None else registry
+    roles = empty(f"scan_id {kind}, role string") if roles is None else roles
+    heights = empty(f"scan_id {kind}, field string, low_mm double, high_mm double") if heights is None else heights
+    scales = empty(f"scan_id {kind}, unavailable string") if scales is None else scales
+
+    # dates are read once a distinct text, and only of the fields that date rules name
+    dated = declared.where(F.col("field").isin("mfg_date", "expiry") | F.col("field").isin(*_date_fields(rules)))
+    read = resolved(dated, "value", own=label_date, period=label_period).select("scan_id", "field", "own", "period", F.coalesce("anchor_only", F.lit(False)).alias("blank"))
+    other = read.select("scan_id", F.col("field").alias("other"), F.col("own").alias("o_own"), F.col("blank").alias("o_blank"))
+    rows = rules_x_fields(declared.select("scan_id").distinct() if scans is None else scans, declared, rules)
+    rows = rows.join(read.drop("blank"), ["scan_id", "field"], "left").withColumn("other", F.coalesce("after_field", "relative_requires"))
+    rows = rows.join(other, ["scan_id", "other"], "left")
+    facts = registry.select("scan_id", F.lit(True).alias("registered"), "authority", "mrp_exact", F.col("net_quantity").alias("r_quantity"), "brand_strings")
+    rows = rows.join(facts, "scan_id", "left")
+    named = roles.groupBy("scan_id").agg(F.collect_set(F.lower("role")).alias("roles"))  # at most five values
+    rows = rows.join(named, "scan_id", "left").join(heights.select("scan_id", "field", "low_mm", "high_mm"), ["scan_id", "field"], "left")
+    rows = rows.join(scales.select("scan_id", "unavailable"), "scan_id", "left").join(exemptions_of(declared, exemptions), ["scan_id", "rule_id"], "left")
+
     seen, blank = F.col("value").isNotNull(), F.coalesce(F.col("anchor_only"), F.lit(False))
-    relative = F.coalesce(F.col("relative"), F.lit(False))
-    made_date = label_date(F.col("mfg_value"))
-    rows = once(rows, {"made": made_date, "own": label_date(F.col("value")), "period": label_period(F.col("value"))})
-    rows = once(rows, {"date": F.when(relative, date_shift(F.col("made"), F.col("period"))).otherwise(F.col("own"))})
-    first, last = F.col("date.earliest"), F.col("date.latest")
-    has_date, has_made = F.col("date").isNotNull(), F.col("made").isNotNull()
-    made_known = F.col("mfg_value").isNotNull() & ~F.coalesce(F.col("mfg_blank"), F.lit(False))
-    outcomes: dict[str, Column] = {
-        "field_present": F.when(seen & ~blank, "PASS").otherwise("FAIL"),
-        "date_not_future": F.when(~seen, "NOT_APPLICABLE").when(~has_date, "NOT_ASSESSABLE").when(first > day, "FAIL").when(last > day, "NEEDS_REVIEW").otherwise("PASS"),
-        "date_marking": F.when(~seen | blank, "FAIL").when(relative & ~made_known, "FAIL").otherwise("PASS"),
-        "date_order": F.when(~has_date | ~has_made, "NOT_APPLICABLE").when(F.col("made.earliest") > last, "FAIL").when(first >= F.col("made.latest"), "PASS").otherwise("NEEDS_REVIEW"),
-        "not_expired": F.when(~seen, "NOT_APPLICABLE").when(~has_date, "NOT_ASSESSABLE").when(last < day, "FAIL").when(first < day, "NEEDS_REVIEW").otherwise("PASS"),
+    relative, text = F.coalesce(F.col("relative"), F.lit(False)), F.trim(F.coalesce("value", F.lit("")))
+    absent = (~seen & ~F.col("field").isin(*EXTRACTABLE), "NOT_APPLICABLE", "field_not_extractable")
+    own, anchor = F.when(~blank & (text != ""), F.col("own")), F.when(~F.col("o_blank"), F.col("o_own"))
+    # a date, or else a period counted from another declared date
+    date = F.coalesce(own, F.when(~blank, date_shift(anchor, F.col("period"))))
+    expected = (
+        F.when(F.col("registry_key") == "mrp_exact", F.when(F.col("mrp_exact").isNotNull(), F.array(F.col("mrp_exact").cast("string"))))
+        .when(F.col("registry_key") == "net_quantity", F.when(F.col("r_quantity").isNotNull(), F.array("r_quantity")))
+        .when(F.col("registry_key") == "brand_strings", F.when(F.size("brand_strings") > 0, F.col("brand_strings"))))
+    equal = F.exists(F.col("expected_c"), lambda v: values_equal(F.col("field"), F.col("value_c"), v, compatible=False))
+    rows = rows.withColumn("expected_c", nfkc_all(expected)).withColumn("value_c", nfkc(F.col("value")))
+    role, known = F.lower("role"), F.coalesce("roles", F.array().cast("array<string>"))
+    outcomes = {
+        "field_present": _outcome((seen & blank, "FAIL", None), (seen, "PASS", None), absent, (None, "FAIL", None)),
+        "matches_registry": _outcome(
+            (F.col("registered").isNull(), "NOT_APPLICABLE", "registry_unpopulated"), absent, (~seen | blank, "FAIL", None), (F.col("registry_key").isNull(), "NOT_ASSESSABLE", "registry_key_missing"),
+            (F.col("expected_c").isNull(), "NOT_ASSESSABLE", "registry_unpopulated"), (equal, "PASS", None), (F.col("authority") == "AUTHORITATIVE", "FAIL", None), (None, "NEEDS_REVIEW", None)),
+        "role_present": _outcome(
+            (blank, "FAIL", None), (role.isNull(), "NOT_ASSESSABLE", "role_missing"), (~role.isin(*ROLES), "NOT_ASSESSABLE", "role_unknown"), (F.array_contains(known, role), "PASS", None),
+            (F.array_contains(known, "unknown"), "NEEDS_REVIEW", None), (None, "FAIL", None)),
+        "date_marking": _outcome(absent, (~seen | blank, "FAIL", None), (relative & F.col("relative_requires").isNotNull() & (F.col("o_blank").isNull() | F.col("o_blank")), "FAIL", None), (None, "PASS", None)),
+        "date_not_future": _outcome(
+            (~seen | blank, "NOT_APPLICABLE", "no_date_declared"), (F.col("own").isNull(), "NOT_ASSESSABLE", "date_unparsed"), (F.col("own.earliest") > day, "FAIL", None),
+            (possibly_after(F.col("own"), day), "NEEDS_REVIEW", None), (None, "PASS", None)),
+        "date_order": _outcome(
+            (F.col("after_field").isNull(), "NOT_ASSESSABLE", "order_unconfigured"), (date.isNull() | anchor.isNull(), "NOT_APPLICABLE", "date_pair_incomplete"), (certainly_after(anchor, date), "FAIL", None),
+            (certainly_after(date, anchor) | (date["earliest"] == anchor["earliest"]), "PASS", None), (None, "NEEDS_REVIEW", None)),
+        "not_expired": _outcome(
+            (~seen | blank, "NOT_APPLICABLE", "no_date_declared"), (date.isNull(), "NOT_ASSESSABLE", "date_unresolved"), (certainly_before(date, day), "FAIL", None),
+            (date["earliest"] < day, "NEEDS_REVIEW", None), (None, "PASS", None)),
+        "min_height_mm": _outcome(
+            (F.col("low_mm").isNull() & F.col("unavailable").isNotNull(), "NOT_APPLICABLE", "height_scale_unavailable"), (F.col("low_mm").isNull(), "NOT_ASSESSABLE", "height_not_measured"),
+            (F.col("min_mm").isNull(), "NOT_ASSESSABLE", "threshold_unconfigured"), (F.col("needs_legal_confirmation") | F.col("needs_calibration"), "NEEDS_REVIEW", None),
+            (F.col("low_mm") >= F.col("min_mm"), "PASS", None), (F.col("high_mm") < F.col("min_mm"), "FAIL", None), (None, "NEEDS_REVIEW", None)),
     }
-    status = F.lit(None).cast("string")
-    for check, outcome in outcomes.items():
-        status = F.when(F.col("check") == check, outcome).otherwise(status)
-    exempt = F.col("rule_id").isin(*SMALL_PACK[1]) & F.coalesce(F.col("magnitude") <= SMALL_PACK[0], F.lit(False))
-    return rows.select("scan_id", "rule_id", "ord", "field", F.when(exempt, "EXEMPT").otherwise(status).alias("status"), F.col("value").alias("observed"))
+    outcome = None
+    for check, made in outcomes.items():
+        outcome = F.when(F.col("check") == check, made) if outcome is None else outcome.when(F.col("check") == check, made)
+    rows = rows.withColumn("outcome", outcome).withColumn("exempt", F.col("exemption_id").isNotNull())
+    shown = F.when(~F.col("exempt"), F.col("value"))
+    votes = F.when(seen & F.col("agreement").isNotNull(), F.concat(F.col("agreement").cast("string"), F.lit("/"), F.col("frames").cast("string"), F.lit(" frames")))
+    evidence = F.when(F.col("exempt"), F.create_map(F.lit("exemption_id"), F.col("exemption_id"))).when(votes.isNotNull(), F.create_map(F.lit("check"), F.col("check"), F.lit("agreement"), votes)).otherwise(F.create_map(F.lit("check"), F.col("check")))
+    return rows.select(
+        "scan_id", "rule_id", "ord", "field", F.when(F.col("exempt"), "EXEMPT").otherwise(F.col("outcome.status")).alias("status"), F.when(~F.col("exempt"), F.col("outcome.reason")).alias("reason"),
+        shown.alias("observed"), F.when(F.col("exempt"), 1.0).when(seen, F.coalesce("confidence", F.lit(0.0))).otherwise(0.0).alias("confidence"),
+        F.when(F.col("exempt"), F.col("ex_citation")).otherwise(F.col("citation")).alias("citation"), evidence.alias("evidence"))
+
+
+def _date_fields(rules: DataFrame) -> list[str]:
+    """The fields that date rules read: a few names out of tens of rows."""
+    named = rules.where(F.col("check").isin("date_marking", "date_not_future", "date_order", "not_expired"))
+    return sorted({v for r in named.select("field", "relative_requires", "after_field").collect() for v in r if v})
 
 
 def _rank(status: Column, order: tuple[str, ...]) -> Column:
@@ -77,8 +205,12 @@ def _rank(status: Column, order: tuple[str, ...]) -> Column:
 
 def verdict_rollup(findings: DataFrame) -> DataFrame:
     """The worst status of each scan; one where nothing was evaluated is NOT_ASSESSABLE."""
+    return findings.groupBy("scan_id").agg(_verdict().alias("verdict"))
+
+
+def _verdict() -> Column:
     worst = F.min(F.when(F.col("status").isin(*VERDICT_ORDER), _rank(F.col("status"), VERDICT_ORDER)))
-    return findings.groupBy("scan_id").agg(F.coalesce(F.get(F.array(*[F.lit(v) for v in VERDICT_ORDER]), worst - 1), F.lit("NOT_ASSESSABLE")).alias("verdict"))
+    return F.coalesce(F.get(F.array(*[F.lit(v) for v in VERDICT_ORDER]), worst - 1), F.lit("NOT_ASSESSABLE"))
 
 
 def field_groups(findings: DataFrame) -> DataFrame:
@@ -89,13 +221,40 @@ def field_groups(findings: DataFrame) -> DataFrame:
 
 
 def caveats(findings: DataFrame) -> DataFrame:
-    """Per scan the rules that could not be told, as 'N check(s): ids'; empty text when none."""
-    held = F.col("status").isin("NOT_APPLICABLE", "NOT_ASSESSABLE")
-    ids = F.array_sort(F.collect_list(F.when(held, F.col("rule_id"))))
-    g = findings.groupBy("scan_id").agg(ids.alias("ids"))
-    return g.select("scan_id", F.when(F.size("ids") > 0, F.concat(F.size("ids").cast("string"), F.lit(" check(s): "), F.array_join("ids", ", "))).otherwise("").alias("caveats"))
+    """Per scan and status the rules that did not apply or could not be told, and what the verdict means.
+
+    scan_id, not_applicable, partial ('' where there are none), verdict, explanation.
+    """
+    ids = lambda status: F.array_sort(F.collect_list(F.when(F.col("status") == status, F.col("rule_id"))))
+    g = findings.groupBy("scan_id").agg(ids("NOT_APPLICABLE").alias("a"), ids("NOT_ASSESSABLE").alias("b"), _verdict().alias("verdict"))
+    told = lambda c, words: F.when(F.size(c) > 0, F.concat(F.lit(" "), F.size(c).cast("string"), F.lit(words), F.array_join(c, ", "), F.lit("."))).otherwise("")
+    g = g.select("scan_id", told("a", " check(s) did not apply: ").alias("not_applicable"), told("b", " check(s) could not be assessed: ").alias("partial"), "verdict")
+    meaning = (
+        F.when(F.col("verdict") == "PASS", F.concat(F.lit("Every check that applied passed."), "not_applicable", "partial"))
+        .when(F.col("verdict") == "FAIL", F.concat(F.lit("One or more declarations do not meet what is cited."), "not_applicable", "partial"))
+        .when(F.col("verdict") == "NEEDS_REVIEW", "A person must decide on the flagged checks.").otherwise("Not enough evidence to judge."))
+    return g.withColumn("explanation", meaning)
 
 
 def blocking_checks(findings: DataFrame) -> DataFrame:
     """The findings whose status is their scan's verdict."""
     return findings.join(verdict_rollup(findings), "scan_id").where("status = verdict and verdict <> 'PASS'").select("scan_id", "rule_id", "status")
+
+
+def violations(findings: DataFrame) -> DataFrame:
+    """Findings that a reader must look at: failed, or not assessable."""
+    return findings.where(F.col("status").isin("FAIL", "NOT_ASSESSABLE"))
+
+
+def finding_validate(findings: DataFrame) -> DataFrame:
+    """`findings` with `fault`, null where sound: a rule and a citation, a confidence in [0, 1], a reason where not assessable."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    fault = (
+        F.when(blank("rule_id"), "no_rule").when(blank("citation"), "no_citation").when(~F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False)), "confidence")
+        .when((F.col("status") == "NOT_ASSESSABLE") & blank("reason"), "no_reason"))
+    return findings.withColumn("fault", fault)
+
+
+def report_order(groups: DataFrame) -> DataFrame:
+    """Field groups as a report lists them: by scan, worst first, then by field."""
+    return groups.orderBy("scan_id", _rank(F.col("status"), GROUP_ORDER), "field")

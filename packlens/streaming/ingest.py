@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from packlens.operators.fleet import VERDICTS
+from packlens.operators.fleet import VERDICTS, product_key
+from packlens.operators.match import registry_upsert
 
 
 def first_copies(scans: DataFrame, order: list[str]) -> DataFrame:
@@ -14,19 +17,32 @@ def first_copies(scans: DataFrame, order: list[str]) -> DataFrame:
     return scans.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("r = 1").drop("r")
 
 
-def insert_new(spark: SparkSession, batch: DataFrame, path: str, order: list[str]) -> None:
-    """Adds the valid rows of a batch whose ids the folder lacks.
+#: Ids are dealt into so many folders, so that a batch rereads those of its own ids' folders only.
+ID_FOLDERS = 64
+
+
+def insert_new(spark: SparkSession, batch: DataFrame, path: str, order: list[str], folders: int = ID_FOLDERS) -> None:
+    """Adds the valid rows of a batch whose ids the folder lacks; rows lie in `part=` folders by their id's hash.
 
     A batch that runs again adds nothing; writers must not run at once.
     """
-    fresh = first_copies(batch.where(F.col("verdict").isin(*VERDICTS)), order)
+    part = F.pmod(F.xxhash64("id"), F.lit(folders)).cast("int")
+    fresh = first_copies(batch.where(F.col("verdict").isin(*VERDICTS)), order).withColumn("part", part)
+    touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most `folders` numbers
+    known = _read(spark, path, fresh.select("part", "id").schema)
+    if known is not None:
+        fresh = fresh.join(known.where(F.col("part").isin(touched)).select("id"), "id", "left_anti")
+    fresh.write.mode("append").partitionBy("part").parquet(path)
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The folder as a table, None where it is not there yet."""
     try:
-        known = spark.read.schema(batch.schema).parquet(path).select("id")
-        fresh = fresh.join(known, "id", "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    fresh.write.mode("append").parquet(path)
+        return None
 
 
 def stream_scan_ingest(stream: DataFrame, path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
@@ -38,3 +54,34 @@ def stream_scan_ingest(stream: DataFrame, path: str, checkpoint: str, order: lis
 def stream_verdict_counts(stream: DataFrame, name: str) -> StreamingQuery:
     """Counts over everything received so far, in a memory table."""
     return stream.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+
+def upsert_registry(spark: SparkSession, batch: DataFrame, path: str, number: int) -> None:
+    """Writes the registry after a batch as version `number`: the newest row of each sku. A batch that runs again writes the same version."""
+    before = _read(spark, f"{path}/version={number - 1}", batch.schema) if number else None
+    current = batch.limit(0) if before is None else before
+    registry_upsert(current, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+
+def stream_registry_upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps the registry by last write per sku; the highest version folder is the current one."""
+    spark = stream.sparkSession
+    return stream.writeStream.foreachBatch(lambda batch, n: upsert_registry(spark, batch, path, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_fleet_summary(stream: DataFrame, name: str) -> StreamingQuery:
+    """One row over everything received so far, in a memory table: total, failed, passed, conclusive_rate."""
+    counted = stream.groupBy().agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "FAIL").alias("failed"), F.count_if(F.col("verdict") == "PASS").alias("passed"))
+    rate = F.coalesce(F.round(F.try_divide(F.col("failed") + F.col("passed"), F.col("total")), 4), F.lit(0.0))
+    return counted.withColumn("conclusive_rate", rate).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+
+def stream_conflicts(stream: DataFrame, name: str) -> StreamingQuery:
+    """Products with two or more prices or quantities over everything received so far, in a memory table; values are sorted."""
+    clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    rows = stream.select(product_key().alias("product"), clean("mrp").alias("p"), clean("net_quantity").alias("q")).where("product is not null")
+    grouped = rows.groupBy("product").agg(F.count(F.lit(1)).alias("scans"), F.array_sort(F.collect_set("p")).alias("ps"), F.array_sort(F.collect_set("q")).alias("qs"))
+    many = lambda c: F.when(F.size(c) > 1, F.array_join(c, "|")).otherwise("")
+    out = grouped.where((F.size("ps") > 1) | (F.size("qs") > 1)).select("product", "scans", many("ps").alias("prices"), many("qs").alias("quantities"))
+    return out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
