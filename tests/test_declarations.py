@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packlens.functions.dates import date_shift, describe, label_date, label_period
 from packlens.functions.normalize import norm_money, norm_quantity, norm_text, values_equal
-from packlens.operators import consensus, fleet, measure, rules
+from packlens.operators import consensus, fleet, measure, rules  # noqa: E501
 from packlens.streaming.ingest import stream_scan_ingest
 
 
@@ -17,8 +17,8 @@ def column(spark, values, make):
 
 
 def test_money(spark):
-    raw = ["Rs. 45", "₹45", "45.00", "INR 45/-", "MRP ₹45.00", "Rs. 1,250", "MRP", "|||", None]
-    assert column(spark, raw, norm_money) == [45.0, 45.0, 45.0, 45.0, 45.0, 1250.0, None, None, None]
+    raw = ["Rs. 45", "₹45", "45.00", "INR 45/-", "MRP ₹45.00", "Rs. 1,250", "MRP", "|||", None, "Ｒｓ. ４５"]
+    assert column(spark, raw, norm_money) == [45.0, 45.0, 45.0, 45.0, 45.0, 1250.0, None, None, None, 45.0]
 
 
 def test_quantity(spark):
@@ -68,16 +68,6 @@ def test_votes(spark):
     assert vote(spark, ["500 g", "500g", "0.5 kg"], "net_quantity")[2].votes == 3
 
 
-def test_rules(spark):
-    today = "2026-09-05"
-    for value, blank, status in (("12/2027", False, "FAIL"), ("03/2025", False, "PASS"), ("09/2026", False, "NEEDS_REVIEW"), ("MFD BY", False, "NOT_ASSESSABLE")):
-        declared = spark.createDataFrame([(1, "mfg_date", value, blank, False)], "scan_id long, field string, value string, anchor_only boolean, relative boolean")
-        found = {r.rule_id: r.status for r in rules.evaluate(declared, rules.rule_table(spark), today).collect()}
-        assert found["MFG-02"] == status and found["MRP-01"] == "FAIL"
-    with pytest.raises(ValueError):
-        rules.rule_table(spark, (("X", 1, "mrp", "guess"),))
-
-
 def test_verdict_precedence(spark):
     rows = [(1, "NOT_ASSESSABLE"), (1, "FAIL"), (2, "NOT_ASSESSABLE"), (2, "PASS"), (3, "EXEMPT"), (4, "PASS")]
     f = spark.createDataFrame([(s, f"R{i}", "f", st, None) for i, (s, st) in enumerate(rows)], "scan_id long, rule_id string, field string, status string, observed string")
@@ -87,8 +77,8 @@ def test_verdict_precedence(spark):
 
 def test_conflicts(spark):
     rows = [("a", None, "45"), ("a", None, "55"), (None, "b", "20"), (None, "b", "20"), (None, " b ", "35"), (None, None, "1"), (None, " ", "2")]
-    scans = spark.createDataFrame([(s, b, m, None) for s, b, m in rows], "sku_id string, brand string, mrp string, net_quantity string")
-    assert {tuple(r) for r in fleet.product_conflicts(scans).collect()} == {("a", 2, "45|55", ""), ("b", 3, "20|35", "")}
+    scans = spark.createDataFrame([(i, -i, s, b, m, None) for i, (s, b, m) in enumerate(rows)], "id long, scanned_at long, sku_id string, brand string, mrp string, net_quantity string")
+    assert {tuple(r) for r in fleet.product_conflicts(scans).collect()} == {("a", 2, "55|45", ""), ("b", 3, "35|20", "")}, "in the order of the scans' times"
     assert fleet.fleet_summary(scans.withColumn("verdict", F.lit("PASS")).limit(0)).first().conclusive_rate == 0.0
 
 
@@ -103,4 +93,4 @@ def test_replay_adds_nothing(spark, tmp_path):
     for run in ("a", "b"):
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
         stream_scan_ingest(stream, str(tmp_path / "out"), str(tmp_path / run), ["at"]).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 0, "PASS"), (2, 0, "PASS")]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).drop("part").collect()) == [(1, 0, "PASS"), (2, 0, "PASS")]
