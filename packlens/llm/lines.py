@@ -73,13 +73,20 @@ def columns(batch: pa.RecordBatch, out: dict[str, pa.DataType], values: dict[str
     return pa.RecordBatch.from_arrays(arrays, names=[*kept, *out])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task holds of long texts follows these and not the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column("__text").to_pylist()]
 
 
 def template_digest(batches: Iterator[pa.RecordBatch], depth: int, fields: int, min_tokens: int) -> Iterator[pa.RecordBatch]:
     kinds = {"content": pa.int64(), "leaves": pa.list_(pa.list_(pa.int64()))}
-    for batch in batches:
+    for batch in sliced(batches):
         got: dict[str, list] = {n: [] for n in kinds}
         for text in texts(batch):
             own = normalised(text)

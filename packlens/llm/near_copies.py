@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm.common import cut, row_key, text_or_empty
-from packlens.llm.lines import signed, texts
+from packlens.llm.lines import signed, sliced, texts
 from packlens.llm.simhash import components, fingerprint_of, links, shingle_hashes
 
 #: A pair at Jaccard 0.8 misses all bands with a chance of (1 - 0.8^4)^16, 2 in 10,000.
@@ -58,7 +58,7 @@ def sketch(own: np.ndarray) -> list[int]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         node, fp, found, facts = [], [], [], []
         for text in texts(batch):
             hashes = shingle_hashes(text, shingle)
@@ -73,7 +73,7 @@ def _digest(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         own = [shingle_set(shingle_hashes(t, shingle)).view(np.int64) for t in texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], names=["node", "own"])
 

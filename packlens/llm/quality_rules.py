@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
-from packlens.llm.lines import columns, content_of, normalised, recurring, signed, texts
+from packlens.llm.lines import columns, content_of, normalised, recurring, signed, sliced, texts
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -64,7 +64,7 @@ def _repeated_plain(words: list[bytes], window: int) -> int:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content"]
     kinds = {n: pa.int64() for n in longs} | {"lines": pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("k", pa.int32())]))}
-    for batch in batches:
+    for batch in sliced(batches):
         got: dict[str, list] = {n: [] for n in kinds}
         for text in texts(batch):
             raw = text.encode("utf-8", "surrogatepass")

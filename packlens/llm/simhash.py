@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
+from packlens.llm.common import cut, opened, row_key, sealed, text_or_empty
 from packlens.llm.lines import signed, texts
 
 SEED = 42
@@ -173,6 +173,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     named = first.where(F.col("__id").isNotNull()).groupBy("__id").agg(F.min("__th").alias("__th"))
     without = first.where(F.col("__id").isNull()).groupBy("fingerprint").agg(F.min("__th").alias("__th"))
     stay = named.unionByName(without.select(F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("__id"), "__th"))
+    # one key for the join and the repeated rows, so that texts are shuffled once
+    key = lambda df: F.xxhash64(df["__id"], df["__th"])
     keyed = sealed(docs, id_col, text_col)
-    kept = keyed.join(stay, same_row(keyed, stay), "left_semi")
-    return opened(kept.dropDuplicates(["__id", "__th"]), docs.columns)
+    kept = keyed.withColumn("__key", key(keyed)).join(stay.select(key(stay).alias("__key")), "__key", "left_semi")
+    return opened(kept.dropDuplicates(["__key"]), docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
-from packlens.llm.lines import columns, signed, texts
+from packlens.llm.lines import columns, signed, sliced, texts
 
 _END = re.compile(r"(?<=[.!?])(?=[ \t\n\r])|(?<=\n)(?=[^\n])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,13 +73,13 @@ def runs(own: list[tuple[int, bytes]], span: int, min_words: int) -> list[tuple[
 
 def _spans(batches: Iterator[pa.RecordBatch], span: int, min_words: int) -> Iterator[pa.RecordBatch]:
     kinds = {"runs": pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))}
-    for batch in batches:
+    for batch in sliced(batches):
         found = [runs(sentences(text), span, min_words) for text in texts(batch)]
         yield columns(batch, kinds, {"runs": [[{"h": h, "at": at, "n": n} for h, at, n in own] for own in found]})
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         got, counts, removed = [], [], []
         for text, cover in zip(batch.column("__row").field(text_col).to_pylist(), batch.column("__cover").to_pylist(), strict=True):
             own = sentences(text or "")
