@@ -13,14 +13,16 @@ import zlib
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from packlens.llm.common import cut, opened, row_key, same_row, sealed, text_or_empty
-from packlens.llm.lines import columns, signed, sliced, texts
+from packlens.llm.lines import signed, sliced, texts
 
 _END = re.compile(r"(?<=[.!?])(?=[ \t\n\r])|(?<=\n)(?=[^\n])")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,24 +74,35 @@ def runs(own: list[tuple[int, bytes]], span: int, min_words: int) -> list[tuple[
 
 
 def _spans(batches: Iterator[pa.RecordBatch], span: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    kinds = {"runs": pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]))}
     for batch in sliced(batches):
-        found = [runs(sentences(text), span, min_words) for text in texts(batch)]
-        yield columns(batch, kinds, {"runs": [[{"h": h, "at": at, "n": n} for h, at, n in own] for own in found]})
+        counts, ends, flat = [], [0], []
+        for text in texts(batch):
+            own = sentences(text)
+            counts.append(len(own))
+            flat += runs(own, span, min_words)
+            ends.append(len(flat))
+        h, at, n = (np.fromiter((r[i] for r in flat), kind, len(flat)) for i, kind in enumerate((np.int64, np.int32, np.int32)))
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(h), pa.array(at), pa.array(n)], ["h", "at", "n"]))
+        yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__th"), pa.array(counts, pa.int32()), found], names=["__id", "__th", "n_sentences", "runs"])
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Only texts that lose a sentence are cut up again."""
     for batch in sliced(batches):
-        got, counts, removed = [], [], []
-        for text, cover in zip(batch.column("__row").field(text_col).to_pylist(), batch.column("__cover").to_pylist(), strict=True):
-            own = sentences(text or "")
-            counts.append(len(own))
-            gone = sorted({own[i][0] for i in cover or []})
-            removed.append(gone)
-            dropped = set(gone)
-            got.append("".join(p for i, p in enumerate(pieces(text)) if i not in dropped) if gone else text)
-        arrays = [batch.column("__row"), pa.array(got, pa.string()), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["__row", "__new", "__n", "__gone"])
+        old, cover = batch.column("__row").field(text_col), batch.column("__cover")
+        hit = cover.is_valid()
+        where = pa.array(np.flatnonzero(hit.to_numpy(zero_copy_only=False)))
+        new, gone = [], []
+        for text, covered in zip(old.take(where).to_pylist(), cover.take(where).to_pylist(), strict=True):
+            own, all_pieces = sentences(text), pieces(text)
+            gone.append(sorted({own[i][0] for i in covered}))
+            dropped = set(gone[-1])
+            new.append("".join(p for i, p in enumerate(all_pieces) if i not in dropped))
+        removed: list[list[int]] = [[]] * batch.num_rows
+        for i, g in zip(where.to_pylist(), gone, strict=True):
+            removed[i] = g
+        text = pc.replace_with_mask(old, hit, pa.array(new, old.type)) if new else old
+        yield pa.RecordBatch.from_arrays([batch.column("__row"), text, batch.column("__n"), pa.array(removed, pa.list_(pa.int32()))], names=["__row", "__new", "__n", "__gone"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 2, min_words: int = 25) -> DataFrame:
@@ -104,7 +117,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("__text"))
-    digest = cut(source.mapInArrow(partial(_spans, span=span, min_words=min_words), f"__id {kind}, __th long, runs array<struct<h: long, at: int, n: int>>"), "spans")
+    digest = cut(source.mapInArrow(partial(_spans, span=span, min_words=min_words), f"__id {kind}, __th long, n_sentences int, runs array<struct<h: long, at: int, n: int>>"), "spans")
     each = digest.select("__id", "__th", F.explode("runs").alias("r"))
     each = each.select("__id", "__th", F.col("r.h").alias("h"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))
     place = F.struct("__id", "__th", "at")
@@ -114,10 +127,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = cut(bounds.where(~F.col("first").eqNullSafe(F.col("last"))).select("h", "first"), "repeated-runs")
     again = each.join(repeated.hint("merge"), "h").where(~place.eqNullSafe(F.col("first")))
     covered = again.groupBy("__id", "__th").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1)))).alias("__cover"))
+    # small rows of the documents, repeated ones once
+    about = digest.groupBy("__id", "__th").agg(F.max("n_sentences").alias("__n"))
+    marks = about.join(covered, same_row(about, covered), "left").select(about["__id"], about["__th"], "__n", "__cover")
     keyed = sealed(docs, id_col, text_col)
-    joined = keyed.join(covered, same_row(keyed, covered), "left").select("__row", "__cover")
+    joined = keyed.join(marks, same_row(keyed, marks), "left").select("__row", "__n", "__cover")
     out = StructType([
         StructField("__row", keyed.schema["__row"].dataType), StructField("__new", StringType()), StructField("__n", IntegerType()),
         StructField("__gone", ArrayType(IntegerType()))])
     done = joined.mapInArrow(partial(_cut_out, text_col=text_col), out)
-    return opened(done, docs.columns, **{text_col: F.col("__new"), "n_sentences": F.col("__n"), "n_removed": F.size("__gone"), "removed": F.col("__gone")})
+    return opened(done, docs.columns, **{text_col: F.col("__new"), "n_sentences": F.coalesce("__n", F.lit(0)), "n_removed": F.size("__gone"), "removed": F.col("__gone")})
