@@ -446,9 +446,11 @@ def verdict_counts_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines to fields to findings to verdicts. Packs that declare everything still have no measured height, so they are not assessable."""
     lines = view(spark, sf_dir, "ocr_lines")
     known = [c for c in lines.columns if c not in ("scan_id", "frame")]
-    roles = extract.tag_addresses(lines.select("scan_id", "frame", *known)).where(F.trim("body") != "").select("scan_id", "role").distinct()
+    roles = extract.tag_addresses(lines.select("scan_id", "frame", *known)).where(F.trim("body") != "").select("scan_id", "role").distinct().persist()
     ruleset, exempt, _ = rules.load_rules(spark)
-    findings = rules.evaluate(extract.extract(lines).drop("frame"), ruleset, exempt, CHECK_DAY, scans=lines.select("scan_id").distinct(), roles=roles)
+    # read several times by the rules: kept by Spark, in memory or on the executors' disks
+    declared = extract.extract(lines).drop("frame").persist()
+    findings = rules.evaluate(declared, ruleset, exempt, CHECK_DAY, scans=lines.select("scan_id").distinct(), roles=roles)
     return fleet.verdict_counts(rules.verdict_rollup(findings))
 
 

@@ -66,7 +66,7 @@ def _findings(spark: SparkSession, sf_dir: str, check: str | None = None, settle
     product = view(spark, sf_dir, "pack_registry")
     product = product.select("scan_id", match.authority(F.col("source")).alias("authority"), "mrp_exact", "net_quantity", F.filter(F.array("brand1", "brand2"), lambda b: b.isNotNull()).alias("brand_strings"))
     return rules.evaluate(
-        view(spark, sf_dir, "declared"), ruleset, exempt, TODAY, scans=view(spark, sf_dir, "packs").select(F.col("k").alias("scan_id")), registry=product,
+        view(spark, sf_dir, "declared").persist(), ruleset, exempt, TODAY, scans=view(spark, sf_dir, "packs").select(F.col("k").alias("scan_id")), registry=product,
         roles=view(spark, sf_dir, "pack_roles"), heights=view(spark, sf_dir, "pack_heights"), scales=view(spark, sf_dir, "pack_scales"))
 
 

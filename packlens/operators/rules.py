@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from packlens.functions.dates import certainly_after, certainly_before, date_shift, describe, label_date, label_period, possibly_after, resolved
 from packlens.functions.normalize import nfkc, nfkc_all, norm_quantity, values_equal
+from packlens.functions.once import once
 
 #: Fields that an extractor can find: what is absent of these is absent from the pack.
 EXTRACTABLE = ("mrp", "net_quantity", "manufacturer_address", "consumer_care", "mfg_date", "batch_number", "expiry", "fssai_licence", "tax_inclusive", "brand")
@@ -144,24 +145,27 @@ def evaluate(
     rows = rows.join(named, "scan_id", "left").join(heights.select("scan_id", "field", "low_mm", "high_mm"), ["scan_id", "field"], "left")
     rows = rows.join(scales.select("scan_id", "unavailable"), "scan_id", "left").join(exemptions_of(declared, exemptions), ["scan_id", "rule_id"], "left")
 
-    seen, blank = F.col("value").isNotNull(), F.coalesce(F.col("anchor_only"), F.lit(False))
-    relative, text = F.coalesce(F.col("relative"), F.lit(False)), F.trim(F.coalesce("value", F.lit("")))
-    absent = (~seen & ~F.col("field").isin(*EXTRACTABLE), "NOT_APPLICABLE", "field_not_extractable")
-    own, anchor = F.when(~blank & (text != ""), F.col("own")), F.when(~F.col("o_blank"), F.col("o_own"))
+    # each of these is read many times below: as columns, the optimizer evaluates and plans them once
+    rows = once(rows, {
+        "seen": F.col("value").isNotNull(), "blank": F.coalesce(F.col("anchor_only"), F.lit(False)), "rel": F.coalesce(F.col("relative"), F.lit(False)),
+        "own_date": F.when(~F.coalesce(F.col("anchor_only"), F.lit(False)) & (F.trim(F.coalesce("value", F.lit(""))) != ""), F.col("own")), "anchor": F.when(~F.col("o_blank"), F.col("o_own")),
+        "expected": nfkc_all(
+            F.when(F.col("registry_key") == "mrp_exact", F.when(F.col("mrp_exact").isNotNull(), F.array(F.col("mrp_exact").cast("string"))))
+            .when(F.col("registry_key") == "net_quantity", F.when(F.col("r_quantity").isNotNull(), F.array("r_quantity")))
+            .when(F.col("registry_key") == "brand_strings", F.when(F.size("brand_strings") > 0, F.col("brand_strings")))),
+        "value_c": nfkc(F.col("value")), "wanted": F.lower("role"), "known": F.coalesce("roles", F.array().cast("array<string>"))})
     # a date, or else a period counted from another declared date
-    date = F.coalesce(own, F.when(~blank, date_shift(anchor, F.col("period"))))
-    expected = (
-        F.when(F.col("registry_key") == "mrp_exact", F.when(F.col("mrp_exact").isNotNull(), F.array(F.col("mrp_exact").cast("string"))))
-        .when(F.col("registry_key") == "net_quantity", F.when(F.col("r_quantity").isNotNull(), F.array("r_quantity")))
-        .when(F.col("registry_key") == "brand_strings", F.when(F.size("brand_strings") > 0, F.col("brand_strings"))))
-    equal = F.exists(F.col("expected_c"), lambda v: values_equal(F.col("field"), F.col("value_c"), v, compatible=False))
-    rows = rows.withColumn("expected_c", nfkc_all(expected)).withColumn("value_c", nfkc(F.col("value")))
-    role, known = F.lower("role"), F.coalesce("roles", F.array().cast("array<string>"))
+    rows = once(rows, {
+        "date": F.coalesce("own_date", F.when(~F.col("blank"), date_shift(F.col("anchor"), F.col("period")))),
+        "equal": F.when(F.col("check") == "matches_registry", F.exists("expected", lambda v: values_equal(F.col("field"), F.col("value_c"), v, compatible=False)))})
+    seen, blank, relative, date, anchor = (F.col(c) for c in ("seen", "blank", "rel", "date", "anchor"))
+    role, known = F.col("wanted"), F.col("known")
+    absent = (~seen & ~F.col("field").isin(*EXTRACTABLE), "NOT_APPLICABLE", "field_not_extractable")
     outcomes = {
         "field_present": _outcome((seen & blank, "FAIL", None), (seen, "PASS", None), absent, (None, "FAIL", None)),
         "matches_registry": _outcome(
             (F.col("registered").isNull(), "NOT_APPLICABLE", "registry_unpopulated"), absent, (~seen | blank, "FAIL", None), (F.col("registry_key").isNull(), "NOT_ASSESSABLE", "registry_key_missing"),
-            (F.col("expected_c").isNull(), "NOT_ASSESSABLE", "registry_unpopulated"), (equal, "PASS", None), (F.col("authority") == "AUTHORITATIVE", "FAIL", None), (None, "NEEDS_REVIEW", None)),
+            (F.col("expected").isNull(), "NOT_ASSESSABLE", "registry_unpopulated"), (F.col("equal"), "PASS", None), (F.col("authority") == "AUTHORITATIVE", "FAIL", None), (None, "NEEDS_REVIEW", None)),
         "role_present": _outcome(
             (blank, "FAIL", None), (role.isNull(), "NOT_ASSESSABLE", "role_missing"), (~role.isin(*ROLES), "NOT_ASSESSABLE", "role_unknown"), (F.array_contains(known, role), "PASS", None),
             (F.array_contains(known, "unknown"), "NEEDS_REVIEW", None), (None, "FAIL", None)),
