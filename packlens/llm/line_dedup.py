@@ -17,7 +17,7 @@ from packlens.llm.lines import recurring, template_digest
 
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    depth: int = 2, fields: int = 3, min_tokens: int = 4, min_contents: int = 8,
+    depth: int = 2, fields: int = 3, min_tokens: int = 4, min_contents: int = 8, measures: bool = True,
 ) -> DataFrame:
     """`docs` with recurring lines cut from the text, and n_lines, n_dropped (int) added.
 
@@ -26,7 +26,7 @@ def line_dedup(
     `min_tokens` tokens never are: they are too short to tell. A document that loses all lines
     stays, with an empty text. Null text stays null. Rows with equal id and text are one document. An empty table stays
     empty. Columns other than the text are passed on as they are, whatever their names; one that is named like a result
-    is replaced by it.
+    is replaced by it. measures: False leaves n_lines and n_dropped out, and the columns as they were but for the text.
     """
     kind = dict(docs.dtypes)[id_col]
     source = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("__text"))
@@ -43,4 +43,6 @@ def line_dedup(
     all_lines = F.split(old, "\n", -1)
     kept = F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__drop"), i))
     text = F.when(F.col("__drop").isNull(), old).otherwise(F.array_join(kept, "\n"))
+    if not measures:
+        return opened(joined, docs.columns, **{text_col: text})
     return opened(joined, docs.columns, **{text_col: text, "n_lines": F.coalesce(F.size(all_lines), F.lit(0)), "n_dropped": F.coalesce(F.size("__drop"), F.lit(0))})

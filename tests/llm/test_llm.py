@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpus_pipeline import near_stage
 from packlens.llm import queries
 from packlens.llm.language_model import discounts, score, score_held_out, train
@@ -582,11 +583,91 @@ def test_nearest(spark):
     assert got[got.query_id == 120].sort_values("rank").vec_id.tolist()[:3] == [100, 101, 102]
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+def plain_contents(text):
+    return "\n".join(y for y in (" ".join(x.split()) for x in (text or "").lower().split("\n")) if y)
+
+
+def plain_pipeline(rows):
+    """The first three stages over (id, text, source), by counting and by comparing all pairs."""
+    hosts = {}
+    for _, t, s in rows:
+        for x in {x for x in plain_contents(t).split("\n") if x}:
+            hosts.setdefault((s, x), set()).add(plain_contents(t))
+    kept = []
+    for i, t, s in rows:
+        words = (t or "").split()
+        lost = sum(len(x.split()) for x in (t or "").lower().split("\n") if x.split() and len(hosts[s, " ".join(x.split())]) > 20)
+        if len(words) >= 20 and 100 * _repeated_plain([w.encode() for w in words], 8) <= 30 * len(words) and 100 * (len(words) - lost) >= 30 * len(words):
+            kept.append((i, t, s))
+    seen = {}
+    for _, t, _ in kept:
+        for x in {leaf for line in t.lower().split("\n") for leaf in plain_templates(" ".join(line.split()))}:
+            seen.setdefault(x, set()).add(plain_contents(t))
+    often = {x for x, some in seen.items() if len(some) > 8}
+    kept = [(i, "\n".join(x for x in t.split("\n") if not often & plain_templates(" ".join(x.lower().split()))), s) for i, t, s in kept]
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))} if t.split() else set()
+    sets = [(i, grams(t)) for i, t, _ in kept]
+    near = [(i, j) for i, a in sets for j, b in sets if i < j and (a == b or 10 * len(a & b) >= 8 * len(a | b))]
+    root = groups(near)
+    return [(i, t, s) for i, t, s in kept if root.get(i, i) == i]
+
 
-    texts = [prose(i, 80) for i in range(60)] + [prose(1, 80)] * 5 + ODD
-    table(spark, texts, sources=[("a", "b", None)[i % 3] for i in range(len(texts))]).drop(*EXTRA).write.parquet(str(tmp_path / "documents.parquet"))
+def test_pipeline(spark, tmp_path):
+    rng = random.Random(40)
+    own = lambda i, n: " ".join("".join(random.Random(1000 * i + k).choices("abcdefghij", k=6)) for k in range(n))
+    frame = ["home about contact imprint terms", "all rights are reserved by nobody"]
+    texts = [f"{frame[0]}\n{own(i, rng.randint(15, 90))}\n{own(i + 500, 9)}\n{frame[1]}" for i in range(70)] + [own(600 + i, 120) for i in range(20)]
+    texts += [texts[75], texts[76].replace(" ", "  "), " ".join([*texts[77].split()[:-1], "changed"]), " ".join(["same few words here"] * 20), *ODD]
+    sources = [("a", "b", None)[i % 3] for i in range(len(texts))]
+    rows = list(zip(range(len(texts)), texts, sources))
+    table(spark, texts, sources=sources).drop(*EXTRA).write.parquet(str(tmp_path / "documents.parquet"))
+    expected = plain_pipeline(rows)
+    assert 60 < len(expected) < 92 and all(frame[0] not in t for _, t, _ in expected)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert out and {"doc_id", "sequence_id", "ids_crc32"} <= set(out[0].asDict())
-    assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
+    code = encoder(tokenizer_path("byte_bpe_50k.json")).tokenizer
+    ids = {i: np.array([*code.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t, _ in expected}
+    size, taken, times = Counter(), Counter(), Counter()
+    for i, t, s in expected:
+        size[s] += len(t.split())
+    for p in out:
+        part = ids[p.doc_id][p.start : p.start + p.length]
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(part.tobytes())
+        times[p.doc_id, p.start, p.length] += 1
+    covered = Counter()
+    for (i, _, n), k in times.items():
+        covered[i] += n * k
+    for i, t, s in expected:
+        assert covered[i] % len(ids[i]) == 0 and covered[i] <= 2 * len(ids[i])
+        taken[s] += covered[i] // len(ids[i]) * len(t.split())
+    total, weight = 1.5 * sum(size.values()), {"a": 3, "b": 1, None: 2}
+    target = {s: total * w / 6 for s, w in weight.items()}
+    if target["a"] > 2 * size["a"]:
+        target = {"a": 2 * size["a"]} | {s: (total - 2 * size["a"]) * weight[s] / 3 for s in ("b", None)}
+    assert all(abs(taken[s] - target[s]) <= 65 for s in target), (taken, target)
+    places = {}
+    for p in out:
+        places.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for some in places.values():
+        at = 0
+        for offset, n in sorted(some):
+            assert offset == at
+            at += n
+        assert at <= 2048
+
+
+def test_stages_take_empty_tables_and_null_columns(spark):
+    docs = table(spark, ["x"]).limit(0)
+    nulls = spark.createDataFrame([(None,) * len(docs.columns)] * 2, docs.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0
+    quality, lines, near, mixing, packing = (stage for _, stage in corpus_pipeline.STAGES)
+    assert quality(spark, nulls, "").count() == 0 and lines(spark, nulls, "").count() == 2 and near(spark, nulls, "").count() == 1
+    assert mixing(spark, nulls, "").count() == 0 and [r.doc_tokens for r in packing(spark, nulls, "").collect()] == [1, 1]
+
+
+def test_very_long_texts(spark):
+    long = prose(50, 200_000)
+    docs = table(spark, [long, long + " end", None, ""])
+    assert line_dedup(docs).count() == substring_dedup(docs).count() == mix(docs).count() == 4
+    assert {r.doc_id: r.component_id for r in simhash_groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert [r.n_removed > 0 for r in substring_dedup(docs).orderBy("doc_id").collect()][:2] == [False, True]
