@@ -222,27 +222,23 @@ agreed AS (SELECT w.scan_id, w.side, w.field, CASE WHEN v >= least(3, frames) TH
 """
 
 
-def _frames(observations: DataFrame) -> DataFrame:
-    return observations.groupBy("scan_id", "side").agg(F.count_distinct("frame").alias("frames"))
-
-
 @_query(_VOTE + "SELECT scan_id, side, field, value, CAST(votes AS BIGINT) AS votes, frames, agreed, confidence FROM agreed")
 def consensus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = view(spark, sf_dir, "observations")
-    return consensus.consensus_vote(o, _frames(o))
+    return consensus.consensus_vote(o)
 
 
 @_query(_VOTE + """SELECT v.scan_id, v.side, v.field, string_agg(concat(v.value, ':', CAST(v.votes AS VARCHAR)), '; ' ORDER BY v.votes DESC, v.first_frame, v.value) AS candidates, any_value(a.frames) AS frames
     FROM votes v JOIN agreed a ON a.scan_id = v.scan_id AND a.side = v.side AND a.field = v.field WHERE NOT a.agreed GROUP BY 1, 2, 3""")
 def consensus_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = view(spark, sf_dir, "observations")
-    return consensus.consensus_failures(o, _frames(o))
+    return consensus.consensus_failures(o)
 
 
 def _two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring scans seen as the two sides of one pack."""
     o = view(spark, sf_dir, "observations")
-    return consensus.consensus_vote(o, _frames(o)).withColumn("scan_id", F.expr("scan_id div 2"))
+    return consensus.consensus_vote(o).withColumn("scan_id", F.expr("scan_id div 2"))
 
 
 @_query(_VOTE + f""", paired AS (SELECT scan_id // 2 AS scan_id, side, field, value, agreed, confidence, agreed AND trim(coalesce(value, '')) <> '' AS filled, {_BUCKET} AS bucket FROM agreed)

@@ -308,8 +308,7 @@ def sync_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unresolved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch numbers that the frames of a side did not settle."""
     o = view(spark, sf_dir, "observations").where("field = 'batch_number'")
-    frames = o.groupBy("scan_id", "side").agg(F.count_distinct("frame").alias("frames"))
-    return consensus.unresolved_fields(consensus.consensus_vote(o, frames))
+    return consensus.unresolved_fields(consensus.consensus_vote(o))
 
 
 @_query("""SELECT k AS image, concat(CAST(year(d) AS VARCHAR), '/', lpad(CAST(month(d) AS VARCHAR), 2, '0'), '/', lpad(CAST(day(d) AS VARCHAR), 2, '0'), '/', CAST(k AS VARCHAR), CASE k % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.png' WHEN 2 THEN '.webp' ELSE '.bin' END) AS image_key FROM packs""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.functions.normalize import norm_field, readable
@@ -24,31 +24,42 @@ def tally(observations: DataFrame) -> DataFrame:
     )
     marked = observations.withColumn("bucket", bucket)
     return marked.groupBy("scan_id", "side", "field", "bucket").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("frame").alias("first_frame"), F.min_by("value", "frame").alias("value"))
+        F.count(F.lit(1)).alias("votes"), F.min("frame").alias("first_frame"), F.min_by("value", "frame").alias("value"), F.collect_set("frame").alias("seen"))
 
 
-def consensus_vote(observations: DataFrame, frames: DataFrame) -> DataFrame:
-    """Per (scan, side, field): value, votes, frames, agreed, confidence = votes / frames.
+def decided(observations: DataFrame) -> DataFrame:
+    """Per (scan, side, field): value, votes, frames, agreed, confidence and candidates (votes, first frame and value, most votes first).
 
-    Needs min(3, frames) votes of the side's frames; the most votes win, then the earliest frame.
-    Where unread or too thin, value is null and agreed false. `frames`: scan_id, side, frames (1 to 5).
+    Readings are dealt by (scan, side) once; what follows needs no other shuffle. Groups are a side's few frames: more than MAX_FRAMES are
+    an error, since the number of votes that are needed rests on them.
     """
-    votes = tally(observations)
+    votes = tally(observations.repartition("scan_id", "side"))
+    by_side = Window.partitionBy("scan_id", "side")
+    frames = F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(by_side))))
+    votes = votes.withColumn("frames", F.when(frames <= MAX_FRAMES, frames).otherwise(F.raise_error(F.lit(f"a side has more than {MAX_FRAMES} frames")).cast("int")))
     can_win = ~F.startswith(F.col("bucket"), F.lit(UNREAD))
     best = F.struct(F.when(can_win, F.col("votes")).otherwise(0).alias("v"), (-F.col("first_frame")).alias("f"), F.col("value"), F.col("bucket"))
-    won = votes.groupBy("scan_id", "side", "field").agg(F.max(best).alias("b")).join(frames, ["scan_id", "side"])
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("least"), "first_frame", "value", "votes")))
+    won = votes.groupBy("scan_id", "side", "field").agg(F.max(best).alias("b"), F.max("frames").alias("frames"), listed.alias("candidates"))
     enough = F.col("b.v") >= F.least(F.lit(MIN_VOTES), F.col("frames"))
     return won.select(
         "scan_id", "side", "field", F.when(enough, F.when(F.col("b.bucket") == BLANK, "").otherwise(F.col("b.value"))).alias("value"),
-        F.col("b.v").alias("votes"), "frames", enough.alias("agreed"), F.when(enough, F.col("b.v") / F.col("frames")).otherwise(0.0).alias("confidence"))
+        F.col("b.v").alias("votes"), F.col("frames").cast("long").alias("frames"), enough.alias("agreed"), F.when(enough, F.col("b.v") / F.col("frames")).otherwise(0.0).alias("confidence"), "candidates")
+
+
+def consensus_vote(observations: DataFrame) -> DataFrame:
+    """Per (scan, side, field): value, votes, frames, agreed, confidence = votes / frames.
+
+    Needs min(3, frames) votes of the side's frames; the most votes win, then the earliest frame.
+    Where unread or too thin, value is null and agreed false.
+    """
+    return decided(observations).drop("candidates")
 
 
-def consensus_failures(observations: DataFrame, frames: DataFrame) -> DataFrame:
+def consensus_failures(observations: DataFrame) -> DataFrame:
     """Fields without agreement, with their candidates by votes, then by first frame, as 'value:votes'."""
-    lost = consensus_vote(observations, frames).where("not agreed").select("scan_id", "side", "field", "frames")
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "first_frame", "value")))
-    shown = F.array_join(F.transform(ordered, lambda c: F.concat(c["value"], F.lit(":"), (-c["v"]).cast("string"))), "; ")
-    return tally(observations).groupBy("scan_id", "side", "field").agg(shown.alias("candidates")).join(lost, ["scan_id", "side", "field"])
+    shown = F.array_join(F.transform("candidates", lambda c: F.concat(c["value"], F.lit(":"), c["votes"].cast("string"))), "; ")
+    return decided(observations).where("not agreed").select("scan_id", "side", "field", shown.alias("candidates"), "frames")
 
 
 def side_merge(agreed: DataFrame) -> DataFrame:

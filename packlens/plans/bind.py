@@ -61,16 +61,14 @@ VIEWS = {
           SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS r
           FROM lineitem) AS numbered""",
     "observations": """
-        SELECT scan_id, side, frame, 'mrp' AS field,
-               CASE WHEN l_partkey % 17 = 0 THEN '' WHEN l_partkey % 13 = 0 THEN '|||'
+        SELECT scan_id, side, frame, field,
+               CASE field WHEN 'mrp' THEN CASE WHEN l_partkey % 17 = 0 THEN '' WHEN l_partkey % 13 = 0 THEN '|||'
                     WHEN l_suppkey % 3 = 0 THEN concat('Rs. ', CAST(40 + CAST(floor(l_quantity / 26) AS BIGINT) AS STRING))
                     WHEN l_suppkey % 3 = 1 THEN concat(CAST(40 + CAST(floor(l_quantity / 26) AS BIGINT) AS STRING), '.00')
-                    ELSE concat('₹', CAST(40 + CAST(floor(l_quantity / 26) AS BIGINT) AS STRING)) END AS value FROM frames
-        UNION ALL
-        SELECT scan_id, side, frame, 'net_quantity' AS field,
-               CASE WHEN l_partkey % 5 = 0 THEN '500 g' WHEN l_partkey % 5 = 1 THEN '0.5 kg' WHEN l_partkey % 5 = 2 THEN '500gm' WHEN l_partkey % 5 = 3 THEN '200 ml' ELSE '500 widgets' END AS value FROM frames
-        UNION ALL
-        SELECT scan_id, side, frame, 'batch_number' AS field, CASE WHEN l_partkey % 6 = 0 THEN ' ' WHEN l_suppkey % 2 = 0 THEN 'B-12,  x' ELSE 'b-12 X' END AS value FROM frames""",
+                    ELSE concat('₹', CAST(40 + CAST(floor(l_quantity / 26) AS BIGINT) AS STRING)) END
+                 WHEN 'net_quantity' THEN CASE WHEN l_partkey % 5 = 0 THEN '500 g' WHEN l_partkey % 5 = 1 THEN '0.5 kg' WHEN l_partkey % 5 = 2 THEN '500gm' WHEN l_partkey % 5 = 3 THEN '200 ml' ELSE '500 widgets' END
+                 ELSE CASE WHEN l_partkey % 6 = 0 THEN ' ' WHEN l_suppkey % 2 = 0 THEN 'B-12,  x' ELSE 'b-12 X' END END AS value
+        FROM frames CROSS JOIN (VALUES ('mrp'), ('net_quantity'), ('batch_number')) AS named(field)""",
     "date_texts": """
         SELECT k, CASE k % 7 WHEN 0 THEN concat(d, '/', m, '/', y) WHEN 1 THEN concat(m, '/', y) WHEN 2 THEN concat(mon, ' ', y)
                     WHEN 3 THEN concat(d, '-', mon, '-', substr(y, 3, 2)) WHEN 4 THEN concat(y, '-', lpad(m, 2, '0'))

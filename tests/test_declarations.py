@@ -54,18 +54,19 @@ def test_periods(spark):
 
 def vote(spark, values, field="mrp"):
     rows = spark.createDataFrame([(1, "front", i, field, v) for i, v in enumerate(values)], "scan_id long, side string, frame int, field string, value string")
-    frames = rows.groupBy("scan_id", "side").agg(F.count_distinct("frame").alias("frames"))
-    return rows, frames, consensus.consensus_vote(rows, frames).first()
+    return rows, consensus.consensus_vote(rows).first()
 
 
 def test_votes(spark):
-    _, _, won = vote(spark, ["Rs. 45", "₹45", "45.00", "Rs. 49", "Rs. 61"])
+    _, won = vote(spark, ["Rs. 45", "₹45", "45.00", "Rs. 49", "Rs. 61"])
     assert won.agreed and won.votes == 3 and won.confidence == 0.6 and won.value == "Rs. 45"
-    rows, frames, lost = vote(spark, ["45", "45", "49", "52", "61"])
+    rows, lost = vote(spark, ["45", "45", "49", "52", "61"])
     assert not lost.agreed and lost.value is None
-    assert consensus.consensus_failures(rows, frames).first().candidates == "45:2; 49:1; 52:1; 61:1"
-    assert not vote(spark, ["|||"] * 3)[2].agreed
-    assert vote(spark, ["500 g", "500g", "0.5 kg"], "net_quantity")[2].votes == 3
+    assert consensus.consensus_failures(rows).first().candidates == "45:2; 49:1; 52:1; 61:1"
+    assert not vote(spark, ["|||"] * 3)[1].agreed
+    assert vote(spark, ["500 g", "500g", "0.5 kg"], "net_quantity")[1].votes == 3
+    with pytest.raises(Exception, match="more than 5 frames"):
+        vote(spark, ["1"] * 6)
 
 
 def test_verdict_precedence(spark):
