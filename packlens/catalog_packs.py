@@ -7,8 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.catalog import MONEY, PRODUCT, Q_MAG, Q_NAME, _m, _query
-from packlens.operators import consensus, extract, fleet, match, measure, rules
+from packlens.catalog import MONEY, PRODUCT, Q_MAG, Q_NAME, _FOLDED, _QTY_WORDS, _m, _query
+from packlens.functions.normalize import server_money, server_quantity, server_text
+from packlens.operators import consensus, fleet, match, measure, rules
 from packlens.plans.bind import view
 from packlens.sources.files import corpus_list as list_corpus
 from packlens.sources.files import corpus_upsert as upsert_corpus
@@ -224,6 +225,18 @@ def sku_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.sku_list(view(spark, sf_dir, "registry").select("sku_id", "brand", "source"))
 
 
+_PRICE_WORDS = "trim(regexp_replace(lower(coalesce(mrp, '')), '\\s+', ' ', 'g'))"
+_BRAND_WORDS = _PRICE_WORDS.replace("mrp", "brand")
+_QTY_FORM = f"CASE WHEN len(string_split({_QTY_WORDS}, ' ')) = 2 THEN concat(split_part({_QTY_WORDS}, ' ', 1), ' ', {_FOLDED.format(w=_QTY_WORDS)}) ELSE {_QTY_WORDS} END"
+
+
+@_query(f"SELECT id, {_BRAND_WORDS} AS brand, CASE WHEN try_cast(trim(mrp) AS DOUBLE) IS NOT NULL THEN printf('%.2f', try_cast(trim(mrp) AS DOUBLE)) ELSE {_PRICE_WORDS} END AS price, {_QTY_FORM} AS quantity FROM scans")
+def match_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal forms of the server's matcher: numbers to two places, two-word quantities with the unit folded."""
+    scans = view(spark, sf_dir, "scans")
+    return scans.select("id", server_text(F.col("brand")).alias("brand"), server_money(F.col("mrp")).alias("price"), server_quantity(F.col("net_quantity")).alias("quantity"))
+
+
 # search and lists
 @_query("""SELECT id, verdict FROM scans s WHERE lower(verdict) LIKE '%tax-0%' OR lower(brand) LIKE '%tax-0%' OR EXISTS (SELECT 1 FROM scan_checks c WHERE c.scan_id = s.id AND lower(c.rule_id) LIKE '%tax-0%')""")
 def scan_search_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
