@@ -178,12 +178,17 @@ _CONFLICTS = f"""SELECT g.product, g.scans, CASE WHEN p.n > 1 THEN p.seen ELSE '
 
 @_query(_CONFLICTS)
 def product_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.product_conflicts(view(spark, sf_dir, "scans"))
+    return _barred(fleet.product_conflicts(view(spark, sf_dir, "scans")))
+
+
+def _barred(conflicts: DataFrame) -> DataFrame:
+    """Lists as texts, which the comparison with SQL wants."""
+    return conflicts.withColumns({c: F.array_join(c, "|") for c in ("prices", "quantities")})
 
 
 @_query("SELECT * FROM (" + _CONFLICTS + ") AS c ORDER BY scans DESC, product LIMIT 50")
 def conflicts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.conflicts_top(fleet.product_conflicts(view(spark, sf_dir, "scans")))
+    return _barred(fleet.conflicts_top(fleet.product_conflicts(view(spark, sf_dir, "scans"))))
 
 
 _HALF = "SELECT {p} AS product, count(*) AS scans, array_to_string(list_sort(list(DISTINCT mrp)), '|') AS prices FROM scans WHERE {p} IS NOT NULL AND id % 2 = {h} GROUP BY 1"
@@ -194,8 +199,8 @@ _HALF = "SELECT {p} AS product, count(*) AS scans, array_to_string(list_sort(lis
     FROM ({_HALF.format(p=PRODUCT, h=0)}) a FULL JOIN ({_HALF.format(p=PRODUCT, h=1)}) b ON a.product = b.product""")
 def conflict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = view(spark, sf_dir, "scans").withColumn("product", fleet.product_key()).where("product is not null")
-    half = lambda h: scans.where(F.col("id") % 2 == h).groupBy("product").agg(F.count(F.lit(1)).alias("scans"), F.array_join(F.array_sort(F.collect_set("mrp")), "|").alias("prices")).withColumn("quantities", F.lit(""))
-    return fleet.conflict_merge(half(0), half(1))
+    half = lambda h: scans.where(F.col("id") % 2 == h).groupBy("product").agg(F.count(F.lit(1)).alias("scans"), F.array_sort(F.collect_set("mrp")).alias("prices")).withColumn("quantities", F.array().cast("array<string>"))
+    return _barred(fleet.conflict_merge(half(0), half(1)))
 
 
 @_query("""SELECT id, device_id, scanned_at, place FROM (SELECT id, device_id, scanned_at, row_number() OVER (PARTITION BY device_id ORDER BY scanned_at DESC, id) AS place FROM scans) AS r WHERE place <= 500""")
@@ -280,15 +285,20 @@ def blocking_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.blocking_checks(view(spark, sf_dir, "scan_checks"))
 
 
-_BQL = "nullif({t}, '') AS b, CASE WHEN {m} IS NOT NULL THEN concat(CAST({m} AS VARCHAR), ' ', {u}) END AS q, nullif(licence, '') AS l"
-_BQL = {c: _BQL.format(t=_m(TEXT, c), m=_m(Q_MAG, "net_quantity"), u=_m(Q_NAME, "net_quantity")) for c in ("brand", "one")}
+# what both sides have is compared; a quantity that cannot be read (hq without q) equals nothing
+_READ = "CASE WHEN {m} IS NOT NULL THEN concat(CAST({m} AS VARCHAR), ' ', {u}) END".format(m=_m(Q_MAG, "net_quantity"), u=_m(Q_NAME, "net_quantity"))
+_ASKED = f"CASE WHEN trim(coalesce(brand, '')) <> '' THEN {_m(TEXT, 'brand')} END AS b, trim(coalesce(net_quantity, '')) <> '' AS hq, {_READ} AS q, CASE WHEN trim(coalesce(licence, '')) <> '' THEN regexp_replace(licence, '[^0-9]', '', 'g') END AS l"
+_KNOWN = f"CASE WHEN one IS NOT NULL THEN {_m(TEXT, 'one')} END AS b, net_quantity IS NOT NULL AS hq, {_READ} AS q, regexp_replace(licence, '[^0-9]', '', 'g') AS l"
 _BRANDS = "SELECT *, brand AS one FROM registry UNION ALL SELECT *, brand2 AS one FROM registry WHERE brand2 IS NOT NULL"
 
 
-@_query(f"""WITH sk AS (SELECT id, {_BQL['brand']} FROM scans), rk AS (SELECT sku_id, {_BQL['one']} FROM ({_BRANDS}) AS u), asked AS (SELECT DISTINCT b, q, l FROM sk), known AS (SELECT DISTINCT * FROM rk),
-    pairs AS (SELECT a.b, a.q, a.l, k.sku_id, max((2.0 * CAST(coalesce(a.b = k.b, FALSE) AS INT) + 2 * CAST(coalesce(a.q = k.q, FALSE) AS INT) + CAST(coalesce(a.l = k.l, FALSE) AS INT)) / nullif(2 * CAST(a.b IS NOT NULL AND k.b IS NOT NULL AS INT) + 2 * CAST(a.q IS NOT NULL AND k.q IS NOT NULL AS INT) + CAST(a.l IS NOT NULL AND k.l IS NOT NULL AS INT), 0)) AS score FROM asked a, known k GROUP BY 1, 2, 3, 4),
-    best AS (SELECT b, q, l, score, min(sku_id) AS sku, count(*) AS n, row_number() OVER (PARTITION BY b, q, l ORDER BY score DESC) AS r FROM pairs WHERE score >= 0.75 GROUP BY b, q, l, score)
-    SELECT sk.id, CASE WHEN n = 1 THEN sku END AS sku, CASE WHEN n = 1 THEN score ELSE 0.0 END AS score, coalesce(n, 0) AS candidates FROM sk LEFT JOIN best ON best.b IS NOT DISTINCT FROM sk.b AND best.q IS NOT DISTINCT FROM sk.q AND best.l IS NOT DISTINCT FROM sk.l AND best.r = 1""")
+_WEIGHTED = f"""sk AS (SELECT id, {_ASKED} FROM scans), rk AS (SELECT sku_id, {_KNOWN} FROM ({_BRANDS}) AS u), asked AS (SELECT DISTINCT b, hq, q, l FROM sk), known AS (SELECT DISTINCT * FROM rk),
+    pairs AS (SELECT a.b, a.hq, a.q, a.l, k.sku_id, max((2.0 * CAST(coalesce(a.b = k.b, FALSE) AS INT) + 2 * CAST(coalesce(a.q = k.q, FALSE) AS INT) + CAST(coalesce(a.l = k.l, FALSE) AS INT)) / nullif(2 * CAST(a.b IS NOT NULL AND k.b IS NOT NULL AS INT) + 2 * CAST(a.hq AND k.hq AS INT) + CAST(a.l IS NOT NULL AND k.l IS NOT NULL AS INT), 0)) AS score FROM asked a, known k GROUP BY 1, 2, 3, 4, 5),
+    best AS (SELECT b, hq, q, l, score, min(sku_id) AS sku, count(*) AS n, row_number() OVER (PARTITION BY b, hq, q, l ORDER BY score DESC) AS r FROM pairs WHERE score >= 0.75 GROUP BY b, hq, q, l, score),
+    weighted AS (SELECT sk.id, CASE WHEN n = 1 THEN sku END AS sku, CASE WHEN n = 1 THEN score ELSE 0.0 END AS score, coalesce(n, 0) AS candidates FROM sk LEFT JOIN best ON best.b IS NOT DISTINCT FROM sk.b AND best.hq = sk.hq AND best.q IS NOT DISTINCT FROM sk.q AND best.l IS NOT DISTINCT FROM sk.l AND best.r = 1)"""
+
+
+@_query(f"WITH {_WEIGHTED} SELECT id, sku, score, candidates FROM weighted")
 def registry_match_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_weighted(view(spark, sf_dir, "scans"), _registry(spark, sf_dir))
 
@@ -326,8 +336,11 @@ def registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("mrp", F.col("mrp").cast("string"))
 
 
-@_query("""SELECT sku_id, brand, CAST(mrp AS VARCHAR) AS mrp, net_quantity, source, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY saved_at DESC, fresh DESC) AS r FROM (
-    SELECT sku_id, brand, mrp, net_quantity, source, saved_at, 0 AS fresh FROM registry UNION ALL SELECT sku_id, brand, mrp, net_quantity, source, saved_at, 1 AS fresh FROM registry_update) AS u) AS n WHERE r = 1""")
+_UPSERTED = """SELECT sku_id, brand, CAST(mrp AS VARCHAR) AS mrp, net_quantity, source, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY saved_at DESC, fresh DESC) AS r FROM (
+    SELECT sku_id, brand, mrp, net_quantity, source, saved_at, 0 AS fresh FROM registry UNION ALL SELECT sku_id, brand, mrp, net_quantity, source, saved_at, 1 AS fresh FROM registry_update) AS u) AS n WHERE r = 1"""
+
+
+@_query(_UPSERTED)
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     upserted = match.registry_upsert(view(spark, sf_dir, "registry"), view(spark, sf_dir, "registry_update"))
     return upserted.withColumn("mrp", F.col("mrp").cast("string"))

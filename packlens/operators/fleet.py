@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packlens.functions.normalize import norm_field
+
 VERDICTS = ("FAIL", "NOT_ASSESSABLE", "NEEDS_REVIEW", "PASS")
 STATUSES = (*VERDICTS, "NOT_APPLICABLE", "EXEMPT")
+DAY_MS = 86_400_000
 #: Columns that a search looks into.
 SEARCHED = ("sku_id", "brand", "mrp", "net_quantity", "batch_number", "mfg_date", "verdict")
 
@@ -155,6 +158,40 @@ def fleet_summary(scans: DataFrame) -> DataFrame:
     return s.withColumn("conclusive_rate", rate)
 
 
+def summary_rows(scans: DataFrame) -> DataFrame:
+    """What a summary of the fleet adds up: kind, key and n per (day, device_id).
+
+    Kinds: 'verdict', 'product', and 'rule' for failing checks where `scans` has its checks nested. Sums of such rows are such rows, so
+    parts of a fleet are summed apart and merged later; a product counts once however many parts name it.
+    """
+    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    kinds = F.array(entry("verdict", F.upper("verdict")), entry("product", product_key()))
+    if "checks" in scans.columns:
+        failed = F.filter(F.coalesce("checks", F.array().cast(scans.schema["checks"].dataType)), lambda c: c["status"] == "FAIL")
+        kinds = F.concat(kinds, F.transform(failed, lambda c: entry("rule", c["rule_id"])))
+    each = scans.select(F.floor(F.col("scanned_at") / DAY_MS).cast("int").alias("day"), "device_id", F.explode(kinds).alias("e")).select("day", "device_id", "e.kind", "e.key")
+    return each.where("key is not null").groupBy("day", "device_id", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary_of(rows: DataFrame, top: int = 5) -> DataFrame:
+    """One row out of `summary_rows`: total, failed, passed, conclusive_rate, products, by_verdict (map), top_violations (rule_id, n; most first)."""
+    counted = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    of = lambda kind, verdict=None: F.coalesce(F.sum(F.when((F.col("kind") == kind) & (True if verdict is None else F.col("key") == verdict), F.col("n"))), F.lit(0))
+    entries = lambda kind, *order: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*order))))
+    # lists of verdicts and of rules: a few and tens
+    s = counted.agg(
+        of("verdict").alias("total"), of("verdict", "FAIL").alias("failed"), of("verdict", "PASS").alias("passed"), F.count_if(F.col("kind") == "product").alias("products"),
+        F.map_from_entries(entries("verdict", "key", "n")).alias("by_verdict"), F.slice(entries("rule", (-F.col("n")).alias("least"), "key"), 1, top).alias("rules"))
+    rate = F.coalesce(F.round(F.try_divide(F.col("failed") + F.col("passed"), F.col("total")), 4), F.lit(0.0))
+    violations = F.transform("rules", lambda r: F.struct(r["key"].alias("rule_id"), (-r["least"]).alias("n")))
+    return s.select("total", "failed", "passed", rate.alias("conclusive_rate"), "products", "by_verdict", violations.alias("top_violations"))
+
+
+def fleet_report(scans: DataFrame, top: int = 5) -> DataFrame:
+    """`summary_of` of scans with their checks nested, after `scan_scope` and `time_range`."""
+    return summary_of(summary_rows(scans), top)
+
+
 def verdict_counts(scans: DataFrame) -> DataFrame:
     return scans.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
@@ -168,19 +205,32 @@ def top_violations(checks: DataFrame, limit: int = 5) -> DataFrame:
     return checks.where("status = 'FAIL'").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id").limit(limit)
 
 
-def product_conflicts(scans: DataFrame) -> DataFrame:
-    """Products whose scans print two or more prices or quantities: product, scans, prices, quantities.
+def product_conflicts(scans: DataFrame, normalised: bool = False) -> DataFrame:
+    """Products whose scans print two or more prices or quantities: product, scans, prices, quantities (arrays).
 
-    Values are trimmed texts in the order in which they were first seen; a list with one value is emptied. Scans are counted
+    Values are trimmed texts in the order in which they were first seen; a list with one value is emptied. normalised: values
+    that mean the same ('Rs. 45' and '45.00') count once, shown as first seen, and what cannot be read is no value. Scans are counted
     per (product, price, quantity) first, so a product with a third of all scans sends a few rows.
     """
     clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     rows = scans.select(product_key().alias("product"), clean("mrp").alias("p"), clean("net_quantity").alias("q"), F.struct("scanned_at", "id").alias("at")).where("product is not null")
     counted = rows.groupBy("product", "p", "q").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    seen = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("at", F.col(c).alias("v"))))), lambda x: x["v"]))
-    grouped = counted.groupBy("product").agg(F.sum("n").alias("scans"), seen("p").alias("prices"), seen("q").alias("quantities"))
-    many = lambda c: F.when(F.size(c) > 1, F.array_join(c, "|")).otherwise("")
-    return grouped.where((F.size("prices") > 1) | (F.size("quantities") > 1)).select("product", "scans", many("prices").alias("prices"), many("quantities").alias("quantities"))
+    same = {"p": F.col("p"), "q": F.col("q")}
+    if normalised:
+        same = {"p": norm_field(F.lit("mrp"), F.col("p")), "q": F.nullif(norm_field(F.lit("net_quantity"), F.col("q")), F.lit(""))}
+    counted = counted.withColumns({f"same_{c}": same[c] for c in "pq"})
+    firsts = lambda c: F.collect_list(F.when(F.col(f"same_{c}").isNotNull(), F.struct("at", F.col(c).alias("v"), F.col(f"same_{c}").alias("s"))))
+    grouped = counted.groupBy("product").agg(F.sum("n").alias("scans"), firsts("p").alias("ps"), firsts("q").alias("qs"))
+    return conflict_lists(grouped)
+
+
+def conflict_lists(grouped: DataFrame) -> DataFrame:
+    """product, scans and ps, qs (at, v, s: a value first seen, as shown and as compared) to `product_conflicts`' rows."""
+    ordered = grouped.withColumns({c: F.array_sort(c) for c in ("ps", "qs")})
+    shown = lambda c: F.transform(F.array_distinct(F.transform(c, lambda x: x["s"])), lambda s: F.get(F.filter(c, lambda x: x["s"] == s), F.lit(0))["v"])
+    listed = ordered.select("product", "scans", shown("ps").alias("prices"), shown("qs").alias("quantities"))
+    many = lambda c: F.when(F.size(c) > 1, F.col(c)).otherwise(F.array().cast("array<string>")).alias(c)
+    return listed.where((F.size("prices") > 1) | (F.size("quantities") > 1)).select("product", "scans", many("prices"), many("quantities"))
 
 
 def conflicts_top(conflicts: DataFrame, limit: int = 50) -> DataFrame:
@@ -190,10 +240,10 @@ def conflicts_top(conflicts: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def conflict_merge(local: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Both sides' conflicts by product: the larger number of scans, the union of the values."""
+    """Both sides' conflicts by product: the larger number of scans, the union of the values, sorted."""
     a, b = local.alias("a"), fleet.alias("b")
-    split = lambda c: F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\|"), lambda v: v != "")
-    both = lambda c: F.array_join(F.array_sort(F.array_distinct(F.concat(split(f"a.{c}"), split(f"b.{c}")))), "|").alias(c)
+    own = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    both = lambda c: F.array_sort(F.array_union(own(f"a.{c}"), own(f"b.{c}"))).alias(c)
     joined = a.join(b, F.col("a.product") == F.col("b.product"), "full_outer")
     return joined.select(F.coalesce("a.product", "b.product").alias("product"), F.greatest("a.scans", "b.scans").alias("scans"), both("prices"), both("quantities"))
 

@@ -34,25 +34,34 @@ def _none(*columns: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
 
 
-def _comparable(df: DataFrame, brand: Column) -> DataFrame:
-    """b, q, l: comparable brand, quantity and licence, null where there is nothing to compare."""
+def _comparable(df: DataFrame, brand: Column, present, unread: str) -> DataFrame:
+    """b, q, l: brand, quantity and licence to compare, null where there is none.
+
+    A quantity that is there but cannot be read is compared and equals nothing: `unread`, another mark on each side, stands for it.
+    """
     q = norm_quantity(F.col("net_quantity"))
     return (
-        df.withColumn("b", F.nullif(norm_text(brand), F.lit(""))).withColumn("q", F.when(q.isNotNull(), F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"])))
-        .withColumn("l", F.nullif(F.regexp_replace(F.coalesce("licence", F.lit("")), "[^0-9]", ""), F.lit(""))))
+        df.withColumn("b", F.when(present(brand), norm_text(brand)))
+        .withColumn("q", F.when(present(F.col("net_quantity")), F.when(q.isNotNull(), F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"])).otherwise(unread)))
+        .withColumn("l", F.when(present(F.col("licence")), F.regexp_replace("licence", "[^0-9]", ""))))
+
+
+def _said(c: Column) -> Column:
+    """Whether a pack says something: a blank declares nothing."""
+    return F.trim(F.coalesce(c, F.lit(""))) != ""
 
 
 def match_weighted(scans: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per scan: sku, score, candidates; weights brand 2, quantity 2, licence 1 of what both sides have.
+    """Per scan: sku, score, candidates; weights brand 2, quantity 2, licence 1 of what both sides have, readable or not.
 
     A score of 0.75 needs every comparable one of brand and quantity to agree, and the licence too where only
     one of them is comparable; a licence alone decides where neither is. In each case the score depends on the licence besides
     the key only, so products are counted per (key, licence) before they meet scans. Scans are reduced to distinct
     signatures. A tie for the best is no match. Of several brand strings any may agree.
     """
-    asked = _comparable(scans, F.col("brand")).select("id", "b", "q", "l")
+    asked = _comparable(scans, F.col("brand"), _said, "?scan").select("id", "b", "q", "l")
     r = registry.select("sku_id", "net_quantity", "licence", F.explode_outer(_brands(registry)).alias("one"))
-    known = _comparable(r, F.col("one")).select("sku_id", "b", "q", "l").distinct()
+    known = _comparable(r, F.col("one"), Column.isNotNull, "?sku").select("sku_id", "b", "q", "l").distinct()
     lone = F.concat(F.when(F.col("b").isNull(), "-").otherwise("b"), F.when(F.col("q").isNull(), "-").otherwise("q"))
     mine = [
         _key("bq", "b", "q"), F.when(_none("q"), _key("b", "b")), F.when(~_none("q"), _key("b0", "b")), F.when(_none("b"), _key("q", "q")),

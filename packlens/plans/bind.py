@@ -16,7 +16,7 @@ VIEWS = {
     "registry": """
         SELECT concat('SKU-', CAST(p_partkey AS STRING)) AS sku_id, p_brand AS brand, CASE WHEN p_partkey % 6 = 0 THEN concat(p_brand, ' gold') ELSE NULL END AS brand2,
                CASE WHEN p_partkey % 7 = 3 THEN NULL ELSE CAST(round(p_retailprice) AS BIGINT) END AS mrp,
-               CASE WHEN p_partkey % 11 = 5 THEN NULL ELSE concat(CAST(p_size AS STRING), ' g') END AS net_quantity,
+               CASE WHEN p_partkey % 11 = 5 THEN NULL WHEN p_partkey % 17 = 4 THEN '1 pack' ELSE concat(CAST(p_size AS STRING), ' g') END AS net_quantity,
                CASE WHEN p_partkey % 4 = 1 THEN concat('1001', lpad(CAST(p_partkey AS STRING), 10, '0')) ELSE NULL END AS licence,
                CASE p_partkey % 3 WHEN 0 THEN 'IMPORTED' WHEN 1 THEN 'ENROLLED_FROM_SCAN' ELSE 'MANUAL' END AS source,
                p_partkey * 1000 AS saved_at
@@ -39,7 +39,7 @@ VIEWS = {
                CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('SKU-', CAST(p_partkey AS STRING)) END AS sku_id,
                CASE WHEN o_orderkey % 11 = 0 THEN '  ' WHEN o_orderkey % 13 = 0 THEN NULL ELSE p_brand END AS brand,
                CASE o_orderkey % 4 WHEN 0 THEN concat('Rs. ', price) WHEN 1 THEN concat('₹', price) WHEN 2 THEN concat(price, '.00') ELSE concat(price, '/-') END AS mrp,
-               CASE WHEN o_orderkey % 8 = 6 THEN NULL WHEN o_orderkey % 3 = 0 THEN concat(CAST(p_size AS STRING), ' g')
+               CASE WHEN o_orderkey % 8 = 6 THEN NULL WHEN o_orderkey % 31 = 3 THEN '500 widgets' WHEN o_orderkey % 3 = 0 THEN concat(CAST(p_size AS STRING), ' g')
                     WHEN o_orderkey % 3 = 1 THEN concat('0.', lpad(CAST(p_size AS STRING), 3, '0'), ' kg') ELSE concat(CAST(p_size AS STRING), 'gm') END AS net_quantity,
                CASE WHEN o_orderkey % 6 = 5 THEN NULL WHEN p_partkey % 4 = 1 THEN concat('1001', lpad(CAST(p_partkey + CASE WHEN o_orderkey % 29 = 0 THEN 1 ELSE 0 END AS STRING), 10, '0')) ELSE NULL END AS licence,
                concat('B', CAST(o_orderkey % 97 AS STRING)) AS batch_number, CASE WHEN o_orderkey % 5 = 2 THEN NULL ELSE concat(CAST(1 + o_orderkey % 12 AS STRING), '/', CAST(2020 + o_orderkey % 7 AS STRING)) END AS mfg_date,

@@ -79,7 +79,13 @@ def test_verdict_precedence(spark):
 def test_conflicts(spark):
     rows = [("a", None, "45"), ("a", None, "55"), (None, "b", "20"), (None, "b", "20"), (None, " b ", "35"), (None, None, "1"), (None, " ", "2")]
     scans = spark.createDataFrame([(i, -i, s, b, m, None) for i, (s, b, m) in enumerate(rows)], "id long, scanned_at long, sku_id string, brand string, mrp string, net_quantity string")
-    assert {tuple(r) for r in fleet.product_conflicts(scans).collect()} == {("a", 2, "55|45", ""), ("b", 3, "35|20", "")}, "in the order of the scans' times"
+    assert sorted(tuple(r) for r in fleet.product_conflicts(scans).collect()) == [("a", 2, ["55", "45"], []), ("b", 3, ["35", "20"], [])], "in the order of the scans' times"
+    same = scans.withColumn("mrp", F.concat(F.when(F.col("id") % 2 == 0, "Rs. ").otherwise("₹"), "mrp", F.when(F.col("sku_id").isNull(), ".00").otherwise("")))
+    alike = same.withColumn("mrp", F.when(F.col("sku_id").isNotNull(), F.concat(F.lit("45"), F.when(F.col("id") == 0, ".00").otherwise("/-"))).otherwise(F.col("mrp")))
+    assert [tuple(r) for r in fleet.product_conflicts(alike, normalised=True).collect()] == [("b", 3, ["Rs. 35.00", "₹20.00"], [])], "45.00 and 45/- are one price"
+    one, other = ([("x", 2, ["5|6", "7"], [])], [("x", 3, ["7", "8"], None), ("y", 1, ["1", "2"], [])])
+    halves = [spark.createDataFrame(h, "product string, scans long, prices array<string>, quantities array<string>") for h in (one, other)]
+    assert sorted(tuple(r) for r in fleet.conflict_merge(*halves).collect()) == [("x", 3, ["5|6", "7", "8"], []), ("y", 1, ["1", "2"], [])], "a bar in a value is no border"
     assert fleet.fleet_summary(scans.withColumn("verdict", F.lit("PASS")).limit(0)).first().conclusive_rate == 0.0
 
 

@@ -198,18 +198,3 @@ def test_files(spark, tmp_path):
     (out,) = (tmp_path / "results/image=a_b").glob("*.txt")
     doc = json.loads(out.read_text())
     assert doc["fields"]["mrp"] == {"present": False, "value": None, "status": "FAIL", "agreement": "3/5 frames"} and doc["violations"] == ["R1"] and doc["elapsed_ms"] is None
-
-
-def test_streams(spark, tmp_path):
-    rows = [("s1", "A", "5", "10 g", "MANUAL", 1), ("s1", "B", "6", "10 g", "MANUAL", 3), ("s1", "C", "7", "9 g", "MANUAL", 2), ("s2", "D", "5", "1 g", "MANUAL", 1)]
-    frame = spark.createDataFrame(rows, "sku_id string, brand string, mrp string, net_quantity string, source string, saved_at long")
-    for part, some in (("a", frame.where("saved_at < 3")), ("b", frame.where("saved_at = 3"))):
-        some.write.parquet(str(tmp_path / "in" / part))
-    read = lambda: spark.readStream.schema(frame.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    ingest.stream_registry_upsert(read(), str(tmp_path / "reg"), str(tmp_path / "c1")).awaitTermination()
-    last = max((tmp_path / "reg").glob("version=*"), key=lambda p: int(p.name[8:]))
-    assert {(r.sku_id, r.brand) for r in spark.read.parquet(str(last)).collect()} == {("s1", "B"), ("s2", "D")}
-    ingest.stream_conflicts(read(), "seen_conflicts").awaitTermination()
-    assert [tuple(r) for r in spark.table("seen_conflicts").collect()] == [("s1", 3, "5|6|7", "10 g|9 g")]
-    ingest.stream_fleet_summary(read().withColumn("verdict", F.when(F.col("saved_at") == 1, "PASS").otherwise("NEEDS_REVIEW")), "seen_summary").awaitTermination()
-    assert tuple(spark.table("seen_summary").first()) == (4, 0, 2, 0.5)
