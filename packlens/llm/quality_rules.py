@@ -63,7 +63,7 @@ def _repeated_plain(words: list[bytes], window: int) -> int:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content"]
-    kinds = {n: pa.int64() for n in longs} | {"lines": pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("k", pa.int32())]))}
+    kinds = {n: pa.int64() for n in longs} | {"lines": pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int32()), ("at", pa.list_(pa.int32()))]))}
     for batch in sliced(batches):
         got: dict[str, list] = {n: [] for n in kinds}
         for text in texts(batch):
@@ -76,10 +76,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got["n_dup_lines"].append(len(full) - len(set(full)))
             got["n_repeat_words"].append(repeated_words(words))
             full = normalised(text)
-            own = Counter(x for x in full if x)
-            lines = [(signed(xxhash.xxh64_intdigest(x)), x.count(b" ") + 1, k) for x, k in own.items()]
+            own: dict[bytes, list[int]] = {}
+            for i, x in enumerate(full):
+                if x:
+                    own.setdefault(x, []).append(i)
             got["content"].append(content_of(full))
-            got["lines"].append([{"h": h, "w": w, "k": k} for h, w, k in lines])
+            got["lines"].append([{"h": signed(xxhash.xxh64_intdigest(x)), "w": x.count(b" ") + 1, "at": at} for x, at in own.items()])
         yield columns(batch, kinds, got)
 
 
@@ -87,30 +89,30 @@ def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     max_docs_per_host: int = 20, min_words_left_percent: int = 30,
 ) -> DataFrame:
-    """One verdict a document row: measures, base_failed, depleted, kept.
+    """One verdict a document row: measures, removed (numbers of the lines that go, from 0), base_failed, depleted, kept.
 
     max_docs_per_host: a line is removed when more documents of distinct text on its host hold
     it (`lines.recurring`). min_words_left_percent: a document is depleted when removal leaves a
     smaller share of its words. Null hosts are a host of their own. Null and empty texts have no
     words, fail the base rules and are rejected. Rows with equal id and text are one document and
-    get one verdict each; an empty table gives no rows. Extra columns are not read.
+    get one verdict each; an empty table gives no rows. A text of any length is held whole by one task. Extra columns are not read.
     """
     source = docs.select(*row_key(id_col, text_col), F.col(host_col).cast("string").alias("__host"), text_or_empty(text_col).alias("__text"))
     longs = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content"))
     kind = dict(docs.dtypes)[id_col]
-    digest = source.mapInArrow(_measure, f"__id {kind}, __th long, __host string, {longs}, lines array<struct<h: long, w: int, k: int>>")
+    digest = source.mapInArrow(_measure, f"__id {kind}, __th long, __host string, {longs}, lines array<struct<h: long, w: int, at: array<int>>>")
     digest = cut(digest, "quality-digest")
     lines = digest.select(
         "__id", "__th", F.coalesce("__host", F.lit(NO_HOST)).alias("host"), "content", F.explode("lines").alias("x")
-    ).select("__id", "__th", "host", F.col("x.h").alias("h"), (F.col("x.w") * F.col("x.k")).alias("words"), "content")
+    ).select("__id", "__th", "host", F.col("x.h").alias("h"), F.col("x.w").alias("w"), F.col("x.at").alias("at"), "content")
     often = cut(recurring(lines, ["host", "h"], max_docs_per_host), "recurring-lines")
     # repeated rows of a document count once
     found = lines.join(often, ["host", "h"]).dropDuplicates(["__id", "__th", "host", "h"])
-    lost = found.groupBy("__id", "__th", "host").agg(F.sum("words").alias("lost"))
+    lost = found.groupBy("__id", "__th", "host").agg(F.sum(F.col("w") * F.size("at")).alias("lost"), F.array_sort(F.flatten(F.collect_list("at"))).alias("removed"))
     a, b = digest.withColumn("host", F.coalesce("__host", F.lit(NO_HOST))), lost
     joined = a.join(b, same_row(a, b) & (a["host"] == b["host"]), "left").select(
         a["__id"].alias(id_col), a["__th"], a["__host"], *[a[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.coalesce(b["lost"], F.lit(0)).alias("n_boilerplate_words"))
+        F.coalesce(b["lost"], F.lit(0)).alias("n_boilerplate_words"), F.coalesce(b["removed"], F.array().cast("array<int>")).alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     depleted = 100 * left < min_words_left_percent * F.col("n_words")
@@ -118,8 +120,13 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of `docs` that the rules keep, with all their columns."""
-    verdicts = quality_rules(docs, id_col, text_col, host_col, **limits)
-    bad = verdicts.where(~F.col("kept")).select(F.col(id_col).alias("__id"), "__th", F.coalesce("__host", F.lit(NO_HOST)).alias("__hk")).distinct()
+    """The rows of `docs` that the rules keep, with all their columns, and their texts without the lines that the rules remove."""
+    verdicts = quality_rules(docs, id_col, text_col, host_col, **limits).where(~F.col("kept") | (F.size("removed") > 0))
+    changes = verdicts.select(F.col(id_col).alias("__id"), "__th", F.coalesce("__host", F.lit(NO_HOST)).alias("__hk"), F.col("kept").alias("__kept"), F.col("removed").alias("__removed"))
+    changes = changes.dropDuplicates(["__id", "__th", "__hk"])
     keyed = sealed(docs, id_col, text_col, __hk=F.coalesce(F.col(host_col).cast("string"), F.lit(NO_HOST)))
-    return opened(keyed.join(bad, same_row(keyed, bad) & (keyed["__hk"] == bad["__hk"]), "left_anti"), docs.columns)
+    joined = keyed.join(changes, same_row(keyed, changes) & (keyed["__hk"] == changes["__hk"]), "left").where(F.coalesce("__kept", F.lit(True)))
+    old = F.col("__row").getField(text_col)
+    stay = F.filter(F.split(old, "\n", -1), lambda x, i: ~F.array_contains(F.col("__removed"), i))
+    text = F.when(F.coalesce(F.size("__removed"), F.lit(0)) > 0, F.array_join(stay, "\n")).otherwise(old)
+    return opened(joined.select("__row", "__removed"), docs.columns, **{text_col: text})

@@ -68,7 +68,10 @@ def test_quality(spark):
     assert not any(got[80 + i].kept for i in range(len(ODD)))
     assert all(got[86 + i].kept for i in range(50)), "copies of one text count once"
     assert got[83].word_chars == len("Ünï ﷺ　word") - 1
-    assert keep_good(table(spark, texts)).columns == table(spark, texts).columns
+    good = {r.doc_id: r.text for r in keep_good(table(spark, texts)).collect()}
+    assert keep_good(table(spark, texts)).columns == table(spark, texts).columns and set(good) == {i for i in got if got[i].kept}
+    assert all(good[i] == texts[i].removeprefix(common) and got[i].removed == [0] for i in range(40)), "the line that stands everywhere goes"
+    assert all(good[86 + i] == texts[86 + i] for i in range(50)) and all(got[i].removed == [0, 1, 2, 3, 4] for i in range(40, 80))
 
 
 def own_line(seed, n):
@@ -598,7 +601,7 @@ def plain_pipeline(rows):
         words = (t or "").split()
         lost = sum(len(x.split()) for x in (t or "").lower().split("\n") if x.split() and len(hosts[s, " ".join(x.split())]) > 20)
         if len(words) >= 20 and 100 * _repeated_plain([w.encode() for w in words], 8) <= 30 * len(words) and 100 * (len(words) - lost) >= 30 * len(words):
-            kept.append((i, t, s))
+            kept.append((i, "\n".join(x for x in t.split("\n") if not x.split() or len(hosts[s, " ".join(x.lower().split())]) <= 20), s))
     seen = {}
     for _, t, _ in kept:
         for x in {leaf for line in t.lower().split("\n") for leaf in plain_templates(" ".join(line.split()))}:
