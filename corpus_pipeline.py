@@ -32,12 +32,12 @@ def _sized(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or that host-wide lines deplete, go.
+    """Documents that fail the base rules, or that host-wide lines deplete, go; host-wide lines go from the texts of the others.
 
     Null and empty texts go, as too short; null sources are a host of their own; repeated rows share one verdict; an empty table stays empty.
     """
     ship(spark)
-    return keep_good(docs)
+    return _sized(keep_good(docs), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
