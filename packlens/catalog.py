@@ -136,9 +136,15 @@ def scan_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.scan_page(view(spark, sf_dir, "scans").select("id", "scanned_at"), 3, 20)
 
 
-@_query("""SELECT s.id, count(c.rule_id) AS n, coalesce(string_agg(concat(c.rule_id, '=', c.status), ',' ORDER BY c.rule_id), '') AS checks FROM scans s LEFT JOIN scan_checks c ON c.scan_id = s.id GROUP BY s.id""")
+_WITH_CHECKS = """SELECT s.id, count(c.rule_id) AS n, coalesce(string_agg(concat(c.rule_id, '=', c.status), ',' ORDER BY c.rule_id), '') AS checks FROM scans s LEFT JOIN scan_checks c ON c.scan_id = s.id GROUP BY s.id"""
+
+
+@_query(_WITH_CHECKS)
 def scan_with_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = fleet.scan_with_checks(view(spark, sf_dir, "scans"), view(spark, sf_dir, "scan_checks"))
+    return _checks_told(fleet.scan_with_checks(view(spark, sf_dir, "scans"), view(spark, sf_dir, "scan_checks")))
+
+
+def _checks_told(nested: DataFrame) -> DataFrame:
     return nested.select("id", F.size("checks").cast("long").alias("n"), F.array_join(F.transform("checks", lambda c: F.concat(c["rule_id"], F.lit("="), c["status"])), ",").alias("checks"))
 
 
@@ -243,15 +249,19 @@ def consensus_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _two_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring scans seen as the two sides of one pack."""
     o = view(spark, sf_dir, "observations")
-    return consensus.consensus_vote(o).withColumn("scan_id", F.expr("scan_id div 2"))
+    return consensus.decided(o).withColumn("scan_id", F.expr("scan_id div 2"))
 
 
-@_query(_VOTE + f""", paired AS (SELECT scan_id // 2 AS scan_id, side, field, value, agreed, confidence, agreed AND trim(coalesce(value, '')) <> '' AS filled, {_BUCKET} AS bucket FROM agreed)
-    SELECT scan_id, field, CASE WHEN reason IS NULL THEN b.value END AS value, CASE WHEN reason IS NULL THEN b.confidence ELSE 0.0 END AS confidence, reason FROM (
+@_query(_VOTE + f""", paired AS (SELECT scan_id // 2 AS scan_id, side, field, value, agreed, confidence, agreed AND trim(coalesce(value, '')) <> '' AS filled, {_BUCKET} AS bucket FROM agreed),
+    apart AS (SELECT scan_id, field, string_agg(concat(f.v, ':', CAST(votes AS VARCHAR)), '; ' ORDER BY votes DESC, f.s) AS candidates FROM (
+      SELECT scan_id, field, bucket, count(*) AS votes, min({{'s': side, 'v': value}}) AS f FROM paired WHERE filled GROUP BY 1, 2, 3) AS g GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT h.scan_id, h.field, CASE WHEN reason IS NULL THEN b.value END AS value, CASE WHEN reason IS NULL THEN b.confidence ELSE 0.0 END AS confidence, reason, coalesce(a.candidates, '') AS candidates FROM (
       SELECT scan_id, field, b, CASE WHEN n > 1 THEN 'sides_disagree' WHEN b IS NULL THEN 'ocr_no_consensus' END AS reason FROM (
-        SELECT scan_id, field, count(DISTINCT CASE WHEN filled THEN bucket END) AS n, max(CASE WHEN agreed THEN {{'f': CAST(filled AS INT), 'confidence': confidence, 's': side, 'value': value}} END) AS b FROM paired GROUP BY 1, 2) AS g) AS h""")
+        SELECT scan_id, field, count(DISTINCT CASE WHEN filled THEN bucket END) AS n, min(CASE WHEN agreed THEN {{'f': -CAST(filled AS INT), 'c': -confidence, 's': side, 'value': value, 'confidence': confidence}} END) AS b FROM paired GROUP BY 1, 2) AS g) AS h
+    LEFT JOIN apart a ON a.scan_id = h.scan_id AND a.field = h.field""")
 def side_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.side_merge(_two_sides(spark, sf_dir))
+    told = F.array_join(F.transform("candidates", lambda c: F.concat(c["value"], F.lit(":"), c["votes"].cast("string"))), "; ")
+    return consensus.side_merge(_two_sides(spark, sf_dir)).withColumn("candidates", told)
 
 
 _RANK = "CASE status WHEN 'FAIL' THEN 1 WHEN 'NOT_ASSESSABLE' THEN 2 WHEN 'NEEDS_REVIEW' THEN 3 WHEN 'PASS' THEN 4 END"
@@ -298,7 +308,10 @@ _WEIGHTED = f"""sk AS (SELECT id, {_ASKED} FROM scans), rk AS (SELECT sku_id, {_
     weighted AS (SELECT sk.id, CASE WHEN n = 1 THEN sku END AS sku, CASE WHEN n = 1 THEN score ELSE 0.0 END AS score, coalesce(n, 0) AS candidates FROM sk LEFT JOIN best ON best.b IS NOT DISTINCT FROM sk.b AND best.hq = sk.hq AND best.q IS NOT DISTINCT FROM sk.q AND best.l IS NOT DISTINCT FROM sk.l AND best.r = 1)"""
 
 
-@_query(f"WITH {_WEIGHTED} SELECT id, sku, score, candidates FROM weighted")
+_WEIGHTED_ROWS = f"WITH {_WEIGHTED} SELECT id, sku, score, candidates FROM weighted"
+
+
+@_query(_WEIGHTED_ROWS)
 def registry_match_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_weighted(view(spark, sf_dir, "scans"), _registry(spark, sf_dir))
 
@@ -315,14 +328,17 @@ _BPQ = "nullif({b}, '') AS b, printf('%.2f', {p}) AS p, nullif(CASE WHEN len(str
 _BPQ = {c: _BPQ.format(b=_WORDS.format(c=c), p=p, q=_QTY_WORDS, f=_FOLDED.format(w=_QTY_WORDS)) for c, p in (("brand", _m(MONEY, "mrp")), ("one", "CAST(mrp AS DOUBLE)"))}
 
 
-@_query(f"""WITH sk AS (SELECT id, {_BPQ['brand']} FROM scans), rk AS (SELECT sku_id, {_BPQ['one']} FROM ({_BRANDS}) AS u),
+_IDENTITY_ROWS = f"""WITH sk AS (SELECT id, {_BPQ['brand']} FROM scans), rk AS (SELECT sku_id, {_BPQ['one']} FROM ({_BRANDS}) AS u),
     asked AS (SELECT DISTINCT b, p, q FROM sk), known AS (SELECT b, p, q, min(sku_id) AS sku_id FROM rk GROUP BY 1, 2, 3),
     parts AS (SELECT a.b, a.p, a.q, k.sku_id, CASE WHEN a.b IS NOT NULL AND k.b IS NOT NULL THEN len(list_intersect(string_split(a.b, ' '), string_split(k.b, ' '))) / len(list_distinct(list_concat(string_split(a.b, ' '), string_split(k.b, ' ')))) END AS bs,
         CASE WHEN a.p IS NOT NULL AND k.p IS NOT NULL THEN CAST(a.p = k.p AS DOUBLE) END AS ps, CASE WHEN a.q IS NOT NULL AND k.q IS NOT NULL THEN CAST(a.q = k.q AS DOUBLE) END AS qs FROM asked a, known k),
     pairs AS (SELECT *, round((coalesce(bs, 0) + coalesce(ps, 0) + coalesce(qs, 0)) / nullif(CAST(bs IS NOT NULL AS INT) + CAST(ps IS NOT NULL AS INT) + CAST(qs IS NOT NULL AS INT), 0), 6) AS score FROM parts),
     best AS (SELECT *, row_number() OVER (PARTITION BY b, p, q ORDER BY score DESC, sku_id) AS r FROM pairs WHERE score >= 0.72)
     SELECT sk.id, CASE WHEN best.sku_id IS NOT NULL THEN 'MATCHED' ELSE 'REJECTED' END AS status, best.sku_id AS sku, best.score AS score, bs AS brand_score, ps AS mrp_score, qs AS quantity_score
-    FROM sk LEFT JOIN best ON best.b IS NOT DISTINCT FROM sk.b AND best.p IS NOT DISTINCT FROM sk.p AND best.q IS NOT DISTINCT FROM sk.q AND best.r = 1""")
+    FROM sk LEFT JOIN best ON best.b IS NOT DISTINCT FROM sk.b AND best.p IS NOT DISTINCT FROM sk.p AND best.q IS NOT DISTINCT FROM sk.q AND best.r = 1"""
+
+
+@_query(_IDENTITY_ROWS)
 def registry_match_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_identity(view(spark, sf_dir, "scans"), _registry(spark, sf_dir))
 

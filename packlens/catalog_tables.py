@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.catalog import _CONFLICTS, _UPSERTED, PRODUCT, _barred, _query
-from packlens.operators import fleet
+from packlens.catalog import _CONFLICTS, _IDENTITY_ROWS, _UPSERTED, _WEIGHTED_ROWS, _WITH_CHECKS, PRODUCT, _barred, _checks_told, _query, _registry
+from packlens.operators import fleet, search
+from packlens.operators.match import IDENTITY, WEIGHTED, Scorer
+from packlens.operators.rematch import MatchIndex
 from packlens.plans.bind import view
+from packlens.sources.files import read_table, write_table
 from packlens.sources.folders import listed, shared_folder
 from packlens.streaming import ingest
 
@@ -91,3 +94,57 @@ def product_conflicts_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices that differ in what they say, not only in how they are printed."""
     found = fleet.product_conflicts(view(spark, sf_dir, "scans"), normalised=True).where(F.size("prices") > 0)
     return found.select("product", F.array_join("prices", "|").alias("prices"))
+
+
+def _kept_matches(spark: SparkSession, sf_dir: str, scorer: Scorer) -> DataFrame:
+    """Half the scans meet a registry that lacks, misprices and has too many products; then it is put right, then the other half comes."""
+    scans, registry = view(spark, sf_dir, "scans"), _registry(spark, sf_dir)
+    number = F.substring("sku_id", 5, 20).cast("long")
+    wrong = registry.where(number % 5 != 0).withColumns({"mrp": F.when(number % 7 == 1, F.col("mrp") + 1).otherwise(F.col("mrp")), "net_quantity": F.when(number % 9 == 2, "1 pack").otherwise(F.col("net_quantity"))})
+    extra = registry.where(number % 6 == 0).withColumn("sku_id", F.concat(F.lit("OLD-"), "sku_id"))
+    index = MatchIndex(spark, shared_folder(spark, "matches"), scorer, buckets=16)
+    index.update(wrong.unionByName(extra))
+    index.add(scans.where("id % 2 = 0"))
+    index.update(registry.where((number % 5 == 0) | (number % 7 == 1) | (number % 9 == 2)), removed=extra)
+    index.add(scans)
+    return index.matches(scans)
+
+
+@_query(_WEIGHTED_ROWS)
+def registry_match_weighted_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_matches(spark, sf_dir, WEIGHTED)
+
+
+@_query(_IDENTITY_ROWS)
+def registry_match_identity_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_matches(spark, sf_dir, IDENTITY)
+
+
+@_query(_WITH_CHECKS)
+def scan_with_checks_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that are written in buckets by scan join and nest without a shuffle."""
+    folder, tables = shared_folder(spark, "by-scan"), {n: view(spark, sf_dir, n) for n in ("scans", "scan_checks")}
+    for name, df in tables.items():
+        write_table(df, folder, name, buckets=8)
+    return _checks_told(fleet.scan_with_checks(*[read_table(spark, folder, n, df.schema, buckets=8) for n, df in tables.items()]))
+
+
+@_query("""SELECT s.id, s.scanned_at, t.total, greatest(CAST(ceil(t.total / 20.0) AS BIGINT), 1) AS pages FROM scans s, (SELECT count(*) AS total FROM scans) t
+    ORDER BY s.scanned_at DESC, s.id LIMIT 20 OFFSET 10000""")
+def scan_page_by_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 501: the ranges before it are counted, not read."""
+    scans, path = view(spark, sf_dir, "scans").select("id", "scanned_at"), shared_folder(spark, "pages")
+    search.write_pages(scans, path, parts=16)
+    return search.read_page(spark, path, 501, 20, scans.schema)
+
+
+_HOLDS = " OR ".join(f"contains(lower({c}), '{{t}}')" for c in fleet.SEARCHED)
+
+
+@_query(f"SELECT id, brand, mrp FROM scans WHERE {_HOLDS.format(t='brand#13')} UNION ALL SELECT id, brand, mrp FROM scans WHERE {_HOLDS.format(t='12/-')}")
+def scan_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two searches by one index."""
+    scans, path = view(spark, sf_dir, "scans"), shared_folder(spark, "search")
+    search.write_search_index(scans, path, buckets=16)
+    some = [search.search_indexed(scans, path, text, buckets=16).select("id", "brand", "mrp") for text in (" Brand#13 ", "12/-")]
+    return some[0].unionByName(some[1])

@@ -6,6 +6,8 @@ key; a side emits the keys of the cases that it can take part in, and the sides
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,49 +53,72 @@ def _said(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) != ""
 
 
-def match_weighted(scans: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per scan: sku, score, candidates; weights brand 2, quantity 2, licence 1 of what both sides have, readable or not.
+def _weighted_asked(scans: DataFrame) -> DataFrame:
+    return _comparable(scans, F.col("brand"), _said, "?scan").select("id", "b", "q", "l")
 
-    A score of 0.75 needs every comparable one of brand and quantity to agree, and the licence too where only
-    one of them is comparable; a licence alone decides where neither is. In each case the score depends on the licence besides
-    the key only, so products are counted per (key, licence) before they meet scans. Scans are reduced to distinct
-    signatures. A tie for the best is no match. Of several brand strings any may agree.
-    """
-    asked = _comparable(scans, F.col("brand"), _said, "?scan").select("id", "b", "q", "l")
+
+def _weighted_known(registry: DataFrame) -> DataFrame:
     r = registry.select("sku_id", "net_quantity", "licence", F.explode_outer(_brands(registry)).alias("one"))
-    known = _comparable(r, F.col("one"), Column.isNotNull, "?sku").select("sku_id", "b", "q", "l").distinct()
+    return _comparable(r, F.col("one"), Column.isNotNull, "?sku").select("sku_id", "b", "q", "l").distinct()
+
+
+def _weighted_keys(signatures: DataFrame, words: DataFrame | None) -> DataFrame:
     lone = F.concat(F.when(F.col("b").isNull(), "-").otherwise("b"), F.when(F.col("q").isNull(), "-").otherwise("q"))
-    mine = [
+    return _keyed(signatures, [
         _key("bq", "b", "q"), F.when(_none("q"), _key("b", "b")), F.when(~_none("q"), _key("b0", "b")), F.when(_none("b"), _key("q", "q")),
-        F.when(~_none("b"), _key("q0", "q")), _key("l", lone, "l")]
-    theirs = [
+        F.when(~_none("b"), _key("q0", "q")), _key("l", lone, "l")])
+
+
+def _weighted_product_keys(known: DataFrame, words: DataFrame | None) -> DataFrame:
+    return _keyed(known, [
         _key("bq", "b", "q"), _key("b", "b"), F.when(_none("q"), _key("b0", "b")), _key("q", "q"), F.when(_none("b"), _key("q0", "q")), _key("l", F.lit("--"), "l"),
-        F.when(_none("b"), _key("l", F.lit("b-"), "l")), F.when(_none("q"), _key("l", F.lit("-q"), "l")), F.when(_none("b", "q"), _key("l", F.lit("bq"), "l"))]
-    products = _keyed(known, theirs).groupBy("key", F.col("l").alias("rl")).agg(F.min("sku_id").alias("sku"), F.count_distinct("sku_id").alias("n"))
-    signatures = asked.select("b", "q", "l").distinct()
-    pairs = _keyed(signatures, mine).join(products, "key")
+        F.when(_none("b"), _key("l", F.lit("b-"), "l")), F.when(_none("q"), _key("l", F.lit("-q"), "l")), F.when(_none("b", "q"), _key("l", F.lit("bq"), "l"))])
+
+
+def _weighted_condensed(products: DataFrame) -> DataFrame:
+    return products.groupBy("key", F.col("l").alias("rl")).agg(F.min("sku_id").alias("sku"), F.count_distinct("sku_id").alias("n"))
+
+
+def _weighted_best(pairs: DataFrame) -> DataFrame:
     both = (F.col("l").isNotNull() & F.col("rl").isNotNull()).cast("int")
     hit = F.coalesce(F.col("l") == F.col("rl"), F.lit(False)).cast("int")
     base = F.when(F.startswith("key", F.lit("bq")), 4).when(F.startswith("key", F.lit("l")), 0).otherwise(2)
     scored = pairs.withColumn("score", (base + hit) / (base + both)).where(F.col("score") >= WEIGHTED_THRESHOLD)
     best = scored.groupBy("b", "q", "l", "score").agg(F.min("sku").alias("sku"), F.sum("n").alias("candidates"))
-    top = best.groupBy("b", "q", "l").agg(F.max(F.struct("score", "sku", "candidates")).alias("t")).select(*[F.col(c).alias(f"m{c}") for c in "bql"], "t")
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"m{c}")) for c in "bql"])
-    joined, alone = asked.join(top, same, "left"), F.col("t.candidates") == 1
-    return joined.select("id", F.when(alone, F.col("t.sku")).alias("sku"), F.when(alone, F.col("t.score")).otherwise(0.0).alias("score"), F.coalesce("t.candidates", F.lit(0)).cast("long").alias("candidates"))
+    return best.groupBy("b", "q", "l").agg(F.max(F.struct("score", "sku", "candidates")).alias("t")).select("b", "q", "l", "t.score", "t.sku", "t.candidates")
+
+
+def _weighted_told(found: DataFrame, some: DataFrame) -> DataFrame:
+    alone = F.coalesce(F.col("candidates") == 1, F.lit(False))
+    return found.select("id", F.when(alone, F.col("sku")).alias("sku"), F.when(alone, F.col("score")).otherwise(0.0).alias("score"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
+
+
+def match_weighted(scans: DataFrame, registry: DataFrame) -> DataFrame:
+    """Per scan: sku, score, candidates; weights brand 2, quantity 2, licence 1 of what both sides have, readable or not.
+
+    A score of 0.75 needs every comparable one of brand and quantity to agree, and the licence too where only
+    one of them is comparable; a licence alone decides where neither is. In each case the score depends on the licence besides
+    the key only, so products are counted per (key, licence) before they meet scans. Scans are reduced to distinct
+    signatures. A tie for the best is no match. Of several brand strings any may agree.
+    """
+    return _matched(WEIGHTED, scans, registry)
 
 
 def _words(c: Column) -> Column:
     return F.filter(F.array_distinct(F.split(c, " ")), lambda t: t != "")
 
 
-def _rare_words(signatures: DataFrame, known: DataFrame) -> DataFrame:
+def _word_counts(known: DataFrame) -> DataFrame:
+    """In how many distinct brands a word stands: word, k."""
+    return known.select("b").where("b is not null").distinct().select(F.explode(_words(F.col("b"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
+
+
+def _rare_words(signatures: DataFrame, counts: DataFrame) -> DataFrame:
     """`signatures` with `rare`: of each brand's words the rarest, as many as any brand of Jaccard 0.72 must share one of.
 
-    Two sets of that similarity share a word among the n - ceil(0.72 n) + 1 first ones in any common order; the order is by how many
-    known brands hold a word. Brands are reduced to distinct strings first.
+    Two sets of that similarity share a word among the n - ceil(0.72 n) + 1 first ones in any common order; the order is by `counts`, how many
+    known brands hold a word, a word that is not in it first. Brands are reduced to distinct strings first.
     """
-    counts = known.select("b").where("b is not null").distinct().select(F.explode(_words(F.col("b"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("k"))
     brands = signatures.select("b").where("b is not null").distinct().select("b", F.explode(_words(F.col("b"))).alias("word"))
     ordered = brands.join(counts, "word", "left").groupBy("b").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "word"))).alias("ws"))
     n = F.size("ws")
@@ -101,28 +126,39 @@ def _rare_words(signatures: DataFrame, known: DataFrame) -> DataFrame:
     return signatures.join(first, F.col("b") == F.col("of"), "left").drop("of")
 
 
-def match_identity(scans: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per scan: status, sku, score, and per field what it added (null where it was not compared).
+def _identity_asked(scans: DataFrame) -> DataFrame:
+    return scans.select("id", *_identity(F.col("brand")))
 
-    The score is the mean of brand Jaccard (of the best brand string), price and quantity equality over what both sides have. Of 0.72, three parts
-    need price and quantity to agree, two need the one of them that is compared, and one needs itself: prices and quantities make the keys, and
-    brands only where neither is compared, through their rare words. Scans and products are reduced to distinct signatures. The best score
-    wins, then the smallest sku. Below the threshold the status is REJECTED; an empty registry gives NO_CANDIDATE.
-    """
-    s = scans.select("id", *_identity(F.col("brand")))
-    r = registry.select("sku_id", "mrp", "net_quantity", F.explode_outer(_brands(registry)).alias("one")).select("sku_id", *_identity(F.col("one")))
-    known = r.groupBy("b", "p", "q").agg(F.min("sku_id").alias("sku"))
-    asked = _rare_words(s.select("b", "p", "q").distinct(), known)
-    known = _rare_words(known, known)
+
+def _identity_known(registry: DataFrame) -> DataFrame:
+    return registry.select("sku_id", "mrp", "net_quantity", F.explode_outer(_brands(registry)).alias("one")).select("sku_id", *_identity(F.col("one"))).distinct()
+
+
+def _identity_keys(signatures: DataFrame, words: DataFrame | None) -> DataFrame:
     lacking = F.concat(F.when(F.col("p").isNull(), "-").otherwise("p"), F.when(F.col("q").isNull(), "-").otherwise("q"))
-    words = lambda case, when=None: F.transform(F.coalesce("rare", F.array().cast("array<string>")), lambda w: _key("b", case if when is None else F.when(when, case), w))
-    simple = lambda keys: F.array(*keys)
-    mine = simple([_key("pq", "p", "q"), F.when(_none("q"), _key("p", "p")), F.when(~_none("q"), _key("p0", "p")), F.when(_none("p"), _key("q", "q")), F.when(~_none("p"), _key("q0", "q"))])
-    theirs = simple([_key("pq", "p", "q"), _key("p", "p"), F.when(_none("q"), _key("p0", "p")), _key("q", "q"), F.when(_none("p"), _key("q0", "q"))])
-    met = lambda df, keys: df.select("*", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
-    x = met(asked, F.concat(mine, words(lacking))).drop("rare")
-    y = met(known, F.concat(theirs, words(F.lit("--")), words(F.lit("p-"), _none("p")), words(F.lit("-q"), _none("q")), words(F.lit("pq"), _none("p", "q"))))
-    pairs = x.join(y.select("key", F.col("b").alias("rb"), F.col("p").alias("rp"), F.col("q").alias("rq"), "sku"), "key")
+    own = [_key("pq", "p", "q"), F.when(_none("q"), _key("p", "p")), F.when(~_none("q"), _key("p0", "p")), F.when(_none("p"), _key("q", "q")), F.when(~_none("p"), _key("q0", "q"))]
+    return _met(_rare_words(signatures, words), F.array(*own), _word_keys(lacking))
+
+
+def _identity_product_keys(known: DataFrame, words: DataFrame | None) -> DataFrame:
+    own = [_key("pq", "p", "q"), _key("p", "p"), F.when(_none("q"), _key("p0", "p")), _key("q", "q"), F.when(_none("p"), _key("q0", "q"))]
+    named = [_word_keys(F.lit("--")), _word_keys(F.lit("p-"), _none("p")), _word_keys(F.lit("-q"), _none("q")), _word_keys(F.lit("pq"), _none("p", "q"))]
+    return _met(_rare_words(known, words), F.array(*own), *named)
+
+
+def _word_keys(case: Column, when: Column | None = None) -> Column:
+    return F.transform(F.coalesce("rare", F.array().cast("array<string>")), lambda w: _key("b", case if when is None else F.when(when, case), w))
+
+
+def _met(df: DataFrame, *keys: Column) -> DataFrame:
+    return df.select("*", F.explode(F.filter(F.concat(*keys), lambda k: k.isNotNull())).alias("key")).drop("rare")
+
+
+def _identity_condensed(products: DataFrame) -> DataFrame:
+    return products.groupBy("key", *[F.col(c).alias(f"r{c}") for c in "bpq"]).agg(F.min("sku_id").alias("sku"))
+
+
+def _identity_best(pairs: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect(_words(F.col("b")), _words(F.col("rb")))) / F.size(F.array_union(_words(F.col("b")), _words(F.col("rb"))))
     part = lambda c, value: F.when(F.col(c).isNotNull() & F.col(f"r{c}").isNotNull(), value)
     equal = lambda c: part(c, (F.col(c) == F.col(f"r{c}")).cast("double"))
@@ -131,12 +167,23 @@ def match_identity(scans: DataFrame, registry: DataFrame) -> DataFrame:
     score = F.round(sum((F.coalesce(c, F.lit(0.0)) for c in parts), F.lit(0.0)) / sum((c.isNotNull().cast("int") for c in parts), F.lit(0)), 6)
     kept = scored.withColumn("score", score).where(F.col("score") >= IDENTITY_THRESHOLD)
     best = kept.groupBy("b", "p", "q").agg(F.min(F.struct((-F.col("score")).alias("least"), "sku", "score", *parts)).alias("t"))
-    best = best.select(*[F.col(c).alias(f"m{c}") for c in "bpq"], "t.sku", "t.score", "t.brand_score", "t.mrp_score", "t.quantity_score")
-    same = reduce(lambda i, j: i & j, [F.col(c).eqNullSafe(F.col(f"m{c}")) for c in "bpq"])
-    some = registry.agg((F.count(F.lit(1)) > 0).alias("some"))  # one row
-    joined = s.join(best, same, "left").crossJoin(F.broadcast(some))
+    return best.select("b", "p", "q", *[F.col(f"t.{c}") for c in ("score", "sku", "brand_score", "mrp_score", "quantity_score")])
+
+
+def _identity_told(found: DataFrame, some: DataFrame) -> DataFrame:
     status = F.when(F.col("sku").isNotNull(), "MATCHED").when(F.col("some"), "REJECTED").otherwise("NO_CANDIDATE")
-    return joined.select("id", status.alias("status"), "sku", "score", "brand_score", "mrp_score", "quantity_score")
+    return found.crossJoin(F.broadcast(some)).select("id", status.alias("status"), "sku", "score", "brand_score", "mrp_score", "quantity_score")  # one row
+
+
+def match_identity(scans: DataFrame, registry: DataFrame) -> DataFrame:
+    """Per scan: status, sku, score, and per field what it added (null where it was not compared).
+
+    The score is the mean of brand Jaccard (of the best brand string), price and quantity equality over what both sides have. Of 0.72, three parts
+    need price and quantity to agree, two need the one of them that is compared, and one needs itself: prices and quantities make the keys, and
+    brands only where neither is compared, through their rare words. Scans and products are reduced to distinct signatures. The best score
+    wins, then the smallest sku. Below the threshold the status is REJECTED; an empty registry gives NO_CANDIDATE.
+    """
+    return _matched(IDENTITY, scans, registry)
 
 
 def _identity(brand: Column) -> list[Column]:
@@ -147,6 +194,49 @@ def _identity(brand: Column) -> list[Column]:
     return [filled(server_text(brand)).alias("b"), filled(server_money(price)).alias("p"), filled(server_quantity(F.col("net_quantity"))).alias("q")]
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A way to match by keys. signature: what of a scan decides; product: what of a product does; result: what is found for a signature.
+
+    keys, product_keys: (rows, word counts) to the rows with each `key` they meet by; condensed: products that a signature need not tell apart as one; best: joined
+    signatures and products to the best of each signature; told: (scans with the best, whether there are products) to the rows that are returned.
+    """
+
+    signature: tuple[str, ...]
+    product: tuple[str, ...]
+    result: str
+    asked: Callable[[DataFrame], DataFrame]
+    known: Callable[[DataFrame], DataFrame]
+    keys: Callable[[DataFrame, DataFrame | None], DataFrame]
+    product_keys: Callable[[DataFrame, DataFrame | None], DataFrame]
+    condensed: Callable[[DataFrame], DataFrame]
+    best: Callable[[DataFrame], DataFrame]
+    told: Callable[[DataFrame, DataFrame], DataFrame]
+    words: Callable[[DataFrame], DataFrame] | None = None
+
+
+WEIGHTED = Scorer(
+    ("b", "q", "l"), ("b", "q", "l"), "score double, sku string, candidates long", _weighted_asked, _weighted_known, _weighted_keys, _weighted_product_keys,
+    _weighted_condensed, _weighted_best, _weighted_told)
+IDENTITY = Scorer(
+    ("b", "p", "q"), ("b", "p", "q"), "score double, sku string, brand_score double, mrp_score double, quantity_score double", _identity_asked, _identity_known, _identity_keys,
+    _identity_product_keys, _identity_condensed, _identity_best, _identity_told, _word_counts)
+
+
+def _matched(scorer: Scorer, scans: DataFrame, registry: DataFrame) -> DataFrame:
+    asked, known = scorer.asked(scans), scorer.known(registry)
+    words = scorer.words(known) if scorer.words else None
+    pairs = scorer.keys(asked.select(*scorer.signature).distinct(), words).join(scorer.condensed(scorer.product_keys(known, words)), "key")
+    return with_best(scorer, asked, scorer.best(pairs), registry)
+
+
+def with_best(scorer: Scorer, asked: DataFrame, best: DataFrame, registry: DataFrame) -> DataFrame:
+    """The scans' rows out of what was found for their signatures."""
+    found = best.withColumnsRenamed({c: f"m_{c}" for c in scorer.signature})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in scorer.signature])
+    return scorer.told(asked.join(found, same, "left"), registry.agg((F.count(F.lit(1)) > 0).alias("some")))
+
+
 def registry_merge(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Per sku the remote row if the local is absent, not newer, or the remote is imported; else the local."""
     a, b = local.alias("a"), remote.alias("b")
