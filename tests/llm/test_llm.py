@@ -397,6 +397,7 @@ def test_elias_fano():
         v = np.sort(rng.integers(0, top, n))
         e = EliasFano.from_bytes(EliasFano.of(v).to_bytes())
         assert e.all().tolist() == v.tolist() and [e.select(i) for i in range(n)] == v.tolist()
+        assert [x for k in range(len(e.samples)) for x in e.between_samples(k).tolist()] == v.tolist()
     b = Block(encode_block([None, 3, 3, 9], [np.array(x, "<u4").tobytes() for x in ([1], [70000, 2], [], [4, 5, 6])]))
     assert b.doc_ids() == [None, 3, 3, 9] and [b.document(i).tolist() for i in range(4)] == [[1], [70000, 2], [], [4, 5, 6]]
 
