@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packlens.operators.match import Scorer, with_best
-from packlens.sources.folders import listed
+from packlens.sources.folders import listed, written
 from packlens.sources.keyed import KeyedTable
 
 
@@ -71,61 +71,50 @@ class MatchIndex:
     def _signed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("sig", F.to_json(F.struct(*self.scorer.signature), {"ignoreNullFields": "false"}))
 
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows that several steps read, as a table: each step's plan stays small, and what an executor held is not lost with it."""
+        return written(rows, f"match-{name}")
+
     def _found(self, signatures: DataFrame) -> None:
         """Finds and keeps the best of each signature among the products that share a key with it; only the buckets of those keys are read."""
-        keyed = self.scorer.keys(signatures.select(*self.scorer.signature), self._words()).persist()
-        try:
-            wanted = self.products.buckets_of(keyed.select("key"))
-            candidates = self.products.read(lambda b: b in wanted).join(keyed.select("key").distinct(), "key", "left_semi")
-            met = keyed.join(self.scorer.condensed(candidates), "key")
-            self.counted["candidates"] = met.count()
-            best = self._signed(self.scorer.best(met))
-            # a signature without a match takes its old one away
-            none = self._signed(signatures).join(best.select("sig"), "sig", "left_anti")
-            rows = best.withColumn("live", F.lit(True)).unionByName(none.select("sig", *self.scorer.signature).withColumn("live", F.lit(False)), allowMissingColumns=True)
-            self.best.merge(rows)
-        finally:
-            keyed.unpersist()
+        keyed = self._kept(self.scorer.keys(signatures.select(*self.scorer.signature), self._words()), "asked")
+        wanted = self.products.buckets_of(keyed.select("key"))
+        candidates = self.products.read(lambda b: b in wanted).join(keyed.select("key").distinct(), "key", "left_semi")
+        met = self._kept(keyed.join(self.scorer.condensed(candidates), "key"), "met")
+        self.counted["candidates"] = met.count()
+        best = self._kept(self._signed(self.scorer.best(met)), "best")
+        # a signature without a match takes its old one away
+        none = self._signed(signatures).join(best.select("sig"), "sig", "left_anti")
+        self.best.merge(best.withColumn("live", F.lit(True)).unionByName(none.select("sig", *self.scorer.signature).withColumn("live", F.lit(False)), allowMissingColumns=True))
 
     def update(self, products: DataFrame, removed: DataFrame | None = None) -> None:
         """products: registry rows, new or changed; removed: sku_id of those that are gone."""
-        after = self.scorer.known(products).withColumn("live", F.lit(True))
+        after = self._kept(self.scorer.known(products), "after")
         gone = products.select("sku_id") if removed is None else products.select("sku_id").unionByName(removed.select("sku_id"))
-        gone = gone.distinct().persist()
-        words = self._words(after)
-        try:
-            touched = self.skus.buckets_of(gone)
-            before = self.skus.read(lambda b: b in touched).join(gone, "sku_id", "left_semi")
-            old = self.scorer.product_keys(before.drop("live"), words).withColumn("live", F.lit(False))
-            new = self.scorer.product_keys(after.drop("live"), words).withColumn("live", F.lit(True))
-            # a key that a product keeps is replaced by its new row, one that it loses is taken away
-            lost = old.join(new.select("key", "sku_id").distinct(), ["key", "sku_id"], "left_anti")
-            changed = lost.unionByName(new).persist()
-            changes = changed.select("key").unionByName(old.select("key")).distinct().persist()
-            self.counted = {"changed_keys": changes.count()}
-            asked = self.keys.buckets_of(changes)
-            concerned = self.keys.read(lambda b: b in asked).join(changes, "key", "left_semi").select(*self.scorer.signature).distinct().persist()
-            self.counted["signatures"] = concerned.count()
-            dead = gone.join(after.select("sku_id"), "sku_id", "left_anti").withColumn("live", F.lit(False))
-            self.products.merge(changed)
-            # skus go last: what stopped before them finds the old keys again
-            self._found(concerned)
-            self.skus.merge(after.unionByName(dead, allowMissingColumns=True))
-            for df in (changed, changes, concerned):
-                df.unpersist()
-        finally:
-            gone.unpersist()
+        gone, words = self._kept(gone.distinct(), "skus"), self._words(after)
+        touched = self.skus.buckets_of(gone)
+        before = self.skus.read(lambda b: b in touched).join(gone, "sku_id", "left_semi").drop("live")
+        old = self._kept(self.scorer.product_keys(before, words), "old-keys")
+        new = self._kept(self.scorer.product_keys(after, words), "new-keys")
+        # a key that a product keeps is replaced by its new row, one that it loses is taken away
+        lost = old.join(new.select("key", "sku_id").distinct(), ["key", "sku_id"], "left_anti")
+        changes = self._kept(new.select("key").unionByName(old.select("key")).distinct(), "changes")
+        asked = self.keys.buckets_of(changes)
+        concerned = self._kept(self.keys.read(lambda b: b in asked).join(changes, "key", "left_semi").select(*self.scorer.signature).distinct(), "concerned")
+        self.counted = {"changed_keys": changes.count(), "signatures": concerned.count()}
+        self.products.merge(lost.withColumn("live", F.lit(False)).unionByName(new.withColumn("live", F.lit(True))))
+        # skus go last: what stopped before them finds the old keys again
+        self._found(concerned)
+        dead = gone.join(after.select("sku_id"), "sku_id", "left_anti").withColumn("live", F.lit(False))
+        self.skus.merge(after.withColumn("live", F.lit(True)).unionByName(dead, allowMissingColumns=True))
 
     def add(self, scans: DataFrame) -> None:
         """Signatures that the index lacks are matched and kept."""
         signatures = self._signed(self.scorer.asked(scans).select(*self.scorer.signature).distinct())
         known = self._signed(self.keys.read().select(*self.scorer.signature).distinct())
-        fresh = signatures.join(known.select("sig"), "sig", "left_anti").select(*self.scorer.signature).persist()
-        try:
-            self._found(fresh)
-            self.keys.merge(self.scorer.keys(fresh, self._words()).withColumn("live", F.lit(True)))
-        finally:
-            fresh.unpersist()
+        fresh = self._kept(signatures.join(known.select("sig"), "sig", "left_anti").select(*self.scorer.signature), "fresh")
+        self._found(fresh)
+        self.keys.merge(self.scorer.keys(fresh, self._words()).withColumn("live", F.lit(True)))
 
     def matches(self, scans: DataFrame) -> DataFrame:
         """What the scorer's full match of these scans, which were added, with the current registry gives."""
