@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packlens.catalog import _CONFLICTS, _IDENTITY_ROWS, _UPSERTED, _WEIGHTED_ROWS, _WITH_CHECKS, PRODUCT, _barred, _checks_told, _query, _registry
-from packlens.operators import fleet, search
+from packlens.catalog import _BUCKET, _CONFLICTS, _IDENTITY_ROWS, _UPSERTED, _WEIGHTED_ROWS, _QTY, _TAX, _VOTE, _WITH_CHECKS, PRODUCT, Q_MAG, _barred, _checks_told, _m, _query, _registry
+from packlens.operators import fleet, flow, rules, search
 from packlens.operators.match import IDENTITY, WEIGHTED, Scorer
 from packlens.operators.rematch import MatchIndex
 from packlens.plans.bind import view
@@ -148,3 +150,51 @@ def scan_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     search.write_search_index(scans, path, buckets=16)
     some = [search.search_indexed(scans, path, text, buckets=16).select("id", "brand", "mrp") for text in (" Brand#13 ", "12/-")]
     return some[0].unionByName(some[1])
+
+
+_MRP = "'(?i)(?:₹|rs\\.?|inr)?\\s*(\\d+(?:\\.\\d{1,2})?)'"
+_PRICED = "'(?i)(?:mrp|m\\.r\\.p|rs\\.?|₹|inr|अधिकतम\\s*खुदरा\\s*मूल्य)'"
+_DIGITS = "regexp_replace(regexp_extract(text, '\\d[\\d\\s\\-]{8,26}\\d', 0), '\\D', '', 'g')"
+# every frame of every side: its fields by the lines' wording, then the votes over frames, the merge of sides and the rules
+_FRAMES = f"""frame_fields AS (SELECT scan_id, side, frame, arg_min(regexp_extract(text, {_MRP}, 1), line_no) FILTER (regexp_matches(text, {_PRICED}) AND regexp_matches(text, '\\d')) AS mrp,
+      arg_min(trim(regexp_extract(text, {_QTY}, 0)), line_no + CASE WHEN regexp_matches(text, '(?i)net\\s*(?:qty|quantity|wt|weight)') THEN 0 ELSE 1000000 END) FILTER (regexp_matches(text, {_QTY})) AS net_quantity,
+      arg_min({_DIGITS}, line_no) FILTER (length({_DIGITS}) = 14) AS number, bool_or(regexp_matches(text, '(?i)fssai|\\blic\\b\\.?|licence\\s*no|license\\s*no')) AS licensed,
+      arg_min(trim(text), line_no) FILTER (regexp_matches(text, {_TAX})) AS line, string_agg(text, ' ' ORDER BY line_no) AS joined, arg_min(trim(text), line_no) FILTER (lower(text) LIKE '%incl%') AS incl,
+      arg_min(trim(text), line_no) FILTER (lower(text) LIKE '%tax%') AS tax, arg_min(trim(text), line_no) FILTER (regexp_matches(text, '(?i)(?:mrp|m\\.r\\.p|rs\\.?|₹|inr)')) AS price,
+      arg_min(trim(text), line_no) FILTER (regexp_matches(lower(text), 'consumer care|customer care|consumer complaints|for complaints')) AS care,
+      bool_or(contains(lower(text), 'manufactured by: ')) AS made FROM side_lines GROUP BY scan_id, side, frame),
+    frame_observations AS (SELECT scan_id, side, frame, field, value FROM (
+      SELECT scan_id, side, frame, 'mrp' AS field, mrp AS value FROM frame_fields UNION ALL SELECT scan_id, side, frame, 'net_quantity', net_quantity FROM frame_fields
+      UNION ALL SELECT scan_id, side, frame, 'fssai_licence', CASE WHEN number IS NOT NULL THEN number WHEN licensed THEN '' END FROM frame_fields
+      UNION ALL SELECT scan_id, side, frame, 'tax_inclusive', coalesce(line, CASE WHEN regexp_matches(joined, {_TAX}) THEN coalesce(incl, tax, price) END) FROM frame_fields
+      UNION ALL SELECT scan_id, side, frame, 'consumer_care', care FROM frame_fields UNION ALL SELECT scan_id, side, frame, 'maker', CASE WHEN made THEN 'maker' END FROM frame_fields
+      UNION ALL SELECT scan_id, side, frame, 'seen', 'x' FROM frame_fields) AS each_field WHERE value IS NOT NULL)"""
+_MERGED = f"""sided AS (SELECT scan_id, side, field, value, agreed, confidence, agreed AND trim(coalesce(value, '')) <> '' AS filled, {_BUCKET} AS bucket FROM agreed),
+    merged AS (SELECT scan_id, field, CASE WHEN n <= 1 THEN b.value END AS value FROM (SELECT scan_id, field, count(DISTINCT CASE WHEN filled THEN bucket END) AS n,
+      min(CASE WHEN agreed THEN {{'f': -CAST(filled AS INT), 'c': -confidence, 's': side, 'value': value}} END) AS b FROM sided GROUP BY 1, 2) AS g),
+    wide AS (SELECT s.scan_id, max(m.value) FILTER (m.field = 'mrp') AS mrp, max(m.value) FILTER (m.field = 'net_quantity') AS net_quantity, max(m.value) FILTER (m.field = 'fssai_licence') AS licence,
+      max(m.value) FILTER (m.field = 'tax_inclusive') AS tax, max(m.value) FILTER (m.field = 'consumer_care') AS care, max(m.value) FILTER (m.field = 'maker') AS maker, max(h.low_mm) AS low_mm, max(h.high_mm) AS high_mm
+      FROM (SELECT DISTINCT scan_id FROM side_lines) s LEFT JOIN merged m ON m.scan_id = s.scan_id LEFT JOIN side_heights h ON h.scan_id = s.scan_id GROUP BY s.scan_id),
+    findings AS (SELECT scan_id, 'MRP-01' AS rule_id, {{p}} AS status FROM (SELECT scan_id, mrp AS v FROM wide) AS x UNION ALL SELECT scan_id, 'QTY-01', {{p}} FROM (SELECT scan_id, net_quantity AS v FROM wide) AS x
+      UNION ALL SELECT scan_id, 'FSSAI-01', {{p}} FROM (SELECT scan_id, licence AS v FROM wide) AS x UNION ALL SELECT scan_id, 'TAX-01', {{p}} FROM (SELECT scan_id, tax AS v FROM wide) AS x
+      UNION ALL SELECT scan_id, 'CARE-01', CASE WHEN small THEN 'EXEMPT' ELSE {{p}} END FROM (SELECT scan_id, care AS v, coalesce({_m(Q_MAG, 'net_quantity')} <= 10, FALSE) AS small FROM wide) AS x
+      UNION ALL SELECT scan_id, 'MFR-01', CASE WHEN maker IS NOT NULL THEN 'PASS' ELSE 'NEEDS_REVIEW' END FROM wide
+      UNION ALL SELECT scan_id, 'CAP-01', CASE WHEN low_mm IS NULL THEN 'NOT_ASSESSABLE' WHEN low_mm >= 1.0 THEN 'PASS' WHEN high_mm < 1.0 THEN 'FAIL' ELSE 'NEEDS_REVIEW' END FROM wide)"""
+_MERGED = _MERGED.replace("{p}", "CASE WHEN coalesce(v, '') <> '' THEN 'PASS' ELSE 'FAIL' END")
+_FRAME_VOTE = _VOTE.strip().removeprefix("WITH ").replace("FROM observations", "FROM frame_observations")
+_ORDERED = ["FAIL", "NOT_ASSESSABLE", "NEEDS_REVIEW", "PASS"]
+JUDGED = ("MRP-01", "QTY-01", "FSSAI-01", "TAX-01", "CARE-01", "MFR-01", "CAP-01")
+
+
+@_query(f"""WITH {_FRAMES}, {_FRAME_VOTE}, {_MERGED}
+    SELECT scan_id, count(*) AS n, string_agg(concat(rule_id, '=', status), ',' ORDER BY rule_id) AS findings, {_ORDERED}[min(list_position({_ORDERED}, status))] AS verdict FROM findings GROUP BY scan_id""")
+def verdicts_from_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of four frames of two sides, some misread, to verdicts by seven rules, the height rule without what holds it back."""
+    root = json.loads(rules.CANONICAL.read_text())
+    root["rules"] = [r for r in root["rules"] if r["id"] in JUDGED]
+    for r in root["rules"]:
+        r["check"]["params"] = {k: v for k, v in (r["check"].get("params") or {}).items() if not k.startswith("needs_")}
+    ruleset, exempt, _ = rules.load_rules(spark, json.dumps(root))
+    findings = flow.judge(view(spark, sf_dir, "side_lines"), ruleset, exempt, "2026-09-05", heights=view(spark, sf_dir, "side_heights"))
+    told = F.array_join(F.array_sort(F.collect_list(F.concat("rule_id", F.lit("="), "status"))), ",")
+    return findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), told.alias("findings"), rules._verdict().alias("verdict"))

@@ -97,6 +97,14 @@ VIEWS = {
                CASE line_no WHEN 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 70 ELSE 120 END WHEN 11 THEN 368 WHEN 12 THEN 428 ELSE 70 + line_no * 60 END AS bottom
         FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) AS numbers(line_no)
         WHERE line_no < 11 OR (line_no = 11 AND p_partkey % 8 = 1) OR (line_no = 12 AND p_partkey % 6 = 1)""",
+    "side_lines": """
+        SELECT scan_id, CASE WHEN line_no < 5 THEN 'back' ELSE 'front' END AS side, f AS frame, line_no,
+               CASE WHEN line_no = 2 AND scan_id % 7 = 0 AND f = 1 THEN 'MRP Rs. 999/-' WHEN line_no = 1 AND scan_id % 13 = 0 AND f >= 2 THEN 'NET WT: 77 g'
+                    WHEN line_no = 8 AND scan_id % 8 = 4 THEN 'a plain line' WHEN line_no = 9 AND scan_id % 17 = 3 THEN 'NET WT: 999 g' ELSE text END AS text,
+               "left", top, "right", bottom
+        FROM ocr_lines CROSS JOIN (VALUES (0), (1), (2), (3)) AS shots(f)""",
+    "side_heights": """
+        SELECT p_partkey AS scan_id, 'mrp' AS field, CAST(0.6 AS DOUBLE) + (p_partkey % 3) * CAST(0.4 AS DOUBLE) AS low_mm, CAST(1.4 AS DOUBLE) + (p_partkey % 3) * CAST(0.4 AS DOUBLE) AS high_mm FROM part WHERE p_partkey % 10 < 7""",
     "bursts": """
         SELECT user_id * 100 + day(ts) AS burst_id, event_id AS frame, CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE value END AS variance FROM events""",
     "calibrations": """
