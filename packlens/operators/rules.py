@@ -72,9 +72,12 @@ def condition_compare(value: Column, op: Column, limit: Column, unit: Column) ->
 
     With a unit both sides are quantities in g or ml; without one the value must be a number.
     """
-    seen, asked = norm_quantity(value), norm_quantity(F.concat_ws(" ", limit.cast("string"), unit))
+    return _compared(norm_quantity(value), norm_quantity(F.concat_ws(" ", limit.cast("string"), unit)), F.trim(value).try_cast("double"), op, limit, unit)
+
+
+def _compared(seen: Column, asked: Column, number: Column, op: Column, limit: Column, unit: Column) -> Column:
     same = seen["unit"] == asked["unit"]
-    left = F.when(unit.isNotNull(), F.when(same, seen["magnitude"])).otherwise(F.trim(value).try_cast("double"))
+    left = F.when(unit.isNotNull(), F.when(same, seen["magnitude"])).otherwise(number)
     right = F.when(unit.isNotNull(), asked["magnitude"]).otherwise(limit)
     held = F.when(op == "lte", left <= right).when(op == "lt", left < right).when(op == "gte", left >= right).when(op == "gt", left > right).when(op == "eq", left == right)
     return F.coalesce(held, F.lit(False))
@@ -83,7 +86,9 @@ def condition_compare(value: Column, op: Column, limit: Column, unit: Column) ->
 def exemptions_of(declared: DataFrame, exemptions: DataFrame) -> DataFrame:
     """scan_id, rule_id, exemption_id, ex_citation of the rules that a scan is exempt from: the first exemption that holds."""
     e = F.broadcast(exemptions.withColumnRenamed("value", "limit"))  # tens of rows
-    met = declared.join(e, "field").where(condition_compare(F.col("value"), F.col("op"), F.col("limit"), F.col("unit")))
+    # quantities are read once a row, and not inside the join's condition, which would be too long to compile
+    read = {"seen": norm_quantity(F.col("value")), "asked": norm_quantity(F.concat_ws(" ", F.col("limit").cast("string"), "unit")), "number": F.trim("value").try_cast("double")}
+    met = once(declared.select("scan_id", "field", "value").join(e, "field"), read).where(_compared(*[F.col(c) for c in (*read, "op", "limit", "unit")]))
     each = met.select("scan_id", F.explode("exempts").alias("rule_id"), F.struct("ex_ord", "exemption_id", "citation").alias("e"))
     return each.groupBy("scan_id", "rule_id").agg(F.min("e").alias("e")).select("scan_id", "rule_id", F.col("e.exemption_id").alias("exemption_id"), F.col("e.citation").alias("ex_citation"))
 
