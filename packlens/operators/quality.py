@@ -14,8 +14,12 @@ def accuracy_by(pairs: DataFrame, group: str, truth: str, guess: str, z: float =
     return g.select(group, "n", F.round("accuracy", 6).alias("accuracy"), F.round(middle - half, 6).alias("low"), F.round(middle + half, 6).alias("high"))
 
 
-def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Cohen's kappa of two annotators: one row, null where chance agreement is complete."""
+def kappa(pairs: DataFrame, a: str, b: str, blind: str | None = None) -> DataFrame:
+    """Cohen's kappa of two annotators: one row, null where chance agreement is complete.
+
+    blind: a boolean column; records that were not annotated without sight of the prediction, or do not say so, are left out.
+    """
+    pairs = pairs if blind is None else pairs.where(F.col(blind))
     table = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("k"))
     rows = table.groupBy(F.col(a).alias("v")).agg(F.sum("k").alias("ra"))
     cols = table.groupBy(F.col(b).alias("w")).agg(F.sum("k").alias("rb"))

@@ -139,6 +139,12 @@ VIEWS = {
             CASE WHEN k % 10 IN (0, 1, 5, 6, 7) THEN NULL WHEN k % 10 = 2 THEN m_first WHEN k % 10 = 4 THEN CAST(date_trunc('month', sooner) AS DATE) WHEN k % 10 = 8 THEN d ELSE CAST(date_trunc('month', later) AS DATE) END,
             CASE WHEN k % 10 IN (0, 1, 5, 6, 7) THEN NULL WHEN k % 10 = 2 THEN m_last WHEN k % 10 = 4 THEN last_day(sooner) WHEN k % 10 = 8 THEN d ELSE last_day(later) END,
             CASE k % 10 WHEN 5 THEN 9 WHEN 6 THEN 0 ELSE NULL END, CASE k % 10 WHEN 5 THEN 0 WHEN 6 THEN 14 ELSE NULL END FROM pack_dates) AS fields WHERE value IS NOT NULL""",
+    "pack_truth": """
+        SELECT k AS scan_id, 'mrp' AS field, CASE k % 7 WHEN 0 THEN CASE WHEN k % 2 = 0 THEN NULL ELSE '41' END WHEN 1 THEN ' ' ELSE concat(CAST(40 + k % 3 + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END AS STRING), '.00') END AS value FROM packs
+        UNION ALL SELECT k, 'net_quantity', CASE k % 9 WHEN 0 THEN '5 g' WHEN 2 THEN '10 ml' WHEN 3 THEN '10 g' WHEN 5 THEN 'ten g' WHEN 6 THEN '500 millilitres' WHEN 7 THEN NULL WHEN 8 THEN '0.5 kg' ELSE '8 gm' END FROM packs
+        UNION ALL SELECT k, 'batch_number', CASE k % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'b0' ELSE concat('b', CAST(k AS STRING), ' ') END FROM packs WHERE k % 10 <> 3
+        UNION ALL SELECT k, 'brand', concat('BRAND#', CAST(k % 5 AS STRING)) FROM packs WHERE k % 3 <> 1
+        UNION ALL SELECT k, 'brand', 'Z last' FROM packs WHERE k % 6 = 0""",
     "pack_registry": """
         SELECT k AS scan_id, CASE WHEN k % 3 = 1 THEN 'IMPORTED' ELSE 'MANUAL' END AS source, CASE WHEN k % 8 = 0 THEN NULL ELSE CAST(40 + k % 2 AS DOUBLE) END AS mrp_exact,
                CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '10 g' WHEN 2 THEN '500 g' WHEN 3 THEN '11 g' ELSE '500 ml' END AS net_quantity, 'brand#0' AS brand1, CASE WHEN k % 2 = 0 THEN 'BRAND#1 ' ELSE NULL END AS brand2 FROM packs WHERE k % 3 <> 0""",
