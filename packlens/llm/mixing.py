@@ -61,19 +61,37 @@ def _laid(
 ) -> DataFrame:
     """Rows of `_sized` with their source's targets, the words before each in its source's stream, and how often each is taken.
 
-    A pass through the source takes a document whole if at least half of its words lie before the target.
+    A source's stream is read pass by pass as long as the next document fits whole into what is left of the target. Of the documents that
+    the last pass leaves, the one nearest in size to what is then missing is taken as well (`last`), if that brings the source nearer to its target; it
+    stands at the end of the stream, behind the `filled` words.
     """
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, budget, max_epochs)
+    light = rows.select("source", "size", "key")
+    targets = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, budget, max_epochs)
     everything = Window.partitionBy()
+    by_source = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("sn")]
     known = targets.select(
-        F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("sn"), "source_size", "target", "slope",
+        *by_source, "source_size", "target", "slope",
         F.sum("target").over(everything).alias("whole"), F.sum(F.col("target") * F.col("slope")).over(everything).alias("drift"))
-    laid = running_before(rows, ["source"], ["key", "size"], "size", "before", rows.select("source", "size", "key"))
-    joined = laid.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("sn", F.col("source").isNull()).join(known, ["s", "sn"]).drop("s", "sn")
-    # passes e = 0, 1, ... with e * source_size + before + size / 2 <= target
-    passes = F.floor((F.col("target") - F.col("before") - F.col("size") / 2) / F.greatest("source_size", F.lit(1))) + 1
-    times = F.when(F.col("size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(passes, F.lit(math.ceil(max_epochs)))))
-    return joined.withColumn("times", times.cast("int"))
+    most = F.lit(math.ceil(max_epochs))
+
+    def placed(some: DataFrame) -> DataFrame:
+        laid = running_before(some, ["source"], ["key", "size"], "size", "before", light)
+        joined = laid.select("*", *by_source).join(known, ["s", "sn"])
+        # passes e = 0, 1, ... with e * source_size + before + size <= target
+        passes = F.floor((F.col("target") - F.col("before") - F.col("size")) / F.greatest("source_size", F.lit(1))) + 1
+        times = F.when(F.col("size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(passes, most)))
+        return joined.withColumn("times", times.cast("int"))
+
+    # a row a source: words of whole documents, and for what is missing the nearest of the documents that may be taken once more
+    once = placed(light).where("size > 0")
+    filled = once.groupBy("s", "sn").agg(F.sum(F.col("times") * F.col("size")).alias("filled"))
+    missing = F.col("target") - F.col("filled")
+    left = once.join(filled, ["s", "sn"]).where((F.col("times") <= F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))) & (F.col("times") < most))
+    left = left.withColumn("off", F.abs(missing - F.col("size"))).where(F.col("off") < missing)
+    chosen = left.groupBy("s", "sn", "filled").agg(F.min(F.struct("off", "before")).alias("c")).select("s", "sn", "filled", F.col("c.before").alias("chosen"))
+    joined = placed(rows).join(chosen, ["s", "sn"], "left").drop("s", "sn")
+    joined = joined.withColumn("last", F.coalesce((F.col("before") == F.col("chosen")) & (F.col("size") > 0), F.lit(False)))
+    return joined.withColumn("times", F.col("times") + F.col("last").cast("int")).drop("chosen")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -81,14 +99,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     how: weights, slopes, budget, max_epochs. Sources by code point, null last, take `weights` and `slopes` (-1 to 1: share
     at the end against the start) in turn. A source's documents are shuffled by hash and read through up to max_epochs times
-    until its target is met, the last document whole if that is nearer to the target than without it. Position is the number
+    until the next one does not fit whole; then the one nearest in size to what is missing is taken, if that is nearer to the target than without it. max_epochs
+    bounds a source's target; a document is taken at most that often, rounded up. Position is the number
     of words of the whole mix that are trained before a document's first word; documents that are not taken have none. Null and
     empty texts have size 0 and are not taken. Repeated rows are documents of their own. An empty table stays empty.
     Columns pass whatever their names; one that is named like a result is replaced by it.
     """
     keep = [c for c in docs.columns if c != text_col]
     rows = _laid(_sized(docs, id_col, text_col, source_col, keep), **how)
-    position = F.when(F.col("times") > 0, _position(F.col("before")))
+    position = F.when(F.col("times") > 0, _position(F.when(F.col("last") & (F.col("times") == 1), F.col("filled")).otherwise(F.col("before"))))
     results = {n: F.col(n) for n in ("size", "source_size", "target", "times")} | {"taken": F.col("times") * F.col("size"), "position": position}
     return opened(rows, keep, **results)
 
@@ -114,4 +133,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     laid = _laid(_sized(docs, id_col, text_col, source_col, docs.columns), **how).where("times > 0")
     copies = laid.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass"))
     # a later pass through the source is a source's length later in its stream
-    return opened(copies.orderBy(_position(F.col("before") + F.col("pass") * F.col("source_size"))), docs.columns)
+    later = F.col("before") + F.col("pass") * F.col("source_size")
+    at = F.when(F.col("last") & (F.col("pass") == F.col("times") - 1), F.col("filled")).otherwise(later)
+    return opened(copies.orderBy(_position(at)), docs.columns)

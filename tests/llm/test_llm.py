@@ -313,6 +313,26 @@ def test_mixing(spark):
     assert first == sorted(first)
 
 
+def test_mixing_ends_with_the_document_that_fits(spark):
+    rng = random.Random(5)
+    sources = ["a"] * 60 + ["b"] * 60 + [None] * 60 + [""] * 3
+    texts = [" ".join(["w"] * rng.randint(1, 400)) for _ in sources[:-3]] + ["w " * 900, "w", "w " * 30]
+    rows = mix(table(spark, texts, sources=sources), max_epochs=1.5, budget=0.8).collect()
+    assert len(rows) == len(texts)
+    for s in {r.source for r in rows}:
+        own = [r for r in rows if r.source == s]
+        target, taken = own[0]["target"], sum(r["taken"] for r in own)
+        missing = abs(target - taken)
+        spare = [r["size"] for r in own if r["times"] < 2 and target > r["source_size"] or r["times"] == 0]
+        assert all(abs(target - taken - n) >= missing for n in spare), "no document more brings the source nearer"
+        assert all(r["times"] <= 2 for r in own)
+        # of the documents that are taken once, the last one starts where all others have been read
+        last = max((r for r in own if r["times"]), key=lambda r: r["position"])
+        assert s == "" or missing <= 200 and last["position"] > 0, "half of the longest document"
+    got = Counter(r.doc_id for r in mixed_documents(table(spark, texts, sources=sources), max_epochs=1.5, budget=0.8).collect())
+    assert got == {r["doc_id"]: r["times"] for r in rows if r["times"]}
+
+
 def test_mixing_takes_a_source_up_to_max_epochs(spark):
     docs = table(spark, [" ".join(["w"] * 10) for _ in range(40)] + [" ".join(["w"] * 40) for _ in range(100)], sources=["a"] * 40 + ["b"] * 100)
     rows = mix(docs, max_epochs=4, budget=1.0).collect()
