@@ -20,6 +20,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (0.5, -0.5, 0.0)
 BUDGET = 1.5
 MAX_EPOCHS = 2.0
+#: Parts that a source's documents are dealt over where they meet its totals.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], slopes: Sequence[float], budget: float, max_epochs: float) -> DataFrame:
@@ -86,7 +88,9 @@ def _laid(
     once = placed(light).where("size > 0")
     filled = once.groupBy("s", "sn").agg(F.sum(F.col("times") * F.col("size")).alias("filled"))
     missing = F.col("target") - F.col("filled")
-    left = once.join(filled, ["s", "sn"]).where((F.col("times") <= F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))) & (F.col("times") < most))
+    # a source may have a third of all documents, so its one row is copied and its documents are dealt over the copies
+    copied = filled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = once.withColumn("salt", F.pmod("before", F.lit(SALTS)).cast("int")).join(copied, ["s", "sn", "salt"]).where((F.col("times") <= F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))) & (F.col("times") < most))
     left = left.withColumn("off", F.abs(missing - F.col("size"))).where(F.col("off") < missing)
     chosen = left.groupBy("s", "sn", "filled").agg(F.min(F.struct("off", "before")).alias("c")).select("s", "sn", "filled", F.col("c.before").alias("chosen"))
     joined = placed(rows).join(chosen, ["s", "sn"], "left").drop("s", "sn")
