@@ -24,7 +24,7 @@ from packlens.llm.simhash import components, drop_near_duplicates, fingerprint,
 from packlens.llm.substring_dedup import pieces, sentences, substring_dedup
 from packlens.llm.token_output import Block, EliasFano, encode_block, tokens_round_trip
 from packlens.llm.tokens import Encoder, encoder, tokenizer_path
-from packlens.llm.toxicity import BUCKETS, Model, score_toxicity
+from packlens.llm.toxicity import BUCKETS, STEMS, TOP, Model, score_toxicity
 
 #: Names that operators use themselves, inside or as results, stand among the user's columns.
 EXTRA = ["__x", "h", "__id", "__th", "__row", "__drop", "__size", "size", "n_lines", "n_removed", "kept", "node", "a.b"]
@@ -487,16 +487,35 @@ def test_a_lost_part_of_the_model_is_an_error(spark):
 def test_convolution_equals_a_plain_one():
     rng, m = np.random.default_rng(5), Model.fresh(3)
     m.bias[:] = rng.normal(size=m.bias.shape) * 0.1
-    docs = [rng.integers(0, 1 << 32, n).astype(np.uint32) for n in (0, 1, 2, 3, 50, 70_000)]
+    docs = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 2, 3, 50, 70_000)]
     for ids, got in zip(docs, m.logits(docs)):
-        x = np.concatenate([m.table[ids & 0xFFFF], m.table[BUCKETS + (ids >> 16).astype(np.int64)]], axis=1)
-        top = np.zeros(len(m.bias))
+        parts = [(ids >> np.uint64(16 * k)).astype(np.int64) % BUCKETS for k in range(len(STEMS) + 1)]
+        x = np.concatenate([m.table[parts[0]], sum(m.table[BUCKETS + p] for p in parts[1:])], axis=1)
+        top = np.full((TOP, len(m.bias) // TOP), -1e9)
         for k, w in enumerate(m.filters):
             n = w.shape[2]
             if len(ids) >= len(w):
                 each = sum(x[j : len(ids) - len(w) + 1 + j] @ w[j] for j in range(len(w)))
-                top[k * n : (k + 1) * n] = np.maximum(each.max(0) + m.bias[k * n : (k + 1) * n], 0)
-        assert math.isclose(got, top @ m.weights + m.offset, rel_tol=1e-3, abs_tol=1e-4)
+                best = np.sort(each, axis=0)[::-1][:TOP]
+                top[: len(best), k * n : (k + 1) * n] = best
+        want = np.maximum(top.ravel() + m.bias, 0) @ m.weights + m.offset
+        assert math.isclose(got, want, rel_tol=1e-3, abs_tol=1e-4)
+
+
+def test_toxic_words_that_stand_apart(spark):
+    """One word of a rare kind says nothing, two of it in one text do; their endings vary."""
+    rng = random.Random(21)
+
+    def text(i):
+        words = prose(i, 80).split()
+        for _ in range(2 if i % 5 == 0 else i % 2):
+            words.insert(rng.randrange(len(words)), "gromel" + rng.choice(["a", "os", "ent", "ix", "um", "ar", "ek", "il"]))
+        return " ".join(words)
+
+    docs = table(spark, [text(i) for i in range(900)])
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(900)], "doc_id long, toxic int")
+    held = [r for r in score_toxicity(docs, labels).collect() if r.held_out]
+    assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in held) >= 0.95 * len(held)
 
 
 def test_toxicity(spark):
