@@ -210,7 +210,7 @@ def product_conflicts(scans: DataFrame, normalised: bool = False) -> DataFrame:
 
     Values are trimmed texts in the order in which they were first seen; a list with one value is emptied. normalised: values
     that mean the same ('Rs. 45' and '45.00') count once, shown as first seen, and what cannot be read is no value. Scans are counted
-    per (product, price, quantity) first, so a product with a third of all scans sends a few rows.
+    per (product, price, quantity) first and values per (product, field) next, so a product with a third of all scans sends a few rows.
     """
     clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     rows = scans.select(product_key().alias("product"), clean("mrp").alias("p"), clean("net_quantity").alias("q"), F.struct("scanned_at", "id").alias("at")).where("product is not null")
@@ -219,18 +219,20 @@ def product_conflicts(scans: DataFrame, normalised: bool = False) -> DataFrame:
     if normalised:
         same = {"p": norm_field(F.lit("mrp"), F.col("p")), "q": F.nullif(norm_field(F.lit("net_quantity"), F.col("q")), F.lit(""))}
     counted = counted.withColumns({f"same_{c}": same[c] for c in "pq"})
-    firsts = lambda c: F.collect_list(F.when(F.col(f"same_{c}").isNotNull(), F.struct("at", F.col(c).alias("v"), F.col(f"same_{c}").alias("s"))))
-    grouped = counted.groupBy("product").agg(F.sum("n").alias("scans"), firsts("p").alias("ps"), firsts("q").alias("qs"))
-    return conflict_lists(grouped)
-
-
-def conflict_lists(grouped: DataFrame) -> DataFrame:
-    """product, scans and ps, qs (at, v, s: a value first seen, as shown and as compared) to `product_conflicts`' rows."""
-    ordered = grouped.withColumns({c: F.array_sort(c) for c in ("ps", "qs")})
-    shown = lambda c: F.transform(F.array_distinct(F.transform(c, lambda x: x["s"])), lambda s: F.get(F.filter(c, lambda x: x["s"] == s), F.lit(0))["v"])
-    listed = ordered.select("product", "scans", shown("ps").alias("prices"), shown("qs").alias("quantities"))
-    many = lambda c: F.when(F.size(c) > 1, F.col(c)).otherwise(F.array().cast("array<string>")).alias(c)
-    return listed.where((F.size("prices") > 1) | (F.size("quantities") > 1)).select("product", "scans", many("prices"), many("quantities"))
+    entry = lambda field, c: F.struct(F.lit(field).alias("field"), F.col(f"same_{c}").alias("same"), F.struct("at", F.col(c).alias("value")).alias("first"))
+    each = counted.select("product", "n", F.explode(F.array(entry("mrp", "p"), entry("net_quantity", "q"))).alias("e")).select("product", "n", "e.*")
+    return conflict_lists(each.groupBy("product", "field", "same").agg(F.sum("n").alias("n"), F.min("first").alias("first")), "mrp")
+
+
+def conflict_lists(firsts: DataFrame, counted: str) -> DataFrame:
+    """product, field, same (a value as compared, null for none), first (at, value: its first sighting), n to `product_conflicts`' rows.
+
+    A (product, field, value) is one row, so a list needs a sort and no search. counted: the field whose n add up to a product's scans.
+    """
+    seen = lambda field: F.collect_list(F.when((F.col("field") == field) & F.col("same").isNotNull(), F.struct("first.at", "first.value", "same")))
+    grouped = firsts.groupBy("product").agg(F.sum(F.when(F.col("field") == counted, F.col("n"))).alias("scans"), seen("mrp").alias("prices"), seen("net_quantity").alias("quantities"))
+    many = lambda c: F.when(F.size(c) > 1, F.transform(F.array_sort(c), lambda x: x["value"])).otherwise(F.array().cast("array<string>")).alias(c)
+    return grouped.where((F.size("prices") > 1) | (F.size("quantities") > 1)).select("product", "scans", many("prices"), many("quantities"))
 
 
 def conflicts_top(conflicts: DataFrame, limit: int = 50) -> DataFrame:

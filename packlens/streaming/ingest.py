@@ -163,8 +163,7 @@ def first_sightings(scans: DataFrame) -> DataFrame:
 
 def conflicts_of(sightings: DataFrame) -> DataFrame:
     """`first_sightings` to the rows of `product_conflicts`."""
-    seen = lambda name: F.collect_list(F.when(F.col("field") == name, F.struct("at", F.col("value").alias("v"), F.col("value").alias("s"))))
-    return conflict_lists(sightings.groupBy("product").agg(F.sum(F.when(F.col("field") == "", F.col("n"))).alias("scans"), seen("mrp").alias("ps"), seen("net_quantity").alias("qs")))
+    return conflict_lists(sightings.select("product", "field", F.col("value").alias("same"), F.struct("at", "value").alias("first"), "n"), "")
 
 
 def stream_fleet(stream: DataFrame, fleet: Fleet, checkpoint: str) -> StreamingQuery:

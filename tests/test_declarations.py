@@ -89,6 +89,17 @@ def test_conflicts(spark):
     assert fleet.fleet_summary(scans.withColumn("verdict", F.lit("PASS")).limit(0)).first().conclusive_rate == 0.0
 
 
+def test_conflicts_of_many_values(spark):
+    ids = spark.range(6000).select("id", (-F.col("id")).alias("scanned_at"), F.lit(None).cast("string").alias("sku_id"), F.lit("b").alias("brand"))
+    scans = ids.withColumns({"mrp": F.concat(F.lit(" "), (F.col("id") % 2000).cast("string")), "net_quantity": F.when(F.col("id") % 7 > 0, F.concat((F.col("id") % 700).cast("string"), F.lit(" g")))})
+    found = fleet.product_conflicts(scans)
+    row = found.first()
+    assert (row.scans, row.prices) == (6000, [str(p) for p in range(1999, -1, -1)])
+    assert row.quantities == [f"{i % 700} g" for i in range(5999, 5299, -1) if i % 7]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "filter(" not in plan, "no value is searched for in its product's list"
+
+
 def test_focus(spark):
     b = spark.createDataFrame([(1, 1, 10.0), (1, 2, 3.0), (2, 1, 0.0), (3, 1, 0.0), (3, 2, 0.0)], "burst_id int, frame int, variance double")
     assert sorted((r.burst_id, r.frame) for r in measure.focus_gate(b).collect()) == [(1, 1), (2, 1), (3, 1), (3, 2)]
