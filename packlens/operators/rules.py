@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,20 +86,15 @@ def _compared(seen: Column, asked: Column, number: Column, op: Column, limit: Co
 
 def exemptions_of(declared: DataFrame, exemptions: DataFrame) -> DataFrame:
     """scan_id, rule_id, exemption_id, ex_citation of the rules that a scan is exempt from: the first exemption that holds."""
-    e = F.broadcast(exemptions.withColumnRenamed("value", "limit"))  # tens of rows
+    asked = {"asked": norm_quantity(F.concat_ws(" ", F.col("limit").cast("string"), "unit"))}
+    e = F.broadcast(once(exemptions.withColumnRenamed("value", "limit"), asked))  # tens of rows
     # quantities are read once a row, and not inside the join's condition, which would be too long to compile
-    read = {"seen": norm_quantity(F.col("value")), "asked": norm_quantity(F.concat_ws(" ", F.col("limit").cast("string"), "unit")), "number": F.trim("value").try_cast("double")}
-    met = once(declared.select("scan_id", "field", "value").join(e, "field"), read).where(_compared(*[F.col(c) for c in (*read, "op", "limit", "unit")]))
+    read = {"seen": norm_quantity(F.col("value")), "number": F.trim("value").try_cast("double")}
+    met = once(declared.select("scan_id", "field", "value").join(e, "field"), read).where(_compared(*[F.col(c) for c in ("seen", "asked", "number", "op", "limit", "unit")]))
     each = met.select("scan_id", F.explode("exempts").alias("rule_id"), F.struct("ex_ord", "exemption_id", "citation").alias("e"))
     return each.groupBy("scan_id", "rule_id").agg(F.min("e").alias("e")).select("scan_id", "rule_id", F.col("e.exemption_id").alias("exemption_id"), F.col("e.citation").alias("ex_citation"))
 
 
-def rules_x_fields(scans: DataFrame, declared: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each scan with each rule, with the declared field where there is one. `rules` has tens of rows."""
-    grid = scans.select("scan_id").crossJoin(F.broadcast(rules))
-    return grid.join(declared, ["scan_id", "field"], "left")
-
-
 def _filled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select("*", *[F.lit(None).cast(kind).alias(n) for n, kind in columns.items() if n not in df.columns])
 
@@ -137,28 +133,31 @@ def evaluate(
     heights = empty(f"scan_id {kind}, field string, low_mm double, high_mm double") if heights is None else heights
     scales = empty(f"scan_id {kind}, unavailable string") if scales is None else scales
 
-    # dates are read once a distinct text, and only of the fields that date rules name
-    dated = declared.where(F.col("field").isin("mfg_date", "expiry") | F.col("field").isin(*_date_fields(rules)))
-    read = resolved(dated, "value", own=label_date, period=label_period).select("scan_id", "field", "own", "period", F.coalesce("anchor_only", F.lit(False)).alias("blank"))
-    other = read.select("scan_id", F.col("field").alias("other"), F.col("own").alias("o_own"), F.col("blank").alias("o_blank"))
-    rows = rules_x_fields(declared.select("scan_id").distinct() if scans is None else scans, declared, rules)
-    rows = rows.join(read.drop("blank"), ["scan_id", "field"], "left").withColumn("other", F.coalesce("after_field", "relative_requires"))
-    rows = rows.join(other, ["scan_id", "other"], "left")
-    facts = registry.select("scan_id", F.lit(True).alias("registered"), "authority", "mrp_exact", F.col("net_quantity").alias("r_quantity"), "brand_strings")
+    # everything that is known of a scan meets by its id, once; the rules, tens of rows, come after that, so that findings are never shuffled
+    rows = (declared.select("scan_id").distinct() if scans is None else scans.select("scan_id")).join(_nested(declared, rules), "scan_id", "left")
+    facts = registry.select("scan_id", F.lit(True).alias("registered"), "authority", "mrp_exact", nfkc(F.col("net_quantity")).alias("r_quantity"), F.when(F.size("brand_strings") > 0, nfkc_all(F.col("brand_strings"))).alias("brand_strings"))
     rows = rows.join(facts, "scan_id", "left")
     named = roles.groupBy("scan_id").agg(F.collect_set(F.lower("role")).alias("roles"))  # at most five values
-    rows = rows.join(named, "scan_id", "left").join(heights.select("scan_id", "field", "low_mm", "high_mm"), ["scan_id", "field"], "left")
-    rows = rows.join(scales.select("scan_id", "unavailable"), "scan_id", "left").join(exemptions_of(declared, exemptions), ["scan_id", "rule_id"], "left")
+    high = heights.groupBy("scan_id").agg(F.collect_list(F.struct("field", "low_mm", "high_mm")).alias("heights"))  # a scan's few fields
+    exempt = exemptions_of(declared, exemptions).groupBy("scan_id").agg(F.collect_list(F.struct("rule_id", "exemption_id", "ex_citation")).alias("exempted"))  # at most a rule each
+    rows = rows.join(named, "scan_id", "left").join(high, "scan_id", "left").join(scales.select("scan_id", "unavailable"), "scan_id", "left").join(exempt, "scan_id", "left")
+
+    of = lambda c, key, want: F.filter(c, lambda x: x[key] == F.col(want))
+    rows = rows.crossJoin(F.broadcast(rules)).withColumn("other", F.coalesce("after_field", "relative_requires"))
+    other, height, ex = F.get(of("fields", "field", "other"), F.lit(0)), F.array_min(of("heights", "field", "field")), F.get(of("exempted", "rule_id", "rule_id"), F.lit(0))
+    rows = rows.withColumns({"mine": F.transform(of("fields", "field", "field"), lambda x: F.struct(*[x[c].alias(c) for c in OWN])), "o": other, "height": height, "ex": ex}).drop("fields", "heights", "exempted")
+    rows = rows.select("*", F.inline_outer("mine")).drop("mine")
+    rows = rows.select("*", F.col("o.own").alias("o_own"), F.when(F.col("o").isNotNull(), F.coalesce("o.anchor_only", F.lit(False))).alias("o_blank"), "height.low_mm", "height.high_mm", "ex.exemption_id", "ex.ex_citation").drop("o", "height", "ex")
 
     # each of these is read many times below: as columns, the optimizer evaluates and plans them once
     rows = once(rows, {
         "seen": F.col("value").isNotNull(), "blank": F.coalesce(F.col("anchor_only"), F.lit(False)), "rel": F.coalesce(F.col("relative"), F.lit(False)),
         "own_date": F.when(~F.coalesce(F.col("anchor_only"), F.lit(False)) & (F.trim(F.coalesce("value", F.lit(""))) != ""), F.col("own")), "anchor": F.when(~F.col("o_blank"), F.col("o_own")),
-        "expected": nfkc_all(
+        "expected":
             F.when(F.col("registry_key") == "mrp_exact", F.when(F.col("mrp_exact").isNotNull(), F.array(F.col("mrp_exact").cast("string"))))
             .when(F.col("registry_key") == "net_quantity", F.when(F.col("r_quantity").isNotNull(), F.array("r_quantity")))
-            .when(F.col("registry_key") == "brand_strings", F.when(F.size("brand_strings") > 0, F.col("brand_strings")))),
-        "value_c": nfkc(F.col("value")), "wanted": F.lower("role"), "known": F.coalesce("roles", F.array().cast("array<string>"))})
+            .when(F.col("registry_key") == "brand_strings", F.when(F.size("brand_strings") > 0, F.col("brand_strings"))),
+        "wanted": F.lower("role"), "known": F.coalesce("roles", F.array().cast("array<string>"))})
     # a date, or else a period counted from another declared date
     rows = once(rows, {
         "date": F.coalesce("own_date", F.when(~F.col("blank"), date_shift(F.col("anchor"), F.col("period")))),
@@ -202,6 +201,32 @@ def evaluate(
         F.when(F.col("exempt"), F.col("ex_citation")).otherwise(F.col("citation")).alias("citation"), evidence.alias("evidence"))
 
 
+#: What a rule reads of its own field.
+OWN = ("value", "anchor_only", "relative", "confidence", "agreement", "frames", "own", "period", "value_c")
+
+
+def _nested(declared: DataFrame, rules: DataFrame) -> DataFrame:
+    """scan_id, fields: a scan's declared fields as a list, tens at most.
+
+    Dates are read once a distinct text, and only of the fields that date rules name; form NFKC is made only of those that registry rules name.
+    """
+    dates, registered = _date_fields(rules), sorted({r.field for r in rules.where("check = 'matches_registry'").select("field").collect()})
+    dates = sorted({"mfg_date", "expiry", *dates})
+    parts = []
+    for dated in (False, True):
+        for matched in (False, True):
+            if dated and matched and not set(dates) & set(registered):
+                continue
+            named = lambda some, wanted: F.col("field").isin(*some) if wanted else ~F.col("field").isin(*some)
+            part = declared.where(named(dates, dated) & named(registered, matched))
+            part = part.withColumn("value_c", nfkc(F.col("value")) if matched else F.lit(None).cast("string"))
+            read = {"own": label_date, "period": label_period}
+            none = {"own": "struct<earliest: date, latest: date, precision: string>", "period": "struct<months: int, days: int>"}
+            parts.append(resolved(part, "value", **read) if dated else part.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()}))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("scan_id").agg(F.collect_list(F.struct("field", *OWN)).alias("fields"))
+
+
 def _date_fields(rules: DataFrame) -> list[str]:
     """The fields that date rules read: a few names out of tens of rows."""
     named = rules.where(F.col("check").isin("date_marking", "date_not_future", "date_order", "not_expired"))

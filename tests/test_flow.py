@@ -43,3 +43,13 @@ def test_frames_and_sides_to_verdicts(spark):
     one = {r.field: r for r in declared.where("scan_id = 1").collect()}
     assert one["manufacturer_address"].value == "Acme Foods, Indore 452001" and one["expiry"].relative and not one["mfg_date"].relative
     assert scans.count() == 6 and {r.role for r in roles.where("scan_id = 1").collect()} == {"manufacturer", "unknown"}
+
+
+def test_findings_are_not_shuffled(spark):
+    declared = spark.createDataFrame([(1, "mrp", "Rs. 5"), (1, "expiry", "12/2030"), (2, "mrp", "6")], "scan_id long, field string, value string")
+    ruleset, exempt, _ = rules.load_rules(spark)
+    found = rules.evaluate(declared, ruleset, exempt, "2026-09-05", heights=spark.createDataFrame([(1, "mrp", 1.0, 2.0)], "scan_id long, field string, low_mm double, high_mm double"))
+    assert found.count() == 2 * ruleset.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    crossed = next(i for i, line in enumerate(plan) if "Join Cross" in line)
+    assert not any("Join" in line or "Aggregate" in line for line in plan[:crossed]), "rules come after all joins"
