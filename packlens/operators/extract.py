@@ -91,8 +91,11 @@ def _first(value: Column, order: Column, where: Column) -> Column:
 
 
 def frame_fields(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per (scan_id, frame): the fields that need only the line itself or the joined text."""
-    c, n = line_candidates(lines, strict), F.col("line_no")
+    """One row per (scan_id, frame): the fields that need only the line itself or the joined text.
+
+    Lines are dealt by frame as they are, and read where they are gathered: however few files hold them, each task sorts a bounded share.
+    """
+    c, n = line_candidates(lines.repartition(*FRAME), strict), F.col("line_no")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")
     aggs = [
         _first(F.col("c_mrp"), n, F.col("c_mrp").isNotNull()).alias("mrp"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from packlens.operators import flow, rules
+from packlens.operators import extract, flow, rules
 
 LINE = "scan_id long, side string, frame int, line_no int, text string, left int, top int, right int, bottom int"
 BACK = ["NET WT: 500 g", "MRP Rs. 45/- incl. of all taxes", "Batch No. B12", "Manufactured by:", "Acme Foods", "Indore 452001"]
@@ -53,3 +53,11 @@ def test_findings_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     crossed = next(i for i, line in enumerate(plan) if "Join Cross" in line)
     assert not any("Join" in line or "Aggregate" in line for line in plan[:crossed]), "rules come after all joins"
+
+
+def test_lines_are_dealt_by_frame_before_they_are_read(spark):
+    lines = spark.range(0, 400, 1, 1).selectExpr("id div 4 AS scan_id", "0 AS frame", "CAST(id % 4 AS INT) AS line_no", "concat('MRP Rs. ', id) AS text")
+    fields = extract.frame_fields(lines)
+    assert [r.mrp for r in fields.orderBy("scan_id").select("mrp").collect()] == [str(4 * i) for i in range(100)]
+    plan = fields._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Generate") < plan.index("RepartitionByExpression"), "candidates are made where a frame's lines are gathered"
