@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.functions.normalize import norm_field, readable
+from packlens.sources.folders import written
 
 MIN_VOTES, MAX_FRAMES = 3, 5
 BLANK, UNREAD = "__blank__", "__unread__"
@@ -20,7 +21,8 @@ def bucketed(observations: DataFrame) -> DataFrame:
     texts = observations.select(F.col("field").alias("__field"), value.alias("__value")).distinct()
     field, text = F.col("__field"), F.col("__value")
     bucket = F.when(F.trim(text) == "", F.lit(BLANK)).when(~readable(field, text), F.concat(F.lit(UNREAD), text)).otherwise(norm_field(field, text))
-    read = texts.withColumn("bucket", bucket)
+    # written, so that Spark knows how small it is and sends it to the readings, not the readings to it
+    read = written(texts.withColumn("bucket", bucket), "field-texts")
     return observations.join(read, (F.col("field") == field) & (value == text), "left").drop("__field", "__value")
 
 
@@ -33,10 +35,10 @@ def tally(marked: DataFrame) -> DataFrame:
 def decided(observations: DataFrame) -> DataFrame:
     """Per (scan, side, field): value, bucket, votes, frames, agreed, confidence and candidates (votes, first frame and value, most votes first).
 
-    Readings are dealt by (scan, side) once; what follows needs no other shuffle. Groups are a side's few frames: more than MAX_FRAMES are
+    Readings are dealt by scan once, not at all where they lie so already; what follows needs no other shuffle. Groups are a side's few frames: more than MAX_FRAMES are
     an error, since the number of votes that are needed rests on them.
     """
-    votes = tally(bucketed(observations).repartition("scan_id", "side"))
+    votes = tally(bucketed(observations).repartition("scan_id"))
     by_side = Window.partitionBy("scan_id", "side")
     frames = F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(by_side))))
     votes = votes.withColumn("frames", F.when(frames <= MAX_FRAMES, frames).otherwise(F.raise_error(F.lit(f"a side has more than {MAX_FRAMES} frames")).cast("int")))
