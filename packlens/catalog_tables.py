@@ -13,7 +13,7 @@ from packlens.operators.match import IDENTITY, WEIGHTED, Scorer
 from packlens.operators.rematch import MatchIndex
 from packlens.plans.bind import view
 from packlens.sources.files import read_table, write_table
-from packlens.sources.folders import listed, shared_folder
+from packlens.sources.folders import listed, shared_folder, written
 from packlens.streaming import ingest
 
 #: Micro-batches that a table is streamed in.
@@ -100,7 +100,7 @@ def product_conflicts_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kept_matches(spark: SparkSession, sf_dir: str, scorer: Scorer) -> DataFrame:
     """Half the scans meet a registry that lacks, misprices and has too many products; then it is put right, then the other half comes."""
-    scans, registry = view(spark, sf_dir, "scans"), _registry(spark, sf_dir)
+    scans, registry = written(view(spark, sf_dir, "scans").select("id", *scorer.said), "scans"), _registry(spark, sf_dir)
     number = F.substring("sku_id", 5, 20).cast("long")
     wrong = registry.where(number % 5 != 0).withColumns({"mrp": F.when(number % 7 == 1, F.col("mrp") + 1).otherwise(F.col("mrp")), "net_quantity": F.when(number % 9 == 2, "1 pack").otherwise(F.col("net_quantity"))})
     extra = registry.where(number % 6 == 0).withColumn("sku_id", F.concat(F.lit("OLD-"), "sku_id"))

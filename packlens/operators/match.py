@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packlens.functions.normalize import nfkc, nfkc_all, norm_money, norm_quantity, norm_text, server_money, server_quantity, server_text, values_equal
+from packlens.sources.folders import written
 
 WEIGHTED_THRESHOLD, IDENTITY_THRESHOLD = 0.75, 0.72
 
@@ -36,15 +37,22 @@ def _none(*columns: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNull() for c in columns])
 
 
-def _comparable(df: DataFrame, brand: Column, present, unread: str) -> DataFrame:
-    """b, q, l: brand, quantity and licence to compare, null where there is none.
+def _comparable(df: DataFrame, brand: str, present, unread: str) -> DataFrame:
+    """b, q, l: brand, quantity and licence to compare, null where there is none. Each distinct text is normalised once.
 
     A quantity that is there but cannot be read is compared and equals nothing: `unread`, another mark on each side, stands for it.
     """
-    q = norm_quantity(F.col("net_quantity"))
+    entry = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("text"))
+    texts = df.select(F.explode(F.array(entry("b", brand), entry("q", "net_quantity"))).alias("t")).select("t.*").where("text is not null").distinct()
+    q = norm_quantity(F.col("text"))
+    normal = F.when(F.col("kind") == "b", norm_text(F.col("text"))).when(q.isNotNull(), F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"]))
+    # written, so that Spark knows how small it is before it plans the joins
+    read = written(texts.withColumn("normal", normal), "match-texts")
+    of = lambda kind: read.where(F.col("kind") == kind).select(F.col("text").alias(f"__{kind}"), F.col("normal").alias(f"__{kind}n"))
+    joined = df.join(of("b"), F.col(brand) == F.col("__b"), "left").join(of("q"), F.col("net_quantity") == F.col("__q"), "left")
     return (
-        df.withColumn("b", F.when(present(brand), norm_text(brand)))
-        .withColumn("q", F.when(present(F.col("net_quantity")), F.when(q.isNotNull(), F.concat_ws(" ", q["magnitude"].cast("string"), q["unit"])).otherwise(unread)))
+        joined.withColumn("b", F.when(present(F.col(brand)), F.col("__bn")))
+        .withColumn("q", F.when(present(F.col("net_quantity")), F.coalesce("__qn", F.lit(unread))))
         .withColumn("l", F.when(present(F.col("licence")), F.regexp_replace("licence", "[^0-9]", ""))))
 
 
@@ -54,36 +62,46 @@ def _said(c: Column) -> Column:
 
 
 def _weighted_asked(scans: DataFrame) -> DataFrame:
-    return _comparable(scans, F.col("brand"), _said, "?scan").select("id", "b", "q", "l")
+    return _comparable(scans, "brand", _said, "?scan").select("id", "b", "q", "l")
 
 
 def _weighted_known(registry: DataFrame) -> DataFrame:
     r = registry.select("sku_id", "net_quantity", "licence", F.explode_outer(_brands(registry)).alias("one"))
-    return _comparable(r, F.col("one"), Column.isNotNull, "?sku").select("sku_id", "b", "q", "l").distinct()
+    return _comparable(r, "one", Column.isNotNull, "?sku").select("sku_id", "b", "q", "l").distinct()
+
+
+def _licensed(own: list[Column]) -> list[Column]:
+    """The keys of some cases, and each with the licence behind it, by which those meet whose licences are equal too."""
+    return [*own, *[_key("h", k, "l") for k in own]]
 
 
 def _weighted_keys(signatures: DataFrame, words: DataFrame | None) -> DataFrame:
     lone = F.concat(F.when(F.col("b").isNull(), "-").otherwise("b"), F.when(F.col("q").isNull(), "-").otherwise("q"))
-    return _keyed(signatures, [
-        _key("bq", "b", "q"), F.when(_none("q"), _key("b", "b")), F.when(~_none("q"), _key("b0", "b")), F.when(_none("b"), _key("q", "q")),
-        F.when(~_none("b"), _key("q0", "q")), _key("l", lone, "l")])
+    own = [_key("bq", "b", "q"), F.when(_none("q"), _key("b", "b")), F.when(~_none("q"), _key("b0", "b")), F.when(_none("b"), _key("q", "q")), F.when(~_none("b"), _key("q0", "q"))]
+    return _keyed(signatures, [*_licensed(own), _key("l", lone, "l")])
 
 
 def _weighted_product_keys(known: DataFrame, words: DataFrame | None) -> DataFrame:
+    own = [_key("bq", "b", "q"), _key("b", "b"), F.when(_none("q"), _key("b0", "b")), _key("q", "q"), F.when(_none("b"), _key("q0", "q"))]
     return _keyed(known, [
-        _key("bq", "b", "q"), _key("b", "b"), F.when(_none("q"), _key("b0", "b")), _key("q", "q"), F.when(_none("b"), _key("q0", "q")), _key("l", F.lit("--"), "l"),
+        *_licensed(own), _key("l", F.lit("--"), "l"),
         F.when(_none("b"), _key("l", F.lit("b-"), "l")), F.when(_none("q"), _key("l", F.lit("-q"), "l")), F.when(_none("b", "q"), _key("l", F.lit("bq"), "l"))])
 
 
 def _weighted_condensed(products: DataFrame) -> DataFrame:
-    return products.groupBy("key", F.col("l").alias("rl")).agg(F.min("sku_id").alias("sku"), F.count_distinct("sku_id").alias("n"))
+    """A row a key, however many licences share it: its products, and of them those without a licence (`bare`)."""
+    each = products.groupBy("key", "sku_id").agg((F.count_if(F.col("l").isNull()) > 0).alias("bare"))
+    bare = F.when(F.col("bare"), F.col("sku_id"))
+    return each.groupBy("key").agg(F.min("sku_id").alias("sku"), F.count(F.lit(1)).alias("n"), F.min(bare).alias("bare_sku"), F.count(bare).alias("bare_n"))
 
 
 def _weighted_best(pairs: DataFrame) -> DataFrame:
-    both = (F.col("l").isNotNull() & F.col("rl").isNotNull()).cast("int")
-    hit = F.coalesce(F.col("l") == F.col("rl"), F.lit(False)).cast("int")
-    base = F.when(F.startswith("key", F.lit("bq")), 4).when(F.startswith("key", F.lit("l")), 0).otherwise(2)
-    scored = pairs.withColumn("score", (base + hit) / (base + both)).where(F.col("score") >= WEIGHTED_THRESHOLD)
+    """What a key's products score: 1 if nothing differs, 0.8 if only the licence does. The latter also counts equal licences, which the key with the licence finds at 1."""
+    base = F.when(F.startswith("key", F.lit("bq")), 4).otherwise(2)
+    equal = F.col("l").isNull() | F.startswith("key", F.lit("h")) | F.startswith("key", F.lit("l"))
+    case = lambda when, score, sku, n: F.when(when & (F.col(n) > 0), F.struct(score.cast("double").alias("score"), F.col(sku).alias("sku"), F.col(n).alias("n")))
+    cases = F.array(case(equal, F.lit(1.0), "sku", "n"), case(~equal, F.lit(1.0), "bare_sku", "bare_n"), case(~equal & (F.col("bare_n") == 0), base / (base + 1), "sku", "n"))
+    scored = pairs.select("b", "q", "l", F.explode(F.filter(cases, lambda c: c["score"] >= WEIGHTED_THRESHOLD)).alias("c")).select("b", "q", "l", "c.*")
     best = scored.groupBy("b", "q", "l", "score").agg(F.min("sku").alias("sku"), F.sum("n").alias("candidates"))
     return best.groupBy("b", "q", "l").agg(F.max(F.struct("score", "sku", "candidates")).alias("t")).select("b", "q", "l", "t.score", "t.sku", "t.candidates")
 
@@ -97,9 +115,9 @@ def match_weighted(scans: DataFrame, registry: DataFrame) -> DataFrame:
     """Per scan: sku, score, candidates; weights brand 2, quantity 2, licence 1 of what both sides have, readable or not.
 
     A score of 0.75 needs every comparable one of brand and quantity to agree, and the licence too where only
-    one of them is comparable; a licence alone decides where neither is. In each case the score depends on the licence besides
-    the key only, so products are counted per (key, licence) before they meet scans. Scans are reduced to distinct
-    signatures. A tie for the best is no match. Of several brand strings any may agree.
+    one of them is comparable; a licence alone decides where neither is. In each case the score depends besides the key only on whether
+    licences are equal, differ or lack, so products are counted per key, with and without the licence in it, before they meet scans, and a
+    signature meets a row a key. Scans are reduced to distinct signatures. A tie for the best is no match. Of several brand strings any may agree.
     """
     return _matched(WEIGHTED, scans, registry)
 
@@ -196,12 +214,13 @@ def _identity(brand: Column) -> list[Column]:
 
 @dataclass(frozen=True)
 class Scorer:
-    """A way to match by keys. signature: what of a scan decides; product: what of a product does; result: what is found for a signature.
+    """A way to match by keys. said: the columns of a scan that are read; signature: what of a scan decides; product: what of a product does; result: what is found for a signature.
 
     keys, product_keys: (rows, word counts) to the rows with each `key` they meet by; condensed: products that a signature need not tell apart as one; best: joined
     signatures and products to the best of each signature; told: (scans with the best, whether there are products) to the rows that are returned.
     """
 
+    said: tuple[str, ...]
     signature: tuple[str, ...]
     product: tuple[str, ...]
     result: str
@@ -216,15 +235,16 @@ class Scorer:
 
 
 WEIGHTED = Scorer(
-    ("b", "q", "l"), ("b", "q", "l"), "score double, sku string, candidates long", _weighted_asked, _weighted_known, _weighted_keys, _weighted_product_keys,
+    ("brand", "net_quantity", "licence"), ("b", "q", "l"), ("b", "q", "l"), "score double, sku string, candidates long", _weighted_asked, _weighted_known, _weighted_keys, _weighted_product_keys,
     _weighted_condensed, _weighted_best, _weighted_told)
 IDENTITY = Scorer(
-    ("b", "p", "q"), ("b", "p", "q"), "score double, sku string, brand_score double, mrp_score double, quantity_score double", _identity_asked, _identity_known, _identity_keys,
+    ("brand", "mrp", "net_quantity"), ("b", "p", "q"), ("b", "p", "q"), "score double, sku string, brand_score double, mrp_score double, quantity_score double", _identity_asked, _identity_known, _identity_keys,
     _identity_product_keys, _identity_condensed, _identity_best, _identity_told, _word_counts)
 
 
 def _matched(scorer: Scorer, scans: DataFrame, registry: DataFrame) -> DataFrame:
-    asked, known = scorer.asked(scans), scorer.known(registry)
+    # a scan is read for its texts, for its signature and for its row
+    asked, known = scorer.asked(written(scans.select("id", *scorer.said), "match-scans")), scorer.known(registry)
     words = scorer.words(known) if scorer.words else None
     pairs = scorer.keys(asked.select(*scorer.signature).distinct(), words).join(scorer.condensed(scorer.product_keys(known, words)), "key")
     return with_best(scorer, asked, scorer.best(pairs), registry)
