@@ -81,19 +81,25 @@ def crc32_id(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary"))
 
 
-def running_before(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str, sums_from: DataFrame | None = None) -> DataFrame:
+def group_keys(group: Sequence[str]) -> list[Column]:
+    """Columns that are equal for rows of a group, nulls included."""
+    texts = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"__g{i}") for i, g in enumerate(group)]
+    return texts + [F.col(g).isNull().alias(f"__n{i}") for i, g in enumerate(group)]
+
+
+def running_before(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str, sums_from: DataFrame | None = None, beside: DataFrame | None = None) -> DataFrame:
     """Adds the sum of `value` over the rows before this one in its group, in an order by hash.
 
     The order is (bucket of the hash of `order`, that hash, `order`). Sums are taken per (group, bucket),
     one small row a bucket and group meets in a window, and rows are ordered within a bucket
     only: a group with a third of all rows is spread over all buckets, whose number follows the partitions. df is read twice unless
     `sums_from` has its group, order and value columns in a cheaper table. Nulls form a group of
-    their own; a null value counts 0.
+    their own; a null value counts 0. beside: a row a group of further columns to add; its group columns are named as in `group_keys`. They come with
+    the sums before a row, so df is shuffled once.
     """
     group = list(group)
     buckets = max(BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = [F.coalesce(F.col(g).cast("string"), F.lit("")).alias(f"__g{i}") for i, g in enumerate(group)]
-    keys += [F.col(g).isNull().alias(f"__n{i}") for i, g in enumerate(group)]
+    keys = group_keys(group)
     names = [f"__g{i}" for i in range(len(group))] + [f"__n{i}" for i in range(len(group))]
 
     def dealt(some: DataFrame) -> DataFrame:
@@ -104,6 +110,8 @@ def running_before(df: DataFrame, group: Sequence[str], order: Sequence[str], va
     sums = sums.groupBy(*names, "__b").agg(F.sum("__v").alias("__s"))
     before = Window.partitionBy(*names).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*names, "__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
+    if beside is not None:
+        offsets = offsets.join(beside, names, "left")
     inside = Window.partitionBy(*names, "__b").orderBy("__h", *order).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(offsets, [*names, "__b"])
     total = F.col("__o") + F.coalesce(F.sum("__v").over(inside), F.lit(0))

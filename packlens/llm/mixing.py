@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packlens.llm.common import WORD, cut, opened, quoted, running_before, text_or_empty
+from packlens.llm.common import WORD, cut, group_keys, opened, quoted, running_before, text_or_empty
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (0.5, -0.5, 0.0)
@@ -51,49 +51,48 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], slopes: Sequence[
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[str]) -> DataFrame:
-    """A written table: the columns `keep` as one struct, source, size and the key that shuffles a source. Words are counted once."""
+    """The columns `keep` as one struct, source, size and the key that shuffles a source."""
     own = F.struct(*[docs[quoted(c)] for c in keep]).alias("__row")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.xxhash64(F.col(id_col), text_or_empty(text_col))
-    return cut(docs.select(own, F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key")), "sized")
+    return docs.select(own, F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
 
 
 def _laid(
-    rows: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS,
+    rows: DataFrame, light: DataFrame, weights: Sequence[float] = WEIGHTS, slopes: Sequence[float] = SLOPES, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS,
 ) -> DataFrame:
-    """Rows of `_sized` with their source's targets, the words before each in its source's stream, and how often each is taken.
+    """Rows of `_sized` with their source's targets, the words before each in its source's stream, and how often each is taken. light: their source, size and key, written.
 
     A source's stream is read pass by pass as long as the next document fits whole into what is left of the target. Of the documents that
     the last pass leaves, the one nearest in size to what is then missing is taken as well (`last`), if that brings the source nearer to its target; it
     stands at the end of the stream, behind the `filled` words.
     """
-    light = rows.select("source", "size", "key")
     targets = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, slopes, budget, max_epochs)
     everything = Window.partitionBy()
-    by_source = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("sn")]
+    by_source = ["__g0", "__n0"]
     known = targets.select(
-        *by_source, "source_size", "target", "slope",
+        *group_keys(["source"]), "source_size", "target", "slope",
         F.sum("target").over(everything).alias("whole"), F.sum(F.col("target") * F.col("slope")).over(everything).alias("drift"))
     most = F.lit(math.ceil(max_epochs))
 
-    def placed(some: DataFrame) -> DataFrame:
-        laid = running_before(some, ["source"], ["key", "size"], "size", "before", light)
-        joined = laid.select("*", *by_source).join(known, ["s", "sn"])
+    def placed(some: DataFrame, facts: DataFrame) -> DataFrame:
+        # what is known of a source comes with the sums, so texts are shuffled once before they are sorted
+        joined = running_before(some, ["source"], ["key", "size"], "size", "before", light, facts)
         # passes e = 0, 1, ... with e * source_size + before + size <= target
         passes = F.floor((F.col("target") - F.col("before") - F.col("size")) / F.greatest("source_size", F.lit(1))) + 1
         times = F.when(F.col("size") == 0, 0).otherwise(F.greatest(F.lit(0), F.least(passes, most)))
         return joined.withColumn("times", times.cast("int"))
 
     # a row a source: words of whole documents, and for what is missing the nearest of the documents that may be taken once more
-    once = placed(light).where("size > 0")
-    filled = once.groupBy("s", "sn").agg(F.sum(F.col("times") * F.col("size")).alias("filled"))
+    once = placed(light, known).where("size > 0").select("*", *group_keys(["source"]))
+    filled = once.groupBy(*by_source).agg(F.sum(F.col("times") * F.col("size")).alias("filled"))
     missing = F.col("target") - F.col("filled")
     # a source may have a third of all documents, so its one row is copied and its documents are dealt over the copies
     copied = filled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = once.withColumn("salt", F.pmod("before", F.lit(SALTS)).cast("int")).join(copied, ["s", "sn", "salt"]).where((F.col("times") <= F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))) & (F.col("times") < most))
+    left = once.withColumn("salt", F.pmod("before", F.lit(SALTS)).cast("int")).join(copied, [*by_source, "salt"]).where((F.col("times") <= F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))) & (F.col("times") < most))
     left = left.withColumn("off", F.abs(missing - F.col("size"))).where(F.col("off") < missing)
-    chosen = left.groupBy("s", "sn", "filled").agg(F.min(F.struct("off", "before")).alias("c")).select("s", "sn", "filled", F.col("c.before").alias("chosen"))
-    joined = placed(rows).join(chosen, ["s", "sn"], "left").drop("s", "sn")
+    chosen = left.groupBy(*by_source, "filled").agg(F.min(F.struct("off", "before")).alias("c")).select(*by_source, "filled", F.col("c.before").alias("chosen"))
+    joined = placed(rows, known.join(chosen, by_source, "left"))
     joined = joined.withColumn("last", F.coalesce((F.col("before") == F.col("chosen")) & (F.col("size") > 0), F.lit(False)))
     return joined.withColumn("times", F.col("times") + F.col("last").cast("int")).drop("chosen")
 
@@ -110,7 +109,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Columns pass whatever their names; one that is named like a result is replaced by it.
     """
     keep = [c for c in docs.columns if c != text_col]
-    rows = _laid(_sized(docs, id_col, text_col, source_col, keep), **how)
+    sized = cut(_sized(docs, id_col, text_col, source_col, keep), "sized")
+    rows = _laid(sized, sized.select("source", "size", "key"), **how)
     position = F.when(F.col("times") > 0, _position(F.when(F.col("last") & (F.col("times") == 1), F.col("filled")).otherwise(F.col("before"))))
     results = {n: F.col(n) for n in ("size", "source_size", "target", "times")} | {"taken": F.col("times") * F.col("size"), "position": position}
     return opened(rows, keep, **results)
@@ -132,9 +132,11 @@ def _position(words_before: Column) -> Column:
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of `docs`, whole, once for each time they are taken, range-sorted by position.
 
-    Columns are those of `docs`; nulls, repeats and empty tables as in `mix`.
+    Columns are those of `docs`; nulls, repeats and empty tables as in `mix`. Texts are not written but to be shuffled: `docs` is read twice, for
+    sizes and for rows, and should be a table.
     """
-    laid = _laid(_sized(docs, id_col, text_col, source_col, docs.columns), **how).where("times > 0")
+    sized = _sized(docs, id_col, text_col, source_col, docs.columns)
+    laid = _laid(sized, cut(sized.select("source", "size", "key"), "sized"), **how).where("times > 0")
     copies = laid.select("*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("pass"))
     # a later pass through the source is a source's length later in its stream
     later = F.col("before") + F.col("pass") * F.col("source_size")
