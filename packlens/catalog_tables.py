@@ -49,7 +49,7 @@ def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fleet(spark: SparkSession, sf_dir: str) -> ingest.Fleet:
     """All scans through one stream, then a third of them once more, with another verdict, through a second one."""
-    scans = _nested(spark, sf_dir)
+    scans = written(_nested(spark, sf_dir), "nested-scans")
     held = ingest.Fleet(spark, shared_folder(spark, "fleet"), scans.schema, ["scanned_at"], days=256, parts=2, folders=16)
     again = scans.where("id % 3 = 0").withColumn("verdict", F.lit("PASS"))
     for name, some in (("sent", scans), ("sent-again", again)):
@@ -146,7 +146,7 @@ _HOLDS = " OR ".join(f"contains(lower({c}), '{{t}}')" for c in fleet.SEARCHED)
 @_query(f"SELECT id, brand, mrp FROM scans WHERE {_HOLDS.format(t='brand#13')} UNION ALL SELECT id, brand, mrp FROM scans WHERE {_HOLDS.format(t='12/-')}")
 def scan_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two searches by one index."""
-    scans, path = view(spark, sf_dir, "scans"), shared_folder(spark, "search")
+    scans, path = written(view(spark, sf_dir, "scans"), "scans"), shared_folder(spark, "search")
     search.write_search_index(scans, path, buckets=16)
     some = [search.search_indexed(scans, path, text, buckets=16).select("id", "brand", "mrp") for text in (" Brand#13 ", "12/-")]
     return some[0].unionByName(some[1])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from packlens.operators.fleet import SEARCHED, scan_search, scan_search_checks
 
 GRAM = 3
-POSTING = "bucket int, gram string, id {kind}"
+#: Lists of grams name texts, by their hash; lists of texts name scans.
+GRAMS, HOLDERS = "bucket int, gram string, text long", "bucket int, text long, id {kind}"
 
 
 def _grams(text: Column) -> Column:
@@ -22,36 +23,42 @@ def _bucket(gram: Column, buckets: int) -> Column:
 
 
 def write_search_index(scans: DataFrame, path: str, buckets: int = 64) -> None:
-    """Posting lists (gram, id) of what a search looks into: the declared columns and, where checks are nested, their rules' ids and names.
+    """Posting lists of what a search looks into: the declared columns and, where checks are nested, their rules' ids and names.
 
-    Lists lie in `bucket=` folders by their gram, sorted, so a search reads those of its own grams; a gram that most scans have is dealt over many files.
+    Each distinct text is cut into grams once (`grams`: gram and text), and each scan is listed under its few texts (`holders`: text and id), not under
+    all their grams. Texts stand as hashes. Lists lie in `bucket=` folders, sorted, so a search reads those of its own grams and texts; a bucket with many
+    rows is dealt over many files. `scans` is read twice.
     """
     texts = [F.lower(F.col(c)) for c in SEARCHED]
     told = F.array(*texts)
     if "checks" in scans.columns:
         rules = F.flatten(F.transform(F.coalesce("checks", F.array().cast(scans.schema["checks"].dataType)), lambda c: F.array(F.lower(c["rule_id"]), F.lower(c["rule_name"]))))
         told = F.concat(told, rules)
-    grams = F.array_distinct(F.flatten(F.transform(F.filter(told, lambda t: t.isNotNull()), _grams)))
-    rows = scans.select("id", F.explode(grams).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
-    rows.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    long_enough = F.array_distinct(F.filter(told, lambda t: F.length(t) >= GRAM))
+    each = scans.select("id", F.explode(long_enough).alias("text"))
+    held = each.select(F.xxhash64("text").alias("text"), "id").withColumn("bucket", _bucket(F.col("text"), buckets))
+    distinct = each.select("text").distinct().select(F.explode(_grams(F.col("text"))).alias("gram"), F.xxhash64("text").alias("text"))
+    for rows, order, name in ((held, "text", "holders"), (distinct.withColumn("bucket", _bucket(F.col("gram"), buckets)), "gram", "grams")):
+        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", order).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/{name}")
 
 
 def search_candidates(spark: SparkSession, path: str, query: str, kind: str, buckets: int = 64) -> DataFrame | None:
-    """Ids of the scans that hold all runs of three letters of the query; None where it has none."""
+    """Ids of the scans of which a text holds all runs of three letters of the query; None where it has none."""
     wanted = query.strip().lower()
     grams = sorted({wanted[i : i + GRAM] for i in range(len(wanted) - GRAM + 1)})
     if not grams:
         return None
     asked = spark.createDataFrame([(g,) for g in grams], "gram string")
     held = sorted({r.b for r in asked.select(_bucket(F.col("gram"), buckets).alias("b")).collect()})  # as many as the query has grams
-    lists = spark.read.schema(POSTING.format(kind=kind)).parquet(path).where(F.col("bucket").isin(held) & F.col("gram").isin(grams))
-    return lists.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == len(grams)).select("id")
+    lists = spark.read.schema(GRAMS).parquet(f"{path}/grams").where(F.col("bucket").isin(held) & F.col("gram").isin(grams))
+    texts = lists.groupBy("text").agg(F.count_distinct("gram").alias("k")).where(F.col("k") == len(grams)).select(_bucket(F.col("text"), buckets).alias("bucket"), "text")
+    return spark.read.schema(HOLDERS.format(kind=kind)).parquet(f"{path}/holders").join(texts, ["bucket", "text"], "left_semi").select("id").distinct()
 
 
 def search_indexed(scans: DataFrame, path: str, query: str | None, buckets: int = 64) -> DataFrame:
     """The rows of `scan_search`, or of `scan_search_checks` where checks are nested, by the index of `write_search_index` over the same scans.
 
-    Candidates hold all grams of the query, in any column, and are then searched; a query of less than three letters reads all scans.
+    Candidates hold all grams of the query in one text and are then searched; a query of less than three letters reads all scans.
     """
     plain = scan_search_checks if "checks" in scans.columns else scan_search
     kind = dict(scans.dtypes)["id"]
