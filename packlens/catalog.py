@@ -58,7 +58,9 @@ def norm_quantity_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT doc_id, {_m(TEXT, 'text')} AS normal FROM documents")
 def norm_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "documents").select("doc_id", norm_text(F.col("text")).alias("normal"))
+    """A file may have few row groups, and a row group is read by one task, so texts are dealt over all tasks first."""
+    docs = view(spark, sf_dir, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return docs.select("doc_id", norm_text(F.col("text")).alias("normal"))
 
 
 _DAY = "try_cast(concat(lpad(({y})::VARCHAR, 4, '0'), '-', lpad(({m})::VARCHAR, 2, '0'), '-', lpad(({d})::VARCHAR, 2, '0')) AS DATE)"

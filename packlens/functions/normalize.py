@@ -48,8 +48,8 @@ def norm_text(c: Column, compatible: bool = True) -> Column:
     """
     c = F.coalesce(c, F.lit(""))
     c = F.lower(F.replace(nfkc(c) if compatible else c, F.lit("​"), F.lit("")))
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}\s.@+_-]", " ")
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    # blanks and what is not kept, in one run over the text
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}.@+_-]+", " "))
 
 
 def nfkc_all(values: Column) -> Column:
