@@ -1,21 +1,23 @@
 """Operator 4, toxicity: a convolutional text classifier in numpy.
 
 Words are hashed into one embedding table and their stems of several lengths into another; filters of several widths
-slide over the words, each keeps its two highest values over the text, and a logistic layer scores these maxima. It is fitted, in a task for each part that
-validates and one for all, on a bounded sample of labelled rows; scores are stretched so that 0.7 is the best threshold by
-cross-validation, and a threshold is calibrated for each language besides.
+slide over the words, each keeps its two highest values over the text, and a logistic layer scores these maxima. It learns from
+all labelled rows: they are dealt into shards, a task fits the model on a shard, and after each round the tasks' models become one by their
+mean. Beside the model of all rows, a model for each part that validates is fitted without that part; scores are stretched so that 0.7 is the best
+threshold by cross-validation, and a threshold is calibrated for each language besides.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packlens.llm.common import crc32_id, cut, row_key, text_or_empty
@@ -33,8 +35,14 @@ WIDTHS, FILTERS = (1, 2, 3), 16
 TOP = 2
 SEGMENT, CHUNK = 30_000, 60_000
 CUT = 0.7
-#: The training sample ends at so many rows, or behind the text with which it reaches so many bytes. Scoring reads all texts whole.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 60_000_000
+#: A task learns from about so many rows, or so many bytes of text, in a round; there are as many tasks as the labelled rows need.
+SHARD_ROWS, SHARD_BYTES = 16_384, 60_000_000
+#: Rounds over all rows: so many that a model sees about VISITS rows, repeats included, but two at least.
+VISITS, ROUNDS = 48_000, (2, 8)
+#: A batch of the fit ends at so many words, beside its number of rows.
+BATCH_WORDS = 300_000
+#: Rows of the embedding table that are summed together, and bins of validation logits to one unit.
+BLOCK, BINS = 4096, 1000
 #: Toxic validation rows of all languages that count as much as a language's own.
 PRIOR_ROWS = 20
 _SPACES = bytes(b if (48 <= b < 58 or 97 <= b < 123 or b >= 128) else 32 for b in range(256))
@@ -156,21 +164,66 @@ class Model:
         return np.where(np.array([len(d) > 0 for d in docs], bool), self.scaled(self.logits(docs)), 0.0)
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Model:
+@dataclass
+class State:
+    """A model while it is fitted, with Adam's moments of the dense layers and Adagrad's sums of the embeddings."""
+
+    model: Model
+    first: list[np.ndarray]
+    second: list[np.ndarray]
+    gathered: np.ndarray
+    known: np.ndarray  # rows of the table that enough texts hold
+    step: int = 0
+
+    @classmethod
+    def fresh(cls, held_by: np.ndarray, seed: int = 11) -> State:
+        m, known = Model.fresh(seed), held_by >= MIN_TEXTS
+        m.table[~known] = 0
+        dense = [*m.filters, m.bias, m.weights]
+        return cls(m, [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense], np.full(m.table.shape, 1e-4, np.float32), known)
+
+    def copy(self) -> State:
+        """What a broadcast holds belongs to all tasks of a worker."""
+        m = self.model
+        own = Model(m.table.copy(), [p.copy() for p in m.filters], m.bias.copy(), m.weights.copy(), m.offset)
+        return State(own, [p.copy() for p in self.first], [p.copy() for p in self.second], self.gathered.copy(), self.known, self.step)
+
+    def dense(self) -> np.ndarray:
+        m = self.model
+        parts = [*m.filters, m.bias, m.weights, *self.first, *self.second, np.array([m.offset, self.step])]
+        return np.concatenate([np.ravel(p) for p in parts]).astype(np.float32)
+
+    def set_dense(self, values: np.ndarray) -> None:
+        m, at = self.model, 0
+        for p in (*m.filters, m.bias, m.weights, *self.first, *self.second):
+            p[...] = values[at : at + p.size].reshape(p.shape)
+            at += p.size
+        m.offset, self.step = float(values[at]), round(float(values[at + 1]))
+
+
+def held(docs: list[np.ndarray]) -> np.ndarray:
+    """How many texts hold a word or stem of each row of the table."""
+    found, last = np.zeros(2 * BUCKETS, np.int64), np.zeros(2 * BUCKETS, np.int64)
+    for d in docs:
+        rows = np.concatenate(rows_of(d))
+        last[rows] = at = np.arange(len(rows))
+        found[rows[last[rows] == at]] += 1  # of equal rows one remains
+    return found
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, state: State, epochs: int = 1, batch: int = 64, rate: float = 0.01, seed: int = 11) -> None:
     """Adam on the dense layers, Adagrad on the touched embedding rows; gradients flow through maxima only."""
-    m, rng = Model.fresh(seed), np.random.default_rng(seed)
-    dense = [*m.filters, m.bias, m.weights]
-    first, second = [np.zeros_like(p) for p in dense], [np.zeros_like(p) for p in dense]
-    gathered, step = np.full(m.table.shape, 1e-4, np.float32), 0
+    m, rng, gathered = state.model, np.random.default_rng(seed), state.gathered
+    dense, first, second = [*m.filters, m.bias, m.weights], state.first, state.second
     docs = [d if len(d) else np.zeros(1, np.uint64) for d in docs]
-    held_by = np.zeros(len(m.table), np.int32)
-    for d in docs:
-        held_by[np.unique(np.concatenate(rows_of(np.unique(d))))] += 1
-    m.table[held_by < MIN_TEXTS] = 0
+    sizes = np.array([len(d) for d in docs])
     for _ in range(epochs):
         order = rng.permutation(len(docs))
-        for lo in range(0, len(order), batch):
+        lo = 0
+        while lo < len(order):
             own = order[lo : lo + batch]
+            own = own[: max(1, int(np.searchsorted(np.cumsum(sizes[own]), BATCH_WORDS, "right")))]
+            lo += len(own)
             lengths = np.array([len(docs[i]) for i in own])
             pad = max(WIDTHS) - 1
             flat = np.concatenate([np.concatenate([docs[i], np.zeros(pad, np.uint64)]) for i in own])
@@ -194,23 +247,26 @@ def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64,
                     ids = flat[np.minimum(at + j, len(flat) - 1)]
                     x = m.vectors(ids.ravel()).reshape(*ids.shape, 2 * HALF)
                     grads[k][j] += np.einsum("df,dfe->ef", b, x)
-                    delta = b[:, :, None] * m.filters[k][j].T[None]
-                    rows += rows_of(ids.ravel())
-                    deltas += [delta[:, :, :HALF].reshape(-1, HALF), *[delta[:, :, HALF:].reshape(-1, HALF)] * len(STEMS)]
-            step += 1
+                    i, e = np.nonzero(b)
+                    delta = b[i, e, None] * m.filters[k][j].T[e]
+                    rows += rows_of(ids[i, e])
+                    deltas += [delta[:, :HALF], *[delta[:, HALF:]] * len(STEMS)]
+            state.step += 1
             for p, g, a, v in zip(dense, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
                 v += 0.01 * (g * g - v)
-                p -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                p -= (rate * (a / (1 - 0.9**state.step)) / (np.sqrt(v / (1 - 0.99**state.step)) + 1e-8)).astype(np.float32)
             m.offset -= rate * float(error.sum())
-            touched, at = np.unique(np.concatenate(rows), return_inverse=True)
-            by_row = np.argsort(at, kind="stable")
-            sums = np.add.reduceat(np.concatenate(deltas)[by_row], np.searchsorted(at[by_row], np.arange(len(touched))), axis=0)
-            known = held_by[touched] >= MIN_TEXTS
+            rows = np.concatenate(rows)
+            by_row = np.argsort(rows, kind="stable")
+            touched, firsts = np.unique(rows[by_row], return_index=True)
+            if not len(touched):
+                continue
+            sums = np.add.reduceat(np.concatenate(deltas)[by_row], firsts, axis=0)
+            known = state.known[touched]
             touched, sums = touched[known], sums[known]
             gathered[touched] += sums * sums
             m.table[touched] -= 0.1 * sums / np.sqrt(gathered[touched])
-    return m
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -226,83 +282,212 @@ def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> floa
     return float((ordered[i] + ordered[min(i + 1, len(ordered) - 1)]) / 2) if i + 1 < len(ordered) else float(ordered[i])
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordIds()
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Word ids of the texts, compressed."""
+    memo, zstd = WordIds(), pa.Codec("zstd")
     for batch in batches:
         names = [n for n in batch.schema.names if n != "__text"]
-        found = pa.array([memo.of(t).view(np.int64) for t in texts(batch)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), found], names=[*names, "ids"])
+        ids = [memo.of(t) for t in texts(batch)]
+        found = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zstd.compress(x.tobytes(), asbytes=True) for x in ids], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *found], names=[*names, "words", "ids"])
 
 
-def _fits(spark: SparkSession, docs: list[np.ndarray], y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, Model]:
-    """Logits of each part by a model of the others, and the model of all; a task fits one model. The sample is bounded, so every task gets it whole."""
-    sent = spark.sparkContext.broadcast((docs, y, part))
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    zstd = pa.Codec("zstd")
+    return [np.frombuffer(zstd.decompress(x, 8 * n, asbytes=True), np.uint64) for x, n in zip(batch.column("ids").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+
+
+def _shard(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, int]:
+    """The texts of a partition and their labels in the order by hash, and the shard's number."""
+    docs, y, order, shard = [], [], [], 0
+    for batch in batches:
+        docs += _unpacked(batch)
+        y += batch.column("toxic").to_pylist()
+        order += batch.column("order").to_pylist()
+        shard = batch.column("shard")[0].as_py() if batch.num_rows else shard
+    at = np.argsort(np.array(order, np.int64), kind="stable")
+    return [docs[i] for i in at], np.array(y, np.float32)[at], shard
+
+
+PIECE = "model int, block int, type string, rows binary, n binary, sums binary"
+
+
+def _piece(model: int, block: int, rows: np.ndarray, n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """n: how often each row counts, or one number for all rows."""
+    raw = [pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), n.astype(np.float32), sums)]
+    return pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([block], pa.int32()), pa.array([sums.dtype.str]), *raw], names=["model", "block", "type", "rows", "n", "sums"])
+
+
+def _pieces(model: int, rows: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Values of some rows of the table, cut into blocks. rows ascend."""
+    for block in np.unique(rows // BLOCK):
+        a, b = np.searchsorted(rows, (block * BLOCK, (block + 1) * BLOCK))
+        yield _piece(model, int(block), rows[a:b], np.ones(1), sums[a:b])
+
+
+def _read(raw: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(raw[1], np.int32)
+    return rows, np.frombuffer(raw[2], np.float32), np.frombuffer(raw[3], raw[0]).reshape(len(rows), -1)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One piece for each model and block: how many pieces held a row, and the sum of its values."""
+    held_: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for model, block, *raw in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            rows, n, sums = _read(raw)
+            first = max(0, block) * BLOCK
+            if (model, block) not in held_:
+                size = BLOCK if block >= 0 else len(rows)
+                held_[model, block] = np.zeros(size), np.zeros((size, sums.shape[1]))
+            total = held_[model, block]
+            total[0][rows - first] += n
+            total[1][rows - first] += sums
+    for (model, block), (n, sums) in held_.items():
+        at = np.flatnonzero(n)
+        yield _piece(model, block, at + max(0, block) * BLOCK, n[at], sums[at].astype(np.float32))
+
+
+def _summed(each: list[DataFrame]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(model, block, rows, pieces that held them, sums) of all pieces; they are added in tasks, the driver gets the sums: a model's size, whatever the input."""
+    pieces = reduce(DataFrame.union, each).repartition("model", "block").mapInArrow(_added, PIECE)
+    for model, block, *raw in zip(*pieces.toArrow().to_pydict().values(), strict=True):
+        yield model, block, *_read(raw)
+
+
+def _counts(rows: DataFrame) -> np.ndarray:
+    """(part, row of the table): texts of the part that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, y, part = sent.value
+        found = np.zeros((PARTS, 2 * BUCKETS), np.int64)
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                own = part == k  # of no row where k is PARTS
-                m = fit([docs[i] for i in np.flatnonzero(~own)], y[~own])
-                z = m.logits([docs[i] for i in np.flatnonzero(own)]).astype(np.float64).tobytes()
-                whole = b"" if own.any() else pickle.dumps(m)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([z], pa.binary()), pa.array([whole], pa.binary())], names=["part", "z", "model"])
-
-    wanted = [*sorted(set(part.tolist())), PARTS]
-    keys = spark.range(0, PARTS + 1, 1, PARTS + 1).where(F.col("id").isin(wanted))
-    z, m = np.zeros(len(docs)), None
-    for k, logits, model in zip(*keys.mapInArrow(run, "part long, z binary, model binary").toArrow().to_pydict().values(), strict=True):
-        z[part == k] = np.frombuffer(logits)
-        m = pickle.loads(model) if model else m
-    return z, m
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[Model, dict[str, float]]:
-    """Fits on at most `rows` labelled documents, half of each label where there are enough, chosen by hash.
-
-    docs: __id, __th, __l, __text; labels: __id, __y (0 or 1), one row an id. The choice is made on ids and text hashes,
-    and only the chosen texts are fetched, of each label up to half of sample_bytes and one text. The chosen documents are
-    dealt into PARTS parts, and a model of the other parts scores each; those scores, weighted back to the labels' shares, set the
+            docs, part = _unpacked(batch), np.array(batch.column("part").to_pylist())
+            for k in range(PARTS):
+                found[k] += held([docs[i] for i in np.flatnonzero(part == k)])
+        for k in range(PARTS):
+            at = np.flatnonzero(found[k])
+            yield from _pieces(k, at, found[k][at, None].astype(np.float32))
+
+    counts = np.zeros((PARTS, 2 * BUCKETS), np.int64)
+    for k, _, at, _, sums in _summed([rows.mapInArrow(run, PIECE)]):
+        counts[k, at] = sums[:, 0]
+    return counts
+
+
+def _round(rows: DataFrame, states: list[State], epochs: int, seed: int) -> None:
+    """Each model goes over its rows, a task a shard, and becomes the mean of the tasks' models; of an embedding those count that changed it."""
+
+    def learn(k: int, sent) -> Callable:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            docs, y, shard = _shard(batches)
+            if not docs:
+                return
+            old, new = sent.value, sent.value.copy()
+            fit(docs, y, new, epochs, seed=seed + shard)
+            at = np.flatnonzero((new.gathered != old.gathered).any(axis=1))
+            # what changed goes in half precision; of sums of squares the roots
+            yield from _pieces(k, at, np.concatenate([new.model.table[at] - old.model.table[at], np.sqrt(new.gathered[at] - old.gathered[at])], axis=1).astype(np.float16))
+            dense = new.dense()
+            yield _piece(k, -1, np.arange(len(dense)), np.full(1, len(docs)), dense[:, None] * np.float32(len(docs)))
+
+        return run
+
+    sent = [rows.sparkSession.sparkContext.broadcast(s) for s in states]
+    for k, block, at, n, sums in _summed([rows.where(F.col("part") != k).mapInArrow(learn(k, sent[k]), PIECE) for k in range(len(states))]):
+        mean = (sums / n[:, None]).astype(np.float32)
+        if block < 0:
+            states[k].set_dense(mean[:, 0])
+        else:
+            states[k].model.table[at] += mean[:, :HALF]
+            states[k].gathered[at] += mean[:, HALF:] ** 2
+    for b in sent:
+        b.destroy()
+
+
+def _validated(rows: DataFrame, models: list[Model]) -> list[tuple[str, int, int, int]]:
+    """(language, label, logit in bins, rows) of all rows, each scored by the model that did not learn from its part."""
+
+    def scored(sent) -> Callable:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                z = np.clip(sent.value.logits(_unpacked(batch)), -1000, 1000) if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("toxic"), pa.array(np.round(z * BINS).astype(np.int64))], names=["lang", "toxic", "bin"])
+
+        return run
+
+    sent = [rows.sparkSession.sparkContext.broadcast(m) for m in models]
+    each = [rows.where(F.col("part") == k).mapInArrow(scored(b), "lang string, toxic int, bin long") for k, b in enumerate(sent)]
+    found = [(r[0], r[1], r[2], r[3]) for r in reduce(DataFrame.union, each).groupBy(F.coalesce("lang", F.lit("")), "toxic", "bin").count().collect()]
+    for b in sent:
+        b.destroy()
+    return found
+
+
+def _with_texts(docs: DataFrame, known: DataFrame, n: int, shards: int) -> DataFrame:
+    """The texts of the known rows beside their labels, a partition a shard. Most texts without a label are left out before the shuffle, by a
+    bitmap of hashed keys (two bytes a known row, 8 MB at most); the join decides."""
+    bits = 1 << min(26, max(16, (16 * n).bit_length()))
+    bit = 1 + F.pmod(F.xxhash64("__id", "__th"), F.lit(bits))
+    maps = known.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__map"))
+    some = docs.withColumn("__bucket", F.bitmap_bucket_number(bit)).withColumn("__at", F.bitmap_bit_position(bit).cast("int")).join(F.broadcast(maps), "__bucket")
+    byte = F.conv(F.hex(F.expr("substring(__map, cast(__at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    some = some.where(byte.bitwiseAND(F.expr("shiftleft(1, __at % 8)")) != 0).select("__id", "__th", "__l", "__text")
+    keys = ["__id", "__th"]
+    # repeated rows of a document are one
+    one = some.join(known.select(*keys, "__y", "part"), keys).groupBy(*keys).agg(
+        F.max("__y").alias("toxic"), F.max("part").alias("part"), F.min("__l").alias("lang"), F.min("__text").alias("__text"))
+    packed = one.select("lang", "toxic", "part", F.xxhash64(*keys, F.lit("sample")).alias("order"), "__text").mapInArrow(
+        _packed, "lang string, toxic int, part int, order long, words long, ids binary")
+    # numbers that hash to each of the partitions once, so that each shard has its own
+    spread = known.sparkSession.range(20 * shards + 20).groupBy(F.pmod(F.hash("id"), F.lit(shards))).agg(F.min("id")).collect()
+    numbers = sorted(r[1] for r in spread)
+    shard = F.element_at(F.array(*map(F.lit, numbers)), F.pmod("order", F.lit(len(numbers))).cast("int") + 1)
+    return packed.withColumn("shard", shard.cast("long")).repartition(shards, "shard")
+
+
+def train(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> tuple[Model, dict[str, float]]:
+    """Fits on all labelled documents.
+
+    docs: __id, __th, __l, __text; labels: __id, __y (0 or 1), one row an id. The documents are dealt into shards of about shard_rows rows and
+    shard_bytes of text, and a task learns from one. With more than one shard, the first alone makes the models with which all of them
+    begin. The documents are also dealt into PARTS parts, and a model of the other parts scores each; those scores set the
     stretch and the thresholds by language of the model of them all. A language's
     threshold is the best one of its own rows and those of all languages together, which count less the more toxic rows it has itself.
     Unless two parts hold each label, all scores stay below 0.7.
     """
     slim = docs.where(F.col("__id").isNotNull()).groupBy("__id", "__th").agg(F.max(F.octet_length("__text")).alias("bytes"))
-    known = cut(slim.join(labels, "__id"), "labelled")
-    totals = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
-    order = F.xxhash64("__id", "__th", F.lit("sample"))
-    picked = []
-    for label in (0, 1):
-        # about four times the rows that are needed meet in the sort, whatever the input
-        share = min(1 << 20, 1 + (rows << 21) // max(1, totals.get(label, 0)))
-        some = known.where((F.col("__y") == label) & (F.pmod(order, F.lit(1 << 20)) < share)).withColumn("order", order)
-        first = some.orderBy("order", "__id", "__th").limit(rows // 2)
-        so_far = F.coalesce(F.sum("bytes").over(Window.orderBy("order", "__id", "__th").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        picked.append(first.withColumn("so_far", so_far).where(F.col("so_far") < sample_bytes // 2).select("__id", "__th", "__y"))
-    picked = cut(picked[0].unionByName(picked[1]), "training-sample")
-    # at most `rows` keys; repeated rows of a document are one
-    fetched = docs.join(F.broadcast(picked), ["__id", "__th"]).groupBy("__id", "__th").agg(
-        F.max("__y").alias("toxic"), F.min("__l").alias("lang"), F.min("__text").alias("__text"))
-    chosen = fetched.select("lang", "toxic", F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"), order.alias("order"), "__text")
-    got = chosen.mapInArrow(_ids, "lang string, toxic int, part int, order long, ids array<long>").toArrow().sort_by("order")
-    y = np.array(got.column("toxic").to_pylist(), np.float32)
-    part = np.array(got.column("part").to_pylist(), np.int64)
-    docs = [x.values.to_numpy().view(np.uint64) for x in got.column("ids")]
-    langs = np.array([x or "" for x in got.column("lang").to_pylist()])
-    if min(len(set(part[y == label])) for label in (0, 1)) < 2:
+    part = F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part")
+    known = cut(slim.join(labels, "__id").select("__id", "__th", "__y", "bytes", part), "labelled")
+    totals = known.groupBy("__y", "part").agg(F.count("*"), F.sum("bytes")).collect()
+    n, size = sum(r[2] for r in totals), sum(r[3] for r in totals)
+    if min(sum(r[0] == label for r in totals) for label in (0, 1)) < 2:
         m = Model.fresh(0)
         m.stretch, m.shift = 0.0, 0.0
         m.weights[:] = 0
         return _quiet(m), {}
-    z, m = _fits(chosen.sparkSession, docs, y, part)
-    weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
+    shards = max(1, -(-n // shard_rows), -(-size // shard_bytes))
+    rows = _with_texts(docs, known, n, shards).persist(StorageLevel.DISK_ONLY)
+    counts = _counts(rows)
+    states = [State.fresh(counts.sum(axis=0) - own) for own in (*counts, 0)]
+    rounds = min(ROUNDS[1], max(ROUNDS[0], VISITS // n))
+    if shards == 1:
+        _round(rows, states, rounds, 11)
+    else:
+        _round(rows.where(F.col("shard") == rows.agg(F.min("shard")).first()[0]), states, 1, 11)
+        for r in range(1, rounds + 1):
+            _round(rows, states, 1, 11 + r * shards)
+    m = states[PARTS].model
+    found = _validated(rows, [s.model for s in states[:PARTS]])
+    rows.unpersist()
+    langs, y = np.array([f[0] for f in found]), np.array([f[1] for f in found], np.float64)
+    z, weight = np.array([f[2] / BINS for f in found]), np.array([f[3] for f in found], np.float64)
     m.shift = best_threshold(z, y, weight)
-    m.stretch = 2.0 / max(0.5, float(np.std(z)))
+    m.stretch = 2.0 / max(0.5, float(np.sqrt(np.cov(z, aweights=weight, ddof=0))))
     score = m.scaled(z)
     cuts = {}
     for lang in sorted(set(langs)):
         own = langs == lang
-        prior = PRIOR_ROWS / (PRIOR_ROWS + y[own].sum())
+        prior = PRIOR_ROWS / (PRIOR_ROWS + (weight * y)[own].sum())
         cuts[str(lang)] = best_threshold(score, y, weight * np.where(own, 1.0, prior))
     return m, cuts
 
@@ -314,12 +499,12 @@ def _quiet(m: Model) -> Model:
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    label_col: str = "toxic", folds: int = 3, out_fold: int = 1, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
+    label_col: str = "toxic", folds: int = 3, out_fold: int = 1, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """id, held_out, score, predicted (score >= 0.7), threshold and flagged (by language).
 
-    Learns from labelled rows whose crc32 of the id mod folds is not out_fold, at most sample_rows of them and texts of about
-    sample_bytes. Only the text enters a score; texts of any length are read whole, in segments of bounded size. Null and empty texts and others without words have score 0. Rows with a null id are not held
+    Learns from all labelled rows whose crc32 of the id mod folds is not out_fold; a task holds about shard_rows of them and texts of about
+    shard_bytes. Only the text enters a score; texts of any length are read whole, in segments of bounded size. Null and empty texts and others without words have score 0. Rows with a null id are not held
     out. A language without labelled rows has the threshold 0.7. An empty table stays empty; columns pass neither in nor out but
     those named here, so no name can clash. Repeated rows are scored each;
     an id that is labelled both ways counts as toxic.
@@ -327,7 +512,7 @@ def score_toxicity(
     fold = F.coalesce(crc32_id(id_col) % folds == out_fold, F.lit(False))
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     learn = docs.where(~fold).select(*row_key(id_col, text_col), F.col(lang_col).cast("string").alias("__l"), text_or_empty(text_col).alias("__text"))
-    model, cuts = train(learn, known, sample_rows, sample_bytes)
+    model, cuts = train(learn, known, shard_rows, shard_bytes)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB and some, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from packlens.llm.simhash import components, drop_near_duplicates, fingerprint,
 from packlens.llm.substring_dedup import pieces, sentences, substring_dedup
 from packlens.llm.token_output import Block, EliasFano, encode_block, tokens_round_trip
 from packlens.llm.tokens import Encoder, encoder, tokenizer_path
-from packlens.llm.toxicity import BUCKETS, STEMS, TOP, Model, score_toxicity
+from packlens.llm.toxicity import BUCKETS, STEMS, TOP, Model, State, WordIds, _counts, _round, _with_texts, fit, score_toxicity
 
 #: Names that operators use themselves, inside or as results, stand among the user's columns.
 EXTRA = ["__x", "h", "__id", "__th", "__row", "__drop", "__size", "size", "n_lines", "n_removed", "kept", "node", "a.b"]
@@ -535,6 +536,49 @@ def test_toxicity(spark):
     assert {r.doc_id: r.predicted for r in score_toxicity(docs.unionByName(long), labels).collect() if r.doc_id in (None, 2000, 2001)} == {2000: 1, 2001: 0, None: 0}
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """Each kind of toxic word is in nine texts that may be learnt from and in five of two thirds of them at least, for the most part: too few if some are left out."""
+    rng, kinds = random.Random(4), 800
+    word = lambda: "".join(rng.choices("hijklmnopqrstuvwxyz", k=8))
+    words = [word() for _ in range(kinds)]
+    learnt = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1][: 9 * kinds + 3000]
+    held = [i for i in range(20_000, 30_000) if zlib.crc32(str(i).encode()) % 3 == 1][: 2 * kinds]
+    toxic = {i: words[n % kinds] for n, i in enumerate(learnt[: 9 * kinds] + held[:kinds])}
+    ids = learnt + held
+    docs = table(spark, [f"{prose(i, 4)} {toxic.get(i) or word()} {prose(-i, 4)}" for i in ids], ids=ids)
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in learnt], "doc_id long, toxic int")
+    got = [r for r in score_toxicity(docs, labels, shard_rows=len(learnt) // 3).collect() if r.held_out]
+    assert sorted(r.doc_id for r in got) == held
+    assert sum(r.predicted for r in got if r.doc_id in toxic) >= 0.95 * kinds
+    assert sum(r.predicted for r in got if r.doc_id not in toxic) <= 0.05 * kinds
+
+
+def test_toxicity_counts_every_text_and_means_of_shards(spark):
+    docs = [(i, i * 7, "en", f"common {'left' if i % 2 else 'right'} {'rare' if i == 5 else ''}") for i in range(300)]
+    some = spark.createDataFrame([*docs, docs[5], *[(i, i, "en", "common") for i in range(1000, 1400)]], "__id long, __th long, __l string, __text string")
+    known = spark.createDataFrame([(i, i * 7, i % 2, i % 3) for i in range(300)], "__id long, __th long, __y int, part int")
+    rows = _with_texts(some, known, 300, 3)
+    assert sorted((r.toxic, r.part) for r in rows.collect()) == sorted((i % 2, i % 3) for i in range(300))
+    assert len({r.shard for r in rows.collect()}) == rows.rdd.getNumPartitions() == 3
+    counts, memo = _counts(rows), WordIds()
+    at = lambda w: int(memo.of(w)[0] & np.uint64(0xFFFF))
+    assert [c[at("common")] for c in counts] == [100, 100, 100] and sum(c[at("left")] for c in counts) == 150 and [c[at("rare")] for c in counts] == [0, 0, 1]
+    states = [State.fresh(counts.sum(axis=0)) for _ in range(2)]
+    before, wanted = states[1].model.table.copy(), []
+    for shard in sorted({r.shard for r in rows.collect()}):
+        own, state = sorted((r for r in rows.collect() if r.shard == shard and r.part != 1), key=lambda r: r.order), states[1].copy()
+        zstd = pa.Codec("zstd")
+        fit([np.frombuffer(zstd.decompress(r.ids, 8 * r.words, asbytes=True), np.uint64) for r in own], np.array([r.toxic for r in own], np.float32), state, seed=3 + shard)
+        wanted.append((len(own), state))
+    _round(rows, states, 1, 3)
+    n = sum(w for w, _ in wanted)
+    assert np.allclose(states[1].model.weights, sum(w * s.model.weights for w, s in wanted) / n, atol=1e-5)
+    moved = [(s.model.table != before).any(axis=1) for _, s in wanted]
+    assert moved[0][at("left")] and (states[1].model.table[~np.any(moved, axis=0)] == before[~np.any(moved, axis=0)]).all()
+    all_moved = np.all(moved, axis=0)
+    assert np.allclose(states[1].model.table[all_moved], sum(s.model.table for _, s in wanted)[all_moved] / 3, atol=1e-3)
+
+
 def test_substring_dedup(spark):
     shared = "this passage goes on for a good while. it has several sentences in it, and each one of them counts. and then it ends here, after twenty and some more words."
     texts = [f"{prose(i, 20).replace(chr(10), ' ')}.\n{shared}\n{prose(i + 50, 20)}" for i in range(10)] + ODD
