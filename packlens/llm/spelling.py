@@ -73,10 +73,18 @@ def _gram_keys(word: Column) -> Column:
     return F.array(*keys)
 
 
+def _sorted_side(df: DataFrame) -> DataFrame:
+    """df as a side that is joined by sorting, never sent whole through the driver.
+
+    Spark sizes it by the compressed file of words, and takes twelve keys a word for no more than the word: what it holds to be a few MB fills a driver.
+    """
+    return df.hint("merge")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """Pairs (word, near), both ways, of the distinct words that differ by exactly one letter edit."""
     met = lambda keys, name: words.select(F.col("word").alias(name), F.explode(keys(F.col("word"))).alias("key")).where("key is not null")
-    pairs = met(_chunk_keys, "a").join(met(_gram_keys, "b"), "key").where(F.levenshtein("a", "b", 1) == 1)
+    pairs = met(_chunk_keys, "a").join(_sorted_side(met(_gram_keys, "b")), "key").where(F.levenshtein("a", "b", 1) == 1)
     links = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return links.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near")))).alias("p")).select("p.*")
 
@@ -89,7 +97,7 @@ def _rooted(forms: DataFrame) -> DataFrame:
     reached = forms.select("word", F.col("form").alias("root"))
     for _ in range(6):
         on = reached.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        found = cut(reached.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        found = cut(reached.join(_sorted_side(on), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         reached = found.select("word", "root")
         if found.where("moved").isEmpty():
             break
@@ -110,8 +118,8 @@ def spelling_variants(docs: DataFrame, min_letters: int = 5, min_count: int = 3,
     of = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     # the largest count first, then the smallest word: counts negated, so that one minimum tells
     best = F.min(F.struct((-F.col("near_n")).alias("least"), F.col("near").alias("form"))).alias("best")
-    per = cut(near_words(words).join(of, "near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best), "spelling-near")
-    named = words.join(per, "word", "left").withColumn("ok", F.coalesce(-F.col("best.least") >= times * F.col("n"), F.lit(False)))
+    per = cut(near_words(words).join(_sorted_side(of), "near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best), "spelling-near")
+    named = words.join(_sorted_side(per), "word", "left").withColumn("ok", F.coalesce(-F.col("best.least") >= times * F.col("n"), F.lit(False)))
     judged = cut(named.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("ok"), F.col("best.form")).alias("form"), F.when(F.col("ok"), -F.col("best.least")).alias("form_n")), "spelling-forms")
     roots = _rooted(judged.where("form is not null").select("word", "form"))
-    return judged.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return judged.join(_sorted_side(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -79,6 +79,18 @@ def test_spelling_variants(spark):
         spelling_variants(table(spark, []), min_letters=3)
 
 
+def test_no_table_of_words_is_broadcast(spark, tmp_path):
+    held = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    spark.createDataFrame([(w, 3) for w in held], "word string, n long").write.parquet(str(tmp_path / "words"))
+    # a file of a few kB, which Spark would send to all tasks with the keys that are made of it
+    words = spark.read.parquet(str(tmp_path / "words"))
+    pairs = near_words(words)
+    assert {(r.word, r.near) for r in pairs.collect()} == {(a, b) for a in held for b in held if one_edit(a, b)}
+    for made in (pairs, spelling_variants(table(spark, [f"{w} " * 3 for w in held] + ["wortaa " * 20]))):
+        told = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in told and "Broadcast" not in told
+
+
 def test_every_edit_is_near(spark):
     """All words of five to seven letters around a few: no pair one edit apart is lost, none further apart is found."""
     words = set()
