@@ -55,6 +55,17 @@ def test_findings_are_not_shuffled(spark):
     assert not any("Join" in line or "Aggregate" in line for line in plan[:crossed]), "rules come after all joins"
 
 
+def test_findings_take_what_is_made_once_a_scan(spark):
+    declared = spark.range(40).selectExpr("id AS scan_id", "explode(array('mrp', 'brand', 'expiry')) AS field").selectExpr("*", "CASE field WHEN 'mrp' THEN '₹ ５' WHEN 'brand' THEN 'Acme' ELSE '12/2030' END AS value")
+    registry = spark.range(40).selectExpr("id AS scan_id", "'ASSERTED' AS authority", "5.0D AS mrp_exact", "'5 g' AS net_quantity", "array('x', 'ＡＣＭＥ') AS brand_strings")
+    ruleset, exempt, _ = rules.load_rules(spark)
+    found = rules.evaluate(declared, ruleset, exempt, "2026-09-05", registry=registry)
+    assert {(r.rule_id, r.status) for r in found.where("rule_id IN ('MRP-02', 'QTY-02', 'BRAND-01', 'EXPIRY-03')").collect()} == {("MRP-02", "PASS"), ("QTY-02", "FAIL"), ("BRAND-01", "PASS"), ("EXPIRY-03", "PASS")}
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString(), "only distinct texts reach Python"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan[: plan.index("Join Cross")], "findings search no list"
+
+
 def test_lines_are_dealt_by_frame_before_they_are_read(spark):
     lines = spark.range(0, 400, 1, 1).selectExpr("id div 4 AS scan_id", "0 AS frame", "CAST(id % 4 AS INT) AS line_no", "concat('MRP Rs. ', id) AS text")
     fields = extract.frame_fields(lines)
