@@ -44,7 +44,7 @@ def decided(observations: DataFrame) -> DataFrame:
     votes = votes.withColumn("frames", F.when(frames <= MAX_FRAMES, frames).otherwise(F.raise_error(F.lit(f"a side has more than {MAX_FRAMES} frames")).cast("int")))
     can_win = ~F.startswith(F.col("bucket"), F.lit(UNREAD))
     best = F.struct(F.when(can_win, F.col("votes")).otherwise(0).alias("v"), (-F.col("first_frame")).alias("f"), F.col("value"), F.col("bucket"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("least"), "first_frame", "value", "votes")))
+    listed = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("least"), "first_frame", "value", "votes")))
     won = votes.groupBy("scan_id", "side", "field").agg(F.max(best).alias("b"), F.max("frames").alias("frames"), listed.alias("candidates"))
     enough = F.col("b.v") >= F.least(F.lit(MIN_VOTES), F.col("frames"))
     return won.select(
@@ -78,7 +78,7 @@ def side_merge(agreed: DataFrame) -> DataFrame:
     norm = F.when(filled, F.col("bucket") if "bucket" in agreed.columns else norm_field(F.col("field"), F.col("value")))
     best = F.min(F.when(F.col("agreed"), F.struct((-filled.cast("int")).alias("f"), (-F.col("confidence")).alias("c"), "side", "value", "confidence")))
     # a pack's few sides, in the order of their names
-    read = F.array_sort(F.collect_list(F.when(F.col("norm").isNotNull(), F.struct("side", "value", "norm"))))
+    read = F.sort_array(F.collect_list(F.when(F.col("norm").isNotNull(), F.struct("side", "value", "norm"))))
     grouped = agreed.withColumn("norm", norm).groupBy("scan_id", "field").agg(read.alias("read"), best.alias("b"))
     grouped = grouped.withColumn("norms", F.array_distinct(F.transform("read", lambda x: x["norm"])))
     of = lambda n: F.filter("read", lambda x: x["norm"] == n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,11 +50,13 @@ def _after(text: Column, anchors: tuple[str, ...]) -> Column:
     """What follows the longest anchor that the text holds; null where it holds none."""
     low = F.lower(text)
     longest = F.get(F.filter(F.array(*[F.lit(a) for a in sorted(anchors, key=lambda a: (-len(a), a))]), lambda a: F.contains(low, a)), F.lit(0))
-    return F.substring(text, F.position(longest, low) + F.length(longest), F.length(text))
+    # most lines hold none, and are not searched anchor by anchor
+    return F.when(_has(text, anchors), F.substring(text, F.position(longest, low) + F.length(longest), F.length(text)))
 
 
 def _has(text: Column, anchors: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(a)) for a in anchors])
+    # one run over the text, which is put in lower case once
+    return F.regexp_like(F.lower(text), F.lit("|".join(rf"\Q{a}\E" for a in anchors)))
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -67,6 +69,7 @@ def line_candidates(lines: DataFrame, strict: bool = False) -> DataFrame:
     price = F.when(F.regexp_like(t, F.lit(PRICE_LINE_STRICT if strict else PRICE_LINE)), _found(t, PRICE, 1))
     quantity = _found(t, QUANTITY)
     licence = F.get(F.filter(F.transform(F.regexp_extract_all(t, F.lit(DIGIT_RUN), F.lit(0)), lambda r: F.regexp_replace(r, r"\D", "")), lambda r: F.length(r) == LICENCE_DIGITS), F.lit(0))
+    licence = F.when(F.regexp_like(t, F.lit(DIGIT_RUN)), licence)
     care = _has(t, CARE_ANCHORS)
     added = {
         "c_mrp": price,
@@ -96,7 +99,7 @@ def frame_fields(lines: DataFrame, strict: bool = False) -> DataFrame:
     Lines are dealt by frame as they are, and read where they are gathered: however few files hold them, each task sorts a bounded share.
     """
     c, n = line_candidates(lines.repartition(*FRAME), strict), F.col("line_no")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")
+    joined = F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "text")))["text"], " ")
     aggs = [
         _first(F.col("c_mrp"), n, F.col("c_mrp").isNotNull()).alias("mrp"),
         _first(F.col("c_quantity"), F.when(F.col("c_anchored"), n).otherwise(n + 1_000_000), F.col("c_quantity").isNotNull()).alias("net_quantity"),
@@ -136,9 +139,12 @@ def caption_pairs(lines: DataFrame, blanks: DataFrame) -> DataFrame:
     return other.join(caption, list(FRAME)).where(beside).withColumn("r", F.row_number().over(near)).where("r = 1").select(*FRAME, "field", "text")
 
 
-def extract(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Long table of the fields found: scan_id, frame, field, value, anchor_only, relative; an absent field has no row."""
-    fields = frame_fields(lines, strict)
+def extract(lines: DataFrame, strict: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda fields: fields) -> DataFrame:
+    """Long table of the fields found: scan_id, frame, field, value, anchor_only, relative; an absent field has no row.
+
+    keep: may write the frames' fields, which are read twice, for the captions without a value too.
+    """
+    fields = keep(frame_fields(lines, strict))
     none = F.lit(False)
     entry = lambda name, value, anchor_only=none, relative=none: F.struct(F.lit(name).alias("field"), value.alias("value"), anchor_only.alias("anchor_only"), relative.alias("relative"))
     licence = F.when(F.col("licence_number").isNotNull(), F.col("licence_number")).when(F.col("licence_caption"), "")

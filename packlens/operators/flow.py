@@ -20,8 +20,9 @@ def observations_of(lines: DataFrame, strict: bool = False) -> DataFrame:
     The fields of `extract`, the address under its caption ('' for a caption alone), the brand, each role that an address has (as ROLE and its name), and SEEN.
     `lines`: scan_id, side, frame, line_no, text and a box.
     """
-    framed = lines.withColumn("frame", F.concat(F.col("side"), F.lit(MARK), F.col("frame").cast("string")))
-    found = extract.extract(framed.drop("side"), strict).select("scan_id", "frame", "field", "value", "relative")
+    kinds = written(_kinds(lines), "frame-kinds")
+    framed = kinds.select("scan_id", F.concat("side", F.lit(MARK), F.col("first").cast("string")).alias("frame"), F.inline("lines"))
+    found = extract.extract(framed, strict, lambda fields: written(fields, "frame-fields")).select("scan_id", "frame", "field", "value", "relative")
     tagged = extract.tag_addresses(framed)
     none = F.lit(False).alias("relative")
     body = F.trim("body")
@@ -33,7 +34,17 @@ def observations_of(lines: DataFrame, strict: bool = False) -> DataFrame:
     seen = framed.select("scan_id", "frame").distinct().select("scan_id", "frame", F.lit(SEEN).alias("field"), F.lit("x").alias("value"), none)
     rows = found.unionByName(addresses).unionByName(roles).unionByName(brands).unionByName(seen)
     parts = F.split("frame", MARK)
-    return rows.select("scan_id", F.get(parts, F.lit(0)).alias("side"), F.get(parts, F.lit(1)).cast("int").alias("frame"), "field", "value", "relative")
+    rows = rows.select("scan_id", F.get(parts, F.lit(0)).alias("side"), F.get(parts, F.lit(1)).cast("int").alias("first"), "field", "value", "relative")
+    return rows.join(kinds.select("scan_id", "side", "first", "frames"), ["scan_id", "side", "first"]).select("scan_id", "side", F.explode("frames").alias("frame"), "field", "value", "relative")
+
+
+def _kinds(lines: DataFrame) -> DataFrame:
+    """Frames of a side that show the same lines in the same places, as one row: scan_id, side, first, frames, lines. What they say is read once for all of them."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt by scan once, not at all where they lie so already; a scan has some frames, and a frame tens of lines
+    shot = F.sort_array(F.collect_list(F.struct("line_no", "text", *extract.SIDES))).alias("lines")
+    shots = lines.repartition(tasks, "scan_id").groupBy("scan_id", "side", F.col("frame").cast("int").alias("frame")).agg(shot)
+    return shots.groupBy("scan_id", "side", "lines").agg(F.min("frame").alias("first"), F.collect_list("frame").alias("frames"))
 
 
 def declared_of(observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -178,13 +178,17 @@ def _uses(sql: str, names: tuple[str, ...]) -> list[str]:
     return [n for n in names if re.search(rf"\b{n}\b", sql)]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS, or a given table, as a DataFrame over sf_dir."""
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
+    """One of VIEWS, or a given table, as a DataFrame over sf_dir.
+
+    dealt: tables are dealt by their key, so that all tasks make the many rows of a view out of a small file.
+    """
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), table.columns[0]) if dealt else table
     sql = re.sub(r"DAYS\((\w+)\)", r"datediff(CAST(\1 AS DATE), DATE'1970-01-01')", VIEWS[name])
     sql = re.sub(r"MONTHS\((\w+), (-?\d+)\)", r"add_months(\1, \2)", sql).replace('"left"', "`left`").replace('"right"', "`right`")
-    parts = {n: view(spark, sf_dir, n) for n in _uses(sql, (*BASE, *VIEWS)) if n != name and re.search(rf"(FROM|JOIN) {n}\b", sql)}
+    parts = {n: view(spark, sf_dir, n, dealt) for n in _uses(sql, (*BASE, *VIEWS)) if n != name and re.search(rf"(FROM|JOIN) {n}\b", sql)}
     for n in parts:
         sql = re.sub(rf"(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **parts)

@@ -45,6 +45,15 @@ def test_frames_and_sides_to_verdicts(spark):
     assert scans.count() == 6 and {r.role for r in roles.where("scan_id = 1").collect()} == {"manufacturer", "unknown"}
 
 
+def test_equal_frames_are_read_once(spark):
+    packs = {1: [("back", f, BACK if f != 2 else FRONT) for f in (3, 0, 2, 4)] + [("front", f, BACK) for f in (0, 1)]}
+    kinds = {(r.side, r.first): (sorted(r.frames), [x.text for x in r.lines]) for r in flow._kinds(lines(spark, packs)).collect()}
+    assert kinds == {("back", 0): ([0, 3, 4], BACK), ("back", 2): ([2], FRONT), ("front", 0): ([0, 1], BACK)}
+    said = flow.observations_of(lines(spark, packs)).where("field IN ('mrp', '__seen')").collect()
+    assert sorted((r.side, r.frame) for r in said if r.field == "__seen") == [("back", 0), ("back", 2), ("back", 3), ("back", 4), ("front", 0), ("front", 1)]
+    assert sorted((r.side, r.frame, r.value) for r in said if r.field == "mrp") == [("back", 0, "45"), ("back", 3, "45"), ("back", 4, "45"), ("front", 0, "45"), ("front", 1, "45")]
+
+
 def test_findings_are_not_shuffled(spark):
     declared = spark.createDataFrame([(1, "mrp", "Rs. 5"), (1, "expiry", "12/2030"), (2, "mrp", "6")], "scan_id long, field string, value string")
     ruleset, exempt, _ = rules.load_rules(spark)
