@@ -97,7 +97,9 @@ def readable(field: Column, value: Column, compatible: bool = True) -> Column:
 
 def values_equal(field: Column, left: Column, right: Column, compatible: bool = True) -> Column:
     """Two values that cannot be read are not equal. compatible: as in `norm_text`, for both."""
-    same = (norm_field(field, left, compatible) == norm_field(field, right, compatible)) & readable(field, left, compatible) & readable(field, right, compatible)
+    # each side is read once by its field's form; what cannot be read is null
+    alike = lambda form: form(left, compatible) == form(right, compatible)
+    same = F.when(field == "mrp", alike(norm_money)).when(field == "net_quantity", alike(norm_quantity)).otherwise(alike(norm_text))
     return F.coalesce(same, F.lit(False))
 
 

@@ -1,5 +1,6 @@
 """Outcomes of fields, and the interval against plain resampling of packs."""
 
+import hashlib
 import random
 
 import pytest
@@ -45,6 +46,19 @@ def test_replicates(spark):
     assert all(r.low == r.high == 1.0 for r in accuracy.accuracy_by_field(outcomes).collect())
 
 
+def test_a_pack_draws_once_for_all_its_fields(spark):
+    rows = [(str(i), f, "equal" if (i + k) % 3 else "wrong") for i in range(60) for k, f in enumerate(("mrp", "brand", "batch_number")) if (i + k) % 4]
+    outcomes = spark.createDataFrame(rows, "image_id string, field string, outcome string")
+    found = accuracy.resampled(outcomes, 50)
+    weigh = lambda i, n: sum(hashlib.md5(f":{i}:{n // 4}".encode()).hexdigest()[8 * (n % 4) :][:8] >= step for step in accuracy.STEPS)
+    for r in found.collect():
+        drawn = [(weigh(i, r.replicate), o == "equal") for i, f, o in rows if f == r.field]
+        assert r.accuracy == sum(w * ok for w, ok in drawn) / sum(w for w, _ in drawn)
+    assert found.count() == 150
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.rindex("Aggregate") > plan.index("md5"), "hashes are made of packs, not of their fields"
+
+
 def test_kappa_of_blind_records(spark):
     rows = [(1, 1, True), (0, 0, True), (1, 0, True), (0, 0, True), (1, 1, False), (0, 1, None)]
     pairs = spark.createDataFrame(rows, "a int, b int, blind boolean")
